@@ -6,29 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import bpe, quality, simhash_cover
+from foliospark.llm import bpe, fingerprint, line_chunks, mixing, pii, quality, revisit, simhash_cover, tiff, url_lists
 from foliospark.llm.common import read_table
 
 
-def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.query(spark, sf_dir)
-
-
-def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_cover.query(spark, sf_dir)
-
-
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(spark, read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_quality_classifier": op1_quality_classifier,
-        "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op1_quality_classifier": quality.query,
+        "op2_temperature_mixing": mixing.query,
+        "op3_simhash_near_dedup": simhash_cover.query,
+        "op4_skip_chain_pii": pii.query,
+        "op5_line_chunk_dedup": line_chunks.query,
+        "op6_temporal_url_lists": url_lists.query,
+        "op7_revisit_resolution": revisit.query,
+        "op8_tiff_media": tiff.query,
+        "op9_document_fingerprints": fingerprint.query,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_line_chunk_dedup": line_chunks.SQL,
+        "op6_temporal_url_lists": url_lists.SQL,
+        "op7_revisit_resolution": revisit.SQL,
+    }
