@@ -46,7 +46,7 @@ def _votes(terms: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
 def _terms(texts: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """keep, and weight w and hashes h1, h2 of every term; a text without words gives a term of weight 0."""
     words = texts.select(*keep, F.split(F.col(text), SPACE).alias("words"))
-    each = words.select(*keep, "words", F.posexplode("words").alias("pos", "word"))
+    each = words.select(*keep, "words", F.posexplode_outer("words").alias("pos", "word"))
     hashed = each.select(*keep, F.least(F.length("word"), F.lit(MOST_WEIGHT)).cast("long").alias("w"), F.xxhash64("word", F.get("words", F.col("pos") + 1)).alias("h1"))
     return hashed.withColumn("h2", F.xxhash64("h1"))
 
@@ -67,7 +67,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     ends = Window.orderBy("part")
     firsts = parted.groupBy("part").agg(F.min("id").alias("id")).select("id", F.coalesce(F.lag("part").over(ends), F.max("part").over(Window.partitionBy())).alias("before"))
     both = F.array(F.struct(F.col("part"), F.lit(False).alias("guest")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("part"), F.lit(True).alias("guest"))))
-    placed = parted.join(F.broadcast(firsts), "id", "left").select("doc_id", "id", "text", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("at"))
+    placed = parted.join(F.broadcast(firsts), "id", "left").select("doc_id", "id", "text", F.explode_outer(F.filter(both, lambda x: x.isNotNull())).alias("at"))
     order = Window.partitionBy("part").orderBy("guest", "id", "text")
     flat = placed.select("doc_id", "id", "text", "at.part", "at.guest")
     return flat.select("doc_id", "text", "part", "guest", F.row_number().over(order).alias("row"), F.coalesce(F.lead("text").over(order), F.lit("")).alias("next"))
