@@ -119,19 +119,19 @@ WITH p AS (
 ), k AS (
   SELECT *, base || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END AS url_key FROM keyed
 ), revisits AS (
-  SELECT i * 3 + n AS record_id, url_key, day + CASE WHEN n = 2 THEN 40 WHEN i % 4 = 0 THEN -1 ELSE 3 END * 86400000000 AS at,
+  SELECT i * 3 + n AS record_id, url_key, day + CASE WHEN n = 2 THEN 40 WHEN i % 4 = 0 THEN -1 ELSE 3 END * 86400000000 AS seen,
     CASE WHEN i % 5 = 0 THEN NULL WHEN i % 7 = 0 THEN '"stale"' ELSE 'W/' || tag END AS fresh FROM k, (VALUES (1), (2)) v(n)
 ), earlier AS (
   SELECT r.*, k.i * 3 AS resolved_id, k.tag AS stored, k.size,
     row_number() OVER (PARTITION BY r.record_id ORDER BY k.day DESC NULLS LAST, k.i DESC) AS place
-  FROM revisits r LEFT JOIN k ON r.url_key = k.url_key AND k.day < r.at
+  FROM revisits r LEFT JOIN k ON r.url_key = k.url_key AND k.day < r.seen
 ), judged AS (
   SELECT *, CASE WHEN resolved_id IS NULL THEN 'no earlier' WHEN fresh IS NULL THEN 'unchecked'
     WHEN replace(fresh, 'W/', '') = stored THEN 'resolved' ELSE 'mismatch' END AS outcome FROM earlier WHERE place = 1
 )
 SELECT record_id, url_key, resolved_id, outcome,
   CASE WHEN outcome IN ('resolved', 'unchecked') THEN coalesce(fresh, stored) END AS etag,
-  CASE WHEN outcome IN ('resolved', 'unchecked') THEN CAST(at AS VARCHAR) END AS date,
+  CASE WHEN outcome IN ('resolved', 'unchecked') THEN CAST(seen AS VARCHAR) END AS date,
   CASE WHEN outcome IN ('resolved', 'unchecked') THEN CAST(size AS VARCHAR) END AS content_length
 FROM judged
 """
