@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,24 +168,40 @@ def _ball_links(keyed: DataFrame, masks: list[int], radius: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
-    """doc_id, fp (signed long) and component_id of every row.
+    """doc_id, text_hash, fp (signed long) and component_id of every row.
 
     Fingerprints link within the radius, the fingerprint zero of texts without words (null, empty, white space) like any
     other; component_id is the smallest doc_id that can be reached, a row's own included. Exact copies are merged
     before any comparison, so their number doesn't matter. Repeated rows all stay. A null doc_id never is the
     smallest; it gets its component's, and null if no row of the component has one. An empty table gives an empty one.
     """
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = checkpointed(fingerprints(plain, width=width, keep=["doc_id"]))
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    rows = checkpointed(fingerprints(plain, width=width, keep=["doc_id", "text_hash"]))
     values = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = checkpointed(connected_components(links(values.select("fp"), radius)))
     placed = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_value = placed.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return rows.join(by_value, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(by_value, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def keep_one_each(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates, all columns unchanged: the one with the smallest doc_id.
+
+    Of rows that share this doc_id within a group, the one with the smallest hash of its text stays, and of equal ones,
+    one. Rows without a doc_id go if their group has a row with one; groups without any keep one for each fingerprint.
+    """
+    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = found.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("apart")).agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash")
+    keyed = docs.withColumn("__hash", F.xxhash64("text"))
+    # a missing id is made a key of its own, so that both sides are dealt by plain columns
+    keyed = keyed.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull()})
+    kept = keyed.join(chosen.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.col("text_hash").alias("__hash")), ["__id", "__none", "__hash"], "left_semi")
+    same = Window.partitionBy("__id", "__none", "__hash").orderBy("__hash")
+    return kept.withColumn("__row", F.row_number().over(same)).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
-    found = near_duplicates(read_table(spark, sf_dir, "documents"))
+    found = near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
