@@ -53,3 +53,8 @@ def map_columns(df: DataFrame, needs: Sequence[str], fields: Sequence[T.StructFi
             yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(columns[: len(kept)], arrow)], *[pa.array(v, f.type) for v, f in zip(made, list(arrow)[len(kept):])]], schema=arrow)
 
     return shaped.mapInArrow(run, schema)
+
+
+def hashed_share(column: str) -> F.Column:
+    """A number in [0, 1) that follows from the column's value alone: rows below a bound are a sample of that share."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(97), F.col(column)), 11) / F.lit(float(1 << 53))
