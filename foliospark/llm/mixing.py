@@ -34,7 +34,8 @@ class Share:
 
     @property
     def passes(self) -> int:
-        return int(self.budget / self.tokens + 1e-9) if self.tokens else 0
+        """Whole passes; documents of a source without any tokens cost nothing and are all drawn once."""
+        return int(self.budget / self.tokens + 1e-9) if self.tokens else 1
 
     @property
     def rest(self) -> float:
@@ -157,7 +158,7 @@ def mixed(docs: DataFrame, mixture: Mixture, doc_id: str = "doc_id", source: str
     """Every row of docs as often as the mixture draws it, columns unchanged; no text is shuffled for it.
 
     Rows with equal doc_id and source are drawn equally often. A null source is a source of its own, and null ids take
-    part like one id. A source without any words is not drawn. An empty table gives an empty table.
+    part like one id. A source without any words is drawn once. An empty table gives an empty table.
     """
     return _copies(docs, mixture, doc_id, source).withColumn("__pass", F.explode(F.array_repeat(F.lit(1), F.col("__passes")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -180,7 +181,7 @@ def draws(mixture: Mixture) -> DataFrame:
     offsets = each.select(F.col("source").alias("s"), F.col("pass").alias("p"), F.col("block").alias("b"), (F.sum("tokens").over(order) - F.col("tokens") + F.col("pass") * F.sum("tokens").over(whole)).alias("offset"))
     placed = within.join(offsets, within["source"].eqNullSafe(F.col("s")) & (F.col("pass") == F.col("p")) & (F.col("block") == F.col("b")))
     start = F.col("offset") + F.col("inside")
-    return placed.select("doc_id", "source", F.col("pass").cast("int").alias("pass"), "block", "tokens", start.alias("start"), (start / F.col("__budget")).alias("place"))
+    return placed.select("doc_id", "source", F.col("pass").cast("int").alias("pass"), "block", "tokens", start.alias("start"), F.coalesce(F.try_divide(start, F.col("__budget")), F.lit(0.0)).alias("place"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
