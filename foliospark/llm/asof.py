@@ -24,7 +24,8 @@ def latest_before(facts: DataFrame, asked: DataFrame, key: str, at: str, value:
     width = (span["high"] - span["low"]) // slices + 1
 
     def cut(column):
-        return F.greatest(F.lit(-1), F.least(F.lit(slices), F.floor((F.col(column) - span["low"]) / width))).cast("int")
+        place = F.greatest(F.lit(-1), F.least(F.lit(slices), F.floor((F.col(column) - span["low"]) / width)))
+        return F.when(F.col(column).isNull(), -1).otherwise(place).cast("int")  # before all facts
 
     placed = facts.withColumn("__s", cut("__t"))
     last = placed.groupBy("__k", "__s").agg(F.max(F.struct("__t", "__v"))["__v"].alias("__v"))
