@@ -1,0 +1,84 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from foliospark.llm import pii
+
+
+def by_force(text):
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    found = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in digits(m[0])]
+        if 12 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0:
+            found.append((m.start(), m.end(), "card"))
+    found += [(m.start(), m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(found, key=lambda s: (s[0], ["email", "ip", "card", "phone"].index(s[2])))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1.@ +-(9)2%_\n4é", max_size=70))
+def test_base_spans(text):
+    assert pii.base_spans(text) == by_force(text)
+
+
+def test_base_spans_of_long_texts_take_linear_time():
+    for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 100_000, "+1" + "(" * 200_000, "a@a." * 50_000, "0" * 5000 + ".1.1.1"):
+        pii.base_spans(text)
+    assert pii.base_spans("0" * 5000 + "1.1.1.1") == [(0, 5007, "ip")]
+
+
+FIELD = pii.fit([f"Call +49 (30) 12345{i:02d} or mail name.{i}@mail.example.com from 10.0.0.{i}, card 4929348385146306, key = \"{hashlib.md5(str(i).encode()).hexdigest()}\" of version 3. In {i} days." for i in range(60)])
+
+
+def labels(text):
+    return [(k, text[s:e]) for s, e, k in pii.all_spans(FIELD, text)[1]]
+
+
+def test_distant_mentions_share_labels():
+    found = labels("Mail john.smith@mail.example.com now. Later john.smith wrote. Call +49 (30) 1234567. Or 030 1234567 or 0301234567 then.")
+    assert ("email", "john.smith@mail.example.com") in found and ("linked_phone", "0301234567") in found
+    assert not any(k.startswith("linked") for k, _ in labels("Version 3. of 12 days and 0301234567."))  # no mention to share with
+
+
+def test_base_spans_stay_and_others_are_added():
+    text = "token = \"0123456789abcdef0123456789abcdef\" at 10.1.2.3"
+    base, spans = pii.all_spans(FIELD, text)
+    assert set(base) <= set(spans) and ("secret", "0123456789abcdef0123456789abcdef") in labels(text)
+
+
+def test_marginals_are_probabilities():
+    tokens = pii._tokens("a1 b2 a1 c3 a1 +1 22 a1", [])
+    p = pii.marginals(FIELD, tokens)
+    assert p.shape == (len(tokens), len(pii.LABELS)) and abs(p.sum(1) - 1).max() < 1e-9
+
+
+def test_rows(spark):
+    docs = spark.createDataFrame([(1, "x@y.zz 10.0.0.1", "a"), (2, None, "a"), (3, "", "a"), (1, "x@y.zz 10.0.0.1", "a")], "doc_id long, text string, spans string")
+    rows = sorted(pii.find(docs, FIELD).collect(), key=lambda r: r.doc_id)
+    assert len(rows) == 4 and rows[0] == rows[1]
+    assert (rows[0].n_email, rows[0].n_ip, rows[0].n_card, rows[0].n_phone) == (1, 1, 0, 0)
+    assert rows[0].base_sha256 == hashlib.sha256(b"email:0:6,ip:7:15").hexdigest() and rows[0].spans == "email:0:6,ip:7:15"
+    assert rows[2].base_sha256 == rows[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.masked(docs, FIELD).where("doc_id = 1").first().text == "[email] [ip]"
+    assert pii.find(docs.limit(0), FIELD).collect() == []
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = pii.query(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = by_force(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(pii.written(base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for *_, x in base) for k in pii.KINDS]
+        assert {pii.written([b]) for b in base} <= set(r.spans.split(","))
+
+
+def test_nothing_to_learn_from():
+    field = pii.fit([])
+    assert pii.all_spans(field, "10.0.0.1 and 7")[0] == [(0, 8, "ip")]

@@ -1,0 +1,57 @@
+import random
+
+from foliospark.llm import revisit as R
+from foliospark.llm.asof import latest_before
+
+RECORD = "record_id long, kind string, uri string, at long, profile string, status int, headers map<string,string>"
+P = R.NOT_MODIFIED[1]
+
+
+def test_as_of_against_brute_force(spark):
+    rng = random.Random(2)
+    facts = [(rng.choice(["hot", "hot", "a", "b"]), rng.randrange(0, 5000), i) for i in range(400)] + [(None, 5, 1), ("a", None, 2)]
+    asked = [(rng.choice(["hot", "a", "b", "none"]), rng.randrange(-100, 6000), i) for i in range(300)] + [(None, 5, 1), ("a", None, 2), ("hot", 77, 3), ("hot", 77, 3)]
+    f, q = spark.createDataFrame(facts, "k string, t long, v long"), spark.createDataFrame(asked, "k string, t long, found long")
+    for slices in (1, 7, 64):
+        rows = latest_before(f, q, "k", "t", "v", "last", slices).collect()
+        assert len(rows) == len(asked)
+        for r in rows:
+            before = [(t, v) for k, t, v in facts if k == r.k and k is not None and t is not None and r.t is not None and t < r.t]
+            assert r["last"] == (max(before)[1] if before else None)
+    assert [r["last"] for r in latest_before(f.limit(0), q.limit(2), "k", "t", "v", "last").collect()] == [None, None]
+
+
+def outcome(spark, records):
+    return {r.record_id: r for r in R.resolve(spark.createDataFrame(records, RECORD)).collect()}
+
+
+def test_resolution(spark):
+    full = {"ETag": '"a"', "Content-Type": "text/html", "Content-Length": "10", "Date": "1", "X": "old"}
+    got = outcome(spark, [
+        (1, "response", "http://www.Example.com/p/?utm_source=x&b=2&a=1#top", 100, None, 200, full),
+        (2, "response", "http://example.com/p?a=1&b=2", 200, None, 404, {}),
+        (3, "revisit", "https://example.com:443/p?a=1&b=2", 150, P, 304, {"etag": 'W/"a"', "Date": "2", "Content-Length": "0", "Content-Type": "x", "Y": "new"}),
+        (4, "revisit", "https://example.com/p?b=2&a=1", 150, P, 304, {"etag": '"b"'}),
+        (5, "revisit", "https://example.com/p?b=2&a=1", 150, P, 304, None),
+        (6, "revisit", "https://example.com/p?b=2&a=1", 100, P, 304, {}),
+        (7, "revisit", "https://example.com/q", 150, P, 304, {}),
+        (8, "revisit", None, 150, P, 304, {}),
+        (9, "revisit", "https://example.com/p?a=1&b=2", 150, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", 200, {}),
+        (10, "revisit", "https://example.com/p?a=1&b=2", None, P, 304, {}),
+    ])
+    assert {k: (r.resolved_id, r.outcome) for k, r in got.items()} == {3: (1, "resolved"), 4: (1, "mismatch"), 5: (1, "unchecked"), 6: (None, "no earlier"), 7: (None, "no earlier"), 8: (None, "no earlier"), 10: (None, "no earlier")}
+    assert got[3].headers == {"etag": 'W/"a"', "content-type": "text/html", "content-length": "10", "date": "2", "x": "old", "y": "new"}
+    assert got[4].headers is None and got[5].headers["x"] == "old"
+    assert got[3].url_key == "example.com/p?a=1&b=2"
+
+
+def test_ties_repeats_and_last_modified(spark):
+    got = R.resolve(spark.createDataFrame([
+        (1, "response", "http://a.b/", 5, None, 200, {"Last-Modified": "x", "last-modified": "y"}), (2, "response", "http://a.b", 5, None, 200, {"Last-Modified": "y"}),
+        (3, "revisit", "http://a.b/", 9, P, 304, {"LAST-MODIFIED": "y"}), (3, "revisit", "http://a.b/", 9, P, 304, {"LAST-MODIFIED": "y"}),
+    ], RECORD)).collect()
+    assert [(r.resolved_id, r.outcome) for r in got] == [(2, "resolved")] * 2
+
+
+def test_empty(spark):
+    assert outcome(spark, []) == {}
