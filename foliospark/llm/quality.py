@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import map_columns, read_table
+from foliospark.llm.common import hashed_share, map_columns, read_table
 
-#: Labelled rows of each class that a model is fitted on at most: those whose hashed id is smallest.
+#: Labelled rows of each class that a model is fitted on, or all if there are fewer: a sample by hashed id.
 FIT_ROWS = 3_000
 #: Texts longer than this many characters aren't taken for fitting, so that what the driver holds is bounded.
-FIT_CHARS = 50_000
-DICTIONARY_BYTES = 16 << 10
+FIT_CHARS = 20_000
+DICTIONARY_BYTES = 32 << 10
 #: Long fitting texts are cut into samples of this size, so that none fills a dictionary alone.
 SAMPLE_BYTES = 2_000
 LEVEL = 3
@@ -76,14 +76,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], quality: list[int]) -> Model:
-    """Every second row of a class gives dictionary text, the others calibrate. One class alone gives a constant score."""
-    rows = {1: [t for t, q in zip(texts, quality) if q == 1], 0: [t for t, q in zip(texts, quality) if q == 0]}
+    """Dictionaries from all rows, calibrated on rows that the dictionaries used for it haven't seen.
+
+    For the calibration, each half of the rows is compressed with dictionaries of the other half. One class alone, or a
+    single row of one, gives a constant score.
+    """
+    rows = {q: [t for t, own in zip(texts, quality) if own == q] for q in (1, 0)}
     if min(map(len, rows.values())) < 2:
         return Model(prior=0.5 if not texts else (len(rows[1]) + 1) / (len(rows[0]) + len(rows[1]) + 2))
-    (good, g), (bad, b) = (_dictionary([t.encode() for t in rows[k][::2]]) for k in (1, 0))
-    model = Model(good, bad, (g, b))
-    y = np.array([1.0] * len(rows[1][1::2]) + [0.0] * len(rows[0][1::2]))
-    x = _features(model, rows[1][1::2] + rows[0][1::2])
+
+    def built(half):
+        (good, g), (bad, b) = (_dictionary([t.encode() for t in half(rows[q])]) for q in (1, 0))
+        return good, bad, (g, b)
+
+    xs, ys = [], []
+    for seen, unseen in ((0, 1), (1, 0)):
+        held = {q: rows[q][unseen::2] for q in rows}
+        xs.append(_features(Model(*built(lambda r, at=seen: r[at::2])), held[1] + held[0]))
+        ys += [1.0] * len(held[1]) + [0.0] * len(held[0])
+    good, bad, (g, b) = built(lambda r: r)
+    x, y = np.concatenate(xs), np.array(ys)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     ridge = np.eye(z.shape[1]) * 0.1
@@ -121,21 +133,22 @@ def is_held_out(doc_id) -> F.Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fits on a bounded sample of labelled rows, at most `rows` of each class and none that is held out.
+    """Fits on a bounded sample of labelled rows, about `rows` of each class and none that is held out.
 
-    The ids are drawn from `labels` alone, in the order of their hash, twice as many as needed, so that at most
-    4 x rows ids are broadcast and at most 2 x rows texts of at most FIT_CHARS characters reach the driver. Labels that
-    are null or neither 0 nor 1, and null ids, are passed over; an id labelled twice counts with its higher label.
+    The sample are the ids whose hash is small enough, by the classes' sizes; so tasks send only what is used. About
+    2 x rows ids are broadcast, and their texts of at most FIT_CHARS characters, 4 x rows at most, reach the driver.
+    Labels that are null or neither 0 nor 1, and null ids, are passed over; an id labelled twice counts with its higher label.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    drawn = [r for q in (0, 1) for r in known.where(F.col("quality") == q).orderBy(*order).limit(2 * rows).collect()]
-    if not drawn:
+    sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return fit([], [])
+    share = F.when(F.col("quality") == 1, rows / sizes.get(1, 1)).otherwise(rows / sizes.get(0, 1))
+    drawn = known.where(hashed_share("doc_id") < share).limit(3 * rows).collect()
     ids = spark.createDataFrame([(r["doc_id"], r["quality"]) for r in drawn], "doc_id long, quality int")
-    texts = docs.where(F.length("text") <= FIT_CHARS).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    sample = [r for q in (0, 1) for r in texts.where(F.col("quality") == q).orderBy(*order, "text").limit(rows).collect()]
+    texts = docs.where(F.length("text") <= FIT_CHARS).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text")
+    sample = sorted(texts.limit(4 * rows).collect())
     return fit([r["text"] for r in sample], [r["quality"] for r in sample])
 
 
