@@ -19,6 +19,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def distinct(frame):
         return frame.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
+    edges = checkpointed(edges.select("a", "b").where("a is not null and b is not null"))
     stars = checkpointed(distinct(edges))
     loops = edges.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
 
