@@ -13,7 +13,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not context.master.startswith("local["):
+    if not named and context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliospark-checkpoint-"))
 
