@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,26 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from foliospark.checkpoints import checkpointed, ensure_checkpoint_dir
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
+__all__ = ["checkpointed", "ensure_checkpoint_dir", "hashed_share", "map_columns", "read_table"]
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a temporary one only on a single machine, where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not context.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliospark-checkpoint-"))
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows from the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def map_columns(df: DataFrame, needs: Sequence[str], fields: Sequence[T.StructField], work: Callable[..., Sequence[Sequence]], keep: Sequence[str] | None = None) -> DataFrame:
