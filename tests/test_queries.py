@@ -41,3 +41,12 @@ def test_flagship(spark):
 def test_every_query_but_those_beyond_it_has_sql():
     own = {k for k in entry.queries() if not k.startswith(("op", "pipeline"))}
     assert own == set(SQL)
+
+
+def test_the_package_reaches_the_executors_once(spark):
+    from foliospark.shipping import ship
+
+    ship(spark)
+    before = spark.sparkContext._python_includes.count("foliospark.zip")
+    ship(spark)
+    assert before == spark.sparkContext._python_includes.count("foliospark.zip") == 1
