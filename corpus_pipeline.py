@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import bpe, line_chunks, mixing, quality, simhash_cover
 from foliospark.llm.common import ensure_checkpoint_dir, read_table
+from foliospark.shipping import ship
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; what they return lies in the shared checkpoint folder, a new one for each run."""
+    ship(spark)
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")

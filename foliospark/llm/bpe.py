@@ -175,7 +175,8 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", to: st
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def work(texts):
-        return [_codec(shared.value, pattern).encode_batch([t or "" for t in texts])]
+        codec = _codec(shared.value, pattern)
+        return [[np.array(codec.encode(t or ""), np.int32) for t in texts]]
 
     return map_columns(df, [text], [T.StructField(to, T.ArrayType(T.IntegerType(), False))], work)
 
