@@ -60,3 +60,9 @@ def text_layer(operators: DataFrame, by: list[str], order: str = "seq", ops: str
     kept = operators.where(F.col(ops).isNotNull())
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, ops))), lambda r: r[ops]), "\n")
     return kept.groupBy(*by).agg(F.concat(F.lit("q\nBT\n3 Tr\n" + head), joined, F.lit("\nET\nQ")).alias("layer"))
+
+
+def straighten_operators(matrix: Column) -> Column:
+    """Struct open, close: what goes before and after a page's content to turn it, without coding any image anew."""
+    placed = F.concat_ws(" ", *[number(F.get(matrix, F.lit(i))) for i in range(6)], F.lit("cm"))
+    return F.struct(F.concat(F.lit("q\n"), placed, F.lit("\n")).alias("open"), F.lit("\nQ\n").alias("close"))

@@ -163,3 +163,13 @@ def metric_headers(summary: DataFrame) -> DataFrame:
         when(F.col("skipped"), "X-OCR-LLM-Skipped", F.lit("max-pages")),
     ]
     return summary.withColumn("headers", F.map_concat(*parts))
+
+
+def request_id() -> Column:
+    """Eight characters that tell requests apart; different each time."""
+    return F.substring(F.uuid(), 1, 8)
+
+
+def key_accepted(given: Column, expected: str | None) -> Column:
+    """Whether a key is the expected one, compared by digest; without an expected key all are."""
+    return F.lit(True) if not expected else F.coalesce(F.sha2(given, 256) == F.sha2(F.lit(expected), 256), F.lit(False))

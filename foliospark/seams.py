@@ -79,3 +79,20 @@ def failing(message: str):
         return rows.select(*keys).distinct().withColumns({"answer": F.lit(None).cast("string"), "error": F.lit(message)})
 
     return call
+
+
+def retried(strict, loose, unsupported: str = "(?i)schema|structured"):
+    """A call that is made again, once and without a schema, for the rows whose provider doesn't take one.
+
+    Refusals, cut-off answers and all other errors stay errors. The first answers are checkpointed, so none is paid twice.
+    """
+    from foliospark.checkpoints import checkpointed
+
+    def call(rows: DataFrame, by: list[str]) -> DataFrame:
+        keys = [*by, "chunk"] if "chunk" in rows.columns else by
+        first = checkpointed(strict(rows, by))
+        again = F.coalesce(F.col("error").rlike(unsupported), F.lit(False))
+        missed = first.where(again).select(*keys)
+        return first.where(~again).unionByName(loose(rows.join(missed, keys, "left_semi"), by))
+
+    return call
