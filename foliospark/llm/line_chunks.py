@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import read_table
+from foliospark.llm.common import checkpointed, read_table
 
 #: Lines that the rolling hash covers, its multiplier, and one chunk end in so many lines on average.
 WINDOW_LINES = 2
@@ -64,8 +64,10 @@ def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     # the bytes are grouped where they lie before they move: one copy of a chunk leaves each task
     same = _chunks(_cut(with_key.select(doc_id, text, "r1", "r2"), doc_id, text), doc_id)
     by_bytes = same.groupBy(*_key(F.col("chunk")), "chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"))
-    repeated = by_bytes.groupBy("k1", "k2").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("keeper").alias("keeper")).where("texts = 1 and n > 1").select("k1", "k2", "keeper")
-    found = same.select("doc_id", "r1", "r2", "pos", *_key(F.col("chunk"))).join(repeated, ["k1", "k2"])
+    # a table of its own, so that both sides of the join below come straight from their shuffles and hot keys can be split
+    repeated = checkpointed(by_bytes.groupBy("k1", "k2").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("keeper").alias("keeper")).where("texts = 1 and n > 1").select("k1", "k2", "keeper"))
+    # dealt by document again at once, so that a chunk that many documents share can be split where it is joined
+    found = same.select("doc_id", "r1", "r2", "pos", *_key(F.col("chunk"))).join(repeated, ["k1", "k2"]).repartition("r1", "r2")
     own = Window.partitionBy("r1", "r2", "k1", "k2")
     gone = found.withColumn("first", F.min("pos").over(own)).where((F.col("pos") > F.col("first")) | ~F.col("doc_id").eqNullSafe(F.col("keeper")))
     removal = gone.groupBy("r1", "r2").agg(F.collect_set("pos").alias("__gone"))
