@@ -14,7 +14,7 @@ SAME_LINE = 0.5
 
 def known_only(corrections: DataFrame, boxes: DataFrame, by: list[str], box: str = "id") -> DataFrame:
     """Corrections of boxes that were asked for."""
-    return corrections.join(boxes.select(*by, box).distinct(), [*by, box], "left_semi")
+    return corrections.join(boxes.select(*by, box), [*by, box], "left_semi")
 
 
 def last_of_each(corrections: DataFrame, by: list[str], box: str = "id", text: str = "text", order: str = "seq") -> DataFrame:

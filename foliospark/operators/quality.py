@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import is_plausible, let, tokens
@@ -58,30 +58,39 @@ def has_ink(spread: Column) -> Column:
     return spread > INK_SPREAD
 
 
-def percentile_by_index(values: DataFrame, by: list[str], value: str, q: float, to: str, clamp: bool = False) -> DataFrame:
-    """by, to: the value at place floor(n x q) of each group in ascending order (from 0); null if there is no such place.
+def percentiles(values: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """by, and a column for each name of wanted, which gives the rule and the share q:
 
-    q = 0.5 gives the upper median. With clamp the place is n - 1 at most. Values are counted before they are sorted, so a
-    group costs as many rows as it has different values. Nulls are left out.
-    """
-    from pyspark.sql import Window
+    'index'      the value at place floor(n x q) in ascending order, from 0; null if there is no such place. The upper
+                 median is the one at 0.5
+    'clamped'    the same, the last value at most
+    'histogram'  the first value at which at least q of the values are reached, 1 at least
 
+    Values are counted before they are sorted, so a group costs as many rows as it has different values, and all that is
+    wanted comes from one pass. Nulls are left out.
+    """
     counted = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    ordered = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    upto = counted.withColumns({"upto": F.sum("n").over(ordered), "total": F.sum("n").over(Window.partitionBy(*by))})
-    place = F.floor(F.col("total") * q)
-    place = F.least(place, F.col("total") - 1) if clamp else place
-    return upto.groupBy(*by).agg(F.min(F.when(F.col("upto") > place, F.col(value))).alias(to))
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy(*by))})
 
+    def found(rule, q):
+        if rule == "histogram":
+            return F.greatest(F.min(F.when(F.col("upto") >= F.col("total") * q, F.col(value))), F.lit(1))
+        place = F.floor(F.col("total") * q)
+        place = F.least(place, F.col("total") - 1) if rule == "clamped" else place
+        return F.min(F.when(F.col("upto") > place, F.col(value)))
 
-def percentile_by_histogram(values: DataFrame, by: list[str], value: str, q: float, to: str) -> DataFrame:
-    """by, to: the first value at which at least q of a group's values are reached, 1 at least."""
-    from pyspark.sql import Window
+    return placed.groupBy(*by).agg(*[found(*how).alias(name) for name, how in wanted.items()])
 
-    counted = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    ordered = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    upto = counted.withColumns({"upto": F.sum("n").over(ordered), "total": F.sum("n").over(Window.partitionBy(*by))})
-    return upto.where(F.col("upto") >= F.col("total") * q).groupBy(*by).agg(F.greatest(F.min(value), F.lit(1)).alias(to))
+
+def percentile_by_index(values: DataFrame, by: list[str], value: str, q: float, to: str, clamp: bool = False) -> DataFrame:
+    """by, to: one percentile by its place, see percentiles()."""
+    return percentiles(values, by, value, {to: ("clamped" if clamp else "index", q)})
+
+
+def percentile_by_histogram(values: DataFrame, by: list[str], value: str, q: float, to: str) -> DataFrame:
+    """by, to: one percentile by cumulative counts, see percentiles()."""
+    return percentiles(values, by, value, {to: ("histogram", q)})
 
 
 def profile_energy(points: DataFrame, by: list[str], position: str, bin_size: float) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.checkpoints import checkpointed
+from foliospark.functions.text import is_blank
 from foliospark.operators import jsonio, reading, routing
-from foliospark.operators.overlay import differs, known_only, last_of_each, live
+from foliospark.operators.overlay import differs
 from foliospark.seams import Correct
 
 FEWEST_CHANGES = 5
@@ -43,26 +44,25 @@ def corrected(items: DataFrame, by: list[str], model: Correct, options: RefineOp
     are read in a pass, and each pass is checkpointed, so its calls are made once.
     """
     state = items.withColumn("current", F.col("text"))
-    pages = items.where(~_blank("text")).select(*by).distinct().withColumns({"passes": F.lit(0), "error": F.lit(None).cast("string"), "open": F.lit(True)})
+    pages = items.where(~is_blank(F.col("text"))).select(*by).distinct().withColumns({"passes": F.lit(0), "error": F.lit(None).cast("string"), "open": F.lit(True)})
+    order = Window.partitionBy(*by).orderBy("id")
     for number in range(1, options.max_passes + 1):
-        order = Window.partitionBy(*by).orderBy("id")
-        seen = live(state.join(pages.where("open").select(*by), by, "left_semi")).withColumn("chunk", reading.chunk_of(F.row_number().over(order) - 1, options.boxes_a_call))
-        answers = checkpointed(model(seen, by))
-        decoded = answers.withColumn("d", jsonio.decode_corrections(F.coalesce("answer", F.lit(""))))
-        failure = F.coalesce(F.col("error"), F.col("d.error"))
-        # what a chunk after a failed one would have said was never asked
-        broken = decoded.where(failure.isNotNull()).groupBy(*by).agg(F.min("chunk").alias("at"), F.min_by(failure, "chunk").alias("said"))
-        each = decoded.where(failure.isNull()).select(*by, "chunk", F.posexplode("d.value").alias("seq", "c")).select(*by, "chunk", "seq", "c.*")
-        asked = known_only(each, seen, [*by, "chunk"])
-        reached = asked.join(broken, by, "left").where(F.col("at").isNull() | (F.col("chunk") < F.col("at")))
-        if number == 1:
-            reached = reached.where(F.col("at").isNull())
-        fixes = last_of_each(reached, by).select(*by, "id", F.col("text").alias("__new"))
-        merged = state.join(fixes, [*by, "id"], "left").withColumn("__changed", F.col("__new").isNotNull() & differs(F.col("__new"), F.col("current")))
-        state = checkpointed(merged.withColumn("current", F.when(F.col("__changed"), F.col("__new")).otherwise(F.col("current"))).drop("__new"))
-        counts = state.groupBy(*by).agg(F.count_if("__changed").alias("n"))
+        # the boxes of this pass: those that have a chunk
+        asked = state.join(pages.where("open").select(*by, F.lit(True).alias("__open")), by, "left").withColumn("__live", F.coalesce("__open", F.lit(False)) & ~is_blank(F.col("current")))
+        place = F.sum(F.col("__live").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+        state = checkpointed(asked.withColumn("chunk", F.when(F.col("__live"), reading.chunk_of(place, options.boxes_a_call))).drop("__open", "__live"))
+        answers = model(state.where("chunk is not null"), by).withColumn("d", jsonio.decode_corrections(F.coalesce("answer", F.lit(""))))
+        answers = checkpointed(answers.select(*by, "chunk", F.coalesce(F.col("error"), F.col("d.error")).alias("failure"), F.col("d.value").alias("value")))
+        # what a chunk after a failed one would have said was never asked; a page that fails in the first pass keeps its text
+        broken = answers.where("failure is not null").groupBy(*by).agg(F.min("chunk").alias("at"), F.min_by("failure", "chunk").alias("said"))
+        each = answers.where("failure is null").select(*by, "chunk", F.posexplode("value").alias("seq", "c")).select(*by, "chunk", "seq", "c.*")
+        fixes = each.groupBy(*by, "chunk", "id").agg(F.max_by("text", "seq").alias("__new"))
+        merged = state.join(fixes, [*by, "chunk", "id"], "left").join(broken, by, "left")
+        counts = F.col("at").isNull() | (F.lit(number > 1) & (F.col("chunk") < F.col("at")))
+        merged = merged.withColumn("__changed", F.coalesce(F.col("__new").isNotNull() & counts & differs(F.col("__new"), F.col("current")), F.lit(False)))
+        state = checkpointed(merged.withColumn("current", F.when(F.col("__changed"), F.col("__new")).otherwise(F.col("current"))).drop("__new", "at", "said", "chunk"))
+        told = pages.join(state.groupBy(*by).agg(F.count_if("__changed").alias("n")), by, "left").join(broken, by, "left")
         state = state.drop("__changed")
-        told = pages.join(counts, by, "left").join(broken, by, "left")
         goes_on = F.col("open") & F.col("said").isNull() & (F.col("n") >= FEWEST_CHANGES)
         first_error = F.when(F.lit(number == 1), F.col("said")).otherwise(F.col("error"))
         pages = checkpointed(told.select(*by, (F.col("passes") + F.when(F.col("open"), 1).otherwise(0)).alias("passes"), first_error.alias("error"), goes_on.alias("open")))
@@ -72,12 +72,6 @@ def corrected(items: DataFrame, by: list[str], model: Correct, options: RefineOp
     return state, pages.join(real, by, "left").select(*by, "passes", "error", F.coalesce("changes", F.lit(0)).alias("changes"))
 
 
-def _blank(column: str):
-    from foliospark.functions.text import is_blank
-
-    return is_blank(F.col(column))
-
-
 def transcribed(pages: DataFrame, by: list[str], answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines that may be written, and one row a page: by, legibility, lines, kept, error.
 

@@ -11,14 +11,14 @@ from foliospark.functions import text as X
 from foliospark.operators import filing, jsonio, quality, reading, routing
 from foliospark.plans.refine import RefineOptions, corrected
 from foliospark.queries import sqltext as S
-from foliospark.queries.layers import table
+from foliospark.sources.tables import read_table as table
 
 NOW = datetime(1998, 1, 1, 12)
 
 
 def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names and slugs of the first line of every document."""
-    first = table(spark, sf_dir, "documents").select("doc_id", F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)).alias("t"))
+    first = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)).alias("t"))
     return first.select("doc_id", X.clean_name(F.col("t"), 50).alias("name"), X.slug(F.col("t"), 60).alias("slug60"), X.slug(F.col("t"), 30).alias("slug30"))
 
 
@@ -26,8 +26,8 @@ CLEAN_NAMES = f"SELECT doc_id, {S.clean_name('t', 50)} AS name, {S.slug('t', 60)
 
 
 def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    customers = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
     raw = orders.join(customers, "o_custkey").select(
         "o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("c_name")).alias("correspondent"),
         F.concat_ws(" ", "o_orderpriority", "c_mktsegment").alias("summary"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Nr. "), F.col("o_orderkey").cast("string"))).otherwise("").alias("reference"),
@@ -75,7 +75,7 @@ SELECT o_orderkey, to_base64(encode('{{"date":' || to_json(date) || ',"dateSourc
 
 def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata from answers with text around them; an event's properties are the answer, its type the sender."""
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events", "event_id", "event_type", "props")
     answer = F.concat(F.lit("Answer: {\"date\": 5, \"correspondent\": \" "), F.col("event_type"), F.lit(" \", \"confidence\": \"high\", \"props\": "), F.col("props"), F.when(F.col("event_id") % 9 == 0, "").otherwise("} done"))
     decoded = jsonio.metadata(events.select("event_id", answer.alias("answer")))
     return decoded.select("event_id", "date", "correspondent", "confidence", F.col("error").isNotNull().alias("failed"))
@@ -93,7 +93,7 @@ def _stub(boxes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _passes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey")
     items = orders.select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("key")).groupBy("custkey").agg(F.array_sort(F.collect_list("key")).alias("k")).select("custkey", F.posexplode("k").alias("id", "key"))
     boxes = items.select("custkey", "id", F.substring(F.lit("123456"), 1, (F.col("key") % 5 + 1).cast("int")).alias("text"))
     return corrected(boxes, ["custkey"], _stub, RefineOptions(max_passes=3, boxes_a_call=4))
@@ -126,7 +126,7 @@ SELECT page // 25 AS doc, count(*) AS pages, count(*) FILTER (NOT failed AND c1
 
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Admission of documents; 500 characters are a page, every 50th can't be read, languages set what is asked."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "n_chars")
     asked = docs.withColumns({
         "pages": F.when(F.col("doc_id") % 50 != 0, F.ceil(F.col("n_chars") / 500).cast("int")), "correct": X.flag(F.when(F.col("lang") == "en", " Yes ").otherwise(F.when(F.col("lang") == "de", "ja").otherwise("off"))),
         "lenient": X.flag(F.when(F.col("doc_id") % 2 == 0, "1").otherwise("")),
@@ -144,7 +144,7 @@ SELECT doc_id, CASE WHEN pages IS NULL OR (correct AND pages > 20 AND NOT lenien
 
 def engine_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engines of documents; a source and language are a document, its documents are pages with their characters."""
-    pages = table(spark, sf_dir, "documents").select("source", "lang", quality.is_digital(F.col("n_chars") - 100).alias("digital"))
+    pages = table(spark, sf_dir, "documents", "source", "lang", "n_chars").select("source", "lang", quality.is_digital(F.col("n_chars") - 100).alias("digital"))
     docs = routing.digital_documents(pages, ["source", "lang"])
     message = F.when(F.col("lang") == "fr", "monthly Quota exceeded").when(F.col("lang") == "es", "network error").otherwise(F.lit(None).cast("string"))
     quota = routing.is_quota_error(F.lit(None).cast("string"), F.lit(None).cast("int"), message)
@@ -162,7 +162,7 @@ SELECT *, CASE WHEN all_digital THEN 'none' WHEN lang = 'fr' THEN 'tesseract' WH
 
 def incremental_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inputs whose output isn't there yet, and its name; those of even documents are."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/in/"), F.col("source"), F.lit("/Scan "), F.col("doc_id").cast("string"), F.lit(".v1.PDF")).alias("path"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "source").select("doc_id", F.concat(F.lit("/in/"), F.col("source"), F.lit("/Scan "), F.col("doc_id").cast("string"), F.lit(".v1.PDF")).alias("path"))
     inputs = docs.withColumn("out_name", filing.output_name(F.col("path")))
     left = filing.not_yet_written(inputs, inputs.where("doc_id % 2 = 0"))
     return left.select("doc_id", "out_name", filing.disposition(F.col("path")).alias("disposition"))
@@ -175,7 +175,7 @@ SELECT doc_id, 'Scan ' || doc_id || '.v1.ocr.pdf' AS out_name, 'attachment; file
 
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of web pages, as an analogy: scripts, styles and comments are the invisible objects."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = table(spark, sf_dir, "pages", "page_id", "html")
     shown = F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", ""), "<[^>]*>", " ")
     text = X.collapse(shown)
     return pages.select("page_id", text.alias("t")).select("page_id", F.length("t").cast("long").alias("chars"), F.md5(F.encode("t", "UTF-8")).alias("text_md5"))
@@ -189,7 +189,7 @@ SELECT page_id, length(t)::BIGINT AS chars, md5(t) AS text_md5 FROM (
 
 def first_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt material: the first lines of every document as boxes, and its text cut for a prompt."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     boxes = reading.text_lines(docs, ["doc_id"]).where("id < 3")
     row = F.concat_ws("\t", F.col("id").cast("string"), F.lit("0,0,1,1"), X.json_quoted(F.col("text")))
     listed = boxes.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", row.alias("r")))), lambda x: x["r"]), "\n").alias("listed"))

@@ -8,14 +8,11 @@ from pyspark.sql import functions as F
 from foliospark.functions import geometry
 from foliospark.operators import layout, lines, overlay, quality, reading
 from foliospark.queries import sqltext as S
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+from foliospark.sources.tables import read_table as table
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
     return quality.with_quality(docs).drop("text").withColumn("junk", quality.is_junk(F.col("chars"), F.col("plausible_share")))
 
 
@@ -51,7 +48,7 @@ JUNK_VS_LABEL = f"WITH {_MEASURED} SELECT quality, (chars >= 40 AND share < 0.5)
 
 def gap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a line parted at wide gaps; a user is a line, an event a word at its hour, its height by its id."""
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     x0 = (F.unix_timestamp("ts") / 3600.0).cast("double")
     words = events.select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("text"), x0.alias("x0"), (x0 + 2.0).alias("x1"), F.lit(0.0).alias("y0"), (F.lit(10.0) + F.col("event_id") % 30).alias("y1"), F.col("value").alias("conf"))
     found = lines.lines_from_words(words, ["user_id"], [])
@@ -103,7 +100,7 @@ SELECT conv_id, md5(string_agg(page, chr(10) || chr(10) ORDER BY turn)) AS text_
 
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of every page in chunks for a call; the lines of a document that aren't blank are its boxes, 25 a call."""
-    boxes = reading.text_lines(table(spark, sf_dir, "documents"), ["doc_id"])
+    boxes = reading.text_lines(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
     return boxes.withColumn("chunk", reading.chunk_of(F.col("id"), 25)).groupBy("doc_id", "chunk").agg(F.min("id").alias("first_id"), F.count("*").alias("boxes"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -119,7 +116,7 @@ SELECT doc_id, id // 25 AS chunk, min(id) AS first_id, count(*) AS boxes, sum(le
 def overlay_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages after their corrections: lines are boxes, every seventh gets a mark, every eleventh is emptied, and a
     correction of a box that wasn't asked for is passed over."""
-    boxes = reading.text_lines(table(spark, sf_dir, "documents"), ["doc_id"])
+    boxes = reading.text_lines(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
     fixes = boxes.where("id % 7 = 0 or id % 11 = 0").select("doc_id", F.explode(F.array("id", F.col("id") + 100_000)).alias("id"), F.when(F.col("id") % 11 == 0, "").otherwise(F.concat(F.lit("# "), F.col("text"))).alias("text"), F.lit(0).alias("seq"))
     known = overlay.last_of_each(overlay.known_only(fixes, boxes, ["doc_id"]), ["doc_id"])
     done = overlay.overlaid(boxes, known, ["doc_id"])
@@ -141,7 +138,7 @@ SELECT doc_id, count(*) AS boxes, count(*) FILTER ({S.trim('current')} <> {S.tri
 
 def ink_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread of each page and whether it has ink; a vector is an image, its numbers are brightnesses."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     n = F.size("embedding")
 
     def total(f):
@@ -157,12 +154,9 @@ INK_SPREAD = "SELECT vec_id, round(s, 4) AS spread, s > 12 AS has_ink FROM (SELE
 
 def index_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three percentile rules on the quantities of each group of items."""
-    items = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
-    by = ["l_returnflag", "l_linestatus"]
-    place = quality.percentile_by_index(items, by, "l_quantity", 0.9, "p90")
-    median = quality.percentile_by_index(items, by, "l_quantity", 0.5, "upper_median")
-    level = quality.percentile_by_histogram(items, by, "l_quantity", 0.9, "level90")
-    return place.join(median, by).join(level, by)
+    items = table(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus", "l_quantity")
+    wanted = {"p90": ("index", 0.9), "upper_median": ("index", 0.5), "level90": ("histogram", 0.9)}
+    return quality.percentiles(items, ["l_returnflag", "l_linestatus"], "l_quantity", wanted)
 
 
 PERCENTILES = """
@@ -173,7 +167,7 @@ SELECT l_returnflag, l_linestatus, q[floor(n * 0.9)::INT + 1] AS p90, q[n // 2 +
 
 def profile_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Energy of each vector's histogram, and for each label the vector whose histogram is sharpest."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.explode("embedding").alias("v"))
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding").select("vec_id", "label", F.explode("embedding").alias("v"))
     energy = quality.profile_energy(vectors.select("vec_id", "label", (F.col("v").cast("double") * 50).alias("v")), ["label", "vec_id"], "v", 2.0)
     return quality.best_by(energy.withColumn("o", F.col("vec_id")), ["label"], "vec_id", "energy", "o")
 
@@ -188,7 +182,7 @@ SELECT label, vec_id, energy FROM (SELECT *, row_number() OVER (PARTITION BY lab
 
 def box_per_mille(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes in thousandths of their page; an item is a run: its numbers are its place and size on a page of 595 x 842."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 500).cast("double").alias("e"), (F.col("l_partkey") % 800).cast("double").alias("f"), "l_quantity", "l_discount")
+    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 500).cast("double").alias("e"), (F.col("l_partkey") % 800).cast("double").alias("f"), "l_quantity", "l_discount")
     view = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, -1.0, 0.0, 842.0)])
     run = F.array(F.lit(10.0), F.col("l_discount") * 10, F.col("l_discount") * -10, F.lit(10.0), F.col("e"), F.col("f"))
     box = geometry.box_per_mille(run, F.col("l_quantity") * 3, F.lit(12.0), view, F.lit(595.0), F.lit(842.0))
