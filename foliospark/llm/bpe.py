@@ -9,8 +9,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import regex
@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 
 from foliospark.llm.common import map_columns
 
-#: Distinct pre-tokens whose ids a Python worker remembers before it starts over; only speed depends on it.
-MEMO_ENTRIES = 400_000
+#: Distinct pre-tokens whose ids a Python worker remembers before it starts a new memo, which takes over from the last one
+#: what is used again; only speed depends on it.
+MEMO_ENTRIES = 200_000
 
 
 class PerfectHash:
@@ -88,31 +89,39 @@ class PerfectHash:
         return [i if i >= 0 and keys[i] == w else -1 for i, w in zip(at, words)]
 
 
-def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a pre-token: join the adjacent pair of lowest rank, leftmost first, until no pair is in the vocabulary."""
-    n = len(word)
-    if n == 1:
-        return [ranks[word]]
-    end = list(range(1, n + 1))  # of the part that begins at a position; 0 once it has been swallowed
-    before = list(range(-1, n - 1))
-    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+def joinable(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Id of what two tokens make when joined, by (left id << 32 | right id): every cut of every token into two tokens."""
+    found = {}
+    for word, rank in ranks.items():
+        for cut in range(1, len(word)):
+            left, right = ranks.get(word[:cut]), ranks.get(word[cut:])
+            if left is not None and right is not None:
+                found[left << 32 | right] = rank
+    return found
+
+
+def merge_bytes(start: list[int], joins: dict[int, int]) -> list[int]:
+    """Ids of a pre-token given as the ids of its bytes: join the adjacent pair of lowest rank, leftmost first, until none
+    is in the vocabulary. A heap holds (rank << 32 | place); what it says of a place that has changed since is passed over."""
+    ids, n = start, len(start)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [r << 32 | i for i in range(n - 1) if (r := joins.get(ids[i] << 32 | ids[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, j, stop = heapq.heappop(heap)
-        if end[i] != j or j >= n or end[j] != stop:
-            continue  # a part has changed since
-        end[i], end[j] = stop, 0
-        if stop < n:
-            before[stop] = i
-            if (r := ranks.get(word[i : end[stop]])) is not None:
-                heapq.heappush(heap, (r, i, stop, end[stop]))
-        if (p := before[i]) >= 0 and (r := ranks.get(word[p:stop])) is not None:
-            heapq.heappush(heap, (r, p, i, stop))
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[word[i : end[i]]])
-        i = end[i]
-    return ids
+        top = heapq.heappop(heap)
+        rank, i = top >> 32, top & 0xFFFFFFFF
+        j = after[i]
+        if j >= n or joins.get(ids[i] << 32 | ids[j]) != rank:
+            continue
+        ids[i], ids[j] = rank, -1  # no pair begins with -1
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            if (r := joins.get(rank << 32 | ids[k])) is not None:
+                heapq.heappush(heap, r << 32 | i)
+        if (p := before[i]) >= 0 and (r := joins.get(ids[p] << 32 | rank)) is not None:
+            heapq.heappush(heap, r << 32 | p)
+    return [x for x in ids if x >= 0]
 
 
 class Codec:
@@ -125,30 +134,40 @@ class Codec:
         self.ids = list(self.ranks.values())
         self.bytes_of = dict(zip(self.ids, self.words))
         self.perfect = PerfectHash(self.words)
+        self.joins = joinable(self.ranks)
+        self.of_byte = [self.ranks.get(bytes([i]), -1) for i in range(256)]
         # the library's \s is Unicode's White_Space, which lacks the separators 1C to 1F
         self.split = regex.compile(pattern, regex.V0).findall
-        self.memo: dict[str, tuple[int, ...]] = {}
+        #: Pre-token to its ids, packed as little-endian unsigned 32-bit integers: those in use, and those before them.
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        raw = [w.encode() for w in words]
-        for w, b, i in zip(words, raw, self.perfect.find(raw)):
-            self.memo[w] = (self.ids[i],) if i >= 0 else tuple(merge_bytes(b, self.ranks))
+        fresh = []
+        for w in words:
+            if (known := self.older.get(w)) is not None:
+                self.memo[w] = known
+            else:
+                fresh.append(w)
+        raw = [w.encode() for w in fresh]
+        for w, b, i in zip(fresh, raw, self.perfect.find(raw)):
+            ids = (self.ids[i],) if i >= 0 else merge_bytes([self.of_byte[x] for x in b], self.joins)
+            self.memo[w] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        parts = self.split(text)
+        words = set(parts)
+        missing = [w for w in words if w not in self.memo]
+        if missing:
+            if len(self.memo) > MEMO_ENTRIES:
+                self.older, self.memo = self.memo, {}
+                missing = list(words)
+            self._learn(missing)
+        return b"".join(map(self.memo.__getitem__, parts))
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_batch([text])[0]
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        out = []
-        for text in texts:
-            parts = self.split(text)
-            fresh = [w for w in set(parts) if w not in self.memo]
-            if fresh:
-                if len(self.memo) > MEMO_ENTRIES:
-                    self.memo.clear()
-                    fresh = list(set(parts))
-                self._learn(fresh)
-            out.append(list(chain.from_iterable(map(self.memo.__getitem__, parts))))
-        return out
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of the ids; an id outside the vocabulary raises KeyError."""
@@ -176,7 +195,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", to: st
 
     def work(texts):
         codec = _codec(shared.value, pattern)
-        return [[np.array(codec.encode(t or ""), np.int32) for t in texts]]
+        return [[np.frombuffer(codec.packed(t or ""), "<i4") for t in texts]]
 
     return map_columns(df, [text], [T.StructField(to, T.ArrayType(T.IntegerType(), False))], work)
 
@@ -207,10 +226,10 @@ def token_digests(df: DataFrame, ranks: bytes, pattern: str, text: str = "text",
         codec = _codec(shared.value, pattern)
         n, of_ids, of_bytes = [], [], []
         for t in texts:
-            ids = codec.encode(t or "")
-            n.append(len(ids))
-            of_ids.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-            of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            ids = codec.packed(t or "")
+            n.append(len(ids) // 4)
+            of_ids.append(hashlib.sha256(ids).hexdigest())
+            of_bytes.append(hashlib.sha256(codec.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
         return n, of_ids, of_bytes
 
     return map_columns(df, [text], DIGESTS, work, keep)
