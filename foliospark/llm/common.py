@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliospark.checkpoints import checkpointed, ensure_checkpoint_dir
+from foliospark.sources.tables import read_table
 
 __all__ = ["checkpointed", "ensure_checkpoint_dir", "hashed_share", "map_columns", "read_table"]
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+#: Rows that map_columns() hands to its function in one call.
+ROWS_AT_ONCE = 256
 
 
 def map_columns(df: DataFrame, needs: Sequence[str], fields: Sequence[T.StructField], work: Callable[..., Sequence[Sequence]], keep: Sequence[str] | None = None) -> DataFrame:
@@ -33,10 +34,12 @@ def map_columns(df: DataFrame, needs: Sequence[str], fields: Sequence[T.StructFi
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = batch.columns
-            made = work(*[c.to_pylist() for c in columns[len(kept):]])
-            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(columns[: len(kept)], arrow)], *[pa.array(v, f.type) for v, f in zip(made, list(arrow)[len(kept):])]], schema=arrow)
+        for whole in batches:
+            # a few rows at a time, so that only their values exist as Python objects
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                columns = whole.slice(at, ROWS_AT_ONCE).columns
+                made = work(*[c.to_pylist() for c in columns[len(kept):]])
+                yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(columns[: len(kept)], arrow)], *[pa.array(v, f.type) for v, f in zip(made, list(arrow)[len(kept):])]], schema=arrow)
 
     return shaped.mapInArrow(run, schema)
 

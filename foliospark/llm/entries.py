@@ -11,7 +11,7 @@ from foliospark.llm.common import read_table
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.query(spark, read_table(spark, sf_dir, "documents"))
+    return bpe.query(spark, read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

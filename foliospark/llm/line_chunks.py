@@ -42,12 +42,12 @@ def _key(value: F.Column) -> list[F.Column]:
 
 
 def _chunks(cut: DataFrame, doc_id: str) -> DataFrame:
-    """doc_id, r1, r2, pos and chunk text of every chunk of at least two lines that isn't blank.
+    """doc_id, __r1, __r2, pos and chunk text of every chunk of at least two lines that isn't blank.
 
     No row is without chunks; the outer form keeps the optimizer from testing that, which would cut every text twice.
     """
-    parts = cut.select(F.col(doc_id).alias("doc_id"), "r1", "r2", F.posexplode_outer("__parts").alias("pos", "part")).where(F.size("part") > 1)
-    return parts.select("doc_id", "r1", "r2", "pos", F.array_join("part", "\n").alias("chunk")).where(F.col("chunk").rlike("[^ \\t\\r\\n]"))
+    parts = cut.select(F.col(doc_id).alias("doc_id"), "__r1", "__r2", F.posexplode_outer("__parts").alias("pos", "part")).where(F.size("part") > 1)
+    return parts.select("doc_id", "__r1", "__r2", "pos", F.array_join("part", "\n").alias("chunk")).where(F.col("chunk").rlike("[^ \\t\\r\\n]"))
 
 
 def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,18 +60,18 @@ def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     removed_lines are replaced. Two different chunks with equal 128-bit keys would both be left alone.
     """
     docs = docs.drop("n_lines", "removed_lines")
-    with_key = docs.withColumns({"r1": F.xxhash64(doc_id, text), "r2": F.xxhash64(F.lit(1), F.col(doc_id), F.col(text))})
+    with_key = docs.withColumns({"__r1": F.xxhash64(doc_id, text), "__r2": F.xxhash64(F.lit(1), F.col(doc_id), F.col(text))})
     # the bytes are grouped where they lie before they move: one copy of a chunk leaves each task
-    same = _chunks(_cut(with_key.select(doc_id, text, "r1", "r2"), doc_id, text), doc_id)
+    same = _chunks(_cut(with_key.select(doc_id, text, "__r1", "__r2"), doc_id, text), doc_id)
     by_bytes = same.groupBy(*_key(F.col("chunk")), "chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"))
     # a table of its own, so that both sides of the join below come straight from their shuffles and hot keys can be split
     repeated = checkpointed(by_bytes.groupBy("k1", "k2").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("keeper").alias("keeper")).where("texts = 1 and n > 1").select("k1", "k2", "keeper"))
     # dealt by document again at once, so that a chunk that many documents share can be split where it is joined
-    found = same.select("doc_id", "r1", "r2", "pos", *_key(F.col("chunk"))).join(repeated, ["k1", "k2"]).repartition("r1", "r2")
-    own = Window.partitionBy("r1", "r2", "k1", "k2")
+    found = same.select("doc_id", "__r1", "__r2", "pos", *_key(F.col("chunk"))).join(repeated, ["k1", "k2"]).repartition("__r1", "__r2")
+    own = Window.partitionBy("__r1", "__r2", "k1", "k2")
     gone = found.withColumn("first", F.min("pos").over(own)).where((F.col("pos") > F.col("first")) | ~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    removal = gone.groupBy("r1", "r2").agg(F.collect_set("pos").alias("__gone"))
-    joined = _cut(with_key.join(removal, ["r1", "r2"], "left"), doc_id, text)
+    removal = gone.groupBy("__r1", "__r2").agg(F.collect_set("pos").alias("__gone"))
+    joined = _cut(with_key.join(removal, ["__r1", "__r2"], "left"), doc_id, text)
     kept = joined.withColumn("__kept", F.flatten(F.transform(F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone")), lambda i: F.get("__parts", i))))
     untouched = F.col("__gone").isNull()
     return kept.select(
@@ -83,7 +83,7 @@ def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, removed_lines, kept_md5 (of the text that is left) of every document."""
-    done = drop_repeated_chunks(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = drop_repeated_chunks(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return done.select("doc_id", "n_lines", "removed_lines", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_md5"))
 
 

@@ -147,11 +147,11 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
 
 def _copies(frame: DataFrame, mixture: Mixture, doc_id: str, source: str) -> DataFrame:
     """Adds __passes: how often a row is drawn. The cuts are one row a source, of which there are MAX_SOURCES at most."""
-    cuts = mixture.cuts.select(F.col("source").alias("__s"), F.col("passes").alias("__full"), F.col("budget").alias("__budget"), "cut_block", "cut_place")
+    cuts = mixture.cuts.select(F.col("source").alias("__s"), F.col("passes").alias("__full"), F.col("budget").alias("__budget"), F.col("cut_block").alias("__cut_block"), F.col("cut_place").alias("__cut_place"))
     at = F.xxhash64(F.lit(mixture.seed), F.col("__full"), F.col(source), _block(doc_id, mixture.seed))
-    in_last = (at < F.col("cut_block")) | ((at == F.col("cut_block")) & (_place_order(F.col("__full"), doc_id, mixture.seed) <= F.col("cut_place")))
+    in_last = (at < F.col("__cut_block")) | ((at == F.col("__cut_block")) & (_place_order(F.col("__full"), doc_id, mixture.seed) <= F.col("__cut_place")))
     joined = frame.join(F.broadcast(cuts), frame[source].eqNullSafe(F.col("__s")))
-    return joined.withColumn("__passes", F.col("__full") + F.when(F.coalesce(in_last, F.lit(False)), 1).otherwise(0)).drop("__s", "__full", "cut_block", "cut_place")
+    return joined.withColumn("__passes", F.col("__full") + F.when(F.coalesce(in_last, F.lit(False)), 1).otherwise(0)).drop("__s", "__full", "__cut_block", "__cut_place")
 
 
 def mixed(docs: DataFrame, mixture: Mixture, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
@@ -186,7 +186,7 @@ def draws(mixture: Mixture) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every draw of the mixture of all documents: doc_id, source, pass, block, tokens, start, place, weight, exponent."""
-    mixture = plan(read_table(spark, sf_dir, "documents"))
+    mixture = plan(read_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
     shares = spark.createDataFrame([(s.source, s.weight) for s in mixture.shares], "s string, weight double")
     found = draws(mixture)
     return found.join(F.broadcast(shares), found["source"].eqNullSafe(F.col("s"))).drop("s").withColumn("exponent", F.lit(mixture.exponent))

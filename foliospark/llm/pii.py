@@ -321,5 +321,5 @@ def masked(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans of every document."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return find(docs, fit_on(docs), keep=["doc_id"])

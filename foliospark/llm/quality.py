@@ -169,6 +169,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit_on(docs, read_table(spark, sf_dir, "labels"))
     return score(docs, model, keep=["doc_id"]).select("doc_id", is_held_out("doc_id").alias("held_out"), "score", "predicted")

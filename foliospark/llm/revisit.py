@@ -103,7 +103,7 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, url_key, resolved_id, outcome, etag, date, n_headers of every revisit of the stand-in records."""
-    found = resolve(page_records(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    found = resolve(page_records(read_table(spark, sf_dir, "pages", "page_id", "url", "html")))
     return found.select("record_id", "url_key", "resolved_id", "outcome", F.get(F.map_values(F.map_filter("headers", lambda k, _: k == "etag")), 0).alias("etag"), F.get(F.map_values(F.map_filter("headers", lambda k, _: k == "date")), 0).alias("date"), F.get(F.map_values(F.map_filter("headers", lambda k, _: k == "content-length")), 0).alias("content_length"))
 
 

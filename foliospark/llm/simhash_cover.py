@@ -203,5 +203,5 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
-    found = near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

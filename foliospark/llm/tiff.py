@@ -394,4 +394,4 @@ def stored_digests(docs: DataFrame, text: str = "text", keep: list[str] | None =
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and digests of every document's stored form."""
-    return stored_digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return stored_digests(read_table(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])

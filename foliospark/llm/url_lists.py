@@ -96,7 +96,7 @@ def page_entries(pages: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, day, n_active, matched of every page, as captured on its stand-in day, under the made-up list."""
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url")
     return evaluate(page_captures(pages), page_entries(pages)).select("page_id", "day", "n_active", "matched")
 
 

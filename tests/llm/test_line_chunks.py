@@ -76,5 +76,7 @@ def test_long_text_and_empty_table(spark):
 
 
 def test_columns_stay(spark):
-    docs = spark.createDataFrame([(1, "a", "de", "x", 1, "k")], "doc_id long, text string, lang string, source string, removed_lines int, k1 string")
-    assert L.drop_repeated_chunks(docs).columns == ["doc_id", "text", "lang", "source", "k1", "n_lines", "removed_lines"]
+    docs = spark.createDataFrame([(1, "a", "de", "x", 1, "k", "r", "p")], "doc_id long, text string, lang string, source string, removed_lines int, k1 string, r1 string, pos string")
+    done = L.drop_repeated_chunks(docs)
+    assert done.columns == ["doc_id", "text", "lang", "source", "k1", "r1", "pos", "n_lines", "removed_lines"]
+    assert tuple(done.first()) == (1, "a", "de", "x", "k", "r", "p", 1, 0)

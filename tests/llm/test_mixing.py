@@ -91,3 +91,8 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     mixture = mixing.plan(docs)
     assert mixing.mixed(docs, mixture).collect() == [] and mixing.draws(mixture).collect() == []
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", "x", "y", 7)], "doc_id long, text string, source string, cut_block string, block string, tokens int")
+    assert [tuple(r) for r in mixing.mixed(docs, mixing.plan(docs)).collect()] == [(1, "a b", "s", "x", "y", 7)]
