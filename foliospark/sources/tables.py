@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def plain_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A table, or some of its columns, as it lies there."""
+    table = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return table.select(*columns) if columns else table
+
+
 def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """A table, or some of its columns, in as many partitions as there are cores at least.
 
     Few large files with one row group each would keep most cores idle for work that is done row by row. A table that has
     enough partitions, as any large one has, is read as it is.
     """
-    table = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    table = table.select(*columns) if columns else table
+    table = plain_table(spark, folder, name, *columns)
     cores = spark.sparkContext.defaultParallelism
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
