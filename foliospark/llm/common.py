@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliospark.checkpoints import checkpointed, ensure_checkpoint_dir
-from foliospark.sources.tables import read_table
+from foliospark.sources.tables import plain_table, read_table
 
-__all__ = ["checkpointed", "ensure_checkpoint_dir", "hashed_share", "map_columns", "read_table"]
+__all__ = ["checkpointed", "ensure_checkpoint_dir", "hashed_share", "map_columns", "plain_table", "read_table"]
 
 
 #: Rows that map_columns() hands to its function in one call.

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import checkpointed, read_table
+from foliospark.llm.common import checkpointed, plain_table
 
 BITS = 128
 #: A term is a word with the word after it; it weighs as many votes as the first word has characters, up to this many.
@@ -148,7 +148,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_within is the number of other fingerprints within RADIUS bits, for the documents whose id is divisible by 50; null
     for the others.
     """
-    rows = checkpointed(edited_fingerprints(read_table(spark, sf_dir, "documents", "doc_id", "text")))
+    rows = checkpointed(edited_fingerprints(plain_table(spark, sf_dir, "documents", "doc_id", "text")))
     asked = rows.where(F.col("doc_id") % 50 == 0)
     found = neighbours(asked, rows).groupBy(F.col("q1").alias("fp1"), F.col("q2").alias("fp2")).agg(F.count("*").alias("n_found"))
     counted = rows.join(found, ["fp1", "fp2"], "left")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import checkpointed, read_table
+from foliospark.llm.common import checkpointed, plain_table
 
 #: Lines that the rolling hash covers, its multiplier, and one chunk end in so many lines on average.
 WINDOW_LINES = 2
@@ -83,7 +83,7 @@ def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, removed_lines, kept_md5 (of the text that is left) of every document."""
-    done = drop_repeated_chunks(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    done = drop_repeated_chunks(plain_table(spark, sf_dir, "documents", "doc_id", "text"))
     return done.select("doc_id", "n_lines", "removed_lines", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_md5"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import read_table
+from foliospark.llm.common import plain_table
 
 #: Days that one bucket of time covers; entries are repeated for each bucket that their interval touches.
 BUCKET_DAYS = 64
@@ -96,7 +96,7 @@ def page_entries(pages: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, day, n_active, matched of every page, as captured on its stand-in day, under the made-up list."""
-    pages = read_table(spark, sf_dir, "pages", "page_id", "url")
+    pages = plain_table(spark, sf_dir, "pages", "page_id", "url")
     return evaluate(page_captures(pages), page_entries(pages)).select("page_id", "day", "n_active", "matched")
 
 
