@@ -13,8 +13,8 @@ from foliospark.llm.common import plain_table
 
 #: Days that one bucket of time covers; entries are repeated for each bucket that their interval touches.
 BUCKET_DAYS = 64
-#: Labels of a host that patterns can be made of, from its right end.
-MOST_LABELS = 8
+#: Labels that a host name can have by its own rules (253 characters); nothing is cut off at it.
+MOST_LABELS = 127
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def patterns_of(url: F.Column) -> F.Column:
     host = host_of(url)
     labels = F.split(host, "\\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.least(n, F.lit(2)), F.least(n, F.lit(MOST_LABELS))), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    domains = F.transform(F.sequence(F.least(n, F.lit(2)), n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
     folder = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]*://[^/?#]*(/[^/?#]*/)", 1)
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(host), domains, F.when(folder != "", F.array(F.concat(host, folder))).otherwise(F.array().cast("array<string>")))))
 

@@ -47,3 +47,12 @@ def test_empty_tables(spark):
     entries = spark.createDataFrame([("a.b", 1, "add")], "pattern string, day int, action string")
     assert [r.n_active for r in U.evaluate(captures, entries.limit(0)).collect()] == [0]
     assert U.evaluate(captures.limit(0), entries).collect() == []
+
+
+def test_all_parents_of_a_host_of_many_labels(spark):
+    for n in (12, 150):
+        labels = [f"l{i}" for i in range(n)]
+        parents = [".".join(labels[i:]) for i in range(n - 1)]
+        entries = spark.createDataFrame([(p, 1, "add") for p in parents] + [(labels[-1], 1, "add")], "pattern string, day int, action string")
+        rows = U.evaluate(spark.createDataFrame([(1, f"http://x.{parents[0]}/", 3), (2, f"http://{parents[1]}/", 3)], "id int, url string, day int"), entries).collect()
+        assert {r.id: (r.n_active, r.matched) for r in rows} == {1: (n - 1, parents[0]), 2: (n - 2, parents[1])}
