@@ -169,6 +169,17 @@ def _pairs(tokens: list[_Token]) -> tuple[list[tuple[int, int]], list[tuple[int,
     return chain, skip
 
 
+def _hubs(tokens: list[_Token]) -> list[tuple[int, int]]:
+    """Pairs of a token and the first base span of every kind that it shares a key with."""
+    first: dict[str, dict[int, int]] = {}
+    for i, token in enumerate(tokens):
+        if token.known >= 0:
+            for k in _keys(token):
+                first.setdefault(k, {}).setdefault(token.known, i)
+    unknown = [i for i, t in enumerate(tokens) if t.known < 0] if first else []
+    return sorted({(min(i, h), max(i, h)) for i in unknown for k in _keys(tokens[i]) for h in first.get(k, {}).values()})
+
+
 def _seed_label(token: _Token) -> int:
     """Label that a token has for learning: its base span's, or secret for long keys, which need no other rule."""
     if token.known >= 0:
@@ -210,14 +221,21 @@ def fit(texts: list[str]) -> Field:
 
 
 def marginals(field: Field, tokens: list[_Token]) -> np.ndarray:
-    """Marginal label probabilities of the tokens by damped loopy sum-product message passing; base spans are evidence."""
+    """Marginal label probabilities of the tokens by damped loopy sum-product message passing; base spans are evidence.
+
+    Messages move one link a round and end after ROUNDS. So that it doesn't matter how many mentions lie between, a
+    token that shares a key with a base span is linked to that itself, and no longer to other such tokens.
+    """
     n = len(LABELS)
     own = np.array([_features(t) for t in tokens], float) @ np.array(field.unary)
     for i, t in enumerate(tokens):
         if t.known >= 0:
-            own[i] = -30.0
+            own[i] = -1e9  # no number of messages outweighs evidence
             own[i, t.known] = 0.0
     chain, skip = _pairs(tokens)
+    hubs = _hubs(tokens)
+    reached = {i for pair in hubs for i in pair}
+    skip = sorted({*(p for p in skip if not reached.issuperset(p)), *hubs} - set(chain))
     links = np.array([*chain, *skip], int).reshape(-1, 2)
     if not len(links):
         belief = own

@@ -82,3 +82,9 @@ def test_query_against_brute_force(spark):
 def test_nothing_to_learn_from():
     field = pii.fit([])
     assert pii.all_spans(field, "10.0.0.1 and 7")[0] == [(0, 8, "ip")]
+
+
+def test_every_one_of_many_repeats_is_linked():
+    for n in (1, 9, 50, 400):
+        for text in ("Mail john7@mail.example.com now. " + "Then john7 wrote. " * n, "Then john7 wrote. " * n + "Mail john7@mail.example.com now."):
+            assert labels(text).count(("linked_email", "john7")) == n
