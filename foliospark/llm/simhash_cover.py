@@ -25,6 +25,13 @@ RADIUS = 3
 WIDTH = 3
 #: Distinct fingerprints of a table's bucket that are compared in one task; larger buckets take the ball join.
 BUCKET_LIMIT = 16_384
+#: Near copies for keep_one_each(): Jaccard similarity of the sets of shingles of so many words, bands of minima of so many
+#: hashes each (a pair at the similarity misses all bands with probability 0.00007), members of a band's bucket of which
+#: all pairs are compared.
+ALIKE = 0.8
+ALIKE_WIDTH = 5
+BANDS, BAND_ROWS = 24, 5
+PAIRS_LIMIT = 32
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -185,13 +192,86 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.join(by_value, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
+def _grams(text: str) -> np.ndarray:
+    """Different hashes of a text's shingles, in order."""
+    grams = shingles(text, ALIKE_WIDTH)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), "<u8", len(grams)))
+
+
+def _bands(grams: np.ndarray) -> list[int]:
+    """A key for each band, from the smallest values that its hashes take over the shingles."""
+    n = BANDS * BAND_ROWS
+    rng = np.random.default_rng(5)
+    flip, times = rng.integers(0, 1 << 64, n, np.uint64), rng.integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
+    least = np.full(n, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(grams), 4096):
+        least = np.minimum(least, ((grams[at : at + 4096, None] ^ flip) * times).min(0))
+    return [xxhash.xxh64_intdigest(b.tobytes(), 7) - (1 << 63) for b in least.reshape(BANDS, BAND_ROWS)]
+
+
+def _alike_pairs(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingles are alike enough; each pair of sets is compared once and exactly."""
+    left, right = (grams.select(F.col("fp").alias(c), F.col("grams").alias(f"g{c}")) for c in ("a", "b"))
+    both = F.size(F.array_intersect("ga", "gb"))
+    known = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("ga") + F.size("gb")).alias("all"))
+    return known.where(F.col("both") >= ALIKE * (F.col("all") - F.col("both")) - 1e-9).select("a", "b")
+
+
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pairs_limit: int = PAIRS_LIMIT) -> DataFrame:
+    """doc_id, text_hash, fp and component_id of every row, as near_duplicates(), but fp stands for a set of shingles.
+
+    Rows link whose sets of five-word shingles have a Jaccard similarity of 0.8 at least; a text of fewer words is one
+    shingle, and texts without words are alike. Candidates share a band of minima; each is checked exactly, so only the
+    bands can miss a pair. In a bucket of more than pairs_limit different sets, a first one is compared with all others
+    and leaves with those that are alike, until few are left: there a set that is alike only to one that left may stay apart.
+    """
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+
+    def sign(texts):
+        sets = [_grams(t or "") for t in texts]
+        return [[xxhash.xxh64_intdigest(g.tobytes(), 42) - (1 << 63) if len(g) else 0 for g in sets], [_bands(g) if len(g) else [] for g in sets]]
+
+    signed = checkpointed(map_columns(plain, ["text"], [T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))], sign, ["doc_id", "text_hash"]))
+    rows = signed.select("doc_id", "text_hash", "fp")
+    # all rows of a set have equal bands, so the parts of a bucket can be told apart before anything is grouped
+    members = signed.select("fp", F.posexplode("bands").alias("v", "key")).distinct()
+    shared = members.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1").select("v", "key")
+    left = checkpointed(members.join(shared, ["v", "key"]).select("v", "key", "fp"))
+    wanted = rows.join(left.select("fp").distinct(), "fp").groupBy("fp").agg(F.min("text_hash").alias("text_hash"))
+    texts = plain.join(wanted.select("text_hash").distinct(), "text_hash", "left_semi")
+    sets = map_columns(texts, ["text"], [T.StructField("grams", T.ArrayType(T.LongType()))], lambda ts: [[_grams(t or "").view("<i8").tolist() for t in ts]], ["text_hash"])
+    grams = checkpointed(sets.dropDuplicates(["text_hash"]).join(wanted, "text_hash").select("fp", "grams"))
+    edges = []
+    while True:
+        sizes = left.groupBy("v", "key").agg(F.count("*").alias("n"), F.min("fp").alias("first"))
+        big = checkpointed(sizes.where(F.col("n") > pairs_limit).select("v", "key", "first"))
+        if big.isEmpty():
+            break
+        asked = left.join(big, ["v", "key"]).where(F.col("fp") != F.col("first"))
+        found = checkpointed(_alike_pairs(asked.select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct(), grams))
+        edges.append(found)
+        alike = found.select(F.col("a").alias("first"), F.col("b").alias("fp"))
+        others = asked.join(alike, ["first", "fp"], "left_anti").select("v", "key", "fp")
+        left = checkpointed(left.join(big, ["v", "key"], "left_anti").unionByName(others))
+    few = left.select("v", "key", F.col("fp").alias("a")).join(left.select("v", "key", F.col("fp").alias("b")), ["v", "key"]).where("a < b")
+    linked = _alike_pairs(few.select("a", "b").distinct(), grams)
+    for found in edges:
+        linked = linked.unionByName(found)
+    values = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = checkpointed(connected_components(linked))
+    placed = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_value = placed.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    return rows.join(by_value, "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, all columns unchanged: the one with the smallest doc_id.
+    """One row of each group of near copies, as near_copies() links them, all columns unchanged: that with the smallest doc_id.
 
     Of rows that share this doc_id within a group, the one with the smallest hash of its text stays, and of equal ones,
-    one. Rows without a doc_id go if their group has a row with one; groups without any keep one for each fingerprint.
+    one. Rows without a doc_id go if their group has a row with one; groups without any keep one for each set of shingles.
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = found.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("apart")).agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash")
     keyed = docs.withColumn("__hash", F.xxhash64("text"))
     # a missing id is made a key of its own, so that both sides are dealt by plain columns

@@ -98,3 +98,23 @@ def test_forest_is_small():
     values = np.array([0, 1, 3, 7, 15, 255 << 40], np.uint64)
     a, b = S._forest(values, 3)
     assert len(a) == 4 and set(b.tolist()) == {1, 3, 7, 15}
+
+
+@pytest.mark.parametrize("limit", [2, 32])
+def test_near_copies_go(spark, limit):
+    rng = random.Random(11)
+    texts = []
+    for g in range(12):
+        words = [f"w{g}x{i}" for i in range(120)]
+        texts += [" ".join(words)] + [" ".join(words[:k] + ["new"] + words[k + 1 :]) for k in rng.sample(range(10, 110), 3)]
+        texts.append(" ".join(words[:60] + [f"other{g}x{i}" for i in range(60)]))  # a half alone isn't a near copy
+    texts += ["a b", "A  b", "", None, " "]
+    sets = [set(S.shingles(t or "", 5)) for t in texts]
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if not x and not sets[j] or x and len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in S.near_copies(docs, pairs_limit=limit).collect()} == dict(enumerate(root))
+    assert {r.doc_id for r in S.keep_one_each(docs).collect()} == set(root) and len(set(root)) == 26
