@@ -17,8 +17,13 @@ from foliospark.shipping import ship
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject; its labels are those of the tables in sf_dir."""
+    """Documents that the quality classifier doesn't reject; its labels are those of the tables in sf_dir.
+
+    Where they are too few for a model, as with one class alone, nothing is rejected.
+    """
     model = quality.fit_on(docs, read_table(spark, sf_dir, "labels"))
+    if not model.weight:
+        return docs
     return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 

@@ -73,3 +73,10 @@ def test_mixing_repeats_at_most_twice(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").dropDuplicates(["doc_id"]).where("source is not null")
     counts = Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, folder).collect())
     assert max(counts.values()) <= mixing.REPETITION_LIMIT and min(counts.values()) >= 1
+
+
+@pytest.mark.parametrize("labels", [[], [(1, None, 0), (2, None, 0)], [(1, 1, 0)]])
+def test_without_a_model_nothing_is_rejected(spark, tmp_path, labels):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_good(spark, docs, str(tmp_path)).collect()) == list(range(8))
