@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -40,36 +41,41 @@ def corrected(items: DataFrame, by: list[str], model: Correct, options: RefineOp
 
     Up to max_passes times the boxes that aren't blank go to the model in chunks, with their text as corrected so far. A page
     is done after a pass that changed fewer than FEWEST_CHANGES boxes, or that failed: in the first pass the page then fails
-    and keeps its text, later it keeps what it has. changes counts the boxes that differ in the end. Only the pages that go on
-    are read in a pass, and each pass is checkpointed, so its calls are made once.
+    and keeps its text, later it keeps what it has. changes counts the boxes that differ in the end. A pass reads, deals out
+    and checkpoints only the items of pages that go on; those that are done are kept where their last pass left them. The
+    answers are checkpointed too, so that calls are made once.
     """
-    state = items.withColumn("current", F.col("text"))
-    pages = items.where(~is_blank(F.col("text"))).select(*by).distinct().withColumns({"passes": F.lit(0), "error": F.lit(None).cast("string"), "open": F.lit(True)})
+    started = items.where(~is_blank(F.col("text"))).select(*by).distinct()
+    first = items.withColumn("current", F.col("text"))
+    idle, active = first.join(started, by, "left_anti"), first.join(started, by, "left_semi")
     order = Window.partitionBy(*by).orderBy("id")
+    done, told = [idle], []
     for number in range(1, options.max_passes + 1):
-        # the boxes of this pass: those that have a chunk
-        asked = state.join(pages.where("open").select(*by, F.lit(True).alias("__open")), by, "left").withColumn("__live", F.coalesce("__open", F.lit(False)) & ~is_blank(F.col("current")))
-        place = F.sum(F.col("__live").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
-        state = checkpointed(asked.withColumn("chunk", F.when(F.col("__live"), reading.chunk_of(place, options.boxes_a_call))).drop("__open", "__live"))
-        answers = model(state.where("chunk is not null"), by).withColumn("d", jsonio.decode_corrections(F.coalesce("answer", F.lit(""))))
+        live = ~is_blank(F.col("current"))
+        place = F.sum(live.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+        asked = active.withColumn("chunk", F.when(live, reading.chunk_of(place, options.boxes_a_call)))
+        answers = model(asked.where("chunk is not null"), by).withColumn("d", jsonio.decode_corrections(F.coalesce("answer", F.lit(""))))
         answers = checkpointed(answers.select(*by, "chunk", F.coalesce(F.col("error"), F.col("d.error")).alias("failure"), F.col("d.value").alias("value")))
         # what a chunk after a failed one would have said was never asked; a page that fails in the first pass keeps its text
         broken = answers.where("failure is not null").groupBy(*by).agg(F.min("chunk").alias("at"), F.min_by("failure", "chunk").alias("said"))
         each = answers.where("failure is null").select(*by, "chunk", F.posexplode("value").alias("seq", "c")).select(*by, "chunk", "seq", "c.*")
         fixes = each.groupBy(*by, "chunk", "id").agg(F.max_by("text", "seq").alias("__new"))
-        merged = state.join(fixes, [*by, "chunk", "id"], "left").join(broken, by, "left")
+        merged = asked.join(fixes, [*by, "chunk", "id"], "left").join(broken, by, "left")
         counts = F.col("at").isNull() | (F.lit(number > 1) & (F.col("chunk") < F.col("at")))
         merged = merged.withColumn("__changed", F.coalesce(F.col("__new").isNotNull() & counts & differs(F.col("__new"), F.col("current")), F.lit(False)))
-        state = checkpointed(merged.withColumn("current", F.when(F.col("__changed"), F.col("__new")).otherwise(F.col("current"))).drop("__new", "at", "said", "chunk"))
-        told = pages.join(state.groupBy(*by).agg(F.count_if("__changed").alias("n")), by, "left").join(broken, by, "left")
-        state = state.drop("__changed")
-        goes_on = F.col("open") & F.col("said").isNull() & (F.col("n") >= FEWEST_CHANGES)
-        first_error = F.when(F.lit(number == 1), F.col("said")).otherwise(F.col("error"))
-        pages = checkpointed(told.select(*by, (F.col("passes") + F.when(F.col("open"), 1).otherwise(0)).alias("passes"), first_error.alias("error"), goes_on.alias("open")))
+        merged = checkpointed(merged.withColumn("current", F.when(F.col("__changed"), F.col("__new")).otherwise(F.col("current"))).drop("__new", "at", "chunk"))
+        goes_on = F.col("said").isNull() & (F.col("n") >= FEWEST_CHANGES) & F.lit(number < options.max_passes)
+        pages = checkpointed(merged.groupBy(*by).agg(F.count_if("__changed").alias("n"), F.max("said").alias("said")).withColumn("open", goes_on))
+        state = merged.drop("__changed", "said")
+        error = F.col("said") if number == 1 else F.lit(None).cast("string")
+        told.append(pages.where("not open").select(*by, F.lit(number).alias("passes"), error.alias("error")))
+        done.append(state.join(pages.where("not open").select(*by), by, "left_semi"))
         if pages.where("open").isEmpty():
             break
-    real = state.groupBy(*by).agg(F.count_if(differs(F.col("current"), F.col("text"))).alias("changes"))
-    return state, pages.join(real, by, "left").select(*by, "passes", "error", F.coalesce("changes", F.lit(0)).alias("changes"))
+        active = state.join(pages.where("open").select(*by), by, "left_semi")
+    whole, closed = (functools.reduce(DataFrame.unionByName, parts) for parts in (done, told))
+    real = whole.where(~is_blank(F.col("text")) | ~is_blank(F.col("current"))).groupBy(*by).agg(F.count_if(differs(F.col("current"), F.col("text"))).alias("changes"))
+    return whole, closed.join(real, by, "left").select(*by, "passes", "error", F.coalesce("changes", F.lit(0)).alias("changes"))
 
 
 def transcribed(pages: DataFrame, by: list[str], answers: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,11 +5,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from foliospark import seams
+from foliospark.checkpoints import checkpointed
 from foliospark.operators import items, layout, prompts, routing
 from foliospark.plans import batch, process, refine
 
-JUNK = "~'ite;'$.::N;!?J;{~,11':l.AiF1.. ,. 1 ,., ,' . ' :j- ,/' ,,. y'' t"
-LINES = [("BAECKEREI SONNENSCHEIN", True), ("Hauptstr. 5", False), ("SUMME EUR 10,30", True)]
+JUNK = " ".join("".join("#*-:;/|"[(i * k) % 7] for i in range(1, 9)) for k in range(1, 9))
+LINES = [("GÄRTNEREI ÖHLMANN", True), ("Am Anger 12", False), ("GEWICHT KG 12,75", True)]
 PAGE = "doc string, page int, rotation int, visible_chars int, pixels binary, width int, height int, stride int"
 ITEM = "doc string, page int, id int, text string, y double, line_height double"
 
@@ -23,7 +24,7 @@ def image(ink):
 
 def tables(spark, first=JUNK):
     pages = [("d", n, 0, v, image(ink), 100, 120, 1) for n, v, ink in ((1, 0, True), (2, 0, True), (3, 0, True), (4, 0, False), (5, 60, True))]
-    texts = [("d", 1, 0, first, 700.0, 12.0), ("d", 2, 0, "Rechnungsnurnmer 2026-0417", 700.0, 12.0), ("d", 5, 0, "digital", 700.0, 12.0)]
+    texts = [("d", 1, 0, first, 700.0, 12.0), ("d", 2, 0, "Lieferschien 88-1203", 700.0, 12.0), ("d", 5, 0, "digital", 700.0, 12.0)]
     return spark.createDataFrame(pages, PAGE), spark.createDataFrame(texts, ITEM)
 
 
@@ -31,8 +32,8 @@ def transcriber(legibility, lines=LINES):
     return seams.fixed_answer(json.dumps({"legibility": legibility, "lines": [{"text": t, "x": 300, "y": 100 + 30 * i, "certain": c} for i, (t, c) in enumerate(lines)]}))
 
 
-META = seams.fixed_answer('{"date":"2023-05-17","correspondent":"Bäckerei Sonnenschein","summary":"Kassenbon","reference":"4711","confidence":"high"}')
-FIX = seams.dictionary_corrector({"Rechnungsnurnmer 2026-0417": "Rechnungsnummer 2026-0417"})
+META = seams.fixed_answer('{"date":"2023-05-17","correspondent":"Gärtnerei Öhlmann","summary":"Wiegekarte","reference":"W 31","confidence":"high"}')
+FIX = seams.dictionary_corrector({"Lieferschien 88-1203": "Lieferschein 88-1203"})
 NOW = datetime(2026, 9, 20)
 
 
@@ -51,9 +52,9 @@ def test_pages_take_their_ways(spark):
 
     edits, summary, meta, outcomes = run(spark, transcribe)
     assert seen == [1, 3]  # junk, and ink without a layer; not the blank one, not the digital one
-    assert edits == sorted([(p, "lines", t) for p in (1, 3) for t, c in LINES if c] + [(2, "entries", "Rechnungsnummer 2026-0417")])
+    assert edits == sorted([(p, "lines", t) for p in (1, 3) for t, c in LINES if c] + [(2, "entries", "Lieferschein 88-1203")])
     assert (summary.pages, summary.pages_refined, summary.pages_transcribed, summary.corrections, summary.pages_failed, summary.failed) == (5, 3, 2, 1, 0, False)
-    assert meta.path == "Bäckerei Sonnenschein/2023-05-17_Bäckerei-Sonnenschein_Kassenbon_4711.pdf" and not outcomes[5].attempted
+    assert meta.path == "Gärtnerei Öhlmann/2023-05-17_Gärtnerei-Öhlmann_Wiegekarte_W-31.pdf" and not outcomes[5].attempted
 
 
 def test_hard_to_read_pages_are_trusted_less(spark):
@@ -114,3 +115,24 @@ def test_batch(spark, tmp_path):
     told, code = batch.run(spark, f"{tmp_path}/", f"{tmp_path}/out", recognise, existing)
     assert {r.out_name: r.status for r in told.collect()} == {"a.ocr.pdf": "ok", "b.ocr.pdf": "failed", "c.ocr.pdf": "skipped"} and code == 1
     assert [p.name for p in (tmp_path / "out").iterdir()] == ["a.ocr.pdf"]
+
+
+def test_a_pass_touches_open_pages_only(spark, monkeypatch):
+    boxes = [(1, i, "abcdef") for i in range(8)] + [(2, i, "ab") for i in range(3)] + [(3, 0, "  ")] + [(4, i, "abc") for i in range(6)]
+    seen = []
+
+    def noted(df):
+        done = checkpointed(df)
+        seen.append((set(done.columns), {r.page for r in done.select("page").distinct().collect()}))
+        return done
+
+    def shorter(rows, by):
+        answer = F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("id", F.when(F.length("current") > 2, F.substring("current", 2, 99)).otherwise(F.col("current")).alias("text")))).alias("corrections")))
+        return rows.groupBy(*by, "chunk").agg(answer.alias("answer"), F.lit(None).cast("string").alias("error"))
+
+    monkeypatch.setattr(refine, "checkpointed", noted)
+    state, told = refine.corrected(spark.createDataFrame(boxes, "page int, id int, text string"), ["page"], shorter, refine.RefineOptions(max_passes=5))
+    touched = [pages for columns, pages in seen if "current" in columns]
+    assert touched == [{1, 2, 4}, {1, 4}, {1}, {1}, {1}]
+    assert sorted((r.page, r.passes, r.changes) for r in told.collect()) == [(1, 5, 8), (2, 1, 0), (4, 2, 6)]
+    assert state.count() == len(boxes) and {r.current for r in state.where("page = 1").collect()} == {"ef"} and {r.current for r in state.where("page = 4").collect()} == {"bc"}
