@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Splits up to which a table is dealt out again, so that no more than these, of spark.sql.files.maxPartitionBytes each, ever move.
+FEW_SPLITS = 4
+
 
 def plain_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """A table, or some of its columns, as it lies there."""
@@ -12,11 +15,11 @@ def plain_table(spark: SparkSession, folder: str, name: str, *columns: str) -> D
 
 
 def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """A table, or some of its columns, in as many partitions as there are cores at least.
+    """A table, or some of its columns; one of FEW_SPLITS or fewer in as many partitions as there are cores.
 
-    Few large files with one row group each would keep most cores idle for work that is done row by row. A table that has
-    enough partitions, as any large one has, is read as it is.
+    A small file with one row group would keep most cores idle for work that is done row by row. Any larger table is read
+    as it lies there.
     """
     table = plain_table(spark, folder, name, *columns)
     cores = spark.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    return table.repartition(cores) if table.rdd.getNumPartitions() <= min(FEW_SPLITS, cores - 1) else table
