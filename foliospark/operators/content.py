@@ -122,6 +122,31 @@ def joined_and_stripped(streams: pd.Series) -> pd.Series:
     return streams.map(lambda parts: None if parts is None else without_invisible_text(b"\n".join(bytes(p) for p in parts)))
 
 
+@F.pandas_udf(T.IntegerType())
+def visible_count(pages: pd.Series) -> pd.Series:
+    """Visible glyphs of each page's operators, an array of (name, mode, glyphs); glyphs are what each shows, in order."""
+
+    def count(operators) -> int | None:
+        if operators is None:
+            return None
+        listed = [(o["name"], [o["mode"]] if o["name"] == "mode" else [[{"unicode": g} for g in (o["glyphs"] if o["glyphs"] is not None else ())]]) for o in operators]
+        return visible_characters(listed)
+
+    return pages.map(count)
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.BinaryType()))
+def stripped_forms(forms: pd.Series, roots: pd.Series) -> pd.Series:
+    """strip_forms() of each page: forms is an array of (name, stream, inner), roots one of names."""
+
+    def strip(own, names):
+        if own is None or names is None:
+            return None
+        return strip_forms({f["name"]: (bytes(f["stream"]), list(f["inner"])) for f in own}, list(names))
+
+    return pd.Series([strip(own, names) for own, names in zip(forms, roots)])
+
+
 def strip_forms(forms: dict[str, tuple[bytes, list[str]]], roots: list[str], deepest: int = 5) -> dict[str, bytes]:
     """Stripped streams of the forms that can be reached from roots, each once, at most `deepest` levels down.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as X
-from foliospark.operators import filing, jsonio, quality, reading, routing
+from foliospark.operators import filing, jsonio, quality, routing
 from foliospark.plans.refine import RefineOptions, corrected
 from foliospark.queries import sqltext as S
 from foliospark.sources.tables import read_table as table
@@ -17,12 +17,12 @@ NOW = datetime(1998, 1, 1, 12)
 
 
 def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File names and slugs of the first line of every document."""
-    first = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)).alias("t"))
-    return first.select("doc_id", X.clean_name(F.col("t"), 50).alias("name"), X.slug(F.col("t"), 60).alias("slug60"), X.slug(F.col("t"), 30).alias("slug30"))
+    """File names and slugs of every whole text."""
+    whole = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return whole.select("doc_id", X.clean_name(F.col("t"), 50).alias("name"), X.slug(F.col("t"), 60).alias("slug60"), X.slug(F.col("t"), 30).alias("slug30"))
 
 
-CLEAN_NAMES = f"SELECT doc_id, {S.clean_name('t', 50)} AS name, {S.slug('t', 60)} AS slug60, {S.slug('t', 30)} AS slug30 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS t FROM documents)"
+CLEAN_NAMES = f"SELECT doc_id, {S.clean_name('t', 50)} AS name, {S.slug('t', 60)} AS slug60, {S.slug('t', 30)} AS slug30 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
 
 
 def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,30 +187,12 @@ SELECT page_id, length(t)::BIGINT AS chars, md5(t) AS text_md5 FROM (
 """
 
 
-def first_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt material: the first lines of every document as boxes, and its text cut for a prompt."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    boxes = reading.text_lines(docs, ["doc_id"]).where("id < 3")
-    row = F.concat_ws("\t", F.col("id").cast("string"), F.lit("0,0,1,1"), X.json_quoted(F.col("text")))
-    listed = boxes.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", row.alias("r")))), lambda x: x["r"]), "\n").alias("listed"))
-    cut = docs.select("doc_id", F.length(F.substring(X.trim(F.coalesce("text", F.lit(""))), 1, 6000)).alias("prompt_chars"))
-    return cut.join(listed, "doc_id", "left")
-
-
-FIRST_PAGE = f"""
-WITH boxes AS (
-  SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: NOT ({S.blank('l')}))[1:3] AS b, length(substring({S.trim("coalesce(text, '')")}, 1, 6000))::INT AS prompt_chars FROM documents
-)
-SELECT doc_id, prompt_chars, CASE WHEN len(b) > 0 THEN array_to_string(list_transform(range(len(b)), lambda i: i || chr(9) || '0,0,1,1' || chr(9) || to_json(b[i + 1])), chr(10)) END AS listed FROM boxes
-"""
-
-
 def queries():
-    return {f.__name__: f for f in (clean_names, filing_paths, metadata_header, tolerant_json, pass_convergence, run_summary, admission, engine_routing, incremental_outputs, visible_text, first_page_text)}
+    return {f.__name__: f for f in (clean_names, filing_paths, metadata_header, tolerant_json, pass_convergence, run_summary, admission, engine_routing, incremental_outputs, visible_text)}
 
 
 def oracle_sql():
     return {
         "clean_names": CLEAN_NAMES, "filing_paths": FILING, "metadata_header": HEADER, "tolerant_json": TOLERANT, "pass_convergence": CONVERGENCE, "run_summary": SUMMARY, "admission": ADMISSION,
-        "engine_routing": ROUTING, "incremental_outputs": INCREMENTAL, "visible_text": VISIBLE, "first_page_text": FIRST_PAGE,
+        "engine_routing": ROUTING, "incremental_outputs": INCREMENTAL, "visible_text": VISIBLE,
     }

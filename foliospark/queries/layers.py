@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry
+from foliospark.functions.text import is_blank
 from foliospark.operators import layout, lines, overlay, quality, reading
 from foliospark.queries import sqltext as S
 from foliospark.sources.tables import read_table as table
@@ -121,7 +122,7 @@ def overlay_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = overlay.last_of_each(overlay.known_only(fixes, boxes, ["doc_id"]), ["doc_id"])
     done = overlay.overlaid(boxes, known, ["doc_id"])
     changed = overlay.differs(F.col("current"), F.col("text"))
-    alive = F.col("current").rlike(f"[^{S.SPACE}]")
+    alive = ~is_blank(F.col("current"))
     return done.groupBy("doc_id").agg(F.count("*").alias("boxes"), F.count_if(changed).alias("changed"), F.count_if(alive).alias("alive"), F.sum(F.length("current")).alias("chars"))
 
 
@@ -204,14 +205,14 @@ SELECT l_orderkey, l_linenumber, floor(x0 / 595 * 1000 + 0.5)::INT AS x, floor(y
 
 def line_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcribed lines laid out; a conversation is a page, its turns are lines that come down it."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), F.substring("text", 1, 60).alias("text"), (F.col("conv_id") * 37 % 1000).cast("int").alias("x"), (F.col("turn") * (9 + F.col("conv_id") % 20)).cast("int").alias("y"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "text", (F.col("conv_id") * 37 % 1000).cast("int").alias("x"), (F.col("turn") * (9 + F.col("conv_id") % 20)).cast("int").alias("y"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"))
     found = layout.line_layout(turns, ["conv_id"])
     return found.select("conv_id", "seq", *[F.round(c, 4).alias(c) for c in ("x", "baseline", "size", "scale_x")])
 
 
 LAYOUT = """
 WITH l AS (
-  SELECT conv_id, turn AS seq, length(substring(text, 1, 60)) AS n, (conv_id * 37 % 1000)::INT AS x, (turn * (9 + conv_id % 20))::INT AS y FROM conversations
+  SELECT conv_id, turn AS seq, length(text) AS n, (conv_id * 37 % 1000)::INT AS x, (turn * (9 + conv_id % 20))::INT AS y FROM conversations
 ), g AS (
   SELECT conv_id, y - lag(y) OVER (PARTITION BY conv_id ORDER BY y, seq) AS gap FROM l
 ), m AS (
