@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
 A rolling hash over the hashes of neighbouring lines decides after which lines a chunk ends, so an inserted or deleted
-line moves no boundary but those next to it. Chunks of several lines that occur more than once anywhere are removed but
-for one occurrence. Occurrences are grouped by the chunk's own bytes; hashes only route them.
+line moves no boundary but those next to it. Every remainder of the hash has boundaries of its own, and a long line is
+a chunk by itself. Chunks that occur more than once anywhere are removed but for one occurrence, whose bytes are compared;
+hashes only route them.
 """
 
 from __future__ import annotations
@@ -12,67 +13,82 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import checkpointed, plain_table
 
-#: Lines that the rolling hash covers, its multiplier, and one chunk end in so many lines on average.
+#: Lines that the rolling hash covers, its multiplier, and its remainders: in the chunks of each of them, one line in so
+#: many is an end on average.
 WINDOW_LINES = 2
 MULTIPLIER = 31
-LINES_A_CHUNK = 4
+REMAINDERS = 3
+#: Words of a line, counted by its spaces, from which it is a chunk by itself.
+LONG_WORDS = 50
 
 
-def _cut(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Adds __lines, __ends (0-based, of each chunk's last line) and __parts (arrays of lines)."""
-    lined = docs.withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-    hashed = lined.withColumn("__hashes", F.transform("__lines", lambda line: F.conv(F.substring(F.md5(F.encode(line, "UTF-8")), 1, 7), 16, 10).cast("long")))
+def _lines(text: str) -> F.Column:
+    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
-    def ends_here(i):
-        rolled = sum((F.coalesce(F.get("__hashes", i - k), F.lit(0)) * MULTIPLIER**k for k in range(1, WINDOW_LINES)), F.get("__hashes", i))
-        return (rolled % LINES_A_CHUNK == 0) | (i == F.size("__lines") - 1)
 
-    ended = hashed.withColumn("__ends", F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), ends_here))
+def _chunks(keyed: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, __r1, __r2, start, stop (0-based lines, stop exclusive), k1 and k2 (of its bytes) of every chunk that counts.
 
-    def part(end, k):
-        start = F.when(k == 0, F.lit(0)).otherwise(F.get("__ends", k - 1) + 1)
-        return F.slice("__lines", start + 1, end - start + 1)
+    A chunk counts if it has several lines or is one long line, and isn't blank. Chunks of the same lines count once.
+    No row is without lines; the outer form keeps the optimizer from testing that, which would cut every text twice.
+    """
+    lined = keyed.select(F.col(doc_id).alias("doc_id"), "__r1", "__r2", _lines(text).alias("lines"))
+    long = F.transform("lines", lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= LONG_WORDS - 1)
+    hashed = lined.withColumns({"hashes": F.transform("lines", lambda line: F.conv(F.substring(F.md5(F.encode(line, "UTF-8")), 1, 7), 16, 10).cast("long")), "long": long})
 
-    return ended.withColumn("__parts", F.transform("__ends", part)).drop("__hashes")
+    def rest(i):
+        """The rolling hash's remainder behind a line, -1 where every kind of chunk ends: at long lines and at the end."""
+        rolled = sum((F.coalesce(F.get("hashes", i - k), F.lit(0)) * MULTIPLIER**k for k in range(1, WINDOW_LINES)), F.get("hashes", i))
+        return F.when((i == F.size("lines") - 1) | F.get("long", i) | F.coalesce(F.get("long", i + 1), F.lit(False)), F.lit(-1)).otherwise((rolled % REMAINDERS).cast("int"))
 
+    cut = hashed.withColumn("rests", F.transform(F.sequence(F.lit(0), F.size("lines") - 1), rest))
+    places = F.sequence(F.lit(0), F.size("lines") - 1)
 
-def _key(value: F.Column) -> list[F.Column]:
-    """128 bits that route equal values to one place."""
-    return [F.xxhash64(value).alias("k1"), F.xxhash64(F.lit(1), value).alias("k2")]
+    def ends_of(remainder):
+        return F.filter(places, lambda i: F.get("rests", i).isin(-1, remainder))
 
+    ends = F.array(*map(ends_of, range(REMAINDERS)))
 
-def _chunks(cut: DataFrame, doc_id: str) -> DataFrame:
-    """doc_id, __r1, __r2, pos and chunk text of every chunk of at least two lines that isn't blank.
+    def spans(own):
+        return F.transform(own, lambda end, k: F.struct(F.when(k == 0, F.lit(0)).otherwise(F.get(own, k - 1) + 1).alias("start"), (end + 1).alias("stop")))
 
-    No row is without chunks; the outer form keeps the optimizer from testing that, which would cut every text twice.
-    """
-    parts = cut.select(F.col(doc_id).alias("doc_id"), "__r1", "__r2", F.posexplode_outer("__parts").alias("pos", "part")).where(F.size("part") > 1)
-    return parts.select("doc_id", "__r1", "__r2", "pos", F.array_join("part", "\n").alias("chunk")).where(F.col("chunk").rlike("[^ \\t\\r\\n]"))
+    counts = F.filter(F.array_distinct(F.flatten(F.transform("ends", spans))), lambda s: (s["stop"] - s["start"] > 1) | F.get("long", s["start"]))
+    each = cut.withColumn("ends", ends).select("doc_id", "__r1", "__r2", "lines", F.explode_outer(counts).alias("span"))
+    chunk = F.array_join(F.slice("lines", F.col("span.start") + 1, F.col("span.stop") - F.col("span.start")), "\n")
+    found = each.where("span is not null").select("doc_id", "__r1", "__r2", "span.*", chunk.alias("chunk")).where(F.col("chunk").rlike("[^ \\t\\r\\n]"))
+    return found.select("doc_id", "__r1", "__r2", "start", "stop", F.xxhash64("chunk").alias("k1"), F.xxhash64(F.lit(1), F.col("chunk")).alias("k2"))
 
 
 def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with `text` rid of repeated chunks, and the columns n_lines, removed_lines (int) added.
 
-    Of the occurrences of a chunk, that in the smallest doc_id stays, and in that document the first. Single lines and
-    chunks of blank lines always stay. Rows of one doc_id count as one document: a chunk that stays in it stays in each
+    Of the occurrences of a chunk, that in the smallest doc_id stays, and in that document the first. A line goes with any
+    chunk that goes; one copy of it stays where all these chunks come from. Lines under LONG_WORDS that are repeated
+    alone, and blank chunks, always stay. Rows of one doc_id count as one document: a chunk that stays in it stays in each
     of its rows. Chunks that only rows with a null doc_id have stay in all those rows. A null text counts as empty (one
     empty line) and stays null; no row is dropped, even if nothing is left of its text. Input columns named n_lines or
-    removed_lines are replaced. Two different chunks with equal 128-bit keys would both be left alone.
+    removed_lines are replaced. Different chunks with equal 128-bit keys would all be left alone.
+
+    Texts are cut once, and only hashes of chunks are compared at first. The bytes of those that repeat are grouped where
+    they lie before they move: one copy of a chunk leaves each task.
     """
     docs = docs.drop("n_lines", "removed_lines")
-    with_key = docs.withColumns({"__r1": F.xxhash64(doc_id, text), "__r2": F.xxhash64(F.lit(1), F.col(doc_id), F.col(text))})
-    # the bytes are grouped where they lie before they move: one copy of a chunk leaves each task
-    same = _chunks(_cut(with_key.select(doc_id, text, "__r1", "__r2"), doc_id, text), doc_id)
-    by_bytes = same.groupBy(*_key(F.col("chunk")), "chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"))
-    # a table of its own, so that both sides of the join below come straight from their shuffles and hot keys can be split
-    repeated = checkpointed(by_bytes.groupBy("k1", "k2").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("keeper").alias("keeper")).where("texts = 1 and n > 1").select("k1", "k2", "keeper"))
-    # dealt by document again at once, so that a chunk that many documents share can be split where it is joined
-    found = same.select("doc_id", "__r1", "__r2", "pos", *_key(F.col("chunk"))).join(repeated, ["k1", "k2"]).repartition("__r1", "__r2")
+    keyed = docs.withColumns({"__r1": F.xxhash64(doc_id, text), "__r2": F.xxhash64(F.lit(1), F.col(doc_id), F.col(text))})
+    # tables of their own, so that both sides of the join come straight from their shuffles and hot keys can be split
+    chunks = checkpointed(_chunks(keyed.select(doc_id, text, "__r1", "__r2"), doc_id, text))
+    repeated = checkpointed(chunks.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).where("n > 1").select("k1", "k2", "keeper"))
+    found = checkpointed(chunks.join(repeated, ["k1", "k2"]).select("doc_id", "__r1", "__r2", "start", "stop", "k1", "k2", "keeper"))
+    in_row = found.groupBy("__r1", "__r2").agg(F.collect_set(F.struct("start", "stop", "k1", "k2")).alias("spans"))
+    read = keyed.select("__r1", "__r2", F.col(text).alias("text")).join(in_row, ["__r1", "__r2"]).select(_lines("text").alias("lines"), F.explode("spans").alias("s"))
+    bytes_of = read.select("s.k1", "s.k2", F.array_join(F.slice("lines", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")), "\n").alias("chunk"))
+    mixed = checkpointed(bytes_of.groupBy("k1", "k2", "chunk").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count("*").alias("texts")).where("texts > 1").select("k1", "k2"))
+    equal = found.join(mixed, ["k1", "k2"], "left_anti") if not mixed.isEmpty() else found
     own = Window.partitionBy("__r1", "__r2", "k1", "k2")
-    gone = found.withColumn("first", F.min("pos").over(own)).where((F.col("pos") > F.col("first")) | ~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    removal = gone.groupBy("__r1", "__r2").agg(F.collect_set("pos").alias("__gone"))
-    joined = _cut(with_key.join(removal, ["__r1", "__r2"], "left"), doc_id, text)
-    kept = joined.withColumn("__kept", F.flatten(F.transform(F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone")), lambda i: F.get("__parts", i))))
+    gone = equal.withColumn("first", F.min("start").over(own)).where((F.col("start") > F.col("first")) | ~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    removal = gone.groupBy("__r1", "__r2").agg(F.collect_set(F.struct("start", "stop")).alias("__gone"))
+    joined = keyed.join(removal, ["__r1", "__r2"], "left").withColumn("__lines", _lines(text))
+    lines_gone = F.flatten(F.transform("__gone", lambda s: F.sequence(s["start"], s["stop"] - 1)))
+    kept = joined.withColumn("__kept", F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), lines_gone), lambda i: F.get("__lines", i)))
     untouched = F.col("__gone").isNull()
     return kept.select(
         *[F.when(untouched, F.col(c)).otherwise(F.array_join("__kept", "\n")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
@@ -87,34 +103,38 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "removed_lines", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_md5"))
 
 
+_ENDS = "(len(lines) = i OR long[i] OR coalesce(long[i + 1], false))"
+
 SQL = f"""
 WITH lined AS (
-  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+  SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), hashed AS (
-  SELECT *, list_transform(lines, lambda l: ('0x' || substr(md5(l), 1, 7))::BIGINT) AS hashes FROM lined
+  SELECT *, list_transform(lines, lambda l: ('0x' || substr(md5(l), 1, 7))::BIGINT) AS hashes,
+    list_transform(lines, lambda l: length(l) - length(replace(l, ' ', '')) >= {LONG_WORDS - 1}) AS long FROM lined
+), rests AS (
+  SELECT *, list_transform(range(1, len(lines) + 1), lambda i: CASE WHEN {_ENDS} THEN -1
+    ELSE (hashes[i] + CASE WHEN i > 1 THEN hashes[i - 1] * {MULTIPLIER} ELSE 0 END) % {REMAINDERS} END) AS rests FROM hashed
 ), ended AS (
-  SELECT *, list_filter(range(1, len(lines) + 1), lambda i:
-    i = len(lines) OR (hashes[i] + CASE WHEN i > 1 THEN hashes[i - 1] * {MULTIPLIER} ELSE 0 END) % {LINES_A_CHUNK} = 0) AS ends FROM hashed
+  SELECT r.*, n, list_filter(range(1, len(lines) + 1), lambda i: rests[i] = -1 OR rests[i] = n) AS ends FROM rests r, range(0, {REMAINDERS}) AS k(n)
 ), numbered AS (
-  SELECT *, row_number() OVER () AS row_id FROM ended
-), parts AS (
-  SELECT row_id, doc_id, lines, unnest(range(1, len(ends) + 1)) AS pos, ends FROM numbered
+  SELECT *, unnest(range(1, len(ends) + 1)) AS pos FROM ended
+), spans AS (
+  SELECT DISTINCT row_id, doc_id, CASE WHEN pos = 1 THEN 1 ELSE ends[pos - 1] + 1 END AS start, ends[pos] AS stop FROM numbered
 ), chunks AS (
-  SELECT row_id, doc_id, pos, lines[CASE WHEN pos = 1 THEN 1 ELSE ends[pos - 1] + 1 END : ends[pos]] AS part FROM parts
-), joined AS (
-  SELECT row_id, doc_id, pos, len(part) AS n, array_to_string(part, chr(10)) AS chunk FROM chunks
+  SELECT s.*, array_to_string(lines[start : stop], chr(10)) AS chunk FROM spans s JOIN hashed h USING (row_id) WHERE stop > start OR long[start]
 ), several AS (
-  SELECT * FROM joined WHERE n > 1 AND regexp_matches(chunk, '[^ \\t\\r\\n]')
+  SELECT * FROM chunks WHERE regexp_matches(chunk, '[^ \\t\\r\\n]')
 ), repeated AS (
   SELECT chunk, min(doc_id) AS keeper FROM several GROUP BY chunk HAVING count(*) > 1
 ), gone AS (
-  SELECT row_id, pos FROM (
-    SELECT s.*, keeper, min(pos) OVER (PARTITION BY row_id, s.chunk) AS first FROM several s JOIN repeated r ON s.chunk = r.chunk
-  ) WHERE pos > first OR doc_id IS DISTINCT FROM keeper
+  SELECT DISTINCT row_id, unnest(range(start, stop + 1)) AS i FROM (
+    SELECT s.*, keeper, min(start) OVER (PARTITION BY row_id, s.chunk) AS first FROM several s JOIN repeated r ON s.chunk = r.chunk
+  ) WHERE start > first OR doc_id IS DISTINCT FROM keeper
+), each AS (
+  SELECT row_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM lined
 ), kept AS (
-  SELECT j.row_id, sum(j.n) AS n, string_agg(j.chunk, chr(10) ORDER BY j.pos) AS text
-  FROM joined j LEFT JOIN gone g ON j.row_id = g.row_id AND j.pos = g.pos WHERE g.pos IS NULL GROUP BY j.row_id
+  SELECT e.row_id, count(*) AS n, string_agg(line, chr(10) ORDER BY e.i) AS text FROM each e LEFT JOIN gone g ON e.row_id = g.row_id AND e.i = g.i WHERE g.i IS NULL GROUP BY e.row_id
 )
 SELECT d.doc_id, len(d.lines)::INT AS n_lines, (len(d.lines) - coalesce(k.n, 0))::INT AS removed_lines, md5(coalesce(k.text, '')) AS kept_md5
-FROM numbered d LEFT JOIN kept k USING (row_id)
+FROM lined d LEFT JOIN kept k USING (row_id)
 """
