@@ -12,9 +12,6 @@ from foliospark.llm.common import checkpointed, plain_table
 BITS = 128
 #: A term is a word with the word after it; it weighs as many votes as the first word has characters, up to this many.
 MOST_WEIGHT = 16
-#: Ranges of ids that documents are dealt to, at most; one row for each of them is broadcast.
-MOST_RANGES = 16_000
-RANGE_ROWS = 256
 #: Search: differing bits at most, and blocks of bits; two blocks at least agree in all pairs within the radius.
 RADIUS = 3
 BLOCKS = 5
@@ -51,26 +48,30 @@ def _terms(texts: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return hashed.withColumn("h2", F.xxhash64("h1"))
 
 
-def _in_order(docs: DataFrame) -> DataFrame:
-    """doc_id, text with the next row's text, in the order (doc_id, text), the first row's after the last.
+#: A document's place: null ids first, then by id, then by the hashes of its text. Rows with one place are equal.
+_PLACE = ["given", "id", "k1", "k2"]
 
-    Adds part and row: a range of ids, and the row's number in it; guest is true for the first rows of the next range,
-    which stand in for the row that the last one of a range needs. Ranges are found by cutting low bits off the ids,
-    as few as leave at most MOST_RANGES ranges, so that gaps and outliers among the ids don't matter.
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """_PLACE and text of every row; a null text counts as empty."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").isNotNull().cast("int").alias("given"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
+
+
+def _successors(placed: DataFrame) -> DataFrame:
+    """_PLACE of each different row, n (rows with it), half (of its length), and next: the place after it, the first one's after the last.
+
+    Only places are put in order, not texts: Spark deals them to ranges by quantiles that it samples, so that neither gaps
+    nor crowds among the ids matter. Each range hands its first place to the range before it.
     """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
-    cuts = range(0, 63, 2)
-    sizes = keyed.agg(F.count("*").alias("n"), *[F.approx_count_distinct(F.shiftright("id", s), 0.03).alias(f"cut{s}") for s in cuts]).first()
-    most = min(MOST_RANGES, max(1, sizes["n"] // RANGE_ROWS))
-    cut = next((s for s in cuts if sizes[f"cut{s}"] <= most), 62)
-    parted = keyed.withColumn("part", F.shiftright("id", cut))
-    ends = Window.orderBy("part")
-    firsts = parted.groupBy("part").agg(F.min("id").alias("id")).select("id", F.coalesce(F.lag("part").over(ends), F.max("part").over(Window.partitionBy())).alias("before"))
-    both = F.array(F.struct(F.col("part"), F.lit(False).alias("guest")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("part"), F.lit(True).alias("guest"))))
-    placed = parted.join(F.broadcast(firsts), "id", "left").select("doc_id", "id", "text", F.explode_outer(F.filter(both, lambda x: x.isNotNull())).alias("at"))
-    order = Window.partitionBy("part").orderBy("guest", "id", "text")
-    flat = placed.select("doc_id", "id", "text", "at.part", "at.guest")
-    return flat.select("doc_id", "text", "part", "guest", F.row_number().over(order).alias("row"), F.coalesce(F.lead("text").over(order), F.lit("")).alias("next"))
+    keys = placed.groupBy(*_PLACE).agg(F.count("*").alias("n"), F.max(F.floor(F.length("text") / 2)).cast("int").alias("half"))
+    ranged = checkpointed(keys.repartitionByRange(*_PLACE).withColumn("range", F.spark_partition_id()))
+    place = F.struct(*_PLACE)
+    order = Window.orderBy("range")  # one row a range, of which there are as many as tasks
+    heads = ranged.groupBy("range").agg(F.min(place).alias("head"))
+    ahead = heads.select("range", F.coalesce(F.lead("head").over(order), F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("ahead"))
+    within = ranged.withColumn("after", F.lead(place).over(Window.partitionBy("range").orderBy(*_PLACE)))
+    return checkpointed(within.join(F.broadcast(ahead), "range").select(*_PLACE, "n", "half", F.coalesce("after", "ahead").alias("next")))
 
 
 def _alike(a: str, b: str) -> F.Column:
@@ -84,17 +85,17 @@ def _hex(fp: str) -> F.Column:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, fp1, fp2: the fingerprint of each key's text; rows with equal keys should have equal texts."""
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return _votes(_terms(rows, "text", [key]), [key], [])
+    """key, fp1, fp2: the fingerprint of each key's text; a key with several texts gives a row for each of them."""
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), F.col("text"))})
+    return _votes(_terms(rows, "text", [key, "k1", "k2"]), [key, "k1", "k2"], []).drop("k1", "k2")
 
 
 def neighbours(queries: DataFrame, values: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """q1, q2, fp1, fp2, distance: for each fingerprint of queries all others of values within the radius.
+    """q1, q2, fp1, fp2, distance: for each fingerprint of queries all of values within the radius, itself included.
 
     The bits are cut into blocks. However the differing bits fall, at least blocks - radius blocks have none, so each
     choice of so many blocks has a table keyed by their bits, and every pair within the radius meets in one. Copies are
-    merged first: a fingerprint counts once, whatever the number of its documents. One equal to the query isn't listed.
+    merged first: a fingerprint counts once, whatever the number of its documents; join them by it to get these.
     """
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     masks = [sum((1 << edges[b + 1]) - (1 << edges[b]) for b in kept) for kept in combinations(range(blocks), blocks - radius)]
@@ -111,46 +112,60 @@ def neighbours(queries: DataFrame, values: DataFrame, radius: int = RADIUS, bloc
     asked = tables(queries).withColumnsRenamed({"fp1": "q1", "fp2": "q2"})
     distance = F.bit_count(F.col("fp1").bitwiseXOR(F.col("q1"))) + F.bit_count(F.col("fp2").bitwiseXOR(F.col("q2")))
     met = tables(values).join(asked, ["table", "b1", "b2"]).withColumn("distance", distance)
-    return met.where((F.col("distance") <= radius) & (F.col("distance") > 0)).select("q1", "q2", "fp1", "fp2", "distance").distinct()
+    return met.where(F.col("distance") <= radius).select("q1", "q2", "fp1", "fp2", "distance").distinct()
 
 
 _SHA = [f"sha{i}" for i in range(5)]
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every row's text and of its edited text; see query(). Also fp1, fp2 and whether it is a query.
+    """Fingerprints of every row's text and of its edited text; see query(). Also fp1, fp2.
+
+    Documents are put in the order of doc_id, null ids first; those with equal ids in the order of their texts' hashes.
+    Equal rows all stay: each is the next one of the one before it. A null text counts as empty: its fingerprint has no
+    bits set, as that of any text without words has. A single row is its own next one. An empty table gives an empty
+    table; columns other than doc_id and text aren't used.
 
-    Rows with equal doc_id are put in the order of their texts, equal rows all stay. Null ids come first. A null text
-    counts as empty: its fingerprint has no bits set, as that of any text without words has. A single row is its own
-    next one. An empty table gives an empty table; columns other than doc_id and text aren't used.
+    A text moves once, to its place's partition, and from there as much of its beginning as the document before it takes.
     """
-    ordered = _in_order(docs.select("doc_id", "text"))
-    n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = ordered.select("part", "row", "guest", "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next"), F.lit(1), half)).alias("edited"))
+    placed = _placed(docs)
+    after = _successors(placed)
+    place = F.struct(*_PLACE)
+    whole = placed.groupBy(*_PLACE).agg(F.first("text").alias("text"))
+    asked = after.select("next.*", place.alias("asker"), F.col("half").alias("wanted"))
+    lent = whole.join(asked, _PLACE).select("asker.*", F.substring(F.col("text"), F.lit(1), F.col("wanted")).alias("lent"))
+    full = whole.join(after.select(*_PLACE, "n", "half"), _PLACE).join(lent, _PLACE)
+    kept = F.expr("substring(text, 1, length(text) - half)")
+    texts = F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.concat(kept, "lent").alias("text")), F.when(F.col("n") > 1, F.struct(F.lit(2).alias("which"), F.concat(kept, F.substring(F.col("text"), F.lit(1), F.col("half"))).alias("text"))))
+    each = full.select(*_PLACE, F.length("text").cast("long").alias("n_chars"), F.explode(F.filter(texts, lambda t: t.isNotNull())).alias("t")).select(*_PLACE, "n_chars", "t.*")
     # the digest rides along as numbers, which a hash aggregate can hold
-    digest = edited.withColumn("sha", F.sha2(F.encode("edited", "UTF-8"), 256))
+    digest = each.withColumn("sha", F.sha2(F.encode("text", "UTF-8"), 256))
     pieces = [F.conv(F.substring("sha", 1 + 13 * i, 13), 16, 10).cast("long").alias(c) for i, c in enumerate(_SHA)]
-    rows = digest.select("part", "row", F.col("guest").cast("int").alias("guest"), "doc_id", "n_chars", *pieces, F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("t"))
-    carried = ["guest", "doc_id", "n_chars", *_SHA]
-    terms = _terms(rows.select("part", "row", *carried, "t.which", "t.text"), "text", ["part", "row", "which", *carried])
-    voted = _votes(terms, ["part", "row", "which"], carried)
-    paired = voted.groupBy("part", "row").agg(*[F.max(c).alias(c) for c in carried], *[F.max(F.when(F.col("which") == w, F.col(f"fp{i}"))).alias(f"{name}{i}") for w, name in ((0, "fp"), (1, "edited")) for i in (1, 2)])
-    order = Window.partitionBy("part").orderBy("row")
-    full = paired.select("*", F.lead("fp1").over(order).alias("next1"), F.lead("fp2").over(order).alias("next2")).where("guest = 0")
+    carried = ["n_chars", *_SHA]
+    terms = _terms(digest.select(*_PLACE, "which", "n_chars", *pieces, "text"), "text", [*_PLACE, "which", *carried])
+    voted = checkpointed(_votes(terms, [*_PLACE, "which"], carried))
+    own = voted.where("which = 0").select(*_PLACE, "fp1", "fp2")
+    following = own.select(place.alias("next"), F.col("fp1").alias("next1"), F.col("fp2").alias("next2"))
+    edits = voted.where("which > 0").withColumnsRenamed({"fp1": "edited1", "fp2": "edited2"})
+    both = edits.join(own, _PLACE).join(after.select(*_PLACE, "n", "next"), _PLACE).join(following, "next")
+    # of equal rows, all but the last are followed by their like
+    rows = both.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.when(F.col("which") == 1, 1).otherwise(F.col("n") - 1).cast("int"))))
     sha = F.concat(*[F.lpad(F.lower(F.hex(c)), 13 if i < 4 else 12, "0") for i, c in enumerate(_SHA)])
-    return full.select("doc_id", "n_chars", sha.alias("edited_sha256"), _hex("fp").alias("fingerprint"), _hex("edited").alias("edited_fingerprint"), _alike("fp", "edited").alias("near_edited"), _alike("fp", "next").alias("near_next"), "fp1", "fp2")
+    near_next = F.when(F.col("which") == 1, _alike("fp", "next")).otherwise(1.0)
+    return rows.select(F.when(F.col("given") == 1, F.col("id")).alias("doc_id"), "n_chars", sha.alias("edited_sha256"), _hex("fp").alias("fingerprint"), _hex("edited").alias("edited_fingerprint"), _alike("fp", "edited").alias("near_edited"), near_next.alias("near_next"), "fp1", "fp2")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_same, n_within.
 
-    n_within is the number of other fingerprints within RADIUS bits, for the documents whose id is divisible by 50; null
-    for the others.
+    For the documents whose id is divisible by 50, null for the others: n_same is the number of other documents with the
+    same fingerprint, n_within that of all others whose fingerprints lie within RADIUS bits, those with the same included.
     """
     rows = checkpointed(edited_fingerprints(plain_table(spark, sf_dir, "documents", "doc_id", "text")))
     asked = rows.where(F.col("doc_id") % 50 == 0)
-    found = neighbours(asked, rows).groupBy(F.col("q1").alias("fp1"), F.col("q2").alias("fp2")).agg(F.count("*").alias("n_found"))
-    counted = rows.join(found, ["fp1", "fp2"], "left")
-    within = F.when(F.col("doc_id") % 50 == 0, F.coalesce("n_found", F.lit(0)))
-    return counted.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", within.alias("n_within"))
+    classes = rows.groupBy("fp1", "fp2").agg(F.count("*").alias("size"))
+    found = neighbours(asked, rows).join(classes, ["fp1", "fp2"])
+    linked = found.groupBy(F.col("q1").alias("fp1"), F.col("q2").alias("fp2")).agg((F.sum(F.when(F.col("distance") == 0, F.col("size"))) - 1).alias("n_same"), (F.sum("size") - 1).alias("n_within"))
+    counted = rows.join(linked, ["fp1", "fp2"], "left")
+    own = [F.when(F.col("doc_id") % 50 == 0, F.col(c)).alias(c) for c in ("n_same", "n_within")]
+    return counted.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", *own)

@@ -28,7 +28,8 @@ def by_hand(text):
 def check(spark, rows):
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, fp1 string")
     got = P.edited_fingerprints(docs).collect()
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42))))
     want = []
     for i, (d, t) in enumerate(ordered):
         t, following = t or "", ordered[(i + 1) % len(ordered)][1] or ""
@@ -67,11 +68,41 @@ def test_search_finds_all_within_the_radius(spark):
     asked = values[::3]
     rows = P.neighbours(spark.createDataFrame([(signed(v & (1 << 64) - 1), signed(v >> 64)) for v in asked], "fp1 long, fp2 long"), table).collect()
     join = lambda a, b: (a % (1 << 64)) | (b % (1 << 64)) << 64
-    want = {(q, v, (q ^ v).bit_count()) for q in asked for v in values if 0 < (q ^ v).bit_count() <= 3}
+    want = {(q, v, (q ^ v).bit_count()) for q in asked for v in values if (q ^ v).bit_count() <= 3}
     assert {(join(r.q1, r.q2), join(r.fp1, r.fp2), r.distance) for r in rows} == want and len(rows) == len(want)
 
 
-def test_edited_texts_are_nearer_than_others(spark):
-    rows = P.query(spark, "/root/testdata/sf0.01").collect()
-    assert sum(r.near_edited > r.near_next for r in rows) / len(rows) > 0.95
-    assert all((r.n_within is not None) == (r.doc_id % 50 == 0) for r in rows)
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = P.query(spark, sf).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    prints = {d: int(by_hand(t), 16) for d, t in texts.items()}
+    assert len(rows) == len(texts) and sum(r.near_edited > r.near_next for r in rows) / len(rows) > 0.95
+    for r in rows:
+        assert int(r.fingerprint, 16) == prints[r.doc_id]
+        if r.doc_id % 50:
+            assert r.n_same is None and r.n_within is None
+        else:
+            far = [(prints[r.doc_id] ^ v).bit_count() for d, v in prints.items() if d != r.doc_id]
+            assert (r.n_same, r.n_within) == (far.count(0), sum(x <= 3 for x in far))
+
+
+def test_links_of_equal_fingerprints_are_counted(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, text if i % 2 else f"own text number {i} " * 9) for i in range(40, 61)] + [(100, text), (150, None), (200, ""), (250, text + " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_same, r.n_within) for r in P.query(spark, str(tmp_path)).collect()}
+    assert got[100][0] == 10 and got[100][1] >= got[100][0] and got[150] == got[200] and got[150][0] == 1 and got[50][0] == 0
+
+
+def test_ranges_are_even_whatever_the_ids(spark):
+    dense, spread = spark.range(200_000).selectExpr("id as doc_id"), spark.range(200_000).selectExpr("1000000 + id * 30000000000 as doc_id")
+    crowd = spark.range(100_000).selectExpr("cast(7 as long) as doc_id", "cast(id as string) as text")
+    docs = dense.unionByName(spread).selectExpr("doc_id", "'a' as text").unionByName(crowd)
+    keys = P._placed(docs).groupBy(*P._PLACE).count().repartitionByRange(40, *P._PLACE)
+    sizes = [r["count"] for r in keys.groupBy(P.F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * 500_000 / 40
+    after = P._successors(P._placed(docs))
+    assert after.count() == after.select("next").distinct().count() == 500_000
+    wrong = after.where("(given, id, k1, k2) >= (next.given, next.id, next.k1, next.k2)").count()
+    assert wrong == 1  # the last one's
