@@ -44,6 +44,6 @@ def map_columns(df: DataFrame, needs: Sequence[str], fields: Sequence[T.StructFi
     return shaped.mapInArrow(run, schema)
 
 
-def hashed_share(column: str) -> F.Column:
-    """A number in [0, 1) that follows from the column's value alone: rows below a bound are a sample of that share."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(97), F.col(column)), 11) / F.lit(float(1 << 53))
+def hashed_share(*columns: str) -> F.Column:
+    """A number in [0, 1) that follows from the columns' values alone: rows below a bound are a sample of that share."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(97), *[F.col(c) for c in columns]), 11) / F.lit(float(1 << 53))

@@ -3,13 +3,16 @@
 The patterns give the base spans, which always stay. Around them a field is laid over the suspicious tokens of a document:
 neighbours share chain potentials, and distant tokens that are equal or alike share skip potentials. Loopy message
 passing then carries a label that one mention has to the mentions that no pattern catches. What it adds carries the kinds
-`linked_email`, `linked_ip`, `linked_card`, `linked_phone` and `secret`.
+`linked_email`, `linked_ip`, `linked_card`, `linked_phone` and `secret`. The weights are learnt together, from documents
+to which altered mentions of their own spans are added; see lessons().
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +26,13 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS, "secret")
 ADDED = (None, *[f"linked_{k}" for k in KINDS], "secret")
 ORDER = {k: i for i, k in enumerate([*KINDS, *[a for a in ADDED if a]])}
-#: Documents that the field's weights are learnt from, a sample by hashed id, and the longest text taken.
+SECRET = len(LABELS) - 1
+SAME, ALIKE = 0, 1
+#: Documents that the field's weights are learnt from, a sample by hash; what they teach comes to the driver as counts of
+#: patterns, of which so many at most, the most frequent.
 FIT_ROWS = 8_000
-FIT_CHARS = 20_000
-ROUNDS = 8
+FIT_PATTERNS = 50_000
+ROUNDS = 40
 DAMPING = 0.3
 #: Marginal probability from which a label is added.
 CERTAIN = 0.6
@@ -82,14 +88,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 @dataclass(frozen=True)
 class Field:
-    """Weights of the field: unary (features x labels), chain and skip (labels x labels, logarithms)."""
+    """Weights of the field, all learnt together: unary (features x labels), and symmetric tables of labels by kind of link."""
 
     unary: tuple[tuple[float, ...], ...]
     chain: tuple[tuple[float, ...], ...]
-    skip: tuple[tuple[float, ...], ...]
+    same: tuple[tuple[float, ...], ...]
+    alike: tuple[tuple[float, ...], ...]
 
 
-FEATURES = ("bias", "at sign", "dotted", "digits only", "12 to 19 digits", "luhn", "9 to 15 digits", "long token", "hex", "letters and digits", "plus", "after = or :", "few digits", "number before", "number after", "few digits alone")
+FEATURES = ("bias", "at sign", "dotted", "digits only", "12 to 19 digits", "luhn", "9 to 15 digits", "long token", "hex", "letters and digits", "plus", "after = or :", "few digits", "number before", "number after", "few digits alone", "long hex after = or :")
+_EDGE = ".,;:!?()[]{}\"'#$%&*|"
+_NUMBER = re.compile("[0-9]+")
+_ALNUM = re.compile(r"[\W_]+")
 
 
 @dataclass
@@ -100,17 +110,19 @@ class _Token:
     before: str
     after: str
     known: int  # label of the base span that covers part of it, or -1
+    whole: str  # digits of the base span that ends in it, if that has other tokens too
 
 
 def _features(token: _Token) -> list[float]:
     token, before, after = token.text, token.before, token.after
     digits = _digits(token)
     n = len(digits)
-    core = token.strip(".,;:!?()[]{}\"'#$%&*")
+    core = token.strip(_EDGE)
     left, right = before[-1:].isdigit() or before[-1:] == ")", after[:1].isdigit() or after[:1] in ("(", "+") and after[1:2].isdigit()
+    assigned = before.rstrip("\"'| ").endswith(("=", ":"))
     return [
         1.0, "@" in token, core.count(".") >= 3, bool(core) and n == len(core), 12 <= n <= 19, 12 <= n <= 19 and _luhn(digits), 9 <= n <= 15, len(core) >= 20,
-        len(core) >= 20 and all(c in "0123456789abcdefABCDEF" for c in core), bool(n) and any(c.isalpha() for c in core), core.startswith("+"), before.rstrip("\"'").endswith(("=", ":")), n < 5, left, right, n < 5 and not left and not right,
+        len(core) >= 20 and all(c in "0123456789abcdefABCDEF" for c in core), bool(n) and any(c.isalpha() for c in core), core.startswith("+"), assigned, n < 5, left, right, n < 5 and not left and not right, assigned and _shaped_like_a_secret(core),
     ]
 
 
@@ -136,129 +148,223 @@ def _tokens(text: str, spans: list[tuple[int, int, str]]) -> list[_Token]:
     for start, end in sorted(set(places)):
         while k < len(spans) and spans[k][1] <= start:
             k += 1
-        j, known = k, -1
+        j, known, whole = k, -1, ""
         while j < len(spans) and spans[j][0] < end:
             if spans[j][1] > start:
                 known = KINDS.index(spans[j][2]) + 1
+                if spans[j][0] < start and spans[j][1] <= end:
+                    whole = _digits(text[spans[j][0] : spans[j][1]])
                 break
             j += 1
-        tokens.append(_Token(start, end, text[start:end], text[max(0, start - 12) : start].rstrip(" "), text[end : end + 4].lstrip(" "), known))
+        tokens.append(_Token(start, end, text[start:end], text[max(0, start - 12) : start].rstrip(" "), text[end : end + 4].lstrip(" "), known, whole))
     return tokens
 
 
-def _keys(token: _Token) -> list[str]:
-    """What mentions of one thing have in common: the bare token, its digits, its last digits, an address's local part."""
-    bare = token.text.strip(".,;:!?()[]{}\"'#$%&*|").casefold()
-    keys = [f"b{bare}"]
-    digits = _digits(bare)
-    if len(digits) >= 7:
-        keys += [f"d{digits}", f"t{digits[-7:]}"]
-    keys.append(f"l{bare.split('@')[0]}")
-    return keys
+def _grams(bare: str) -> set[str]:
+    letters = _ALNUM.sub("", bare)
+    return {letters[i : i + 4] for i in range(len(letters) - 3)}
 
 
-def _pairs(tokens: list[_Token]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain pairs of tokens next to each other, and skip pairs: each token with the one before it that shares a key."""
-    chain = [(i - 1, i) for i in range(1, len(tokens)) if tokens[i].start - tokens[i - 1].end <= 2]
-    last: dict[str, int] = {}
-    skip = []
-    for i, token in enumerate(tokens):
-        keys = _keys(token)
-        skip += sorted({(last[k], i) for k in keys if k in last} - set(chain))
-        last.update(dict.fromkeys(keys, i))
-    return chain, skip
+def _keys(token: _Token) -> list[tuple[str, int]]:
+    """What mentions of one thing have in common, and the kind of link that it makes.
 
+    SAME: the bare token, all its digits, four numbers or more whatever parts them. ALIKE: the digits' head or tail, an address's local part, and the two four-letter
+    pieces with the smallest checksums, by which links are only made if half of all pieces are shared.
+    """
+    bare = token.text.strip(_EDGE).casefold()
+    keys = [(f"b{bare}", SAME)] if len(bare) > 4 else []
+    for digits in {_digits(bare), token.whole}:
+        if len(digits) >= 7:
+            keys += [(f"d{digits}", SAME), (f"t{digits[-7:]}", ALIKE)]
+            if len(digits) >= 10:
+                keys.append((f"h{digits[:8]}", ALIKE))
+    if len(groups := _NUMBER.findall(bare)) > 3:
+        keys.append(("n" + "-".join(groups), SAME))
+    if len(local := bare.split("@")[0]) > 3:
+        keys.append((f"l{local}", ALIKE))
+    if 10 <= len(bare) <= 80:
+        keys += [(f"g{g}", ALIKE) for g in sorted(_grams(bare), key=lambda g: zlib.crc32(g.encode()))[:2]]
+    return keys
 
-def _hubs(tokens: list[_Token]) -> list[tuple[int, int]]:
-    """Pairs of a token and the first base span of every kind that it shares a key with."""
-    first: dict[str, dict[int, int]] = {}
-    for i, token in enumerate(tokens):
-        if token.known >= 0:
-            for k in _keys(token):
-                first.setdefault(k, {}).setdefault(token.known, i)
-    unknown = [i for i, t in enumerate(tokens) if t.known < 0] if first else []
-    return sorted({(min(i, h), max(i, h)) for i in unknown for k in _keys(tokens[i]) for h in first.get(k, {}).values()})
 
+def _links(tokens: list[_Token]) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+    """Chain links of tokens next to each other; skip links SAME and ALIKE, each of an earlier and a later token.
 
-def _seed_label(token: _Token) -> int:
-    """Label that a token has for learning: its base span's, or secret for long keys, which need no other rule."""
+    A token is linked to the one before it with which it shares a key, and to the first base span of each kind that shares
+    one, so that evidence is one link away however many mentions lie between. A pair has one link, the strongest. Time and
+    links are in proportion to the tokens.
+    """
+    chain = {(i - 1, i) for i in range(1, len(tokens)) if tokens[i].start - tokens[i - 1].end <= 2}
+    keys = [_keys(t) for t in tokens]
+    first: dict[str, dict[int, int]] = {}
+    for i, t in enumerate(tokens):
+        if t.known >= 0:
+            for k, _ in keys[i]:
+                first.setdefault(k, {}).setdefault(t.known, i)
+    last: dict[str, int] = {}
+    found: tuple[set, set] = (set(), set())
+    for i in range(len(tokens)):
+        for k, kind in keys[i]:
+            for j in {*first.get(k, {}).values(), *([last[k]] if k in last else [])} - {i}:
+                if k[0] == "g":
+                    a, b = _grams(tokens[i].text.casefold()), _grams(tokens[j].text.casefold())
+                    if 2 * len(a & b) < len(a | b):
+                        continue
+                found[kind].add((min(i, j), max(i, j)))
+            last[k] = i
+    same = found[SAME] - chain
+    return sorted(chain), sorted(same), sorted(found[ALIKE] - same - chain)
+
+
+def _shaped_like_a_secret(core: str) -> bool:
+    return bool(_SECRET_SHAPE.fullmatch(core)) and any(c.isalpha() for c in core) and any("0" <= c <= "9" for c in core)
+
+
+def _taught_label(token: _Token) -> int:
+    """Label that a token has for learning: its base span's, secret for a long key that something is set to, else none."""
     if token.known >= 0:
         return token.known
-    core = token.text.strip(".,;:!?()[]{}\"'#$%&*")
-    letters, digits = any(c.isalpha() for c in core), any("0" <= c <= "9" for c in core)
-    return len(LABELS) - 1 if letters and digits and _SECRET_SHAPE.fullmatch(core) else 0
+    assigned = token.before.rstrip("\"'| ").endswith(("=", ":"))
+    return SECRET if assigned and _shaped_like_a_secret(token.text.strip(_EDGE)) else 0
 
 
-def fit(texts: list[str]) -> Field:
-    """Weights from the base spans of the texts themselves: unary ones by regularised softmax regression on shapes, chain
-    and skip potentials from how often linked tokens share labels."""
-    n = len(LABELS)
-    x, y, counts = [], [], {"chain": np.ones((n, n)), "skip": np.eye(n) * 8 + 0.5}
-    for text in texts:
-        tokens = _tokens(text, base_spans(text))
-        labels = [_seed_label(t) for t in tokens]
-        x += [_features(t) for t in tokens]
-        y += labels
-        for name, pairs in zip(("chain", "skip"), _pairs(tokens)):
-            for i, j in pairs:
-                counts[name][labels[i], labels[j]] += 1
-                counts[name][labels[j], labels[i]] += 1
-    weight = np.zeros((len(FEATURES), n))
-    if x:
-        features, target = np.array(x, float), np.eye(n)[y]
-        for _ in range(400):
-            p = np.exp(features @ weight)
-            p /= p.sum(1, keepdims=True)
-            weight += 2.0 * (features.T @ (target - p) / len(x) - 1e-3 * weight)
+def _altered(value: str, label: int, turn: int) -> str:
+    """A form of a value that the patterns don't catch but a reader knows again."""
+    digits = _digits(value)
+    if label == SECRET:
+        return value
+    if LABELS[label] == "email":
+        return value.split("@")[0]
+    if LABELS[label] == "ip":
+        return value.replace(".", "-")
+    if LABELS[label] == "card":
+        return digits[-10:] if turn % 2 else "7" * 12 + " " + digits
+    return (digits, digits[-10:], digits[-7:-4] + "-" + digits[-4:], " ".join((digits[-10:-7], digits[-7:-4], digits[-4:])))[turn % 4]
 
-    def potential(c):
-        joint = c / c.sum()
-        side = joint.sum(1)
-        return np.clip(np.log(joint / np.outer(side, side)), -4, 4)
 
-    as_tuple = lambda a: tuple(map(tuple, np.round(a, 6).tolist()))
-    return Field(as_tuple(weight), as_tuple(np.clip(potential(counts["chain"]), -1, 1)), as_tuple(potential(counts["skip"])))
+def _another(value: str, seed: int) -> str:
+    """A value of the same shape that names something else."""
+    return "".join(str((int(c) + 1 + (seed + 7 * i) % 8) % 10) if "0" <= c <= "9" else "fedcba"[(ord(c) + seed) % 6] if c in "abcdef" else c for i, c in enumerate(value))
 
 
-def marginals(field: Field, tokens: list[_Token]) -> np.ndarray:
-    """Marginal label probabilities of the tokens by damped loopy sum-product message passing; base spans are evidence.
+def lessons(text: str) -> list[tuple[str, int]]:
+    """What one text teaches: (pattern, label) of each token whose label the patterns don't say.
 
-    Messages move one link a round and end after ROUNDS. So that it doesn't matter how many mentions lie between, a
-    token that shares a key with a base span is linked to that itself, and no longer to other such tokens.
+    Every value that the text has labelled, four of each label at most, is told again behind it in an altered form, next to
+    another value of the same form that has no label. So a form alone doesn't say whether a token is personal data, and the
+    weights of links can only be learnt from what distant mentions have. A pattern has the token's features, and how many
+    neighbours with each label it has by each kind of link, three at most. Half of the secrets aren't told again, as their
+    own form must be learnt too, and half of the rest is told twice.
+    """
+    spans = base_spans(text)
+    values: dict[int, dict[str, None]] = {}
+    for s, e, k in spans:
+        values.setdefault(KINDS.index(k) + 1, {})[text[s:e]] = None
+    for t in _tokens(text, spans):
+        if t.known < 0 and _taught_label(t) == SECRET:
+            values.setdefault(SECRET, {})[t.text.strip(_EDGE)] = None
+    told, parts, at = {}, [text], len(text)
+    for label, some in values.items():
+        for turn, value in enumerate(list(some)[:4]):
+            seed = zlib.crc32(value.encode())
+            form = _altered(value, label, seed + turn)
+            forms = [] if label == SECRET and seed % 2 else [(form, label), (_another(form, seed), 0)]
+            for form, own in forms * (1 + (seed >> 1) % 2):
+                lead = "\nagain, "
+                told[at + len(lead), at + len(lead) + len(form)] = own
+                parts += [lead, form, " then"]
+                at += len(lead) + len(form) + 5
+    whole = "".join(parts)
+    tokens = _tokens(whole, base_spans(whole))
+    labels, places, k = [], sorted(told.items()), 0
+    for t in tokens:
+        while k < len(places) and places[k][0][1] <= t.start:
+            k += 1
+        inside = k < len(places) and places[k][0][0] < t.end
+        labels.append(t.known if t.known >= 0 else places[k][1] if inside and not t.text.startswith("7" * 12) else 0 if inside else _taught_label(t))
+    counts = np.zeros((len(tokens), 3, len(LABELS)), int)
+    for kind, pairs in enumerate(_links(tokens)):
+        for i, j in pairs:
+            counts[i, kind, labels[j]] += 1
+            counts[j, kind, labels[i]] += 1
+    near = np.minimum(counts, 3).reshape(len(tokens), 3 * len(LABELS))
+    return [("".join(str(int(x)) for x in [*_features(t), *near[i]]), labels[i]) for i, t in enumerate(tokens) if t.known < 0]
+
+
+def learn(patterns: dict[tuple[str, int], int]) -> Field:
+    """Weights that maximise the regularised pseudo-likelihood of the patterns' labels, with how often each was met.
+
+    Unary, chain and skip weights are learnt together, by gradient ascent with momentum; the tables of links are kept
+    symmetric. Each pattern counts with the square root of its number, so that the commonest don't drown the others.
     """
+    n, f = len(LABELS), len(FEATURES)
+    weight = np.zeros((f + 3 * n, n))
+    if patterns:
+        rows = sorted(patterns)
+        x = np.array([list(map(int, p)) for p, _ in rows], float)
+        share = np.sqrt([patterns[r] for r in rows])
+        share /= share.sum()
+        target = np.eye(n)[[y for _, y in rows]]
+        speed = np.zeros_like(weight)
+        for _ in range(1500):
+            p = np.exp(x @ weight - (x @ weight).max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            step = x.T @ ((target - p) * share[:, None]) - 3e-4 * weight
+            for k in range(3):
+                own = step[f + k * n : f + (k + 1) * n]
+                own[:] = (own + own.T) / 2
+            speed = 0.9 * speed + step
+            weight += 0.5 * speed
+    as_tuple = lambda a: tuple(map(tuple, np.round(a, 6).tolist()))
+    return Field(as_tuple(weight[:f]), *[as_tuple(weight[f + k * n : f + (k + 1) * n]) for k in range(3)])
+
+
+def fit(texts: list[str]) -> Field:
+    """The field that these texts teach."""
+    return learn(Counter(p for text in texts for p in lessons(text)))
+
+
+def marginals(field: Field, tokens: list[_Token]) -> np.ndarray:
+    """Marginal label probabilities of the tokens by damped loopy sum-product message passing; base spans are evidence."""
     n = len(LABELS)
     own = np.array([_features(t) for t in tokens], float) @ np.array(field.unary)
     for i, t in enumerate(tokens):
         if t.known >= 0:
             own[i] = -1e9  # no number of messages outweighs evidence
             own[i, t.known] = 0.0
-    chain, skip = _pairs(tokens)
-    hubs = _hubs(tokens)
-    reached = {i for pair in hubs for i in pair}
-    skip = sorted({*(p for p in skip if not reached.issuperset(p)), *hubs} - set(chain))
-    links = np.array([*chain, *skip], int).reshape(-1, 2)
-    if not len(links):
-        belief = own
-    else:
-        tables = np.array([field.chain] * len(chain) + [field.skip] * len(skip)).reshape(-1, n, n)
-        source = np.concatenate([links[:, 0], links[:, 1]])
-        target = np.concatenate([links[:, 1], links[:, 0]])
-        tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
+    found = _links(tokens)
+    links = np.array([p for pairs in found for p in pairs], int).reshape(-1, 2)
+    kind = np.repeat(np.arange(3), [len(p) for p in found])
+    belief = own.copy()
+    # a message goes one link a round: what no token with evidence reaches in time stays as it is
+    known = np.array([t.known >= 0 for t in tokens])
+    reached = known | (np.exp(own - own.max(1, keepdims=True)).sum(1) > 1.1) | (own.argmax(1) > 0)
+    for _ in range(ROUNDS if len(links) else 0):
+        wider = reached.copy()
+        for here, there in ((0, 1), (1, 0)):
+            wider[links[reached[links[:, here]], there]] = True
+        if (wider == reached).all():
+            break
+        reached = wider
+    needed = reached[links].all(1) & ~known[links].all(1) if len(links) else np.zeros(0, bool)
+    links, kind = links[needed], kind[needed]
+    if len(links):
+        kind = np.concatenate([kind, kind])
+        tables = np.exp(np.array([field.chain, field.same, field.alike]))
+        source, target = np.concatenate([links[:, 0], links[:, 1]]), np.concatenate([links[:, 1], links[:, 0]])
         back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
-        message = np.zeros((len(source), n))
+        message, fresh = np.zeros((2, len(source), n))
         for _ in range(ROUNDS):
-            belief = own.copy()
-            np.add.at(belief, target, message)
-            out = (belief[source] - message[back])[:, :, None] + tables
-            top = out.max(1)
-            fresh = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-            fresh -= fresh.max(1, keepdims=True)
+            out = belief[source] - message[back]
+            out = np.exp(out - out.max(1, keepdims=True))
+            for k in range(3):
+                fresh[kind == k] = out[kind == k] @ tables[k]
+            fresh = np.log(fresh / fresh.max(1, keepdims=True))
             change = np.abs(fresh - message).max()
             message = DAMPING * message + (1 - DAMPING) * fresh
+            belief = own + np.stack([np.bincount(target, m, len(own)) for m in message.T], 1)
             if change < 1e-4:
                 break
-        belief = own.copy()
-        np.add.at(belief, target, message)
     p = np.exp(belief - belief.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
@@ -289,20 +395,24 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 
 
 def fit_on(docs: DataFrame, rows: int = FIT_ROWS) -> Field:
-    """Weights from about `rows` documents, or all if there are fewer: those whose hashed id is small enough.
+    """The field that about `rows` documents teach, or all if there are fewer: those whose hash of id and text is small enough.
 
-    Only their texts of at most FIT_CHARS characters that hold a digit or an at sign come to the driver, 2 x rows at most.
+    Whole texts are read where they lie; only counts of patterns come to the driver. The result doesn't depend on how the
+    table is dealt out.
     """
     share = rows / max(1, docs.count())
-    some = docs.where((hashed_share("doc_id") < share) & (F.length("text") <= FIT_CHARS) & F.col("text").rlike("[0-9@]")).select("doc_id", "text")
-    return fit([r["text"] for r in sorted(some.limit(2 * rows).collect(), key=lambda r: (r["doc_id"] or 0, r["text"]))])
+    some = docs.where(hashed_share("doc_id", "text") < share).select("text")
+    taught = map_columns(some, ["text"], [T.StructField("lessons", T.ArrayType(T.StringType()))], lambda texts: [[[f"{p} {y}" for p, y in lessons(t or "")] for t in texts]], [])
+    counted = taught.select(F.explode("lessons").alias("lesson")).groupBy("lesson").agg(F.count("*").alias("n"))
+    most = counted.orderBy(F.desc("n"), "lesson").limit(FIT_PATTERNS).collect()
+    return learn({(p, int(y)): r["n"] for r in most for p, y in [r["lesson"].split(" ")]})
 
 
-FIELDS = [*[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
+FIELDS = [*[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_spans", T.LongType())]
 
 
 def find(docs: DataFrame, field: Field, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds n_email, n_ip, n_card, n_phone (spans of exactly these kinds), base_sha256 and spans to every row.
+    """Adds n_email, n_ip, n_card, n_phone (spans of exactly these kinds), base_sha256, spans and n_spans (all) to every row.
 
     Whole texts are searched. A null text counts as empty: no spans, and the digest of the empty string. Repeated rows stay
     and get equal spans; input columns named like an added one are replaced. An empty table gives an empty table.
@@ -314,7 +424,7 @@ def find(docs: DataFrame, field: Field, text: str = "text", keep: list[str] | No
         for t in texts:
             base, spans = all_spans(shared.value, t or "")
             kinds = [k for _, _, k in base]
-            out.append((*[kinds.count(k) for k in KINDS], hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
+            out.append((*[kinds.count(k) for k in KINDS], hashlib.sha256(written(base).encode()).hexdigest(), written(spans), len(spans)))
         return list(zip(*out)) if out else [[] for _ in FIELDS]
 
     return map_columns(docs, [text], FIELDS, work, keep)
@@ -338,6 +448,6 @@ def masked(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, counts by kind, base_sha256 and spans of every document."""
+    """doc_id, counts by kind, base_sha256, spans and n_spans of every document."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return find(docs, fit_on(docs), keep=["doc_id"])

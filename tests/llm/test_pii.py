@@ -1,5 +1,8 @@
 import hashlib
+import random
 import re
+import time
+from dataclasses import replace
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,7 +54,7 @@ def test_base_spans_stay_and_others_are_added():
 
 
 def test_marginals_are_probabilities():
-    tokens = pii._tokens("a1 b2 a1 c3 a1 +1 22 a1", [])
+    tokens = pii._tokens("a1b2c a1b2c c3 a1b2c +1 22 a1b2c", [])
     p = pii.marginals(FIELD, tokens)
     assert p.shape == (len(tokens), len(pii.LABELS)) and abs(p.sum(1) - 1).max() < 1e-9
 
@@ -79,6 +82,55 @@ def test_query_against_brute_force(spark):
         assert {pii.written([b]) for b in base} <= set(r.spans.split(","))
 
 
+NOTHING = tuple((0.0,) * len(pii.LABELS) for _ in pii.LABELS)
+
+
+def planted(seed):
+    """A text that names one value of each kind as the patterns want it and again in a form that they don't catch; and the
+    spans of the second forms, which only a link to the first can tell from the numbers beside them."""
+    rng = random.Random(seed)
+    number = lambda n: "".join(rng.choices("123456789", k=n))
+    card = number(15)
+    card += next(d for d in "0123456789" if pii._luhn(card + d))
+    phone, local, ip = number(10), f"name{number(3)}", ".".join(str(rng.randrange(1, 100)) for _ in range(4))
+    first = [f"{local}@mail.example.com", ip, card, f"+1 ({phone[:3]}) {phone[3:6]}-{phone[6:]}"]
+    again = [(local, "linked_email"), (ip.replace(".", "-"), "linked_ip"), (card[-10:], "linked_card"), (phone, "linked_phone")]
+    words = lambda n: " ".join(rng.choices(["wo", "ist", "der", "hund"], k=n))
+    parts = [f"{words(5)} {x}" for x in first] + [words(300)]
+    wanted, text = set(), " ".join(parts)
+    for x, kind in rng.sample(again, 4):
+        text += f" {words(4)} " + (f"{number(10)} {words(3)} " if rng.random() < 0.5 else "")
+        wanted.add((len(text), len(text) + len(x), kind))
+        text += x
+    return text + " end", wanted
+
+
+def test_skip_links_find_what_nothing_else_does(spark):
+    field = pii.fit_on(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    alone = replace(field, same=NOTHING, alike=NOTHING)
+    met = missed = wrong = without = 0
+    for seed in range(100):
+        text, wanted = planted(seed)
+        base, spans = pii.all_spans(field, text)
+        added = set(spans) - set(base)
+        assert len(base) == 4
+        met, missed, wrong = met + len(added & wanted), missed + len(wanted - added), wrong + len(added - wanted)
+        without += len(set(pii.all_spans(alone, text)[1]) & wanted)
+    assert met > 360 and wrong < 20 and without < 20, (met, missed, wrong, without)
+
+
+def test_time_is_linear_in_the_text():
+    for text in (" ".join(str(1234567 + i * 7919) for i in range(40_000)), "10.1.2.3 and 10-1-2-3 " * 15_000, "a1b2c3d4e5f6 " * 40_000):
+        began = time.perf_counter()
+        pii.all_spans(FIELD, text)
+        assert time.perf_counter() - began < 25
+
+
+def test_the_field_follows_from_the_table_alone(spark):
+    docs = spark.createDataFrame([(None if i % 9 == 0 else i, f"Mail a.b{i}@c.example or +1 (407) 555-{i:04d}. token = \"{hashlib.md5(str(i).encode()).hexdigest()}\"" * (1 + i % 3)) for i in range(200)], "doc_id long, text string")
+    assert pii.fit_on(docs.repartition(7), 100) == pii.fit_on(docs.orderBy("text").coalesce(1), 100) != pii.fit_on(docs)
+
+
 def test_nothing_to_learn_from():
     field = pii.fit([])
     assert pii.all_spans(field, "10.0.0.1 and 7")[0] == [(0, 8, "ip")]
