@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.common import map_columns, read_table
@@ -26,11 +27,13 @@ NO_PREDICTOR, HORIZONTAL = 1, 2
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 CLEAR, END = 256, 257
 
-#: Bytes of a row of a stored payload, and rows of a page.
+#: Bytes of a row of a stored payload, and rows of a page at most.
 ROW = 576
 PAGE_ROWS = 64
-#: Payloads of at most this many rows are stored with LZW, whose codes depend on one another byte by byte.
-LZW_ROWS = 8
+#: Bytes that a page may have when it is read; a larger one is an error, as is one that its strips or tiles can't hold.
+MOST_BYTES = 1 << 30
+#: Bytes that one stored byte can stand for at most, by the coding's own rules.
+GROWTH = {NONE: 1, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 64}
 
 
 class TiffError(ValueError):
@@ -106,17 +109,16 @@ def lzw_encode(data: bytes) -> bytes:
         table[key] = free
         free += 1
         prefix = byte
-        if free + 1 > 1 << width:
+        if free == 4095:  # the last code of 12 bits is never given out
+            codes.append(CLEAR)
+            widths.append(12)
+            table, free, width = {}, 258, 9
+        elif free == 1 << width:
             width += 1
-            if width > 12:
-                codes.append(CLEAR)
-                widths.append(12)
-                table, free, width = {}, 258, 9
     if prefix >= 0:
         codes.append(prefix)
         widths.append(width)
-        free += 1
-        if free + 1 > 1 << width:
+        if free + 1 == 1 << width:  # the reader has a code more by then
             width = min(width + 1, 12)
     codes.append(END)
     widths.append(width)
@@ -183,10 +185,8 @@ def _restore(data: bytes, compression: int, size: int) -> bytes:
             out = zlib.decompressobj().decompress(data, size)
         except zlib.error as error:
             raise TiffError(str(error)) from error
-    elif compression == NONE:
-        out = data
     else:
-        raise TiffError(f"compression {compression}")
+        out = data
     if len(out) < size:
         raise TiffError("a strip or tile is too short")
     return out[:size]
@@ -290,17 +290,27 @@ def _page(data: bytes, fields: dict[int, list[int]]) -> Page:
     one = lambda tag, default: fields.get(tag, [default])[0]
     width, height, samples = one(256, 0), one(257, 0), one(277, 1)
     compression, predictor, tiled = one(259, NONE), one(317, NO_PREDICTOR), 324 in fields
+    if not samples:
+        raise TiffError("no samples")
     if not width or not height or any(b != 8 for b in fields.get(258, [1])) or predictor not in (NO_PREDICTOR, HORIZONTAL):
         raise TiffError("only 8-bit samples are read")
     if one(284, 1) != 1 and samples > 1:
         raise TiffError("samples in separate planes aren't read")
+    if compression not in GROWTH:
+        raise TiffError(f"compression {compression}")
     columns, rows = (one(322, 0), one(323, 0)) if tiled else (width, min(one(278, height), height))
+    if not columns or not rows:
+        raise TiffError("tiles or strips without a size")
     starts, sizes = (fields.get(t, []) for t in ((324, 325) if tiled else (273, 279)))
-    across = -(-width // columns) if columns else 0
-    if not rows or len(starts) < across * -(-height // rows) or len(sizes) < len(starts):
+    across = -(-width // columns)
+    blocks = across * -(-height // rows)
+    if len(starts) < blocks or len(sizes) < blocks:
         raise TiffError("strips or tiles are missing")
+    held = sum(max(0, min(size, len(data) - start)) for start, size in zip(starts[:blocks], sizes[:blocks]))
+    if max(width * height, columns * rows) * samples > min(MOST_BYTES, held * GROWTH[compression]):
+        raise TiffError("its strips or tiles can't hold a page of this size")
     image = np.zeros((height, width, samples), np.uint8)
-    for k in range(across * -(-height // rows)):
+    for k in range(blocks):
         y, x = k // across * rows, k % across * columns
         tall = rows if tiled else min(rows, height - y)
         raw = _restore(data[starts[k] : starts[k] + sizes[k]], compression, tall * columns * samples)
@@ -318,10 +328,12 @@ PAGE_FIELDS = "page int, width int, height int, samples int, compression int, pr
 def page_rows(files: DataFrame, content: str = "content", key: str = "doc_id") -> DataFrame:
     """One row per page: key (as a column of that name), page (from 0), size, coding, pixels and error.
 
-    A file that can't be read gives the pages before the fault, and then a row whose error says what was wrong and whose
+    A key named like one of the others comes back with `_key` added. A file that can't be read gives the pages before the fault, and then a row whose error says what was wrong and whose
     other fields are null; so do null and empty content. Repeated rows are read again each; other columns aren't kept.
     """
-    schema = T.StructType([files.schema[key], *T._parse_datatype_string(PAGE_FIELDS).fields])
+    added = T._parse_datatype_string(PAGE_FIELDS).fields
+    named = f"{key}_key" if key in {f.name for f in added} else key
+    schema = T.StructType([T.StructField(named, files.schema[key].dataType), *added])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
@@ -339,7 +351,7 @@ def page_rows(files: DataFrame, content: str = "content", key: str = "doc_id") -
     def row(name, values):
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([name.as_py(), *values], arrow)], schema=arrow)
 
-    return files.select(key, content).mapInArrow(run, schema)
+    return files.select(F.col(f"`{key}`").alias("k"), F.col(f"`{content}`").alias("c")).mapInArrow(run, schema)
 
 
 def pad(text: str) -> bytes:
@@ -348,13 +360,19 @@ def pad(text: str) -> bytes:
     return raw + b"\xff" * (-len(raw) % ROW if raw else ROW)
 
 
+#: The codings that pages of a stored payload take in turn.
+CODINGS = (Layout(LZW, rows=16), Layout(DEFLATE, HORIZONTAL, rows=16, columns=192), Layout(PACKBITS, rows=16), Layout(DEFLATE, rows=32))
+
+
 def store(payload: bytes) -> bytes:
-    """The file of a payload. Its coding follows from its length alone: LZW for short ones, else pages alternate."""
+    """The file of a payload: pages of about the same number of rows, each in the next coding.
+
+    Four rows or more make four pages at least, so that every coding has one.
+    """
     image = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    if len(image) <= LZW_ROWS:
-        return write_tiff([(image, Layout(LZW, rows=LZW_ROWS))])
-    kinds = [Layout(DEFLATE, HORIZONTAL, rows=16, columns=192), Layout(PACKBITS, rows=16), Layout(DEFLATE, rows=32)]
-    return write_tiff([(image[at : at + PAGE_ROWS], kinds[at // PAGE_ROWS % len(kinds)]) for at in range(0, len(image), PAGE_ROWS)])
+    rows = len(image)
+    n = max(min(len(CODINGS), rows), -(-rows // PAGE_ROWS))
+    return write_tiff([(image[rows * k // n : rows * (k + 1) // n], CODINGS[k % len(CODINGS)]) for k in range(n)])
 
 
 def feature(pages: list[Page]) -> str:

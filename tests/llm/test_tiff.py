@@ -19,6 +19,60 @@ def test_codings_come_back(data):
     assert T.unpack_bits(T.pack_bits(data), len(data)) == data
 
 
+def decoded_by_the_book(data):
+    """LZW as the format's text has it: bits from the high end, and wider codes as soon as entries 510, 1022 and 2046 exist."""
+    bits = "".join(f"{b:08b}" for b in data)
+    at, width, table, out, old = 0, 9, {}, b"", None
+    while True:
+        code, at = int(bits[at : at + width], 2), at + width
+        if code == 257:
+            return out
+        if code == 256:
+            table, width, old = {i: bytes([i]) for i in range(256)} | {256: b"", 257: b""}, 9, None
+            continue
+        if old is not None:
+            table[len(table)] = table[old] + (table[code] if code in table else table[old])[:1]
+            width = 9 + (len(table) > 510) + (len(table) > 1022) + (len(table) > 2046)
+        assert len(table) <= 4096
+        out += table[code]
+        old = code
+
+
+def encoded_by_the_book(data):
+    table, bits, omega, width = {bytes([i]): i for i in range(256)} | {-1: 256, -2: 257}, f"{256:09b}", b"", 9
+    for i in range(len(data)):
+        k = data[i : i + 1]
+        if omega + k in table:
+            omega += k
+            continue
+        bits += f"{table[omega]:0{width}b}"
+        table[omega + k] = len(table)
+        omega = k
+        last = len(table) - 1
+        width = 9 + (last >= 511) + (last >= 1023) + (last >= 2047)
+        if last == 4094:
+            bits += f"{256:012b}"
+            table, width = {bytes([i]): i for i in range(256)} | {-1: 256, -2: 257}, 9
+    if omega:
+        bits += f"{table[omega]:0{width}b}"
+        width = 9 + (len(table) >= 511) + (len(table) >= 1023) + (len(table) >= 2047)
+    bits += f"{257:0{width}b}"
+    return bytes(int((bits + "0" * 7)[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+
+def test_lzw_by_the_book():
+    # the example of a published format that has the same codes
+    assert T.lzw_encode(bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])) == bytes.fromhex("800B6050220C0C8501")
+    noise = np.random.default_rng(4).integers(0, 256, 9000, np.uint8).tobytes()
+    # lengths at which the tables reach the borders of 9, 10, 11 and 12 bits, and the one that clears them
+    for n in [*range(250, 260), *range(762, 772), *range(1786, 1796), *range(3832, 3844), 9000]:
+        data = noise[:n]
+        assert T.lzw_encode(data) == encoded_by_the_book(data), n
+        assert decoded_by_the_book(T.lzw_encode(data)) == T.lzw_decode(encoded_by_the_book(data), n) == data
+    for data in SAMPLES[:6]:
+        assert T.lzw_encode(data) == encoded_by_the_book(data) and decoded_by_the_book(T.lzw_encode(data)) == data
+
+
 def test_known_codes():
     assert T.unpack_bits(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA"), 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
 
@@ -56,11 +110,91 @@ def test_directories_in_a_circle():
 
 
 @pytest.mark.parametrize("text", ["", "a", "x" * 576, "y" * 577, "Grüße\n" * 900, "".join(map(chr, range(32, 20_000)))])
-def test_payloads_are_kept(text):
+def test_payloads_are_kept_in_all_codings(text):
     payload = T.pad(text)
     assert len(payload) % 576 == 0 and payload and payload.rstrip(b"\xff") == text.encode().rstrip(b"\xff")
     pages = list(T.read_pages(T.store(payload)))
     assert b"".join(p.pixels for p in pages) == payload and all(p.height <= T.PAGE_ROWS for p in pages)
+    used = {(p.compression, p.predictor, p.tiled) for p in pages}
+    assert len(used) == min(4, len(payload) // 576) and (len(pages) < 4 or {c for c, _, _ in used} == {T.LZW, T.DEFLATE, T.PACKBITS})
+
+
+def header(**changed):
+    """A file of one page, 3 x 2, with some fields' values changed (None: left out)."""
+    fields = {256: 3, 257: 2, 258: 8, 259: 1, 273: 8, 277: 1, 278: 2, 279: 6} | {int(k[1:]): v for k, v in changed.items()}
+    entries = b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(fields.items()) if v is not None)
+    return struct.pack("<2sHI", b"II", 42, 14) + b"abcdef" + struct.pack("<H", len(entries) // 12) + entries + bytes(4)
+
+
+HOSTILE = [
+    dict(t256=1 << 31, t257=1 << 31), dict(t256=1 << 31, t257=1 << 31, t259=8), dict(t257=1 << 20, t278=1 << 20, t259=5), dict(t277=0), dict(t277=60_000), dict(t278=0), dict(t256=0), dict(t273=None), dict(t279=None), dict(t279=0), dict(t273=1 << 30), dict(t259=9),
+    dict(t273=None, t279=None, t324=8, t325=6), dict(t273=None, t279=None, t322=3, t324=8, t325=6), dict(t273=None, t279=None, t322=1 << 31, t323=1 << 31, t324=8, t325=6), dict(t322=0, t323=2, t324=8, t325=6),
+]
+
+
+def test_hostile_headers_give_rows_with_an_error(spark):
+    (page,) = T.read_pages(header())
+    assert page.pixels == b"abcdef"
+    files = spark.createDataFrame([(i, bytearray(header(**h))) for i, h in enumerate(HOSTILE)], "page int, content binary")
+    rows = T.page_rows(files, key="page").collect()
+    assert sorted(r.page_key for r in rows) == list(range(len(HOSTILE))) and all(r.error and r.pixels is None for r in rows)
+
+
+def read_by_the_book(data):
+    """The samples of a file of store(), read without its reader."""
+    at, out = struct.unpack_from("<I", data, 4)[0], b""
+    while at:
+        n = struct.unpack_from("<H", data, at)[0]
+        raw = {t: (k, c, at + 10 + 12 * i) for i in range(n) for t, k, c in [struct.unpack_from("<HHI", data, at + 2 + 12 * i)]}
+        fields = {}
+        for t, (k, c, place) in raw.items():
+            size = {3: 2, 4: 4}[k]
+            place = place if c * size <= 4 else struct.unpack_from("<I", data, place)[0]
+            fields[t] = struct.unpack_from(f"<{c}{'H' if k == 3 else 'I'}", data, place)
+        width, height = fields[256][0], fields[257][0]
+        starts, sizes = (fields[324], fields[325]) if 324 in fields else (fields[273], fields[279])
+        columns, rows = (fields[322][0], fields[323][0]) if 324 in fields else (width, fields[278][0])
+        page = [bytearray(width) for _ in range(height)]
+        for b, (start, size) in enumerate(zip(starts, sizes)):
+            x, y = b % -(-width // columns) * columns, b // -(-width // columns) * rows
+            block = data[start : start + size]
+            if fields[259][0] == 8:
+                block = zlib.decompress(block)
+            elif fields[259][0] == 5:
+                block = decoded_by_the_book(block)
+            else:
+                plain, i = b"", 0
+                while i < len(block):
+                    c = block[i]
+                    plain, i = (plain + block[i + 1 : i + c + 2], i + c + 2) if c < 128 else (plain + block[i + 1 : i + 2] * (257 - c), i + 2)
+                block = plain
+            for j in range(min(rows, height - y)):
+                line = bytearray(block[j * columns : (j + 1) * columns])
+                if fields[317][0] == 2:
+                    for i in range(1, columns):
+                        line[i] = (line[i] + line[i - 1]) % 256
+                page[y + j][x : x + columns] = line
+        out += b"".join(page)
+        at = struct.unpack_from("<I", data, at + 2 + 12 * n)[0]
+    return out
+
+
+def test_query_against_another_reader(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = T.query(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = texts[r.doc_id].encode()
+        payload = raw + b"\xff" * (576 - len(raw) % 576 if len(raw) % 576 or not raw else 0)
+        media = T.store(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and read_by_the_book(media) == payload
+        share = np.bincount(np.frombuffer(payload, np.uint8), minlength=256) / len(payload)
+        mean = (share * np.arange(256)).sum()
+        some = share[share > 0]
+        found = dict(x.split("=") for x in r.feature.split(";"))
+        assert int(found["pages"]) == r.pages and abs(float(found["mean"]) - mean) < 1e-3 and abs(float(found["entropy"]) + (some * np.log2(some)).sum()) < 1e-3
 
 
 def test_rows(spark):
