@@ -16,6 +16,43 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
 
 
+def test_query_against_a_plain_version(spark):
+    rows = {r.doc_id: r for r in quality.query(spark, SF).collect()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality in (0, 1)}
+    ids = [d for d in sorted(labels) if d in texts and zlib.crc32(str(d).encode()) % 4 != 2]
+    assert max(len(texts[d]) for d in ids) > 20_000  # long texts are fitted on too
+    model = quality.fit([texts[d] for d in ids], [labels[d] for d in ids])
+    assert rows.keys() == texts.keys()
+    for d, t in texts.items():
+        score = quality.scores(model, [t])[0]
+        assert abs(rows[d].score - score) < 1e-12  # sums of a batch may be rounded otherwise
+        assert (rows[d].predicted, rows[d].held_out) == (int(rows[d].score >= 0.7), zlib.crc32(str(d).encode()) % 4 == 2)
+
+
+def test_the_model_follows_from_the_tables_alone(spark):
+    rows = [(i, f"fine words in a row {i} " * (i % 5 + 1) if i % 2 else f"x%%% y### {i} " * (i % 7 + 1)) for i in range(200)] + [(3, "another text"), (3, "and a third"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, 0)], "doc_id long, quality int")
+    one = quality.fit_on(docs.repartition(7), labels.repartition(3), 30)
+    assert one == quality.fit_on(docs.orderBy("text").coalesce(1), labels.orderBy("doc_id").coalesce(1), 30) != quality.fit_on(docs, labels)
+
+
+def test_a_score_at_the_threshold_is_predicted(spark):
+    model = quality.Model(prior=quality.THRESHOLD)
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    assert [(r.score, r.predicted) for r in quality.score(docs, model).collect()] == [(0.7, 1)] * 2
+
+
+def test_pieces_are_spread_over_the_text():
+    text = "".join(f"{i:06d} " for i in range(20_000))
+    some = quality.pieces(text)
+    assert len(some) == quality.SAMPLES and some[0] == text[:2000].encode() and some[-1] == text[-len(some[-1]) :].encode()
+    assert b"".join(quality.pieces("ab" * 1500)) == b"ab" * 1500 and quality.pieces("") == []
+    raw, trained = quality._dictionary([[b"x" * 2000, b"y" * 2000]] * 20)
+    assert trained or raw.count(b"x") == raw.count(b"y")
+
+
 def test_held_out_rule(spark):
     ids = spark.createDataFrame([(i,) for i in range(300)] + [(None,)], "doc_id long")
     for r in ids.select("doc_id", quality.is_held_out("doc_id").alias("h")).collect():
