@@ -1,43 +1,37 @@
-"""As-of lookup that spreads the rows of one key over slices of time. DataFrame functions only."""
+"""As-of lookup over ranges of keys and times that hold about equally many rows. DataFrame functions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices that the time between the first and the last row is cut into.
-SLICES = 64
+from foliospark.llm.common import checkpointed
 
 
-def latest_before(facts: DataFrame, asked: DataFrame, key: str, at: str, value: str, to: str, slices: int = SLICES) -> DataFrame:
+def latest_before(facts: DataFrame, asked: DataFrame, key: str, at: str, value: str, to: str) -> DataFrame:
     """asked with column `to`: `value` of the latest row of facts with the same key and an earlier time `at` (a long).
 
     Of facts with equal times, the one with the largest value counts. Null if there is none, or if a key or time is null.
-    A key's rows are handled by slices of time, each on its own; across slices goes only the last fact of each slice, of
-    which a key has at most `slices`. All columns of asked stay, repeated rows too; one named `to` is replaced.
+    All columns of asked stay, repeated rows too; one named `to` is replaced.
+
+    Facts and questions are merged to one row for each key and time, and dealt to ranges of (key, time) by quantiles that
+    Spark samples: a key that has most of the rows is spread over many ranges, whenever its rows fall. Across ranges goes
+    only the last fact of each. The answers join by key and time.
     """
     asked = asked.drop(to)
-    facts = facts.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.col(value).alias("__v")).where("__k is not null and __t is not null")
-    span = facts.agg(F.min("__t").alias("low"), F.max("__t").alias("high")).first()
-    if span["low"] is None:
-        return asked.withColumn(to, F.lit(None).cast(facts.schema["__v"].dataType))
-    width = (span["high"] - span["low"]) // slices + 1
-
-    def cut(column):
-        place = F.greatest(F.lit(-1), F.least(F.lit(slices), F.floor((F.col(column) - span["low"]) / width)))
-        return F.when(F.col(column).isNull(), -1).otherwise(place).cast("int")  # before all facts
-
-    placed = facts.withColumn("__s", cut("__t"))
-    last = placed.groupBy("__k", "__s").agg(F.max(F.struct("__t", "__v"))["__v"].alias("__v"))
-    # within a slice: facts and questions in the order of time, a question before the facts of its own moment
-    names = asked.columns
-    question = asked.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(0).alias("__fact"), F.lit(None).cast(facts.schema["__v"].dataType).alias("__v"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")).withColumn("__s", cut("__t"))
-    fact = placed.select("__k", "__t", F.lit(1).alias("__fact"), "__v", F.lit(None).cast(question.schema["__row"].dataType).alias("__row"), "__s")
-    order = Window.partitionBy("__k", "__s").orderBy("__t", "__fact", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    near = question.unionByName(fact).withColumn("__near", F.last("__v", ignorenulls=True).over(order)).where("__fact = 0")
-    # across slices: the last fact of a slice serves the slices after it, up to the next that has one
-    ahead = Window.partitionBy("__k").orderBy("__s")
-    serves = last.withColumn("__next", F.coalesce(F.lead("__s").over(ahead), F.lit(slices + 1))).where(F.col("__next") > F.col("__s"))
-    reach = serves.select("__k", F.explode(F.sequence(F.col("__s") + 1, F.least("__next", F.lit(slices)))).alias("__s"), F.col("__v").alias("__far")).where(F.col("__s") <= slices)
-    found = near.join(reach, ["__k", "__s"], "left")
-    return found.select("__row.*", F.coalesce("__near", "__far").alias(to))
+    given = facts.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.col(value).alias("__v"))
+    wanted = asked.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(None).cast(given.schema["__v"].dataType).alias("__v"))
+    points = given.withColumn("__asked", F.lit(0)).unionByName(wanted.withColumn("__asked", F.lit(1))).where("__k is not null and __t is not null")
+    merged = points.groupBy("__k", "__t").agg(F.max("__v").alias("__v"), F.max("__asked").alias("__asked"))
+    ranged = checkpointed(merged.repartitionByRange("__k", "__t").withColumn("__range", F.spark_partition_id()))
+    fact = F.when(F.col("__v").isNotNull(), F.struct("__k", "__v"))
+    # one row a range, of which there are as many as tasks
+    lasts = ranged.groupBy("__range").agg(F.max(F.when(F.col("__v").isNotNull(), F.struct("__k", "__t", "__v"))).alias("__last"))
+    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select("__range", F.last(F.when(F.col("__last").isNotNull(), F.struct("__last.__k", "__last.__v")), ignorenulls=True).over(upto).alias("__carried"))
+    own = Window.partitionBy("__range").orderBy("__k", "__t").rowsBetween(Window.unboundedPreceding, -1)
+    near = ranged.withColumn("__near", F.last(fact, ignorenulls=True).over(own)).where("__asked = 1").join(F.broadcast(carried), "__range")
+    before = F.coalesce("__near", "__carried")
+    answers = near.select("__k", "__t", F.when(before["__k"] == F.col("__k"), before["__v"]).alias("__found"))
+    joined = asked.join(answers, (asked[key] == answers["__k"]) & (asked[at] == answers["__t"]), "left")
+    return joined.select(*[asked[f"`{c}`"] for c in asked.columns], F.col("__found").alias(to))

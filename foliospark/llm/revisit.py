@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.asof import latest_before
-from foliospark.llm.common import read_table
+from foliospark.llm.common import plain_table
 
 # The profiles' identifiers, query parameters that only track, and headers that an update mustn't touch
 NOT_MODIFIED = ("http://netpreserve.org/warc/1.0/revisit/server-not-modified", "http://netpreserve.org/warc/1.1/revisit/server-not-modified")
@@ -19,16 +19,32 @@ TRACKING = "utm_[a-z]+|ref|fbclid|gclid"
 FRAMING = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 
 
+def _plain_escapes(value: F.Column) -> F.Column:
+    """Escapes of letters, digits, '-', '.', '_' and '~' undone, the hexadecimal digits of the others in upper case."""
+    pieces = F.split(value, "%")
+
+    def piece(x):
+        code = F.conv(F.substring(x, 1, 2), 16, 10).cast("int")
+        plain = F.chr(code)
+        rest = F.substring(x, 3, 1 << 30)
+        return F.when(~x.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.lit("%"), x)).when(plain.rlike("^[A-Za-z0-9._~-]$"), F.concat(plain, rest)).otherwise(F.concat(F.lit("%"), F.upper(F.substring(x, 1, 2)), rest))
+
+    undone = F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), piece), ""))
+    return F.when(F.contains(value, F.lit("%")), undone).otherwise(value)
+
+
 def canonical(url: F.Column) -> F.Column:
-    """Host and path that captures of one page share: no scheme, www, default port, fragment, tracking, final slash.
+    """What captures of one page share: no scheme, user, www, default port, final dot of the host, fragment, tracking, final slash.
 
-    Host in lower case; the other query parameters in alphabetical order. Null for null.
+    Host in lower case; escapes of unreserved characters undone, others in upper case, a space in a query always as %20;
+    the other query parameters in alphabetical order. Null for null.
     """
     bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^(?i:https?)://", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, "^([^/?]*)", 1)), "^www\\.", ""), ":(80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(bare, "^[^/?]*([^?]*)", 1), "/+$", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^([^/?]*)", 1)), "^.*@", "")
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, ":(80|443)?$", ""), "\\.(:[0-9]+)?$", "$1"), "^www\\.", "")
+    path = F.regexp_replace(_plain_escapes(F.regexp_extract(bare, "^[^/?]*([^?]*)", 1)), "/+$", "")
     kept = F.filter(F.split(F.regexp_extract(bare, "\\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(f"^(?i:{TRACKING})(=|$)"))
-    asked = F.array_join(F.array_sort(kept), "&")
+    asked = F.array_join(F.array_sort(F.transform(kept, lambda p: _plain_escapes(F.replace(p, F.lit("+"), F.lit("%20"))))), "&")
     return F.concat(host, path, F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(F.lit("")))
 
 
@@ -54,15 +70,16 @@ def resolve(records: DataFrame) -> DataFrame:
       no earlier        no full response of this URL before the revisit; at the same moment doesn't count
     headers are those of the full response, updated by the revisit's except framing, content coding and content type, with
     lower-case names; null if nothing was merged. Records without a URL or time resolve to nothing. Of responses at one
-    moment the one with the largest record_id counts. Repeated revisits stay.
+    moment the one with the largest record_id counts. Repeated revisits stay, each once: a response that is there several
+    times is one, and of different headers under one record_id the largest in the order of their names and values count.
 
-    Only ids travel through the as-of join, in slices of time for each URL; headers join by the id that was found.
+    Only ids travel through the as-of join; headers join by the id that was found.
     """
     keyed = records.select("record_id", "kind", "at", "profile", "status", _lowered("headers").alias("headers"), canonical(F.col("uri")).alias("url_key"))
     full = keyed.where("kind = 'response' and status = 200")
     revisits = keyed.where((F.col("kind") == "revisit") & F.col("profile").isin(*NOT_MODIFIED)).select("record_id", "url_key", "at", F.col("headers").alias("fresh"))
     found = latest_before(full, revisits, "url_key", "at", "record_id", "resolved_id")
-    stored = full.select(F.col("record_id").alias("resolved_id"), F.col("headers").alias("stored"))
+    stored = full.groupBy(F.col("record_id").alias("resolved_id")).agg(F.map_from_entries(F.max(F.array_sort(F.map_entries("headers")))).alias("stored"))
     both = found.join(stored, "resolved_id", "left")
     tag, date = (lambda side, name: F.get(F.map_values(F.map_filter(side, lambda k, _: k == name)), 0)), "last-modified"
     fresh_tag, stored_tag = _strong(tag(F.col("fresh"), "etag")), _strong(tag(F.col("stored"), "etag"))
@@ -102,19 +119,29 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """record_id, url_key, resolved_id, outcome, etag, date, n_headers of every revisit of the stand-in records."""
-    found = resolve(page_records(read_table(spark, sf_dir, "pages", "page_id", "url", "html")))
-    return found.select("record_id", "url_key", "resolved_id", "outcome", F.get(F.map_values(F.map_filter("headers", lambda k, _: k == "etag")), 0).alias("etag"), F.get(F.map_values(F.map_filter("headers", lambda k, _: k == "date")), 0).alias("date"), F.get(F.map_values(F.map_filter("headers", lambda k, _: k == "content-length")), 0).alias("content_length"))
+    """record_id, url_key, resolved_id, outcome, n_headers and headers_md5 of every revisit of the stand-in records.
+
+    The digest is of all merged headers, a line "name:value" each, in the order of names; null where nothing was merged.
+    """
+    found = resolve(page_records(plain_table(spark, sf_dir, "pages", "page_id", "url", "html")))
+    lines = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), "\n")
+    return found.select("record_id", "url_key", "resolved_id", "outcome", F.when(F.col("headers").isNotNull(), F.size("headers")).alias("n_headers"), F.md5(F.encode(lines, "UTF-8")).alias("headers_md5"))
+
 
+_ESCAPES = r"""array_to_string(list_transform(string_split({0}, '%'), lambda x, i: CASE WHEN i = 1 THEN x WHEN NOT regexp_matches(x, '^[0-9A-Fa-f]{{2}}') THEN '%' || x
+      WHEN regexp_matches(chr(('0x' || substr(x, 1, 2))::INT), '^[A-Za-z0-9._~-]$') THEN chr(('0x' || substr(x, 1, 2))::INT) || substr(x, 3)
+      ELSE '%' || upper(substr(x, 1, 2)) || substr(x, 3) END), '')"""
+_PATH, _PARAMETER = _ESCAPES.format(r"regexp_extract(bare, '^[^/?]*([^?]*)', 1)"), _ESCAPES.format("replace(q, '+', '%20')")
 
-SQL = r"""
+SQL = rf"""
 WITH p AS (
   SELECT page_id AS i, url, '"' || md5(coalesce(html, '')) || '"' AS tag, ((page_id * 13) % 400) * 86400000000 AS day, length(coalesce(html, '')) AS size,
     regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^https?://', '', 'i') AS bare FROM pages
 ), keyed AS (
-  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
-    || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
-    array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)', 'i'))), '&') AS asked
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^.*@', ''), ':(80|443)?$', ''), '\.(:[0-9]+)?$', '\1'), '^www\.', '')
+    || regexp_replace({_PATH}, '/+$', '') AS base,
+    array_to_string(list_sort(list_transform(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)', 'i')),
+      lambda q: {_PARAMETER})), '&') AS asked
   FROM p
 ), k AS (
   SELECT *, base || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END AS url_key FROM keyed
@@ -129,9 +156,7 @@ WITH p AS (
   SELECT *, CASE WHEN resolved_id IS NULL THEN 'no earlier' WHEN fresh IS NULL THEN 'unchecked'
     WHEN replace(fresh, 'W/', '') = stored THEN 'resolved' ELSE 'mismatch' END AS outcome FROM earlier WHERE place = 1
 )
-SELECT record_id, url_key, resolved_id, outcome,
-  CASE WHEN outcome IN ('resolved', 'unchecked') THEN coalesce(fresh, stored) END AS etag,
-  CASE WHEN outcome IN ('resolved', 'unchecked') THEN CAST(seen AS VARCHAR) END AS date,
-  CASE WHEN outcome IN ('resolved', 'unchecked') THEN CAST(size AS VARCHAR) END AS content_length
+SELECT record_id, url_key, resolved_id, outcome, CASE WHEN outcome IN ('resolved', 'unchecked') THEN 3 END AS n_headers,
+  CASE WHEN outcome IN ('resolved', 'unchecked') THEN md5('content-length:' || size || chr(10) || 'date:' || seen || chr(10) || 'etag:' || coalesce(fresh, stored)) END AS headers_md5
 FROM judged
 """

@@ -1,5 +1,9 @@
+import bisect
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from foliospark.llm import revisit as R
 from foliospark.llm.asof import latest_before
 
@@ -12,8 +16,8 @@ def test_as_of_against_brute_force(spark):
     facts = [(rng.choice(["hot", "hot", "a", "b"]), rng.randrange(0, 5000), i) for i in range(400)] + [(None, 5, 1), ("a", None, 2)]
     asked = [(rng.choice(["hot", "a", "b", "none"]), rng.randrange(-100, 6000), i) for i in range(300)] + [(None, 5, 1), ("a", None, 2), ("hot", 77, 3), ("hot", 77, 3)]
     f, q = spark.createDataFrame(facts, "k string, t long, v long"), spark.createDataFrame(asked, "k string, t long, found long")
-    for slices in (1, 7, 64):
-        rows = latest_before(f, q, "k", "t", "v", "last", slices).collect()
+    for n in (1, 7):
+        rows = latest_before(f.repartition(n), q, "k", "t", "v", "last").collect()
         assert len(rows) == len(asked)
         for r in rows:
             before = [(t, v) for k, t, v in facts if k == r.k and k is not None and t is not None and r.t is not None and t < r.t]
@@ -21,6 +25,37 @@ def test_as_of_against_brute_force(spark):
     assert [r["last"] for r in latest_before(f.limit(0), q.limit(2), "k", "t", "v", "last").collect()] == [None, None]
 
 
+def test_as_of_with_a_hot_key_and_an_outlier(spark):
+    rng = random.Random(8)
+    facts = [("hot", 1_000_000 + rng.randrange(3000), i) for i in range(3000)] + [("hot", 1, 9000), ("z", 1 << 60, 9001), ("a", 5, 9002)]
+    asked = [("hot", 1_000_000 + rng.randrange(-5, 3005)) for _ in range(3000)] + [("hot", 2), ("hot", 1), ("z", 5), ("z", (1 << 60) + 1), ("b", 7)]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = latest_before(spark.createDataFrame(facts, "k string, t long, v long"), spark.createDataFrame(asked, "k string, t long"), "k", "t", "v", "last").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert sorted((r.k, r.t) for r in rows) == sorted(asked)
+    ordered = sorted((k, t, v) for k, t, v in facts)
+    for r in rows:
+        i = bisect.bisect_left(ordered, (r.k, r.t))
+        assert r["last"] == (ordered[i - 1][2] if i and ordered[i - 1][0] == r.k else None)
+
+
+@pytest.mark.parametrize("a, b", [
+    ("http://example.com/%7Euser/%41", "https://EXAMPLE.com/~user/A"), ("http://example.com/a%2fb", "http://example.com/a%2Fb"), ("http://example.com./p", "http://example.com/p"), ("http://me:pw@example.com/p", "http://example.com/p"),
+    ("http://example.com/?q=a%20b", "http://example.com/?q=a+b"), ("http://www.example.com.:80/", "http://example.com"), ("http://example.com/100%/x%zz", "http://example.com/100%/x%zz#top"), ("http://example.com:/p?b=%7e&a=1", "http://example.com/p/?a=1&b=~"), (" http://example.com:8080/", "http://example.com.:8080"),
+])
+def test_spellings_of_one_url(spark, a, b):
+    x, y = spark.createDataFrame([(a,), (b,)], "u string").select(R.canonical(F.col("u"))).collect()
+    assert x[0] == y[0] != ""
+
+
+def test_different_urls_stay_apart(spark):
+    urls = ["http://a.b/%2F", "http://a.b//", "http://a.b/%2525", "http://a.b/%25", "http://a.b/+", "http://a.b/%20", "http://a.b/?+=1", "http://a.b:81/", "http://a.b/é", "http://a.b/A", "http://a.b/a"]
+    assert len({r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(R.canonical(F.col("u"))).collect()}) == len(urls) - 0
+
+
 def outcome(spark, records):
     return {r.record_id: r for r in R.resolve(spark.createDataFrame(records, RECORD)).collect()}
 
@@ -53,5 +88,13 @@ def test_ties_repeats_and_last_modified(spark):
     assert [(r.resolved_id, r.outcome) for r in got] == [(2, "resolved")] * 2
 
 
+def test_a_response_that_is_there_twice_counts_once(spark):
+    got = R.resolve(spark.createDataFrame([
+        (1, "response", "http://a.b/", 5, None, 200, {"ETag": "x", "A": "1"}), (1, "response", "http://a.b/", 5, None, 200, {"ETag": "x", "A": "1"}), (1, "response", "http://a.b/", 5, None, 200, {"ETag": "x", "A": "0"}),
+        (3, "revisit", "http://a.b/", 9, P, 304, {"etag": "x"}), (4, "revisit", "http://a.b/", 9, P, 304, {}), (4, "revisit", "http://a.b/", 9, P, 304, {}),
+    ], RECORD)).collect()
+    assert sorted((r.record_id, r.resolved_id, r.outcome, r.headers["a"]) for r in got) == [(3, 1, "resolved", "1"), (4, 1, "unchecked", "1"), (4, 1, "unchecked", "1")]
+
+
 def test_empty(spark):
     assert outcome(spark, []) == {}
