@@ -13,8 +13,6 @@ from foliospark.llm.common import plain_table
 
 #: Days that one bucket of time covers; entries are repeated for each bucket that their interval touches.
 BUCKET_DAYS = 64
-#: Labels that a host name can have by its own rules (253 characters); nothing is cut off at it.
-MOST_LABELS = 127
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -58,11 +56,13 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", day: str
     up once.
     """
     captures = captures.drop("n_active", "matched")
-    wanted = captures.select(F.col(url).alias("__url"), F.col(day).alias("__day")).where("__url is not null and __day is not null").distinct()
+    # a row may give as many patterns as its host has labels, so the rows are dealt out again before
+    tasks = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = captures.select(F.col(url).alias("__url"), F.col(day).alias("__day")).where("__url is not null and __day is not null").distinct().repartition(tasks, "__url", "__day")
     each = wanted.select("__url", "__day", F.explode(patterns_of(F.col("__url"))).alias("pattern")).withColumn("bucket", F.floor(F.col("__day") / bucket_days))
-    last = captures.agg(F.max(day).alias("last"))
-    spans = intervals(entries).join(F.broadcast(last), F.col("from_day") <= F.col("last"))  # one row
-    upto = F.least(F.coalesce(F.col("to_day") - 1, F.col("last")), F.col("last"))
+    last = F.lit(captures.agg(F.max(day)).first()[0]).cast("long")
+    spans = intervals(entries).where(F.col("from_day") <= last)
+    upto = F.least(F.coalesce(F.col("to_day") - 1, last), last)
     bucketed = spans.select("pattern", "from_day", "to_day", F.explode(F.sequence(F.floor(F.col("from_day") / bucket_days), F.floor(upto / bucket_days))).alias("bucket"))
     met = each.join(bucketed, ["pattern", "bucket"]).where((F.col("__day") >= F.col("from_day")) & (F.col("__day") < F.coalesce("to_day", F.col("__day") + 1)))
     found = met.groupBy("__url", "__day").agg(F.count("*").alias("n_active"), F.min(F.struct((-F.length("pattern")).alias("n"), "pattern"))["pattern"].alias("matched"))

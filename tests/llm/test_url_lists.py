@@ -1,5 +1,7 @@
 import random
 
+import duckdb
+
 from foliospark.llm import url_lists as U
 
 
@@ -10,7 +12,7 @@ def host_patterns(url):
     authority = rest.split("/", 1)[0].split("?")[0].split("#")[0]
     host = authority.rsplit("@", 1)[-1].split(":")[0].rstrip(".").lower()
     labels = host.split(".")
-    found = {host} | {".".join(labels[-k:]) for k in range(2, min(len(labels), U.MOST_LABELS) + 1)}
+    found = {host} | {".".join(labels[-k:]) for k in range(2, len(labels) + 1)}
     path = rest[len(rest.split("/", 1)[0]) :]
     parts = path.split("?")[0].split("#")[0].split("/")
     return found | ({f"{host}/{parts[1]}/"} if len(parts) > 2 else set())
@@ -56,3 +58,13 @@ def test_all_parents_of_a_host_of_many_labels(spark):
         entries = spark.createDataFrame([(p, 1, "add") for p in parents] + [(labels[-1], 1, "add")], "pattern string, day int, action string")
         rows = U.evaluate(spark.createDataFrame([(1, f"http://x.{parents[0]}/", 3), (2, f"http://{parents[1]}/", 3)], "id int, url string, day int"), entries).collect()
         assert {r.id: (r.n_active, r.matched) for r in rows} == {1: (n - 1, parents[0]), 2: (n - 2, parents[1])}
+
+
+def test_deep_hosts_against_sql(spark, tmp_path):
+    pages = [(i, f"http://{'.'.join(f'h{(i * k) % 5}' for k in range(1, 13))}.example.com/{'a/' if i % 2 else ''}{i}", "") for i in range(60)] + [(99, None, None), (100, "http://x.org/", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(connection.sql(U.SQL).fetchall(), key=str)
+    got = sorted((tuple(r) for r in U.query(spark, str(tmp_path)).select("page_id", "day", "n_active", "matched").collect()), key=str)
+    assert got == want and sum(r[2] for r in got) > 10
