@@ -7,10 +7,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark import seams
 from foliospark.functions import dates, geometry
 from foliospark.functions import text as X
 from foliospark.operators import content, filing, items, layout, lines, overlay, pixels, prompts, quality, reading, routing
-from foliospark.plans import recognise, refine
+from foliospark.plans import process, recognise, refine
 from foliospark.queries import sqltext as S
 from foliospark.queries.layers import _MEASURED
 from foliospark.sources.tables import read_table as table
@@ -429,13 +430,43 @@ SELECT doc_id, chunk::INT AS chunk, length(listed)::INT AS chars, md5(listed) AS
 """
 
 
+_META = '{"date": "1997-05-17", "correspondent": "Nordlicht", "summary": "Brief", "reference": "7", "confidence": "high"}'
+_LINES = '{"legibility": "good", "lines": [{"text": "sure", "x": 1, "y": 2, "certain": true}, {"text": "unsure", "x": 1, "y": 9, "certain": false}]}'
+
+
+def refined_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run with stand-ins for the models; a conversation is a document, its turns are pages: without a layer, with
+    junk, or with words of which some are corrected, and those of the system are digital."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role").select(F.col("conv_id").alias("doc"), (F.col("turn") + 1).cast("int").alias("page"), "role", ((F.col("conv_id") + F.col("turn")) % 4).alias("kind"))
+    pages = turns.select("doc", "page", F.lit(0).alias("rotation"), F.when(F.col("role") == "system", 25).otherwise(0).alias("visible_chars"), F.lit(None).cast("binary").alias("pixels"), F.lit(0).alias("width"), F.lit(0).alias("height"), F.lit(1).alias("stride"))
+    texts = _choice([F.array().cast("array<string>"), F.array_repeat(F.lit("~" * 10), 5), F.array_repeat(F.lit("a1"), 3), F.concat(F.array_repeat(F.lit("a1"), 4), F.array_repeat(F.lit("keep1"), 2))], F.col("kind"))
+    boxes = turns.select("doc", "page", F.posexplode(texts).alias("id", "text")).withColumns({"y": F.lit(700.0) - F.col("id"), "line_height": F.lit(12.0)})
+    models = process.Models(seams.dictionary_corrector({"a1": "a2"}), seams.fixed_answer(_LINES), seams.fixed_answer(_META))
+    run = process.refined(pages, boxes, models, now=NOW, ink=lambda p: p.withColumn("ink", F.col("page") % 2 == 0))
+    edits = run.edits.groupBy("doc").agg(F.count_if(F.col("kind") == "entries").alias("entries"), F.count_if(F.col("kind") == "lines").alias("lines"), F.count_if(F.col("text") == "a2").alias("fixed"))
+    whole = run.summary.join(edits, "doc", "left").join(run.meta.select("doc", "path"), "doc", "left")
+    return whole.select("doc", "pages", "pages_refined", "pages_failed", F.col("corrections").cast("long").alias("corrections"), "pages_transcribed", "failed", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("entries", "lines", "fixed")], "path")
+
+
+REFINED_RUN = """
+WITH p AS (
+  SELECT conv_id AS doc, turn + 1 AS page, role = 'system' AS digital, (conv_id + turn) % 4 AS kind FROM conversations
+), r AS (
+  SELECT *, NOT digital AND (kind = 1 OR (kind = 0 AND page % 2 = 0)) AS again, NOT digital AND kind >= 2 AS corrected, CASE kind WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 0 END AS a, CASE kind WHEN 2 THEN 3 WHEN 3 THEN 6 ELSE 0 END AS items FROM p
+)
+SELECT doc, count(*) AS pages, count(*) FILTER (again OR corrected) AS pages_refined, 0::BIGINT AS pages_failed, coalesce(sum(a) FILTER (corrected), 0)::BIGINT AS corrections, count(*) FILTER (again) AS pages_transcribed, false AS failed,
+  coalesce(sum(items) FILTER (corrected), 0)::BIGINT AS entries, count(*) FILTER (again) AS lines, coalesce(sum(a) FILTER (corrected), 0)::BIGINT AS fixed,
+  CASE WHEN count(*) FILTER (page = 1 AND (kind > 0 OR again)) > 0 THEN 'Nordlicht/1997-05-17_Nordlicht_Brief_7.pdf' END AS path FROM r GROUP BY doc
+"""
+
+
 def queries():
-    return {f.__name__: f for f in (setting_rules, date_checks, geometry_rules, word_tables, page_items, transcribed_pages, reread_decisions, answer_headers, downgraded_filing, page_operators, widened_boxes, stripped_streams, form_streams, visible_glyphs, page_planes, batch_outcomes, page_edits, first_page_text)}
+    return {f.__name__: f for f in (setting_rules, date_checks, geometry_rules, word_tables, page_items, transcribed_pages, reread_decisions, answer_headers, downgraded_filing, page_operators, widened_boxes, stripped_streams, form_streams, visible_glyphs, page_planes, batch_outcomes, page_edits, first_page_text, refined_run)}
 
 
 def oracle_sql():
     return {
         "setting_rules": SETTINGS, "date_checks": DATE_CHECKS, "geometry_rules": GEOMETRY, "word_tables": WORD_TABLES, "page_items": PAGE_ITEMS, "transcribed_pages": TRANSCRIBED, "reread_decisions": REREAD, "answer_headers": HEADERS,
         "downgraded_filing": DOWNGRADED, "page_operators": PAGE_OPERATORS, "widened_boxes": WIDENED, "stripped_streams": STRIPPED, "form_streams": FORM_STREAMS, "visible_glyphs": VISIBLE_GLYPHS, "page_planes": PAGE_PLANES,
-        "batch_outcomes": BATCH, "page_edits": PAGE_EDITS, "first_page_text": FIRST_PAGE,
+        "batch_outcomes": BATCH, "page_edits": PAGE_EDITS, "first_page_text": FIRST_PAGE, "refined_run": REFINED_RUN,
     }
