@@ -430,6 +430,45 @@ SELECT doc_id, chunk::INT AS chunk, length(listed)::INT AS chars, md5(listed) AS
 """
 
 
+def flat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages set in relation to their paper; a supplier's digest is an image of one block, its hexadecimal digits are brightnesses."""
+    p = table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
+    digest = F.md5(F.encode("s_name", "UTF-8"))
+    flat = p.select("s_suppkey", pixels.flattened(F.encode(F.repeat(digest, 18), "UTF-8"), F.lit(24), F.lit(24), F.lit(1)).alias("f"))
+    return flat.select("s_suppkey", F.length("f").alias("pixels"), F.md5("f").alias("flat_md5"))
+
+
+FLAT_PAGES = """
+WITH d AS (
+  SELECT s_suppkey, list_transform(string_split(repeat(md5(s_name), 18), ''), lambda c: ascii(c)) AS v FROM supplier
+), q AS (
+  SELECT s_suppkey, v, list_sort(v)[519] AS paper FROM d
+)
+SELECT s_suppkey, len(v)::INT AS pixels, md5(unhex(array_to_string(list_transform(v, lambda g: printf('%02x', floor(255 * least(1, greatest(0, (g / paper - 0.35::DOUBLE) / 0.55::DOUBLE)) + 0.5::DOUBLE)::INT)), ''))) AS flat_md5 FROM q
+"""
+
+
+def retried_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that are made again where the provider refuses a schema; an order is a call."""
+    rows = table(spark, sf_dir, "orders", "o_orderkey")
+    key = F.col("o_orderkey")
+
+    def strict(calls, by):
+        error = F.when(key % 3 == 0, "response_format: json_schema is not supported").when(key % 5 == 1, "refused")
+        return calls.select(*by, F.when(error.isNull(), "first").alias("answer"), error.alias("error"))
+
+    def loose(calls, by):
+        return calls.select(*by, F.when(key % 2 == 0, "second").alias("answer"), F.when(key % 2 == 1, "schema again").alias("error"))
+
+    return seams.retried(strict, loose)(rows, ["o_orderkey"])
+
+
+RETRIED = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'second' END WHEN o_orderkey % 5 <> 1 THEN 'first' END AS answer,
+  CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 1 THEN 'schema again' END WHEN o_orderkey % 5 = 1 THEN 'refused' END AS error FROM orders
+"""
+
+
 _META = '{"date": "1997-05-17", "correspondent": "Nordlicht", "summary": "Brief", "reference": "7", "confidence": "high"}'
 _LINES = '{"legibility": "good", "lines": [{"text": "sure", "x": 1, "y": 2, "certain": true}, {"text": "unsure", "x": 1, "y": 9, "certain": false}]}'
 
@@ -461,12 +500,12 @@ SELECT doc, count(*) AS pages, count(*) FILTER (again OR corrected) AS pages_ref
 
 
 def queries():
-    return {f.__name__: f for f in (setting_rules, date_checks, geometry_rules, word_tables, page_items, transcribed_pages, reread_decisions, answer_headers, downgraded_filing, page_operators, widened_boxes, stripped_streams, form_streams, visible_glyphs, page_planes, batch_outcomes, page_edits, first_page_text, refined_run)}
+    return {f.__name__: f for f in (setting_rules, date_checks, geometry_rules, word_tables, page_items, transcribed_pages, reread_decisions, answer_headers, downgraded_filing, page_operators, widened_boxes, stripped_streams, form_streams, visible_glyphs, page_planes, batch_outcomes, page_edits, first_page_text, refined_run, flat_pages, retried_calls)}
 
 
 def oracle_sql():
     return {
         "setting_rules": SETTINGS, "date_checks": DATE_CHECKS, "geometry_rules": GEOMETRY, "word_tables": WORD_TABLES, "page_items": PAGE_ITEMS, "transcribed_pages": TRANSCRIBED, "reread_decisions": REREAD, "answer_headers": HEADERS,
         "downgraded_filing": DOWNGRADED, "page_operators": PAGE_OPERATORS, "widened_boxes": WIDENED, "stripped_streams": STRIPPED, "form_streams": FORM_STREAMS, "visible_glyphs": VISIBLE_GLYPHS, "page_planes": PAGE_PLANES,
-        "batch_outcomes": BATCH, "page_edits": PAGE_EDITS, "first_page_text": FIRST_PAGE, "refined_run": REFINED_RUN,
+        "batch_outcomes": BATCH, "page_edits": PAGE_EDITS, "first_page_text": FIRST_PAGE, "refined_run": REFINED_RUN, "flat_pages": FLAT_PAGES, "retried_calls": RETRIED,
     }
