@@ -23,6 +23,8 @@ from foliospark.llm.common import map_columns
 #: Distinct pre-tokens whose ids a Python worker remembers before it starts a new memo, which takes over from the last one
 #: what is used again; only speed depends on it.
 MEMO_ENTRIES = 200_000
+#: Characters of a pre-token from which it isn't remembered.
+MEMO_CHARACTERS = 256
 
 
 class PerfectHash:
@@ -164,7 +166,11 @@ class Codec:
                 self.older, self.memo = self.memo, {}
                 missing = list(words)
             self._learn(missing)
-        return b"".join(map(self.memo.__getitem__, parts))
+        ids = b"".join(map(self.memo.__getitem__, parts))
+        for w in missing:
+            if len(w) >= MEMO_CHARACTERS:
+                del self.memo[w]
+        return ids
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
@@ -214,25 +220,27 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", to: str
 DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
 
-def token_digests(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def token_digests(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep: list[str] | None = None, to: str | None = None) -> DataFrame:
     """Number of tokens, SHA-256 of the ids (little-endian unsigned 32-bit) and SHA-256 of the bytes decoded from them.
 
-    Encodes and decodes within one pass, so that the id arrays need not leave the Python worker. Nulls, empty texts,
-    repeated rows and clashing names as in encode().
+    to: name of a column for the ids themselves; without it the id arrays don't leave the Python worker. Encodes and
+    decodes within one pass. Nulls, empty texts, repeated rows and clashing names as in encode().
     """
+    wanted = [T.StructField(to, T.ArrayType(T.IntegerType(), False))] if to else []
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def work(texts):
         codec = _codec(shared.value, pattern)
-        n, of_ids, of_bytes = [], [], []
+        n, of_ids, of_bytes, kept = [], [], [], []
         for t in texts:
             ids = codec.packed(t or "")
+            kept.append(np.frombuffer(ids, "<i4"))
             n.append(len(ids) // 4)
             of_ids.append(hashlib.sha256(ids).hexdigest())
             of_bytes.append(hashlib.sha256(codec.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
-        return n, of_ids, of_bytes
+        return n, of_ids, of_bytes, *([kept] if to else [])
 
-    return map_columns(df, [text], DIGESTS, work, keep)
+    return map_columns(df, [text], [*DIGESTS, *wanted], work, keep)
 
 
 def public_ranks(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:

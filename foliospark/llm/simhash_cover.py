@@ -25,13 +25,18 @@ RADIUS = 3
 WIDTH = 3
 #: Distinct fingerprints of a table's bucket that are compared in one task; larger buckets take the ball join.
 BUCKET_LIMIT = 16_384
+#: Fingerprints whose points go on in one batch.
+BALL_ROWS = 64
 #: Near copies for keep_one_each(): Jaccard similarity of the sets of shingles of so many words, bands of minima of so many
-#: hashes each (a pair at the similarity misses all bands with probability 0.00007), members of a band's bucket of which
-#: all pairs are compared.
+#: hashes each (a pair at the similarity misses all bands with probability 0.00007).
 ALIKE = 0.8
 ALIKE_WIDTH = 5
 BANDS, BAND_ROWS = 24, 5
-PAIRS_LIMIT = 32
+#: Columns of a sketch, eight minima each; a pair goes on if its sketches agree by so much less than the similarity, four
+#: standard deviations; members of a band's bucket that are compared with as many others in one go.
+SKETCH = [f"s{i}" for i in range(BANDS * BAND_ROWS // 8)]
+MARGIN = 0.15
+BLOCK = 512
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -55,11 +60,15 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
     grams = shingles(text, width)
     if not grams:
         return 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), "<u8", len(grams))
+    return vote(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), "<u8", len(grams)))
+
+
+def vote(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         votes += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(grams), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp", width: int = WIDTH, keep: list[str] | None = None) -> DataFrame:
@@ -158,11 +167,15 @@ def _ball_links(keyed: DataFrame, masks: list[int], radius: int) -> DataFrame:
     def scatter(batches):
         around = {v: (flips(m, inner), flips(m, outer)) for v, m in enumerate(masks)}
         for batch in batches:
-            for v, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.array([fp], np.int64).view(np.uint64)
-                near, far = x ^ around[v][0], x ^ around[v][1]
+            tables, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for v in np.unique(tables).tolist():
+                own, (near, far) = fps[tables == v], around[v]
                 n = len(near) + len(far)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int32)), pa.array(np.concatenate([near, far]).view(np.int64)), pa.array(np.concatenate([np.zeros(len(near), np.int32), np.ones(len(far), np.int32)])), pa.array(np.full(n, fp, np.int64))], names=["v", "z", "guest", "fp"])
+                for at in range(0, len(own), BALL_ROWS):
+                    some = own[at : at + BALL_ROWS, None]
+                    points = np.concatenate([some ^ near, some ^ far], axis=1)
+                    guest = np.tile(np.repeat(np.array([0, 1], np.int32), [len(near), len(far)]), len(some))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(points.size, v, np.int32)), pa.array(points.ravel().view(np.int64)), pa.array(guest), pa.array(np.repeat(some.ravel(), n).view(np.int64))], names=["v", "z", "guest", "fp"])
 
     def star(batches):
         for _, _, guest, fps in _groups(batches, 2):
@@ -198,68 +211,192 @@ def _grams(text: str) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), "<u8", len(grams)))
 
 
-def _bands(grams: np.ndarray) -> list[int]:
-    """A key for each band, from the smallest values that its hashes take over the shingles."""
+def _minima(grams: np.ndarray) -> np.ndarray:
+    """The smallest values that BANDS * BAND_ROWS hashes take over a set of shingles."""
     n = BANDS * BAND_ROWS
     rng = np.random.default_rng(5)
     flip, times = rng.integers(0, 1 << 64, n, np.uint64), rng.integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
     least = np.full(n, (1 << 64) - 1, np.uint64)
     for at in range(0, len(grams), 4096):
         least = np.minimum(least, ((grams[at : at + 4096, None] ^ flip) * times).min(0))
-    return [xxhash.xxh64_intdigest(b.tobytes(), 7) - (1 << 63) for b in least.reshape(BANDS, BAND_ROWS)]
+    return least
+
+
+def _signature(text: str) -> tuple:
+    """fp (which stands for the set of shingles), SimHash, keys of the bands, and a byte of every minimum, packed in longs."""
+    grams = _grams(text)
+    if not len(grams):
+        return 0, 0, [], [0] * len(SKETCH)
+    least = _minima(grams)
+    bands = [xxhash.xxh64_intdigest(b.tobytes(), 7) - (1 << 63) for b in least.reshape(BANDS, BAND_ROWS)]
+    # the low bits of a product by an odd number know nothing of the high ones of its factor
+    sketch = (least >> np.uint64(32)).astype(np.uint8).view("<i8")
+    return xxhash.xxh64_intdigest(grams.tobytes(), 42) - (1 << 63), int(np.int64(np.uint64(vote(grams)))), bands, sketch.tolist()
+
+
+def _few(frame: DataFrame, most: int = 100_000) -> bool:
+    """Whether a checkpointed frame of two longs a row is small enough to be broadcast."""
+    return frame.limit(most + 1).count() <= most
 
 
 def _alike_pairs(pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingles are alike enough; each pair of sets is compared once and exactly."""
+    """The checkpointed pairs (a, b), and whether their shingles are alike enough; each pair is compared once and exactly.
+
+    The second set comes to its pair first: it moves with the pair to the first one, which many pairs may share.
+    """
     left, right = (grams.select(F.col("fp").alias(c), F.col("grams").alias(f"g{c}")) for c in ("a", "b"))
     both = F.size(F.array_intersect("ga", "gb"))
-    known = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("ga") + F.size("gb")).alias("all"))
-    return known.where(F.col("both") >= ALIKE * (F.col("all") - F.col("both")) - 1e-9).select("a", "b")
+    if _few(pairs):
+        left = left.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi")
+        pairs = F.broadcast(pairs)
+    known = left.join(right.join(pairs, "b"), "a").select("a", "b", both.alias("both"), (F.size("ga") + F.size("gb")).alias("all"))
+    return checkpointed(known.select("a", "b", (F.col("both") >= ALIKE * (F.col("all") - F.col("both")) - 1e-9).alias("alike")))
+
 
+def _open_buckets(members: DataFrame, component: DataFrame) -> DataFrame:
+    """v, key, fp, component of the members of buckets that still hold more than one component."""
+    roots = component.withColumnRenamed("node", "fp")
+    known = members.join(F.broadcast(roots) if _few(component) else roots, "fp", "left").select("v", "key", "fp", F.coalesce("root", "fp").alias("component"))
+    apart = known.groupBy("v", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("v", "key")
+    return known.join(apart, ["v", "key"])
 
-def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pairs_limit: int = PAIRS_LIMIT) -> DataFrame:
+
+def _block_pairs(buckets: DataFrame, block: int) -> DataFrame:
+    """v, key, kind, p, q, side, component, fp: open buckets cut into blocks, and the pairs of blocks that are to be compared.
+
+    A bucket's largest component needn't be compared with itself. The other members' blocks are compared with one another
+    (kind 0, p <= q), and with those of the largest component (kind 1: p theirs, q its own). No pair of blocks has more than
+    about twice `block` members, so a bucket of any size is spread over many tasks.
+    """
+    sizes = buckets.groupBy("v", "key", "component").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("v", "key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("most"))
+    dealt = buckets.join(whole, ["v", "key"]).withColumn("large", F.col("component") == F.col("most.component"))
+    blocks = {c: F.ceil(n / block).cast("int") for c, n in (("larges", F.col("most.n")), ("others", F.col("all") - F.col("most.n")))}
+    dealt = dealt.withColumns(blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.when(F.col("large"), F.col("larges")).otherwise(F.col("others"))).cast("int"))
+    own, zero = F.col("own"), F.lit(0)
+
+    def place(kind, p, q, side):
+        return F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"), side.alias("side"))
+
+    others, larges = F.sequence(zero, F.col("others") - 1), F.sequence(zero, F.col("larges") - 1)
+    among = F.transform(others, lambda j: place(0, F.least(own, j), F.greatest(own, j), (own > j).cast("int")))
+    to_large = F.transform(larges, lambda j: place(1, own, j, zero))
+    of_large = F.transform(others, lambda j: place(1, j, own, F.lit(1)))
+    places = F.when(F.col("large"), of_large).otherwise(F.concat(among, to_large))
+    return dealt.select("v", "key", "component", "fp", F.explode(places).alias("at")).select("v", "key", "at.kind", "at.p", "at.q", "at.side", "component", "fp")
+
+
+def _linked(places: DataFrame, sketches: DataFrame, grams: DataFrame) -> DataFrame:
+    """Edges (a, b) of sets that are alike enough, by which each pair of blocks connects what it can connect, and no more.
+
+    Sketches choose the pairs of different components that come near the similarity; their sets are compared exactly, in
+    the order of their sketches' likeness, unless they have been joined meanwhile.
+    """
+    rows = places.join(sketches, "fp").join(grams, "fp").select("v", "key", "kind", "p", "q", "side", "component", "fp", *SKETCH, "grams")
+    least = int(BANDS * BAND_ROWS * (ALIKE - MARGIN))
+
+    def compare(batches):
+        for _, _, kind, p, q, side, component, fp, *longs, sets in _groups(batches, 5):
+            sketch, n = np.ascontiguousarray(np.stack(longs, 1)).view(np.uint8), len(fp)
+            alone = kind[0] == 0 and p[0] == q[0]
+            root = {c: c for c in component.tolist()}
+            step = max(1, (1 << 24) // (n * sketch.shape[1]))
+            for at in range(0, n, step):
+                some = np.arange(at, min(n, at + step))
+                agree = (sketch[some, None, :] == sketch[None, :, :]).sum(2, dtype=np.int16)
+                apart = some[:, None] < np.arange(n)[None, :] if alone else side[some, None] < side[None, :]
+                x, y = np.nonzero(apart & (agree >= least) & (component[some, None] != component[None, :]))
+                for i in np.unique(x).tolist():
+                    mine = y[x == i]
+                    mine = mine[np.argsort(-agree[i, mine], kind="stable")]
+                    for part in (mine[:1], mine[1:]):  # the closest mostly joins the others' component
+                        part = [j for j in part.tolist() if _root(root, component[some[i]]) != _root(root, component[j])]
+                        if not part:
+                            continue
+                        own = sets[some[i]]
+                        others = np.concatenate([sets[j] for j in part])
+                        places_in = np.minimum(np.searchsorted(own.view(np.uint64), others.view(np.uint64)), len(own) - 1)
+                        ends = np.cumsum([len(sets[j]) for j in part])
+                        both = np.diff(np.concatenate([[0], np.cumsum(own[places_in] == others)[ends - 1]]))
+                        whole = len(own) + np.diff(np.concatenate([[0], ends])) - both
+                        for j in np.array(part)[both >= ALIKE * whole - 1e-9].tolist():
+                            a, b = _root(root, component[some[i]]), _root(root, component[j])
+                            if a != b:
+                                root[max(a, b)] = min(a, b)
+                                yield pa.RecordBatch.from_arrays([pa.array([fp[some[i]]]), pa.array([fp[j]])], names=["a", "b"])
+
+    return rows.repartition("v", "key", "kind", "p", "q").sortWithinPartitions("v", "key", "kind", "p", "q").mapInArrow(compare, _EDGES)
+
+
+def _root(root: dict[int, int], of: int) -> int:
+    of = int(of)
+    while root[of] != of:
+        root[of] = root[root[of]]
+        of = root[of]
+    return of
+
+
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """doc_id, text_hash, fp and component_id of every row, as near_duplicates(), but fp stands for a set of shingles.
 
     Rows link whose sets of five-word shingles have a Jaccard similarity of 0.8 at least; a text of fewer words is one
-    shingle, and texts without words are alike. Candidates share a band of minima; each is checked exactly, so only the
-    bands can miss a pair. In a bucket of more than pairs_limit different sets, a first one is compared with all others
-    and leaves with those that are alike, until few are left: there a set that is alike only to one that left may stay apart.
+    shingle, and texts without words are alike. Each link is found by comparing the sets exactly. Candidates:
+      1. the first of each group that covering SimHash of these shingles makes, with the others of the group;
+      2. the first of each band's bucket: every set with that one of its 24 which most of its buckets share;
+      3. all pairs of what then still is in one bucket and different components, by sketch, in blocks within tasks.
+    What an earlier round has joined isn't compared again. So only bands and sketches can miss a pair, with a probability
+    under 0.0001 each at a similarity of 0.8. No step makes more than a row for a set and bucket; pairs near the bound, which
+    only an exact comparison tells apart, never leave their task.
     """
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row_hash"), F.col(text).alias("text"))
 
     def sign(texts):
-        sets = [_grams(t or "") for t in texts]
-        return [[xxhash.xxh64_intdigest(g.tobytes(), 42) - (1 << 63) if len(g) else 0 for g in sets], [_bands(g) if len(g) else [] for g in sets]]
+        found = [_signature(t or "") for t in texts]
+        return [*([f[i] for f in found] for i in range(3)), *([f[3][i] for f in found] for i in range(len(SKETCH)))]
 
-    signed = checkpointed(map_columns(plain, ["text"], [T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))], sign, ["doc_id", "text_hash"]))
+    fields = [T.StructField("fp", T.LongType()), T.StructField("sim", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), *[T.StructField(s, T.LongType()) for s in SKETCH]]
+    signed = checkpointed(map_columns(plain, ["text"], fields, sign, ["doc_id", "text_hash", "row_hash"]))
     rows = signed.select("doc_id", "text_hash", "fp")
     # all rows of a set have equal bands, so the parts of a bucket can be told apart before anything is grouped
     members = signed.select("fp", F.posexplode("bands").alias("v", "key")).distinct()
     shared = members.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1").select("v", "key")
-    left = checkpointed(members.join(shared, ["v", "key"]).select("v", "key", "fp"))
-    wanted = rows.join(left.select("fp").distinct(), "fp").groupBy("fp").agg(F.min("text_hash").alias("text_hash"))
-    texts = plain.join(wanted.select("text_hash").distinct(), "text_hash", "left_semi")
-    sets = map_columns(texts, ["text"], [T.StructField("grams", T.ArrayType(T.LongType()))], lambda ts: [[_grams(t or "").view("<i8").tolist() for t in ts]], ["text_hash"])
-    grams = checkpointed(sets.dropDuplicates(["text_hash"]).join(wanted, "text_hash").select("fp", "grams"))
-    edges = []
-    while True:
-        sizes = left.groupBy("v", "key").agg(F.count("*").alias("n"), F.min("fp").alias("first"))
-        big = checkpointed(sizes.where(F.col("n") > pairs_limit).select("v", "key", "first"))
-        if big.isEmpty():
-            break
-        asked = left.join(big, ["v", "key"]).where(F.col("fp") != F.col("first"))
-        found = checkpointed(_alike_pairs(asked.select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct(), grams))
-        edges.append(found)
-        alike = found.select(F.col("a").alias("first"), F.col("b").alias("fp"))
-        others = asked.join(alike, ["first", "fp"], "left_anti").select("v", "key", "fp")
-        left = checkpointed(left.join(big, ["v", "key"], "left_anti").unionByName(others))
-    few = left.select("v", "key", F.col("fp").alias("a")).join(left.select("v", "key", F.col("fp").alias("b")), ["v", "key"]).where("a < b")
-    linked = _alike_pairs(few.select("a", "b").distinct(), grams)
-    for found in edges:
-        linked = linked.unionByName(found)
+    met = checkpointed(members.join(shared, ["v", "key"]).select("v", "key", "fp"))
+    sets = checkpointed(signed.groupBy("fp").agg(F.min("row_hash").alias("row_hash"), *[F.min(c).alias(c) for c in ("sim", *SKETCH)]))
+
+    # operator 3 over the sets, which gives every group's first
+    prints = sets.groupBy("sim").agg(F.min("fp").alias("fp"))
+    covered = connected_components(links(prints.select(F.col("sim").alias("fp"))))
+    placed = sets.select("sim", "fp").join(covered.withColumnRenamed("node", "sim"), "sim", "left").select("fp", F.coalesce("root", "sim").alias("root"))
+    firsts = placed.groupBy("root").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("root", "a")
+    pairs = checkpointed(placed.join(firsts, "root").where("fp <> a").select("a", F.col("fp").alias("b")))
+
+    wanted = met.select("fp").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("fp"))).distinct().join(sets.select("fp", "row_hash"), "fp")
+    texts = plain.select("row_hash", "text").join(wanted.select("row_hash"), "row_hash", "left_semi")
+    shingled = map_columns(texts, ["text"], [T.StructField("grams", T.ArrayType(T.LongType()))], lambda ts: [[_grams(t or "").view("<i8") for t in ts]], ["row_hash"])
+    grams = checkpointed(shingled.dropDuplicates(["row_hash"]).join(wanted, "row_hash").select("fp", "grams"))
+
+    tested = _alike_pairs(pairs, grams)
+    # each group's links run to its first, so they are stars
+    stars = tested.where("alike")
+    component = checkpointed(stars.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(stars.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()))
+
+    buckets = _open_buckets(met, component)
+    first = Window.partitionBy("v", "key")
+    led = buckets.groupBy("v", "key").agg(F.min(F.struct("component", "fp")).alias("first")).select("v", "key", "first.component", "first.fp").withColumnsRenamed({"fp": "a", "component": "ca"})
+    asked = buckets.join(led, ["v", "key"]).where("component <> ca").groupBy("fp", "a").agg(F.count("*").alias("n"))
+    best = asked.groupBy("fp").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
+    best = checkpointed(best.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    tested = tested.unionByName(_alike_pairs(best, grams))
+    component = checkpointed(connected_components(tested.where("alike").select("a", "b")))
+
+    buckets = checkpointed(_open_buckets(met, component))
+    if not buckets.isEmpty():
+        found = _linked(_block_pairs(buckets, block), sets.select("fp", *SKETCH), grams)
+        known = tested.where("alike").select("a", "b")
+        component = checkpointed(connected_components(known.unionByName(found)))
+
     values = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = checkpointed(connected_components(linked))
-    placed = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = values.join(component, values["fp"] == component["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     by_value = placed.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return rows.join(by_value, "fp").select("doc_id", "text_hash", "fp", "component_id")

@@ -11,7 +11,6 @@ import corpus_pipeline
 from foliospark.llm import bpe, mixing, quality, simhash_cover
 from tests.llm.test_line_chunks import by_force as without_repeated
 from tests.llm.test_mixing import brute
-from tests.llm.test_simhash_cover import roots_by_force
 
 PASSAGE = "\n".join(f"shared line number {i}" for i in range(12))
 
@@ -27,6 +26,8 @@ def folder(spark, tmp_path_factory):
             text += "\n" + PASSAGE
         if i % 10 == 3:
             text = rows[1][1]
+        if i % 20 == 17:
+            text = rows[2][1].replace(" and", f" other{i}", 1)
         rows.append((i, text, "en", "hot" if i % 3 else f"s{i % 4}", len(text)))
     rows += [(160, "", "en", "s1", 0), (161, None, "en", None, None), (162, rows[2][1], "en", "hot", 1), (2, rows[2][1], "en", "hot", 1)]
     at = tmp_path_factory.mktemp("tables")
@@ -36,7 +37,7 @@ def folder(spark, tmp_path_factory):
 
 
 def test_run_against_brute_force(spark, folder):
-    got = Counter(tuple(r) for r in corpus_pipeline.run(spark, folder).collect())
+    got = Counter((r.doc_id, r.source, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids)) for r in corpus_pipeline.run(spark, folder).collect())
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     model = quality.fit_on(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     rows = [r for r in docs.collect() if quality.scores(model, [r.text or ""])[0] >= 0.7]
@@ -44,12 +45,18 @@ def test_run_against_brute_force(spark, folder):
     left = without_repeated([(r.doc_id, r.text) for r in rows])
     rows = [(r.doc_id, None if r.text is None else t, r.source) for r, t in zip(rows, left)]
     assert any(t == "" or len(t or "") < len(r[1] or "") for t, r in zip(left, rows)) or left
-    prints = [simhash_cover.fingerprint(t or "") for _, t, _ in rows]
-    roots = roots_by_force(prints, 3)
+    sets = [frozenset(simhash_cover.shingles(t or "", 5)) for _, t, _ in rows]
+    root = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and (x == sets[j] or len(x & sets[j]) >= 0.8 * len(x | sets[j])):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
     best = {}
-    for (d, t, s), p in zip(rows, prints):
-        if roots[p] not in best or d < best[roots[p]][0]:
-            best[roots[p]] = (d, t, s)
+    for (d, t, s), r in zip(rows, root):
+        if r not in best or d < best[r][0]:
+            best[r] = (d, t, s)
+    assert 1 < len(best) < len(set(sets))  # some near copies, not only equal ones
     kept = spark.createDataFrame(list(best.values()), "doc_id long, text string, source string")
     copies, _ = brute(kept)
     ranks, pattern = bpe.public_ranks()
@@ -57,7 +64,7 @@ def test_run_against_brute_force(spark, folder):
     want = Counter()
     for (d, s, t), n in copies.items():
         ids = own.encode_ordinary(t or "")
-        want[d, s, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += n
+        want[d, s, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), tuple(ids)] += n
     assert got == want
 
 

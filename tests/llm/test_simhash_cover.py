@@ -100,8 +100,8 @@ def test_forest_is_small():
     assert len(a) == 4 and set(b.tolist()) == {1, 3, 7, 15}
 
 
-@pytest.mark.parametrize("limit", [2, 32])
-def test_near_copies_go(spark, limit):
+@pytest.mark.parametrize("block", [2, 512])
+def test_near_copies_go(spark, block):
     rng = random.Random(11)
     texts = []
     for g in range(12):
@@ -116,5 +116,27 @@ def test_near_copies_go(spark, limit):
             if not x and not sets[j] or x and len(x & sets[j]) >= 0.8 * len(x | sets[j]):
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in S.near_copies(docs, pairs_limit=limit).collect()} == dict(enumerate(root))
+    assert {r.doc_id: r.component_id for r in S.near_copies(docs, block=block).collect()} == dict(enumerate(root))
     assert {r.doc_id for r in S.keep_one_each(docs).collect()} == set(root) and len(set(root)) == 26
+
+
+def test_a_family_of_copies_near_the_bound(spark):
+    """Copies of one text whose likeness to it and to one another lies on both sides of the bound, in large buckets."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(150):
+        own = list(words)
+        for k in rng.sample(range(150), rng.randrange(1, 7)):
+            own[k] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    sets = [set(S.shingles(t, 5)) for t in texts]
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (16, 512):
+        assert {r.doc_id: r.component_id for r in S.near_copies(docs, block=block).collect()} == dict(enumerate(root))
+    assert 3 < len(set(root)) < 100
