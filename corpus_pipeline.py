@@ -44,9 +44,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids_sha256 and decoded_sha256 of every row."""
+    """doc_id, source, n_tokens, ids_sha256, decoded_sha256 and ids, the tokens to train on, of every row."""
     ranks, pattern = bpe.public_ranks()
-    return bpe.token_digests(docs.select("doc_id", "source", "text"), ranks, pattern, keep=["doc_id", "source"])
+    return bpe.token_digests(docs.select("doc_id", "source", "text"), ranks, pattern, keep=["doc_id", "source"], to="ids")
 
 
 STAGES = [
