@@ -19,8 +19,10 @@ from foliospark.llm.common import checkpointed, read_table
 
 #: Sources that the driver takes the token counts of, at most; more raise an error.
 MAX_SOURCES = 100_000
-#: Blocks that each source's documents are dealt to by the hash of their id.
+#: Blocks that each source's documents are dealt to by the hash of their id: so many at least, and one for so many rows of
+#: the table, so that no block of the largest source grows with the table.
 BLOCKS = 1024
+BLOCK_ROWS = 100_000
 REPETITION_LIMIT = 2.0
 SEED = 17
 
@@ -94,8 +96,8 @@ def _words(text: str) -> F.Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
-def _block(doc_id: str, seed: int) -> F.Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(BLOCKS)).cast("int")
+def _block(doc_id: str, seed: int, n: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(n)).cast("int")
 
 
 def _block_order(epoch, source: str, block: str, seed: int) -> F.Column:
@@ -117,16 +119,19 @@ class Mixture:
     #: source, block, tokens: sums over rows.
     blocks: DataFrame
     seed: int
+    #: Blocks of a source.
+    n_blocks: int
 
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED, **targets) -> Mixture:
-    """Exponent, weights, and for each source where its last pass ends; targets as in temper().
+    """Exponent, weights, and for each source where its last pass ends; targets as in temper(). Tokens are words here.
 
     The sums by source and block are all that is looked at as a whole; a cut is found in one block of a source. So
     a source that holds most of the rows is spread over its blocks like any other.
     """
     spark = docs.sparkSession
-    rows = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _words(text).alias("tokens"), _block(doc_id, seed).alias("block")))
+    n_blocks = max(BLOCKS, docs.count() // BLOCK_ROWS)
+    rows = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _words(text).alias("tokens"), _block(doc_id, seed, n_blocks).alias("block")))
     blocks = checkpointed(rows.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")))
     sums = blocks.groupBy("source").agg(F.sum("tokens").alias("tokens")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
@@ -142,13 +147,13 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     within = Window.partitionBy("source").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
     places = near.withColumn("upto", F.sum("tokens").over(within)).where(F.col("upto") <= F.col("room")).groupBy(F.col("source").alias("p")).agg(F.max("place").alias("cut_place"))
     cuts = table.join(ends.select("s", F.col("at").alias("cut_block")), table["source"].eqNullSafe(F.col("s")), "left").join(places, table["source"].eqNullSafe(F.col("p")), "left")
-    return Mixture(exponent, shares, checkpointed(cuts.select("source", "passes", "budget", "cut_block", "cut_place")), rows, blocks, seed)
+    return Mixture(exponent, shares, checkpointed(cuts.select("source", "passes", "budget", "cut_block", "cut_place")), rows, blocks, seed, n_blocks)
 
 
 def _copies(frame: DataFrame, mixture: Mixture, doc_id: str, source: str) -> DataFrame:
     """Adds __passes: how often a row is drawn. The cuts are one row a source, of which there are MAX_SOURCES at most."""
     cuts = mixture.cuts.select(F.col("source").alias("__s"), F.col("passes").alias("__full"), F.col("budget").alias("__budget"), F.col("cut_block").alias("__cut_block"), F.col("cut_place").alias("__cut_place"))
-    at = F.xxhash64(F.lit(mixture.seed), F.col("__full"), F.col(source), _block(doc_id, mixture.seed))
+    at = F.xxhash64(F.lit(mixture.seed), F.col("__full"), F.col(source), _block(doc_id, mixture.seed, mixture.n_blocks))
     in_last = (at < F.col("__cut_block")) | ((at == F.col("__cut_block")) & (_place_order(F.col("__full"), doc_id, mixture.seed) <= F.col("__cut_place")))
     joined = frame.join(F.broadcast(cuts), frame[source].eqNullSafe(F.col("__s")))
     return joined.withColumn("__passes", F.col("__full") + F.when(F.coalesce(in_last, F.lit(False)), 1).otherwise(0)).drop("__s", "__full", "__cut_block", "__cut_place")

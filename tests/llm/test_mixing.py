@@ -35,7 +35,7 @@ def brute(docs, seed=mixing.SEED, **targets):
     """Copies of each row, by walking through every source's permuted blocks."""
     from pyspark.sql import functions as F
 
-    with_block = docs.withColumn("block", mixing._block("doc_id", seed))
+    with_block = docs.withColumn("block", mixing._block("doc_id", seed, mixing.BLOCKS))
     ordered = with_block.select("*", *[mixing._block_order(F.lit(e), "source", "block", seed).alias(f"b{e}") for e in range(4)], *[mixing._place_order(F.lit(e), "doc_id", seed).alias(f"p{e}") for e in range(4)]).collect()
     n = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
     tokens = defaultdict(int)
@@ -96,3 +96,15 @@ def test_empty_table(spark):
 def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b", "s", "x", "y", 7)], "doc_id long, text string, source string, cut_block string, block string, tokens int")
     assert [tuple(r) for r in mixing.mixed(docs, mixing.plan(docs)).collect()] == [(1, "a b", "s", "x", "y", 7)]
+
+
+def test_blocks_grow_with_the_rows(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    few = mixing.plan(docs)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 10)
+    many = mixing.plan(docs)
+    assert few.n_blocks == 4 and many.n_blocks == docs.count() // 10
+    for mixture in (few, many):
+        drawn = mixing.draws(mixture).groupBy("source").agg({"tokens": "sum"}).collect()
+        budgets = {s.source: s.budget for s in mixture.shares}
+        assert all(r[1] <= budgets[r[0]] + 1e-6 or not budgets[r[0]] for r in drawn) and len(drawn) == len(budgets)
