@@ -69,13 +69,13 @@ def drop_repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     empty line) and stays null; no row is dropped, even if nothing is left of its text. Input columns named n_lines or
     removed_lines are replaced. Different chunks with equal 128-bit keys would all be left alone.
 
-    Texts are cut once, and only hashes of chunks are compared at first. The bytes of those that repeat are grouped where
+    Only hashes of chunks are counted at first; they are worked out twice rather than stored. The bytes of those that repeat are grouped where
     they lie before they move: one copy of a chunk leaves each task.
     """
     docs = docs.drop("n_lines", "removed_lines")
     keyed = docs.withColumns({"__r1": F.xxhash64(doc_id, text), "__r2": F.xxhash64(F.lit(1), F.col(doc_id), F.col(text))})
+    chunks = _chunks(keyed.select(doc_id, text, "__r1", "__r2"), doc_id, text)
     # tables of their own, so that both sides of the join come straight from their shuffles and hot keys can be split
-    chunks = checkpointed(_chunks(keyed.select(doc_id, text, "__r1", "__r2"), doc_id, text))
     repeated = checkpointed(chunks.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).where("n > 1").select("k1", "k2", "keeper"))
     found = checkpointed(chunks.join(repeated, ["k1", "k2"]).select("doc_id", "__r1", "__r2", "start", "stop", "k1", "k2", "keeper"))
     in_row = found.groupBy("__r1", "__r2").agg(F.collect_set(F.struct("start", "stop", "k1", "k2")).alias("spans"))
