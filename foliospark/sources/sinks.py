@@ -1,8 +1,8 @@
-"""Sinks: whole files through the cluster's own file systems, and log records."""
+"""Sinks: whole files in a folder that all executors share, and log records."""
 
 from __future__ import annotations
 
-import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -14,26 +14,33 @@ LEVELS = {"debug": 10, "info": 20, "warn": 30, "error": 40}
 def write_files(files: DataFrame, folder: str, name: str = "out_name", content: str = "content") -> DataFrame:
     """Writes each row's content to a file in a folder that all executors share; returns out_name, status, error.
 
-    A file appears whole or not at all: it is written under another name and then renamed. A failure is told in its row,
-    leaves nothing behind, and doesn't stop the others.
+    folder: a path, or an address that pyarrow's file systems know (file:, hdfs:, s3: and so on). A file appears whole or
+    not at all: it is written under another name and then moved; only where the store can't move over a file that is there,
+    that one goes first. A failure is told in its row, leaves nothing behind, and doesn't stop the others.
     """
 
     def run(batches):
         import pyarrow as pa
+        from pyarrow import fs
 
+        named = re.match("[A-Za-z][A-Za-z0-9+.-]+:", folder)
         for batch in batches:
             for label, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = os.path.join(folder, f"{label}.{uuid.uuid4().hex}.part")
+                store, part = None, ""
                 try:
-                    os.makedirs(folder, exist_ok=True)
-                    with open(part, "wb") as out:
+                    store, base = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder)) if named else (fs.LocalFileSystem(), folder)
+                    part, target = f"{base.rstrip('/')}/{label}.{uuid.uuid4().hex}.part", f"{base.rstrip('/')}/{label}"
+                    store.create_dir(base, recursive=True)
+                    with store.open_output_stream(part) as out:
                         out.write(data or b"")
-                    os.replace(part, os.path.join(folder, label))
+                    if store.type_name != "local" and store.get_file_info(target).type != fs.FileType.NotFound:
+                        store.delete_file(target)
+                    store.move(part, target)
                     status, error = "ok", None
-                except OSError as problem:
+                except (OSError, ValueError) as problem:  # what pyarrow's file systems raise
                     status, error = "failed", str(problem)
-                    if os.path.exists(part):
-                        os.remove(part)
+                    if store is not None and part and store.get_file_info(part).type == fs.FileType.File:
+                        store.delete_file(part)
                 yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (label, status, error)], names=["out_name", "status", "error"])
 
     return files.select(name, content).mapInArrow(run, "out_name string, status string, error string")

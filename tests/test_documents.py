@@ -197,6 +197,8 @@ def test_files_in_and_out(spark, tmp_path):
     todo = files.pending(found, existing)
     assert [r.out_name for r in todo.collect()] == ["B.ocr.pdf"] and files.pending(found, existing, force=True).count() == 2
     done = sinks.write_files(todo, f"{tmp_path}/out").collect()
+    again = sinks.write_files(todo, f"file:{tmp_path}/by_address").collect()
+    assert sorted(done) == sorted(again) and sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(p.name for p in (tmp_path / "by_address").iterdir())
     assert [(r.out_name, r.status) for r in done] == [("B.ocr.pdf", "ok")] and (tmp_path / "out" / "B.ocr.pdf").read_bytes() == b"B.PDF" and len(list((tmp_path / "out").iterdir())) == 1
     assert {r.out_name for r in files.names_in(spark, f"{tmp_path}/out").collect()} == {"B.ocr.pdf"}
     (tmp_path / "file").write_text("")

@@ -136,3 +136,18 @@ def test_a_pass_touches_open_pages_only(spark, monkeypatch):
     assert touched == [{1, 2, 4}, {1, 4}, {1}, {1}, {1}]
     assert sorted((r.page, r.passes, r.changes) for r in told.collect()) == [(1, 5, 8), (2, 1, 0), (4, 2, 6)]
     assert state.count() == len(boxes) and {r.current for r in state.where("page = 1").collect()} == {"ef"} and {r.current for r in state.where("page = 4").collect()} == {"bc"}
+
+
+def test_calls_for_each_row_with_a_time_limit(spark):
+    import time
+
+    def model(text, n):
+        if n == 2:
+            raise ValueError("no such thing")
+        if n == 3:
+            time.sleep(3)
+        return f"{text}{n}"
+
+    rows = spark.createDataFrame([(k, "t", k, "unused") for k in range(5)], "page int, text string, n int, other string")
+    told = {r.page: (r.answer, r.error) for r in seams.per_row(model, ["text", "n"], 0.5)(rows, ["page"]).collect()}
+    assert told == {0: ("t0", None), 1: ("t1", None), 2: (None, "ValueError: no such thing"), 3: (None, "no answer within 0.5 s"), 4: ("t4", None)}
