@@ -381,7 +381,6 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
     component = checkpointed(stars.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(stars.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()))
 
     buckets = _open_buckets(met, component)
-    first = Window.partitionBy("v", "key")
     led = buckets.groupBy("v", "key").agg(F.min(F.struct("component", "fp")).alias("first")).select("v", "key", "first.component", "first.fp").withColumnsRenamed({"fp": "a", "component": "ca"})
     asked = buckets.join(led, ["v", "key"]).where("component <> ca").groupBy("fp", "a").agg(F.count("*").alias("n"))
     best = asked.groupBy("fp").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
