@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.asof import latest_before
-from foliospark.llm.common import plain_table
+from foliospark.llm.common import checkpointed, plain_table
 
 # The profiles' identifiers, query parameters that only track, and headers that an update mustn't touch
 NOT_MODIFIED = ("http://netpreserve.org/warc/1.0/revisit/server-not-modified", "http://netpreserve.org/warc/1.1/revisit/server-not-modified")
@@ -79,7 +79,9 @@ def resolve(records: DataFrame) -> DataFrame:
     full = keyed.where("kind = 'response' and status = 200")
     revisits = keyed.where((F.col("kind") == "revisit") & F.col("profile").isin(*NOT_MODIFIED)).select("record_id", "url_key", "at", F.col("headers").alias("fresh"))
     found = latest_before(full, revisits, "url_key", "at", "record_id", "resolved_id")
-    stored = full.groupBy(F.col("record_id").alias("resolved_id")).agg(F.map_from_entries(F.max(F.array_sort(F.map_entries("headers")))).alias("stored"))
+    # a table of its own, so that both sides of the join come straight from their shuffles and a response that most
+    # revisits resolve to can be split
+    stored = checkpointed(full.groupBy(F.col("record_id").alias("resolved_id")).agg(F.map_from_entries(F.max(F.array_sort(F.map_entries("headers")))).alias("stored")))
     both = found.join(stored, "resolved_id", "left")
     tag, date = (lambda side, name: F.get(F.map_values(F.map_filter(side, lambda k, _: k == name)), 0)), "last-modified"
     fresh_tag, stored_tag = _strong(tag(F.col("fresh"), "etag")), _strong(tag(F.col("stored"), "etag"))
