@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import bpe, fingerprint, line_chunks, mixing, pii, quality, revisit, simhash_cover, tiff, url_lists
+from foliospark.llm import backoff, bpe, fill_middle, fingerprint, importance, line_chunks, mixing, pii, quality, revisit, simhash_cover, tiff, url_lists
 from foliospark.llm.common import read_table
 
 
@@ -26,6 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tiff_media": tiff.query,
         "op9_document_fingerprints": fingerprint.query,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_importance_resampling": importance.query,
+        "op12_fill_in_middle": fill_middle.query,
+        "op13_backoff_automaton": backoff.query,
     }
 
 
@@ -34,4 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_chunk_dedup": line_chunks.SQL,
         "op6_temporal_url_lists": url_lists.SQL,
         "op7_revisit_resolution": revisit.SQL,
+        "op11_importance_resampling": importance.SQL,
+        "op12_fill_in_middle": fill_middle.SQL,
     }
