@@ -15,14 +15,14 @@ from foliospark.llm.common import read_table
 
 UNIT = "[A-Za-z]++|[^A-Za-z]"
 #: Units of a run.
-RUN = 64
+RUN = 128
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 SEED = 1
 #: Of 100 documents, so many are transformed; of 100 transformed ones, so many begin with their suffix.
 RATE, SUFFIX_FIRST = 90, 20
 
-#: A row's identity: whether it has an id, the id, two hashes of the text. Rows with one identity are equal.
-_KEY = ["__given", "__id", "__k1", "__k2"]
+#: A row's identity: two hashes of its id and text, 128 bits. Rows with one identity are equal.
+_KEY = ["__k1", "__k2"]
 
 
 def unit_count(text) -> F.Column:
@@ -39,7 +39,8 @@ def _requests(docs: DataFrame, doc_id: str, text: str, seed: int, rate: int, suf
     whole = F.coalesce(F.col(text), F.lit(""))
     digest = F.sha2(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), "UTF-8"), 256)
     named = docs.withColumns({"__text": whole, "__digest": digest})
-    keyed = named.withColumns({"__given": F.col(doc_id).isNotNull(), "__id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__k1": F.xxhash64("__text"), "__k2": F.xxhash64(F.lit(1), F.col("__text")), "__n": unit_count(F.col("__text"))})
+    identity = [F.col(doc_id).isNotNull(), F.col(doc_id), F.col("__text")]
+    keyed = named.withColumns({"__k1": F.xxhash64(*identity), "__k2": F.xxhash64(F.lit(1), *identity), "__n": unit_count(F.col("__text"))})
     h = [_drawn(F.col("__digest"), k) for k in range(4)]
     marked = F.contains(F.col("__text"), F.lit(PREFIX)) | F.contains(F.col("__text"), F.lit(SUFFIX)) | F.contains(F.col("__text"), F.lit(MIDDLE))
     form = F.when((F.col("__text") == "") | marked | (h[2] % 100 >= rate), "plain").when(h[3] % 100 < suffix_first, "spm").otherwise("psm")
@@ -50,12 +51,14 @@ def _requests(docs: DataFrame, doc_id: str, text: str, seed: int, rate: int, suf
 def _offsets(asked: DataFrame) -> DataFrame:
     """_KEY, __first_at, __second_at: characters before the units that a transformed text is cut at; null at its end.
 
-    Equal rows are merged by their key, so the running sums count each unit once.
+    Equal rows are merged by their key, so the running sums count each unit once. All steps but the first work on rows dealt out
+    by their key once.
     """
     runs = asked.where("__form <> 'plain'").select(*_KEY, "__first", "__second", F.posexplode(F.regexp_extract_all("__text", F.lit(f"(?:{UNIT}){{1,{RUN}}}+"), F.lit(0))).alias("run", "units"))
     wanted = F.when((F.col("run") == F.floor(F.col("__first") / RUN)) | (F.col("run") == F.floor(F.col("__second") / RUN)), F.col("units"))
-    lengths = runs.select(*_KEY, "__first", "__second", "run", F.length("units").cast("long").alias("chars"), wanted.alias("units"))
-    once = lengths.groupBy(*_KEY, "run").agg(F.max("chars").alias("chars"), F.max("units").alias("units"), F.max("__first").alias("__first"), F.max("__second").alias("__second"))
+    here = wanted.isNotNull()
+    lengths = runs.select(*_KEY, "run", F.length("units").alias("chars"), wanted.alias("units"), F.when(here, F.col("__first")).alias("__first"), F.when(here, F.col("__second")).alias("__second"))
+    once = lengths.repartition(*_KEY).groupBy(*_KEY, "run").agg(F.max("chars").alias("chars"), F.max("units").alias("units"), F.max("__first").alias("__first"), F.max("__second").alias("__second"))
     earlier = Window.partitionBy(*_KEY).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     begun = once.withColumn("before", F.coalesce(F.sum("chars").over(earlier), F.lit(0))).where("units is not null")
     each = begun.select(*_KEY, "__first", "__second", "run", "before", F.posexplode(F.regexp_extract_all("units", F.lit(UNIT), F.lit(0))).alias("place", "unit"))
