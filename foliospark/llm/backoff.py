@@ -58,18 +58,25 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Ascending numbers as their differences, in as few bytes each as all of them need."""
-    steps = np.diff(keys, prepend=_U64(0))
-    first, width = steps[:1], max(1, -(-int(steps[1:].max(initial=0)).bit_length() // 8))
-    return bytes([width]) + first.astype("<u8").tobytes() + steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Ascending numbers as their differences, all lowest bytes first, then all next ones, compressed: what differences of
+    random numbers lack are their highest bits."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys)
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpack(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, _U64)
     width = raw[0]
-    steps = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
-    wide = np.zeros((len(steps), 8), np.uint8)
-    wide[:, :width] = steps
-    return np.cumsum(np.concatenate([np.frombuffer(raw[1:9], "<u8"), wide.view("<u8").ravel()]), dtype=_U64)[: len(steps) + (len(raw) > 1)]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[9:]), np.uint8).reshape(width, -1)
+    steps = np.zeros((planes.shape[1] + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(raw, np.uint8, 8, 1)
+    steps[1:, :width] = planes.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=_U64)
 
 
 def _squeeze(counts: np.ndarray) -> bytes:
@@ -133,10 +140,14 @@ def read_block(texts: list[bytes], order: int, bits: int) -> Block:
     for k in range(2, order + 1):
         longer = np.concatenate([longer[:1], _joined(longer[:-1], alone[1:])])  # that of the token before, and this one
         ends = np.flatnonzero(behind >= k - 1)
-        keys, first, inverse = np.unique(longer[ends] >> _U64(64 - bits), return_index=True, return_inverse=True)
+        met = longer[ends] >> _U64(64 - bits)
+        ordered = np.argsort(met)
+        met = met[ordered]
+        new = np.ones(len(met), bool)
+        new[1:] = met[1:] != met[:-1]
         at = np.full(len(codes), -1, np.int64)
-        at[ends] = inverse
-        levels.append(Level(keys, at, ends[first] if len(ends) else ends))
+        at[ends[ordered]] = np.cumsum(new) - 1
+        levels.append(Level(met[new], at, ends[ordered[new]]))
     return Block(starts, sizes, levels)
 
 
@@ -146,35 +157,41 @@ class Automaton:
 
     A state is a context of one or more tokens, or the root. arcs[k]: weight of the arc that reads the last token of the
     n-gram of k + 1 tokens in the state of the others; nan if it isn't there. fails[k]: weight of the failure arc of the state of the
-    n-gram of k + 1 tokens. single: weight of every token in the root.
+    n-gram of k + 1 tokens. single: weight of every token in the root; known: whether training has it.
     """
 
     single: np.ndarray
+    known: np.ndarray
     arcs: list[np.ndarray]
     fails: list[np.ndarray]
 
-    def walk(self, numbers: list[list[int]], order: int) -> float:
-        """Log-probability (base 10) of a text: numbers has for each length the n-grams that end at its positions."""
-        total, depth = 0.0, min(1, order - 1)  # the state is a context of so many tokens, first that of the start
-        single, arcs, fails = self.single_list, self.arc_lists, self.fail_lists
-        for i in range(1, len(numbers[0])):
-            while depth:
-                weight = arcs[depth][numbers[depth][i]]
-                if weight == weight:
-                    break
-                total += fails[depth - 1][numbers[depth - 1][i - 1]]
-                depth -= 1
-            else:
-                weight = single[numbers[0][i]]
-            total += weight
-            # the arc leads to the n-gram read, without its first token if it is as long as can be; an unknown token to the root
-            depth = min(depth + 1, order - 1) if depth or arcs[0][numbers[0][i]] == 0.0 else 0
-        return total
-
-    def __post_init__(self):
-        self.single_list = self.single.tolist()
-        self.arc_lists = [a.tolist() for a in self.arcs]
-        self.fail_lists = [f.tolist() for f in self.fails]
+    def tapes(self, block: Block) -> list[list[np.ndarray]]:
+        """What the automaton has for each position of the texts: single and known; arcs, and failure arcs, by the depth of the state."""
+        at = [level.at for level in block.levels]
+        deeper = range(1, len(at))
+        # -1, where no n-gram ends, takes the nan behind the last
+        at_positions = lambda weights, k: np.append(weights, np.nan)[k]
+        return [[self.single[at[0]], self.known[at[0]]], [at_positions(self.arcs[k], at[k]) for k in deeper], [at_positions(self.fails[k - 1], np.roll(at[k - 1], 1)) for k in deeper]]
+
+
+def walk(single: list[float], known: list[bool], arcs: list[list[float]], fails: list[list[float]]) -> float:
+    """Log-probability (base 10) of a text by one traversal from left to right; see Automaton.tapes(). Position 0 is the start."""
+    deepest = len(arcs)
+    total, depth = 0.0, min(1, deepest)  # the state is a context of so many tokens, first that of the start
+    for i in range(1, len(single)):
+        while depth:
+            weight = arcs[depth - 1][i]
+            if weight == weight:
+                break
+            total += fails[depth - 1][i]
+            depth -= 1
+        else:
+            weight = single[i]
+        total += weight
+        # the arc leads to the n-gram read, without its first token if it is as long as can be; that of an unknown token to the root
+        if depth < deepest and (depth or known[i]):
+            depth += 1
+    return total
 
 
 def strength(k: int, strengths: tuple[float, ...]) -> float:
@@ -186,19 +203,19 @@ def automaton(block: Block, counts: list[np.ndarray], n: int, v: int, strengths:
     """Weights from how often training has each of a block's n-grams, of how many tokens in all, how many of them different."""
     single = (counts[0] + 0.5) / (n + 0.5 * (v + 1))
     levels, shorter = block.levels, single
-    # the first entry only tells known tokens from unknown ones
-    arcs, fails = [np.where(counts[0] > 0, 0.0, np.nan)], []
+    # what is there of the next shorter n-grams
+    there, arcs, fails = counts[0] > 0, [np.zeros(0)], []
     for k in range(1, len(levels)):
         strong = strength(k + 1, strengths)
         fails.append(np.log10(strong / (counts[k - 1] + strong)))
         first = levels[k].first
         context, suffix = levels[k - 1].at[first - 1], levels[k - 1].at[first]
         likely = (counts[k] + strong * shorter[suffix]) / (counts[k - 1][context] + strong)
-        # an n-gram that is known has only known parts; by chance a hash may say otherwise
-        known = (counts[k] > 0) & (counts[k - 1][context] > 0) & (np.isfinite(arcs[k - 1][suffix]))
-        arcs.append(np.where(known, np.log10(likely), np.nan))
+        # an n-gram that is there has only parts that are; by chance a hash may say otherwise
+        there = (counts[k] > 0) & (counts[k - 1][context] > 0) & there[suffix]
+        arcs.append(np.where(there, np.log10(likely), np.nan))
         shorter = likely
-    return Automaton(np.log10(single), arcs, fails)
+    return Automaton(np.log10(single), counts[0] > 0, arcs, fails)
 
 
 def is_held_out(doc_id: str) -> F.Column:
@@ -224,7 +241,7 @@ def _sent(order: int, bits: int, ranges: int):
         for r in range(ranges):
             parts = [slice(c[r], c[r + 1]) for c in cuts]
             if any(p.start < p.stop for p in parts):
-                rows.append((own, r, [_pack(x[p]) if p.start < p.stop else b"" for x, p in zip(keys, parts)], block.levels[0].check[parts[0]].astype("<u4").tobytes(), [_squeeze(c[p]) for c, p in zip(counts, parts)]))
+                rows.append((own, r, [_pack(x[p]) for x, p in zip(keys, parts)], block.levels[0].check[parts[0]].astype("<u4").tobytes(), [_squeeze(c[p]) for c, p in zip(counts, parts)]))
         return pa.Table.from_arrays([pa.array([row[i] for row in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
 
     return run
@@ -245,7 +262,7 @@ def _answered(order: int):
         keys, counts, checks = table["keys"].to_pylist(), table["counts"].to_pylist(), table["check"].to_pylist()
         answers: list[list[bytes]] = [[] for _ in range(rows)]
         for k in range(order):
-            runs = [_unpack(keys[i][k]) if keys[i][k] else np.zeros(0, _U64) for i in range(rows)]
+            runs = [_unpack(keys[i][k]) for i in range(rows)]
             every = np.concatenate(runs)
             given = np.concatenate([_stretch(counts[i][k]) for i in range(rows)])
             check = np.concatenate([np.frombuffer(c, "<u4") for c in checks]) if not k else None
@@ -288,14 +305,15 @@ def _scored(order: int, bits: int, strengths: tuple[float, ...]):
         counts = [np.concatenate([_stretch(row[k]) for row in by_row]) for k in range(order)]
         n, v = in_order["all_n"][0].as_py(), in_order["all_v"][0].as_py()
         model = automaton(block, counts, n, v, strengths)
-        known = counts[0] > 0
+        (single, known), arcs, fails = model.tapes(block)
         n_tokens, n_known, base, score = [], [], [], []
         for start, size in zip(block.starts.tolist(), block.sizes.tolist()):
-            own = [level.at[start : start + size] for level in block.levels]
+            own = slice(start, start + size)
+            plain = single[own].tolist()
             n_tokens.append(size - 1)
-            n_known.append(int(np.count_nonzero(known[own[0][1:]])))
-            base.append(math.fsum(model.single[own[0][1:]].tolist()))
-            score.append(model.walk([x.tolist() for x in own], order))
+            n_known.append(int(np.count_nonzero(known[own][1:])))
+            base.append(math.fsum(plain[1:]))
+            score.append(walk(plain, known[own].tolist(), [a[own].tolist() for a in arcs], [f[own].tolist() for f in fails]))
         made = [docs["doc_id"].combine_chunks(), pa.compute.invert(docs["learnt"].combine_chunks()), n_tokens, n_known, [n] * len(base), base, score]
         return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(made, kinds)], schema=kinds)
 
