@@ -1,4 +1,4 @@
-"""Queries on runs: jobs that are awaited, files that are published and read, records of what was done."""
+"""Queries on runs: jobs that are awaited, files that are published and read, pages that are opened, records of what was done."""
 
 from __future__ import annotations
 
@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.checkpoints import ensure_checkpoint_dir
+from foliospark.functions import glyphs, pages, widths
+from foliospark.operators import quality
+from foliospark.queries import sqltext as S
+from foliospark.sources import publishing, runlog, wordtables
+from foliospark.sources.tables import read_table as table
 from foliospark.streaming import jobs
 
 
@@ -82,9 +87,120 @@ SELECT doc, make_timestamp(sent_at * 1000) AS "at", number, command, about FROM
 """
 
 
+def published_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, size and digest of the files that a job published: a conversation is one, with what was said in the order of its turns."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.coalesce(t["text"], F.lit(""))), "\n")
+    files = turns.groupBy("conv_id").agg(F.encode(said, "UTF-8").alias("content")).withColumn("out_name", F.concat(F.lit("talk-"), F.col("conv_id").cast("string"), F.lit(".txt")))
+    folder = f"{scratch(spark, 'published')}/files"
+    publishing.publish(files, folder)
+    there = spark.read.format("binaryFile").load(folder)
+    return there.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+PUBLISHED_FILES = """
+WITH f AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text) AS content FROM conversations GROUP BY conv_id)
+SELECT 'talk-' || conv_id || '.txt' AS name, octet_length(encode(content))::BIGINT AS bytes, sha256(content) AS sha256 FROM f
+"""
+
+#: For scanned_words: bytes of a partition, words of that many pages.
+PART_BYTES, PAGES = 1 << 19, 3
+
+
+def scanned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the first pages, read from a folder of word tables: lines of orders are words, their numbers pages; totals are lines."""
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+    whole = lambda c: F.col(c).cast("long")
+    cells = lines.select(F.when(F.col("l_partkey") % 7 == 0, 4).otherwise(5), "l_linenumber", whole("l_suppkey"), F.lit(1), whole("l_partkey"), whole("l_orderkey"), whole("l_quantity"), whole("l_extendedprice"), F.lit(40), F.lit(9), F.round("l_discount", 2), F.concat("l_returnflag", F.lit(" "), "l_linestatus"))
+    folder = f"{scratch(spark, 'words')}/tables"
+    cells.toDF("level", "page_num", "block_num", "par_num", "line_num", "word_num", "left", "top", "width", "height", "conf", "text").write.option("sep", "\t").option("header", "true").csv(folder)
+    words = wordtables.read(spark, folder, PART_BYTES).where((F.col("level") == 5) & (F.col("page") <= PAGES))
+    return words.select("page", "block", "line", "word", "left", "top", "conf", "text")
+
+
+SCANNED_WORDS = f"""
+SELECT l_linenumber AS page, l_suppkey::INT AS block, l_partkey::INT AS line, l_orderkey::INT AS word, l_quantity::BIGINT::DOUBLE AS "left", floor(l_extendedprice)::DOUBLE AS top, round(l_discount, 2) AS conf, l_returnflag || ' ' || l_linestatus AS text
+FROM lineitem WHERE l_partkey % 7 <> 0 AND l_linenumber <= {PAGES}
+"""
+
+
+def opened_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of documents by the table function, in SQL: a conversation is a document, four turns a page."""
+    table(spark, sf_dir, "conversations", "conv_id", "turn", "text").createOrReplaceTempView("turns_of_conversations")
+    pages.register(spark)
+    return spark.sql("""SELECT doc AS conv_id, page, source_page, runs, chars, md5(text) AS text_md5
+      FROM document_pages(TABLE(SELECT conv_id AS doc, CAST(turn DIV 4 AS INT) AS page, turn AS seq, text FROM turns_of_conversations), false)""")
+
+
+OPENED_PAGES = """
+WITH p AS (
+  SELECT conv_id, (turn // 4)::INT AS source_page, count(*)::INT AS runs, string_agg(text, ' ' ORDER BY turn, text) FILTER (text <> '') AS text FROM conversations GROUP BY ALL
+)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY source_page)::INT AS page, source_page, runs, length(coalesce(text, ''))::INT AS chars, md5(coalesce(text, '')) AS text_md5 FROM p
+"""
+
+
+def text_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Width of every whole text in thousandths of the font's size."""
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", widths.text_width(F.coalesce("text", F.lit(""))).alias("width"))
+
+
+TEXT_WIDTHS = f"""
+WITH ranges(first, advance) AS (VALUES {', '.join(map(str, widths.ADVANCES))}),
+characters AS (SELECT doc_id, unicode(c) AS point, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY ALL),
+wide AS (SELECT doc_id, sum(n * advance)::BIGINT AS width FROM characters ASOF JOIN ranges ON point >= first GROUP BY doc_id)
+SELECT doc_id, coalesce(width, 0) AS width FROM documents LEFT JOIN wide USING (doc_id)
+"""
+
+
+def nested_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible glyphs of arguments of one to five levels: a word is a glyph, its length the spacing behind it, a document a page."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    glyph = F.transform(words, lambda w, i: F.concat(F.to_json(F.named_struct(F.lit("unicode"), F.when(i % 5 == 0, F.lit(" ")).otherwise(w))), F.lit(","), F.length(w).cast("string")))
+    levels = (F.col("doc_id") % 5 + 1).cast("int")
+    argument = F.concat(F.repeat(F.lit("["), levels), F.array_join(glyph, ","), F.repeat(F.lit("]"), levels))
+    return docs.select("doc_id", glyphs.glyph_count(F.parse_json(argument)).alias("glyphs"))
+
+
+NESTED_GLYPHS = f"""
+WITH words AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS w, generate_subscripts(string_split(coalesce(text, ''), ' '), 1) - 1 AS i FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 5 + 1 > 3 THEN 0 ELSE sum(CASE WHEN i % 5 = 0 OR w <> '' AND {S.blank('w')} THEN 0 ELSE 1 END) END::INT AS glyphs FROM words GROUP BY doc_id
+"""
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log records of a run that judges all documents and writes what isn't junk; the run reads its table once."""
+    log = runlog.RunLog(spark)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    judged = quality.with_quality(docs).withColumn("junk", quality.is_junk(F.col("chars"), F.col("plausible_share")))
+    kept = log.step(judged, "judged", **runlog.layer_counters()).where(~F.col("junk"))
+    log.step(kept, "kept", **runlog.layer_counters()).write.parquet(f"{scratch(spark, 'kept')}/layers")
+    return log.records().select("level", "msg", F.map_entries("fields").alias("f"), "stream").select("level", "msg", "stream", F.explode("f").alias("f")).select("level", "msg", "stream", "f.*")
+
+
+RUN_LOG = f"""
+WITH measured AS (
+  SELECT doc_id, text, coalesce(sum(length(t)), 0) AS chars, coalesce(sum(CASE WHEN {S.plausible('t')} THEN length(t) ELSE 0 END) / sum(length(t)), 0) AS share
+  FROM (SELECT doc_id, text, unnest(CASE WHEN len({S.tokens('text')}) = 0 THEN [NULL] ELSE {S.tokens('text')} END) AS t FROM documents) GROUP BY doc_id, text
+), judged AS (
+  SELECT coalesce(length(text), 0) AS n, chars >= 40 AND share < 0.5 AS junk FROM measured
+), steps AS (
+  SELECT 'judged' AS msg, count(*) AS documents, sum(n)::BIGINT AS chars, max(n) AS longest, count(*) FILTER (n = 0) AS empty, count(*) FILTER (junk) AS warnings FROM judged
+  UNION ALL
+  SELECT 'kept', count(*), sum(n)::BIGINT, max(n), count(*) FILTER (n = 0), 0 FROM judged WHERE NOT junk
+)
+SELECT CASE WHEN warnings > 0 THEN 'warn' ELSE 'info' END AS level, msg, CASE WHEN warnings > 0 THEN 'stderr' ELSE 'stdout' END AS stream, key, value::VARCHAR AS value
+FROM (SELECT msg, warnings, unnest(['documents', 'chars', 'longest', 'empty', 'warnings']) AS key, unnest([documents, chars, longest, empty, warnings]) AS value FROM steps)
+"""
+
+
 def queries():
-    return {f.__name__: f for f in (remote_jobs,)}
+    return {f.__name__: f for f in (remote_jobs, published_files, scanned_words, opened_pages, text_widths, nested_glyphs, run_log)}
 
 
 def oracle_sql():
-    return {"remote_jobs": REMOTE_JOBS}
+    return {
+        "remote_jobs": REMOTE_JOBS, "published_files": PUBLISHED_FILES, "scanned_words": SCANNED_WORDS, "opened_pages": OPENED_PAGES,
+        "text_widths": TEXT_WIDTHS, "nested_glyphs": NESTED_GLYPHS, "run_log": RUN_LOG,
+    }

@@ -8,8 +8,6 @@ checkpointed, as the plans here do, before anything reads them twice.
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as TookTooLong
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -105,33 +103,34 @@ def retried(strict, loose, unsupported: str = "(?i)schema|structured"):
 def per_row(function: Callable[..., str], needs: list[str], timeout_s: float = 180.0) -> Transcribe:
     """A seam that calls a Python function for each row with the values of `needs`, in tasks; it returns the answer.
 
-    What the function raises, and that it took longer than timeout_s, is the row's error; other rows go on. The result
-    counts as made anew each time, so it should be checkpointed, as the plans do.
+    The function runs in a child process of the task's worker. What it raises, that it took longer than timeout_s, and that
+    its process died are the row's error; other rows go on. At the limit the process is killed, so nothing of the call is left,
+    and the next row gets a new one. The result counts as made anew each time, so it should be checkpointed, as the plans do.
     """
 
     def call(rows: DataFrame, by: list[str]) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        from foliospark.child import Child, Died, TookTooLong
+
         schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
         arrow = to_arrow_schema(schema)
 
-        def answered(values):
-            pool = ThreadPoolExecutor(1)
+        def answered(child, values):
             try:
-                return pool.submit(function, *values).result(timeout_s), None
-            except TookTooLong:
-                return None, f"no answer within {timeout_s:g} s"
+                return child.call(values, timeout_s), None
+            except (TookTooLong, Died) as problem:
+                return None, str(problem)
             except Exception as problem:  # whatever a model's client raises
                 return None, f"{type(problem).__name__}: {problem}"
-            finally:
-                pool.shutdown(wait=False, cancel_futures=True)
 
         def run(batches):
-            for batch in batches:
-                columns = [c.to_pylist() for c in batch.columns[len(by) :]]
-                told = [answered(values) for values in zip(*columns)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], pa.array([a for a, _ in told], pa.string()), pa.array([e for _, e in told], pa.string())], schema=arrow)
+            with Child(function) as child:
+                for batch in batches:
+                    columns = [c.to_pylist() for c in batch.columns[len(by) :]]
+                    told = [answered(child, values) for values in zip(*columns)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], pa.array([a for a, _ in told], pa.string()), pa.array([e for _, e in told], pa.string())], schema=arrow)
 
         return rows.select(*by, *needs).mapInArrow(run, schema)
 
