@@ -1,4 +1,5 @@
 import base64
+import itertools
 import json
 import logging
 from datetime import datetime
@@ -13,8 +14,8 @@ from foliospark.plans import refine
 from foliospark.sources import files, settings, sinks
 from foliospark.streaming import intake
 
-NOW = datetime(2026, 9, 20, 12)
-RAW = {"date": "2026-09-20", "correspondent": "Stadtwerke", "summary": "Abschlag Heizung", "reference": None, "confidence": "high", "scan_date": None}
+NOW = datetime(2031, 5, 11, 12)
+RAW = {"date": "2031-05-10", "correspondent": "Kranich", "summary": "Neue Pumpe", "reference": None, "confidence": "high", "scan_date": None}
 
 
 def filed(spark, *changes):
@@ -22,24 +23,32 @@ def filed(spark, *changes):
     return filing.filed(spark.createDataFrame(rows, ", ".join(f"{k} string" for k in RAW) + ", i int"), NOW).orderBy("i").collect()
 
 
-def test_paths(spark):
-    cases = [
-        ({}, "Stadtwerke/2026-09-20_Stadtwerke_Abschlag-Heizung.pdf"), ({"reference": "LV 12/345-6"}, "Stadtwerke/2026-09-20_Stadtwerke_Abschlag-Heizung_LV-12-345-6.pdf"),
-        ({"reference": "B-XY 123", "confidence": "low"}, "_Pruefen/2026-09-20_Stadtwerke_Abschlag-Heizung_B-XY-123.pdf"), ({"correspondent": "", "reference": "4711"}, "_Unbekannt/2026-09-20_Abschlag-Heizung_4711.pdf"),
-        ({"correspondent": None}, "_Unbekannt/2026-09-20_Abschlag-Heizung.pdf"), ({"confidence": "medium"}, "Stadtwerke/2026-09-20_Stadtwerke_Abschlag-Heizung.pdf"),
-        ({"date": "", "scan_date": "2026-09-19"}, "Stadtwerke/2026-09-19_Stadtwerke_Abschlag-Heizung.pdf"), ({"date": "", "summary": ""}, "Stadtwerke/ohne-Datum_Stadtwerke_Scan.pdf"),
-    ]
-    rows = filed(spark, *[c for c, _ in cases])
-    assert [r.path for r in rows] == [p for _, p in cases]
-    assert [r.date_source for r in rows[-2:]] == ["scan", "none"]
-    evil = filed(spark, {"correspondent": "../../Windows/System32", "summary": "a/b\\c"}, {"reference": "../../x"}, {"correspondent": "CON"})
-    assert all(r.path.count("/") == 1 and ".." not in r.path for r in evil) and evil[2].path.startswith("_CON/")
+def test_paths_of_all_kinds_of_documents(spark):
+    """Every combination of what is known: the path is put together here from the rule's words."""
+    dates = [("2026-01-31", None, "2026-01-31", "document"), ("31.01.2026", "2025-12-24", "2025-12-24", "scan"), ("", "never", "ohne-Datum", "none")]
+    senders = [("Ölmühle Kranich", "Ölmühle Kranich", "Ölmühle-Kranich"), (" . ", "_Unbekannt", ""), (None, "_Unbekannt", "")]
+    summaries = [("Liefer Schein", "Liefer-Schein"), ("?!", "Scan")]
+    references = [("Z 9/8", "Z-9-8"), (None, "")]
+    changes, paths = [], []
+    for (date, scan, day, source), (sender, folder, short), (summary, what), (reference, number), sure in itertools.product(dates, senders, summaries, references, ("high", "medium", "low")):
+        changes.append({"date": date, "scan_date": scan, "correspondent": sender, "summary": summary, "reference": reference, "confidence": sure})
+        paths.append(("_Pruefen" if sure == "low" else folder) + "/" + "_".join(p for p in (day, short, what, number) if p) + ".pdf")
+    rows = filed(spark, *changes)
+    assert [r.path for r in rows] == paths
+    assert [r.date_source for r in rows] == [source for _, _, _, source in dates for _ in range(len(rows) // 3)]
+
+
+def test_no_document_leaves_its_folder(spark):
+    climbing = ["/".join([".."] * k) + sep + word for k, sep, word in itertools.product((1, 2, 5), ("/", "\\", " / "), ("x", "oben und unten", "NUL"))]
+    rows = filed(spark, *[{field: value} for field in ("correspondent", "summary", "reference") for value in climbing])
+    assert all(r.path.count("/") == 1 and "\\" not in r.path and not any(part in ("", ".", "..") for part in r.path.split("/")) for r in rows)
+    assert all(not r.path.startswith(("NUL", ".", "/")) for r in rows)
 
 
 def test_headers_and_properties(spark):
-    rows = filing.properties(spark.createDataFrame(filed(spark, {"correspondent": "Müller"}, {"date": "", "scan_date": "2026-09-19", "summary": ""}))).withColumn("h", filing.metadata_header()).orderBy("i").collect()
-    assert json.loads(base64.b64decode(rows[0].h)) == {"date": "2026-09-20", "dateSource": "document", "correspondent": "Müller", "summary": "Abschlag-Heizung", "reference": "", "confidence": "high", "path": rows[0].path}
-    assert (rows[0].title, rows[0].author, rows[0].created) == ("Abschlag Heizung", "Müller", "2026-09-20T12:00:00Z") and (rows[1].title, rows[1].created) == (None, None)
+    rows = filing.properties(spark.createDataFrame(filed(spark, {"correspondent": "Müller"}, {"date": "", "scan_date": "2031-05-09", "summary": ""}))).withColumn("h", filing.metadata_header()).orderBy("i").collect()
+    assert json.loads(base64.b64decode(rows[0].h)) == {"date": "2031-05-10", "dateSource": "document", "correspondent": "Müller", "summary": "Neue-Pumpe", "reference": "", "confidence": "high", "path": rows[0].path}
+    assert (rows[0].title, rows[0].author, rows[0].created) == ("Neue Pumpe", "Müller", "2031-05-10T12:00:00Z") and (rows[1].title, rows[1].created) == (None, None)
     names = spark.createDataFrame([("Räch nung (1).pdf",), ("",)], "n string").select(filing.disposition(F.col("n")).alias("d")).collect()
     assert names[0].d == "attachment; filename=\"R_ch_nung__1_.ocr.pdf\"; filename*=UTF-8''R%C3%A4ch%20nung%20(1).ocr.pdf" and "dokument.ocr.pdf" in names[1].d
 

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -15,16 +15,65 @@ def one(spark, column, *values, names=("a", "b", "c")):
     return [r.x for r in rows.withColumn("x", column).orderBy("i").collect()]
 
 
-def test_names(spark):
-    cases = {'B&Q: "Angebot"/Muster?': "B&Q Angebot Muster", "  ..Stadtwerke Lindau..  ": "Stadtwerke Lindau", "CON": "_CON", "con.txt": "_con.txt", "Müller & Söhne": "Müller & Söhne", "Müller": "Müller",
-             "a b﻿c": "a b c", "": "", " . ": "", "x" * 200: "x" * 50, "wort " * 20: ("wort " * 10).strip(), "a" * 49 + " bcd": "a" * 49}
-    assert one(spark, X.clean_name(F.col("a"), 50), *[(k,) for k in cases]) == list(cases.values())
-    assert one(spark, X.clean_name(F.col("a"), 50), (None,)) == [None]
+#: Syllables that names of the tests are put together from.
+SYLLABLES = ("lo", "mir", "tå", "Quel", "Ørb", "neß", "7", "ka2")
 
 
-def test_slugs(spark):
-    cases = {"Abschlag Heizung, Mai!": "Abschlag-Heizung-Mai", "Kündigung   Mietvertrag": "Kündigung-Mietvertrag", "Zusatzversorgungskasse der Stadt Hannover": "Zusatzversorgungskasse-der-Stadt", "A" * 50: "A" * 40, "../../etc/passwd": "etc-passwd", "": ""}
-    assert one(spark, X.slug(F.col("a"), 40), *[(k,) for k in cases]) == list(cases.values())
+def made(seed, words, gap=" "):
+    """A name of so many words, which follow from the seed alone."""
+    parts = ["".join(SYLLABLES[(seed * 5 + w * 3 + k * k) % len(SYLLABLES)] for k in range(1 + (seed + w) % 4)) for w in range(words)]
+    return gap.join(parts)
+
+
+def test_characters_that_no_name_may_hold_become_spaces(spark):
+    for seed, bad in enumerate('\\/:*?"<>|\x01\x1f\x7f'):
+        one_, two = made(seed, 2), made(seed + 7, 1)
+        assert one(spark, X.clean_name(F.col("a"), 200), (f"{one_}{bad}{two}",), (f"{bad}{one_}{bad}{bad} {two}{bad}",)) == [f"{one_} {two}"] * 2, repr(bad)
+
+
+def test_names_lose_what_surrounds_them(spark):
+    names = [made(seed, 1 + seed % 4) for seed in range(12)]
+    around = [(" ", "  "), ("..", "."), (" . ", ".. "), ("\u00a0", "\ufeff"), ("\u3000.", "\t")]
+    dressed = [(before + n.replace(" ", "\u2003 ") + after, n) for n in names for before, after in around]
+    assert one(spark, X.clean_name(F.col("a"), 100), *[(d,) for d, _ in dressed]) == [n for _, n in dressed]
+    assert one(spark, X.clean_name(F.col("a"), 9), ("",), ("  ",), ("...",), (None,)) == ["", "", "", None]
+
+
+def test_names_of_devices_get_a_mark(spark):
+    devices = ["con", "prn", "aux", "nul", *(f"{d}{k}" for d in ("com", "lpt") for k in range(1, 10))]
+    spelled = [f(d) + end for d in devices for f, end in ((str.upper, ""), (str.title, ".b"), (str.lower, ".c.d"))]
+    assert one(spark, X.clean_name(F.col("a"), 40), *[(n,) for n in spelled]) == [f"_{n}" for n in spelled]
+    free = [d + "x" for d in devices] + ["com0", "com10", "lpt", "console.x"]
+    assert one(spark, X.clean_name(F.col("a"), 40), *[(n,) for n in free]) == free
+
+
+def test_names_are_composed(spark):
+    import unicodedata
+
+    names = [made(seed, 3) for seed in range(6)]
+    assert one(spark, X.clean_name(F.col("a"), 100), *[(unicodedata.normalize("NFD", n),) for n in names]) == names
+
+
+def cut(words, most, gap):
+    """As many whole words as fit; of a first word that doesn't, its beginning."""
+    while len(words) > 1 and len(gap.join(words)) > most:
+        words = words[:-1]
+    return gap.join(words)[:most]
+
+
+@pytest.mark.parametrize("most", [1, 7, 20, 41])
+def test_long_names_and_slugs_are_cut_between_words(spark, most):
+    texts = [made(seed, 1 + seed % 9) for seed in range(20)]
+    assert one(spark, X.clean_name(F.col("a"), most), *[(t,) for t in texts]) == [cut(t.split(), most, " ") for t in texts]
+    short = [" ".join(w[:most] for w in t.split())[: 2 * most].rpartition(" ")[0] or t[:most] for t in texts]
+    assert one(spark, X.slug(F.col("a"), most), *[(t,) for t in short]) == [cut(t.split(), most, "-") for t in short]
+
+
+def test_slugs_keep_letters_digits_and_joints(spark):
+    for seed, mark in enumerate("!,;()[]{}'&%$§=+~#@"):
+        one_, two = made(seed, 1), made(seed + 3, 2)
+        assert one(spark, X.slug(F.col("a"), 200), (f"{one_}{mark} {two}",), (f"{mark}{one_} {mark} {two}{mark}",)) == [f"{one_}-{two.replace(' ', '-')}"] * 2, mark
+    assert one(spark, X.slug(F.col("a"), 50), ("a_b.c-d",), ("..a--b..",), ("-_x",), ("-.-",), ("",)) == ["a_b.c-d", "a-b", "_x", "", ""]
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -38,10 +87,16 @@ def test_names_are_valid_and_stable(spark, texts):
     assert again == names
 
 
-def test_dates(spark):
-    now = datetime(2026, 9, 20, 12)
-    cases = {"2026-09-20": "2026-09-20", " 2026-09-20 ": "2026-09-20", "2026-02-30": None, "20.09.2026": None, "1900-01-01": None, "2099-01-01": None, "2026-9-1": None, "2027-09-21": "2027-09-21", "2027-09-22": None, "": None}
-    assert one(spark, dates.valid_date(F.col("a"), now), *[(k,) for k in cases]) == list(cases.values())
+def test_dates_of_the_calendar(spark):
+    """Days around the ends of the span, and every spelling of one of them."""
+    now = datetime(2031, 5, 11, 9)
+    first, last = date(dates.EARLIEST_YEAR, 1, 1), now.date() + timedelta(days=dates.DAYS_AHEAD)
+    days = [d + timedelta(days=k) for d in (first, last, date(2028, 2, 29)) for k in (-400, -1, 0, 1)]
+    good = [first <= d <= last for d in days]
+    assert one(spark, dates.valid_date(F.col("a"), now), *[(d.isoformat(),) for d in days]) == [d.isoformat() if g else None for d, g in zip(days, good)]
+    never = [f"{y}-02-{29 + y % 4 // 3}" for y in (2021, 2022, 2023)] + ["2024-00-10", "2024-13-01", "2024-06-31", "2024-1-01", "24-01-01", "01.02.2024", "2024/01/02", "2024-01-02T00", "x", ""]
+    assert one(spark, dates.valid_date(F.col("a"), now), *[(n,) for n in never]) == [None] * len(never)
+    assert one(spark, dates.valid_date(F.col("a"), now), ("\t 2024-01-02\u00a0",), (None,)) == ["2024-01-02", None]
 
 
 def test_words_and_white_space(spark):
