@@ -1,7 +1,7 @@
-"""TIFF as a media column: write and read multi-page grey images, one row per page.
+"""TIFF as a media column: write and read multi-page images, one row per page.
 
-The reader walks the image directories, decodes PackBits, LZW and deflate strips and tiles, and undoes horizontal
-differencing. The writer makes all of these, so that payloads can be stored and checked without loss.
+The reader walks the image directories, decodes PackBits, LZW and deflate strips and tiles of samples of 1, 8 or 16 bits, and undoes
+horizontal differencing. The writer makes all of these, so that payloads can be stored and checked without loss.
 """
 
 from __future__ import annotations
@@ -27,11 +27,15 @@ NO_PREDICTOR, HORIZONTAL = 1, 2
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 CLEAR, END = 256, 257
 
-#: Bytes of a row of a stored payload, and rows of a page at most.
-ROW = 576
-PAGE_ROWS = 64
-#: Bytes that a page may have when it is read; a larger one is an error, as is one that its strips or tiles can't hold.
-MOST_BYTES = 1 << 30
+#: Bytes that a stored payload is a multiple of; it has rows of a quarter of these, so that there is one for each coding; rows of a page at most.
+UNIT = 576
+ROW = UNIT // 4
+PAGE_ROWS = 256
+#: Bytes that a page may have when it is read, by default; a larger one is an error, as is one that its strips or tiles can't hold.
+#: Reading takes about four times as many.
+MOST_BYTES = 1 << 27
+#: The fields that are read: size, sample bits, coding, fill order, starts and sizes of strips and tiles, samples, planes, predictor.
+READ = frozenset((256, 257, 258, 259, 266, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325))
 #: Bytes that one stored byte can stand for at most, by the coding's own rules.
 GROWTH = {NONE: 1, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 64}
 
@@ -42,7 +46,8 @@ class TiffError(ValueError):
 
 @dataclass(frozen=True)
 class Page:
-    """pixels: rows from the top, samples of a pixel side by side."""
+    """pixels: rows from the top, samples of a pixel side by side: a byte each, 0 or 1 for samples of 1 bit; two, the low one
+    first, for samples of 16 bits."""
 
     width: int
     height: int
@@ -51,12 +56,16 @@ class Page:
     predictor: int
     tiled: bool
     pixels: bytes
+    bits: int = 8
 
 
 _RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 
 
-def pack_bits(data: bytes) -> bytes:
+def pack_bits(data: bytes, row: int = 0) -> bytes:
+    """Runs and literals; none goes beyond the end of a row of so many bytes."""
+    if row and len(data) > row:
+        return b"".join(pack_bits(data[at : at + row]) for at in range(0, len(data), row))
     out = bytearray()
 
     def literal(start: int, stop: int) -> None:
@@ -167,11 +176,11 @@ def lzw_decode(data: bytes, size: int) -> bytes:
     return b"".join(out)
 
 
-def _squeeze(data: bytes, compression: int) -> bytes:
+def _squeeze(data: bytes, compression: int, row: int) -> bytes:
     if compression == LZW:
         return lzw_encode(data)
     if compression == PACKBITS:
-        return pack_bits(data)
+        return pack_bits(data, row)
     return zlib.compress(data, 6) if compression in (DEFLATE, OLD_DEFLATE) else data
 
 
@@ -203,12 +212,16 @@ class Layout:
 
 
 def write_tiff(pages: list[tuple[np.ndarray, Layout]]) -> bytes:
-    """A little-endian file of 8-bit pages: arrays of shape (height, width) or (height, width, samples)."""
+    """A little-endian file of pages: arrays of shape (height, width) or (height, width, samples), of uint8, uint16 or, for samples
+    of 1 bit, bool."""
     out = bytearray(struct.pack("<2sHI", b"II", 42, 8))
     link = 4
     for image, layout in pages:
         image = image if image.ndim == 3 else image[:, :, None]
         height, width, samples = image.shape
+        bits = 1 if image.dtype == bool else 8 * image.dtype.itemsize
+        if bits == 1 and layout.predictor == HORIZONTAL:
+            raise ValueError("samples of 1 bit have no predictor")
         columns = layout.columns or width
         blocks = []
         for y in range(0, height, layout.rows):
@@ -218,7 +231,9 @@ def write_tiff(pages: list[tuple[np.ndarray, Layout]]) -> bytes:
                     block = np.pad(block, ((0, layout.rows - block.shape[0]), (0, columns - block.shape[1]), (0, 0)))
                 if layout.predictor == HORIZONTAL:
                     block = np.diff(block, axis=1, prepend=np.zeros_like(block[:, :1]))
-                blocks.append(_squeeze(np.ascontiguousarray(block).tobytes(), layout.compression))
+                lines = block.reshape(len(block), -1)
+                stored = np.packbits(lines, axis=1) if bits == 1 else lines.astype(f"<u{bits // 8}")
+                blocks.append(_squeeze(stored.tobytes(), layout.compression, stored.strides[0]))
         starts = []
         for block in blocks:
             starts.append(len(out))
@@ -234,13 +249,13 @@ def write_tiff(pages: list[tuple[np.ndarray, Layout]]) -> bytes:
 
         n = len(blocks)
         at_starts, at_sizes = array(starts), array([len(b) for b in blocks])
-        fields = {256: (4, 1, width), 257: (4, 1, height), 258: (3, 1, 8), 259: (3, 1, layout.compression), 262: (3, 1, 1 if samples < 3 else 2), 277: (3, 1, samples), 284: (3, 1, 1), 317: (3, 1, layout.predictor)}
+        fields = {256: (4, 1, width), 257: (4, 1, height), 258: (3, 1, bits), 259: (3, 1, layout.compression), 262: (3, 1, 1 if samples < 3 else 2), 277: (3, 1, samples), 284: (3, 1, 1), 317: (3, 1, layout.predictor)}
         if samples > 2:
             at = len(out)
-            out.extend(struct.pack(f"<{samples}H", *[8] * samples))
+            out.extend(struct.pack(f"<{samples}H", *[bits] * samples))
             fields[258] = (3, samples, at)
         elif samples == 2:
-            fields[258] = (3, 2, 8 | 8 << 16)
+            fields[258] = (3, 2, bits | bits << 16)
         if layout.columns:
             fields |= {322: (4, 1, columns), 323: (4, 1, layout.rows), 324: (4, n, at_starts), 325: (4, n, at_sizes)}
         else:
@@ -255,8 +270,9 @@ def write_tiff(pages: list[tuple[np.ndarray, Layout]]) -> bytes:
     return bytes(out)
 
 
-def read_pages(data: bytes) -> Iterator[Page]:
-    """The pages of a file in the order of its directories. Raises TiffError for what isn't a readable 8-bit TIFF."""
+def read_pages(data: bytes, most_bytes: int = MOST_BYTES) -> Iterator[Page]:
+    """The pages of a file in the order of its directories. Raises TiffError for what isn't readable, and for a page of more than
+    most_bytes. Of a field that a directory has twice, the first counts; those that aren't needed aren't read."""
     if len(data) < 8 or data[:2] not in (b"II", b"MM"):
         raise TiffError("no TIFF header")
     order = "<" if data[:2] == b"II" else ">"
@@ -279,21 +295,30 @@ def read_pages(data: bytes) -> Iterator[Page]:
         for entry in range(at + 2, at + 2 + 12 * count, 12):
             tag, kind, n = take("HHI", entry)
             size = TYPE_SIZE.get(kind, 0) * n
-            if kind in (1, 3, 4) and size:
+            if size > len(data) + 4:
+                raise TiffError("it ends too early")
+            if tag in READ and tag not in fields and kind in (1, 3, 4) and size:
                 place = entry + 8 if size <= 4 else take("I", entry + 8)[0]
                 fields[tag] = list(take(f"{n}{' B HI'[kind]}", place))
-        yield _page(data, fields)
+        yield _page(data, fields, order, most_bytes)
         at = take("I", at + 2 + 12 * count)[0]
 
 
-def _page(data: bytes, fields: dict[int, list[int]]) -> Page:
+def _page(data: bytes, fields: dict[int, list[int]], order: str, most_bytes: int) -> Page:
     one = lambda tag, default: fields.get(tag, [default])[0]
     width, height, samples = one(256, 0), one(257, 0), one(277, 1)
     compression, predictor, tiled = one(259, NONE), one(317, NO_PREDICTOR), 324 in fields
     if not samples:
         raise TiffError("no samples")
-    if not width or not height or any(b != 8 for b in fields.get(258, [1])) or predictor not in (NO_PREDICTOR, HORIZONTAL):
-        raise TiffError("only 8-bit samples are read")
+    if not width or not height:
+        raise TiffError("a page without a size")
+    bits = one(258, 1)
+    if bits not in (1, 8, 16) or set(fields.get(258, [1])) != {bits}:
+        raise TiffError("only samples of 1, 8 or 16 bits are read")
+    if predictor not in (NO_PREDICTOR, HORIZONTAL) or bits == 1 and predictor == HORIZONTAL:
+        raise TiffError(f"predictor {predictor}")
+    if one(266, 1) != 1:
+        raise TiffError("bits in reverse order aren't read")
     if one(284, 1) != 1 and samples > 1:
         raise TiffError("samples in separate planes aren't read")
     if compression not in GROWTH:
@@ -307,29 +332,38 @@ def _page(data: bytes, fields: dict[int, list[int]]) -> Page:
     if len(starts) < blocks or len(sizes) < blocks:
         raise TiffError("strips or tiles are missing")
     held = sum(max(0, min(size, len(data) - start)) for start, size in zip(starts[:blocks], sizes[:blocks]))
-    if max(width * height, columns * rows) * samples > min(MOST_BYTES, held * GROWTH[compression]):
+    line = -(-columns * samples * bits // 8)
+    if max(-(-width * samples * bits // 8) * height, line * rows) > held * GROWTH[compression]:
         raise TiffError("its strips or tiles can't hold a page of this size")
-    image = np.zeros((height, width, samples), np.uint8)
+    wide = max(1, bits // 8)
+    if max(width * height, columns * rows) * samples * wide > most_bytes:
+        raise TiffError(f"a page of more than {most_bytes} bytes")
+    image = np.zeros((height, width, samples), f"<u{wide}")
     for k in range(blocks):
         y, x = k // across * rows, k % across * columns
         tall = rows if tiled else min(rows, height - y)
-        raw = _restore(data[starts[k] : starts[k] + sizes[k]], compression, tall * columns * samples)
-        block = np.frombuffer(raw, np.uint8).reshape(tall, columns, samples)
+        raw = _restore(data[starts[k] : starts[k] + sizes[k]], compression, tall * line)
+        if bits == 1:
+            block = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(tall, line), axis=1, count=columns * samples)
+        else:
+            block = np.frombuffer(raw, f"{order}u{wide}")
+        block = block.reshape(tall, columns, samples)
         if predictor == HORIZONTAL:
-            block = np.cumsum(block, axis=1, dtype=np.uint8)
+            block = np.cumsum(block, axis=1, dtype=image.dtype)
         piece = image[y : y + tall, x : x + columns]
         piece[:] = block[: piece.shape[0], : piece.shape[1]]
-    return Page(width, height, samples, compression, predictor, tiled, image.tobytes())
+    return Page(width, height, samples, compression, predictor, tiled, image.tobytes(), bits)
 
 
-PAGE_FIELDS = "page int, width int, height int, samples int, compression int, predictor int, tiled boolean, pixels binary, error string"
+PAGE_FIELDS = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
 
 
-def page_rows(files: DataFrame, content: str = "content", key: str = "doc_id") -> DataFrame:
-    """One row per page: key (as a column of that name), page (from 0), size, coding, pixels and error.
+def page_rows(files: DataFrame, content: str = "content", key: str = "doc_id", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """One row per page: key (as a column of that name), page (from 0), size, coding, pixels (see Page) and error.
 
-    A key named like one of the others comes back with `_key` added. A file that can't be read gives the pages before the fault, and then a row whose error says what was wrong and whose
-    other fields are null; so do null and empty content. Repeated rows are read again each; other columns aren't kept.
+    A key named like one of the others comes back with `_key` added. A file that can't be read gives the pages before the fault,
+    and then a row whose error says what was wrong and whose other fields are null; so do null and empty content, a page of more
+    than most_bytes, and one that its task has no memory for. Repeated rows are read again each; other columns aren't kept.
     """
     added = T._parse_datatype_string(PAGE_FIELDS).fields
     named = f"{key}_key" if key in {f.name for f in added} else key
@@ -343,10 +377,12 @@ def page_rows(files: DataFrame, content: str = "content", key: str = "doc_id") -
             for name, data in zip(batch.column(0), batch.column(1)):
                 n = 0
                 try:
-                    for n, p in enumerate(read_pages(data.as_py() or b""), 1):
-                        yield row(name, [n - 1, p.width, p.height, p.samples, p.compression, p.predictor, p.tiled, p.pixels, None])
+                    for n, p in enumerate(read_pages(data.as_py() or b"", most_bytes), 1):
+                        yield row(name, [n - 1, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels, None])
                 except TiffError as error:
-                    yield row(name, [n, *[None] * 7, str(error)])
+                    yield row(name, [n, *[None] * 8, str(error)])
+                except MemoryError:
+                    yield row(name, [n, *[None] * 8, "there is no memory for the page"])
 
     def row(name, values):
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([name.as_py(), *values], arrow)], schema=arrow)
@@ -355,23 +391,20 @@ def page_rows(files: DataFrame, content: str = "content", key: str = "doc_id") -
 
 
 def pad(text: str) -> bytes:
-    """UTF-8 with bytes 255 up to a positive multiple of ROW."""
+    """UTF-8 with bytes 255 up to a positive multiple of UNIT."""
     raw = text.encode()
-    return raw + b"\xff" * (-len(raw) % ROW if raw else ROW)
+    return raw + b"\xff" * (-len(raw) % UNIT if raw else UNIT)
 
 
 #: The codings that pages of a stored payload take in turn.
-CODINGS = (Layout(LZW, rows=16), Layout(DEFLATE, HORIZONTAL, rows=16, columns=192), Layout(PACKBITS, rows=16), Layout(DEFLATE, rows=32))
+CODINGS = (Layout(LZW, rows=64), Layout(DEFLATE, HORIZONTAL, rows=64, columns=48), Layout(PACKBITS, rows=64), Layout(DEFLATE, rows=128))
 
 
 def store(payload: bytes) -> bytes:
-    """The file of a payload: pages of about the same number of rows, each in the next coding.
-
-    Four rows or more make four pages at least, so that every coding has one.
-    """
+    """The file of a payload: pages of about the same number of rows, each in the next coding, as many of each coding."""
     image = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
     rows = len(image)
-    n = max(min(len(CODINGS), rows), -(-rows // PAGE_ROWS))
+    n = len(CODINGS) * -(-rows // (len(CODINGS) * PAGE_ROWS))
     return write_tiff([(image[rows * k // n : rows * (k + 1) // n], CODINGS[k % len(CODINGS)]) for k in range(n)])
 
 

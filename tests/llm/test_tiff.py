@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -116,7 +117,87 @@ def test_payloads_are_kept_in_all_codings(text):
     pages = list(T.read_pages(T.store(payload)))
     assert b"".join(p.pixels for p in pages) == payload and all(p.height <= T.PAGE_ROWS for p in pages)
     used = {(p.compression, p.predictor, p.tiled) for p in pages}
-    assert len(used) == min(4, len(payload) // 576) and (len(pages) < 4 or {c for c, _, _ in used} == {T.LZW, T.DEFLATE, T.PACKBITS})
+    assert len(used) == 4 and {c for c, _, _ in used} == {T.LZW, T.DEFLATE, T.PACKBITS} and len(pages) % 4 == 0
+
+
+def test_every_document_meets_every_coding(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        used = {(p.compression, p.predictor, p.tiled) for p in T.read_pages(T.store(T.pad(r.text or "")))}
+        assert len(used) == 4
+
+
+@pytest.mark.parametrize("compression", [T.NONE, T.LZW, T.DEFLATE, T.PACKBITS])
+@pytest.mark.parametrize("columns", [0, 32])
+@pytest.mark.parametrize("samples", [1, 3])
+def test_samples_of_one_and_of_sixteen_bits(compression, columns, samples):
+    noise = np.random.default_rng(samples)
+    bits, deep = noise.integers(0, 2, (37, 50, samples)).astype(bool), noise.integers(0, 1 << 16, (37, 50, samples), np.uint16)
+    pages = list(T.read_pages(T.write_tiff([(bits, T.Layout(compression, rows=16, columns=columns)), (deep, T.Layout(compression, T.HORIZONTAL, 16, columns)), (deep, T.Layout(compression, rows=16, columns=columns))])))
+    assert [p.bits for p in pages] == [1, 16, 16]
+    assert pages[0].pixels == bits.astype(np.uint8).tobytes() and pages[1].pixels == pages[2].pixels == deep.astype("<u2").tobytes()
+
+
+def test_deep_samples_high_byte_first():
+    entries = [(256, 3), (257, 2), (258, 16), (259, 1), (273, 8), (279, 12)]
+    body = b"".join(struct.pack(">H", v) for v in (1, 2, 300, 4, 5, 65535))
+    data = struct.pack(">2sHI", b"MM", 42, 20) + body + struct.pack(">H", len(entries)) + b"".join(struct.pack(">HHII", t, 4, 1, v) for t, v in entries) + bytes(4)
+    (page,) = T.read_pages(data)
+    assert np.frombuffer(page.pixels, "<u2").tolist() == [1, 2, 300, 4, 5, 65535]
+
+
+def test_packed_rows_end_with_their_row():
+    rows = [bytes(20), b"ab" * 10, bytes(20), bytes(20)]
+    assert T.pack_bits(b"".join(rows), 20) == b"".join(T.pack_bits(r) for r in rows)
+    assert T.unpack_bits(T.pack_bits(b"".join(rows), 20), 80) == b"".join(rows)
+
+
+def limited(work):
+    """work() in a process that may use two gigabytes more than it has: what it returns."""
+    import multiprocessing
+
+    def run(out):
+        import resource
+
+        with open("/proc/self/statm") as file:
+            now = int(file.read().split()[0]) * resource.getpagesize()
+        resource.setrlimit(resource.RLIMIT_AS, (now + (2 << 30),) * 2)
+        out.send(work())
+
+    here, there = multiprocessing.get_context("fork").Pipe(False)
+    process = multiprocessing.get_context("fork").Process(target=run, args=(there,))
+    process.start()
+    assert here.poll(60)
+    said = here.recv()
+    process.join()
+    return said
+
+
+def said_of(data, most=T.MOST_BYTES):
+    try:
+        return [p.width for p in T.read_pages(data, most)]
+    except T.TiffError as error:
+        return str(error)
+    except MemoryError:
+        return "memory"
+
+
+def test_a_page_that_is_too_large_is_an_error():
+    white = zlib.compressobj(9)
+    body = b"".join(white.compress(bytes(1 << 20)) for _ in range(1024)) + white.flush()  # 32,768 x 32,768 zeros in a megabyte
+    entries = [(256, 1 << 15), (257, 1 << 15), (258, 8), (259, 8), (273, 8), (278, 1 << 15), (279, len(body))]
+    data = struct.pack("<2sHI", b"II", 42, 8 + len(body)) + body + struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in entries) + bytes(4)
+    assert limited(lambda: said_of(data)) == f"a page of more than {T.MOST_BYTES} bytes"
+    assert limited(lambda: said_of(data, 1 << 31)) == "memory"
+    small = T.write_tiff([(np.zeros((10, 10), np.uint8), T.Layout())])
+    assert said_of(small, 100) == [10] and said_of(small, 99) == "a page of more than 99 bytes"
+
+
+def test_many_entries_on_one_array():
+    array = struct.pack("<100000I", *[8] * 100_000)
+    entries = b"".join(struct.pack("<HHII", t, 4, 100_000, 8) for t in [273] * 1000 + [40_000] * 1000) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in [(256, 3), (257, 2), (258, 8), (259, 1), (279, 6)])
+    data = struct.pack("<2sHI", b"II", 42, 8 + len(array)) + array + struct.pack("<H", len(entries) // 12) + entries + bytes(4)
+    began = time.monotonic()
+    assert limited(lambda: said_of(data)) == [3] and time.monotonic() - began < 10
 
 
 def header(**changed):
