@@ -23,10 +23,8 @@ from foliospark.llm.common import checkpointed, hashed_share, map_columns, read_
 #: Labelled rows of each class that a model is fitted on, or all if there are fewer: a sample by hashed id.
 FIT_ROWS = 3_000
 DICTIONARY_BYTES = 32 << 10
-#: A fitting text gives a dictionary pieces of so many bytes, so many at most, evenly from its beginning to its end, so that
-#: none fills a dictionary alone. Only these pieces and the features of whole texts reach the driver.
+#: A fitting text gives a dictionary all its bytes, in pieces of so many.
 SAMPLE_BYTES = 2_000
-SAMPLES = 8
 LEVEL = 3
 THRESHOLD = 0.7
 
@@ -45,20 +43,18 @@ class Model:
 
 
 def pieces(text: str) -> list[bytes]:
-    """What a text gives for training; all of it if it is short enough."""
+    """What a text gives for training: all of it."""
     raw = text.encode()
-    n = -(-len(raw) // SAMPLE_BYTES)
-    return [raw[i * SAMPLE_BYTES : (i + 1) * SAMPLE_BYTES] for i in (range(n) if n <= SAMPLES else [k * (n - 1) // (SAMPLES - 1) for k in range(SAMPLES)])]
+    return [raw[at : at + SAMPLE_BYTES] for at in range(0, len(raw), SAMPLE_BYTES)]
 
 
 def _dictionary(texts: list[list[bytes]]) -> tuple[bytes, bool]:
-    """Dictionary bytes; where the pieces are too few for training, an equal share of each of them serves as it is."""
+    """Dictionary bytes; where the pieces are too few for training, they serve as they are."""
     some = [p for t in texts for p in t]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, some).as_bytes(), True
     except zstandard.ZstdError:
-        share = DICTIONARY_BYTES // max(1, len(some)) + 1
-        return b"\n".join(p[:share] for p in some), False
+        return b"\n".join(some), False
 
 
 def dictionaries(texts: list[list[bytes]], quality: list[int]) -> Model:
@@ -166,7 +162,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     The sample are the ids whose hash is smallest, in shares that follow from the classes' sizes; texts of any length are
     in it. The drawn rows are checkpointed; tasks cut their pieces and compress whole texts. The driver gets 2 x rows ids,
-    their pieces (SAMPLES x SAMPLE_BYTES a row at most) and features. The result doesn't depend on how the tables are dealt
+    their texts in pieces, and features: rows bounds what it holds, and nothing else does. The result doesn't depend on how the tables are dealt
     out. Labels that are null or neither 0 nor 1, and null ids, are passed over; an id labelled twice counts with its
     higher label, and one with several texts with that of the smallest hash.
     """

@@ -37,6 +37,10 @@ BANDS, BAND_ROWS = 24, 5
 SKETCH = [f"s{i}" for i in range(BANDS * BAND_ROWS // 8)]
 MARGIN = 0.15
 BLOCK = 512
+#: Blocks of a bucket beyond which its members are told apart by their rare shingles; a shingle that more than one member in
+#: so many has isn't rare.
+MOST_BLOCKS = 8
+RARE = 64
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -286,6 +290,51 @@ def _block_pairs(buckets: DataFrame, block: int) -> DataFrame:
     return dealt.select("v", "key", "component", "fp", F.explode(places).alias("at")).select("v", "key", "at.kind", "at.p", "at.q", "at.side", "component", "fp")
 
 
+def _prefix_length(n: int) -> int:
+    """How many of a set's n shingles, in an order that all sets share, one of those of any set that is alike enough is among."""
+    return n - int(np.ceil(ALIKE * n - 1e-9)) + 1
+
+
+def _parted(buckets: DataFrame, grams: DataFrame, block: int) -> DataFrame:
+    """buckets (v, key, fp, component), those of more than MOST_BLOCKS blocks replaced by buckets of single shingles.
+
+    Two sets that are alike enough share one of their first shingles, in any order that is the same for all; the order here has
+    frequent shingles last, so a passage that all members of a bucket have brings none of them together. A set has a row for about
+    a fifth of its shingles, whatever the size of its bucket, and none is lost: the bound is exact. The frequent shingles are
+    RARE times as many as a member has on average, at most.
+    """
+    sizes = checkpointed(buckets.groupBy("v", "key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_BLOCKS * block).select("v", "key"))
+    if sizes.isEmpty():
+        return buckets
+    kept = buckets.join(sizes, ["v", "key"], "left_anti").select("v", "key", "fp", "component")
+    members = checkpointed(buckets.join(sizes, ["v", "key"]).select("fp", "component").distinct())
+    sets = members.join(grams, "fp")
+    often = members.count() // RARE
+    counts = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > often)
+    frequent = sorted((r["n"], r["gram"]) for r in counts.collect())
+    table = np.array([g for _, g in frequent], np.int64)
+    shared = buckets.sparkSession.sparkContext.broadcast((np.sort(table), np.argsort(table)))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = shared.value
+        for batch in batches:
+            some = []
+            for own in batch.column("grams"):
+                own = own.values.to_numpy()
+                last = np.full(len(own), -1)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    last[known[at] == own] = rank[at[known[at] == own]]
+                some.append(own[np.lexsort((own, last))][: _prefix_length(len(own))])
+            times = [len(s) for s in some]
+            each = [np.repeat(batch.column(c).to_numpy(), times) for c in ("fp", "component")]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (np.concatenate([np.zeros(0, np.int64), *some]), *each)], names=["key", "fp", "component"])
+
+    parts = sets.select("fp", "component", "grams").mapInArrow(first, "key long, fp long, component long").select(F.lit(BANDS).alias("v"), "key", "fp", "component")
+    apart = parts.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return kept.unionByName(parts.join(apart, "key").select("v", "key", "fp", "component"))
+
+
 def _linked(places: DataFrame, sketches: DataFrame, grams: DataFrame) -> DataFrame:
     """Edges (a, b) of sets that are alike enough, by which each pair of blocks connects what it can connect, and no more.
 
@@ -345,8 +394,12 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
       2. the first of each band's bucket: every set with that one of its 24 which most of its buckets share;
       3. all pairs of what then still is in one bucket and different components, by sketch, in blocks within tasks.
     What an earlier round has joined isn't compared again. So only bands and sketches can miss a pair, with a probability
-    under 0.0001 each at a similarity of 0.8. No step makes more than a row for a set and bucket; pairs near the bound, which
-    only an exact comparison tells apart, never leave their task.
+    under 0.0001 each at a similarity of 0.8. In the third step a bucket of n sets makes n / block rows a set, MOST_BLOCKS at
+    most: of a larger bucket, each set has a row for a fifth of its shingles, the rarest ones, and is compared with those that
+    share one (see _parted()). Pairs near the bound, which only an exact comparison tells apart, never leave their task.
+
+    fp is a hash of 64 bits. Rows whose sets have one fp but different sketches aren't taken for equal: those of all but one of
+    the sets are left to themselves, their component_id their own doc_id.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row_hash"), F.col(text).alias("text"))
 
@@ -356,7 +409,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
 
     fields = [T.StructField("fp", T.LongType()), T.StructField("sim", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), *[T.StructField(s, T.LongType()) for s in SKETCH]]
     signed = checkpointed(map_columns(plain, ["text"], fields, sign, ["doc_id", "text_hash", "row_hash"]))
-    rows = signed.select("doc_id", "text_hash", "fp")
+    rows = signed.select("doc_id", "text_hash", "fp", F.xxhash64("sim", *SKETCH).alias("mark"))
     # all rows of a set have equal bands, so the parts of a bucket can be told apart before anything is grouped
     members = signed.select("fp", F.posexplode("bands").alias("v", "key")).distinct()
     shared = members.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1").select("v", "key")
@@ -390,15 +443,15 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
 
     buckets = checkpointed(_open_buckets(met, component))
     if not buckets.isEmpty():
-        found = _linked(_block_pairs(buckets, block), sets.select("fp", *SKETCH), grams)
+        found = _linked(_block_pairs(checkpointed(_parted(buckets, grams, block)), block), sets.select("fp", *SKETCH), grams)
         known = tested.where("alike").select("a", "b")
         component = checkpointed(connected_components(known.unionByName(found)))
 
-    values = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    placed = values.join(component, values["fp"] == component["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    values = rows.groupBy("fp", "mark").agg(F.min("doc_id").alias("first")).groupBy("fp").agg(F.min(F.struct("mark", "first")).alias("m")).select("fp", "m.*")
+    placed = values.join(component, values["fp"] == component["node"], "left").select("fp", "mark", "first", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_value = placed.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return rows.join(by_value, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    by_value = placed.select("fp", F.col("mark").alias("own"), "root").join(smallest, "root").select("fp", "own", "component_id")
+    return rows.join(by_value, "fp").select("doc_id", "text_hash", "fp", F.when(F.col("mark") == F.col("own"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:

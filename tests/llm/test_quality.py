@@ -44,13 +44,20 @@ def test_a_score_at_the_threshold_is_predicted(spark):
     assert [(r.score, r.predicted) for r in quality.score(docs, model).collect()] == [(0.7, 1)] * 2
 
 
-def test_pieces_are_spread_over_the_text():
-    text = "".join(f"{i:06d} " for i in range(20_000))
-    some = quality.pieces(text)
-    assert len(some) == quality.SAMPLES and some[0] == text[:2000].encode() and some[-1] == text[-len(some[-1]) :].encode()
-    assert b"".join(quality.pieces("ab" * 1500)) == b"ab" * 1500 and quality.pieces("") == []
-    raw, trained = quality._dictionary([[b"x" * 2000, b"y" * 2000]] * 20)
-    assert trained or raw.count(b"x") == raw.count(b"y")
+@pytest.mark.parametrize("n", [0, 1, 1999, 2000, 2001, 140_000])
+def test_a_text_gives_all_its_bytes(n):
+    text = "".join(f"{i:06d} " for i in range(n // 7 + 1))[:n]
+    assert b"".join(quality.pieces(text)) == text.encode() and all(0 < len(p) <= quality.SAMPLE_BYTES for p in quality.pieces(text))
+    raw, trained = quality._dictionary([quality.pieces("ab")])
+    assert (raw, trained) == (b"ab", False)
+
+
+def test_the_end_of_a_long_text_counts():
+    long = "plain " * 20_000
+    some = [long + f"rare{k} marks{k} at{k} the{k} end{k} " * 300 for k in range(4)]
+    rest = [f"other {k} text " * 40 for k in range(40)]
+    with_end, without = quality.dictionaries([quality.pieces(t) for t in [*some, *rest]], [1] * 4 + [0] * 40), quality.dictionaries([quality.pieces(long)] * 4 + [quality.pieces(t) for t in rest], [1] * 4 + [0] * 40)
+    assert b"marks" in with_end.good and b"marks" not in without.good
 
 
 def test_held_out_rule(spark):

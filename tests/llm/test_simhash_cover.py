@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from foliospark.llm import simhash_cover as S
 from foliospark.llm.components import connected_components
@@ -120,6 +121,51 @@ def test_near_copies_go(spark, block):
     assert {r.doc_id for r in S.keep_one_each(docs).collect()} == set(root) and len(set(root)) == 26
 
 
+def hot_bucket(spark, n, common=30, own=10):
+    """One bucket of n sets that share most of their shingles; every 50th is like the one before it."""
+    base = F.when(F.col("id") % 50 == 0, F.greatest(F.col("id") - 1, F.lit(0))).otherwise(F.col("id"))
+    alike = F.transform(F.sequence(F.lit(1), F.lit(own)), lambda k: F.xxhash64(F.when(k > 1, base).otherwise(F.col("id")), k))
+    grams = F.array_sort(F.concat(F.transform(F.sequence(F.lit(1), F.lit(common)), lambda k: F.xxhash64(F.lit(-1), k)), alike))
+    sets = spark.range(n).select(F.col("id").alias("fp"), grams.alias("grams"))
+    return sets.select(F.lit(0).alias("v"), F.lit(7).cast("long").alias("key"), "fp", F.col("fp").alias("component")), sets
+
+
+@pytest.mark.parametrize("n", [20_000, 100_000])
+def test_rows_of_a_hot_bucket_grow_with_its_sets(spark, n):
+    buckets, grams = hot_bucket(spark, n)
+    parted = S.checkpointed(S._parted(buckets, grams, S.BLOCK))
+    # the sets of a pair share nine shingles that no other has; what all have brings none together
+    assert parted.count() <= 9 * 2 * n // 50 and S._block_pairs(parted, S.BLOCK).count() <= 2 * 9 * 2 * n // 50
+    pairs = parted.groupBy("key").agg(F.sort_array(F.collect_set("fp")).alias("met")).select("met").distinct().collect()
+    assert sorted(tuple(r.met) for r in pairs) == [(k - 1, k) for k in range(50, n, 50)]
+
+
+def test_a_hot_bucket_loses_no_pair(spark):
+    """Sets of random halves of a few shingles, all in one bucket: every pair that is alike enough meets, whatever is rare."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 45, 34)) for _ in range(300)] + [np.arange(k) for k in range(1, 45)]
+    rows = [(0, 7, i, i) for i in range(len(sets))]
+    grams = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "fp long, grams array<long>")
+    met = set()
+    for r in S._parted(spark.createDataFrame(rows, "v int, key long, fp long, component long"), grams, 4).groupBy("key").agg(F.sort_array(F.collect_set("fp")).alias("met")).collect():
+        met |= {(a, b) for i, a in enumerate(r.met) for b in r.met[i + 1 :]}
+    alike = {(a, b) for b in range(len(sets)) for a in range(b) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9}
+    assert len(alike) > 100 and alike <= met
+
+
+def test_sets_that_one_hash_stands_for_stay_apart(spark, monkeypatch):
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve", "one two three four five six"]
+    real = S.map_columns
+
+    def one_hash(df, needs, fields, work, keep=None):
+        return real(df, needs, fields, (lambda texts: [[5] * len(texts), *work(texts)[1:]]) if fields[0].name == "fp" else work, keep)
+
+    monkeypatch.setattr(S, "map_columns", one_hash)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in S.near_copies(docs).collect()}
+    assert found in ({0: 0, 1: 1, 2: 0}, {0: 0, 1: 1, 2: 2})
+
+
 def test_a_family_of_copies_near_the_bound(spark):
     """Copies of one text whose likeness to it and to one another lies on both sides of the bound, in large buckets."""
     rng = random.Random(7)
