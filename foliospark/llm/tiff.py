@@ -99,80 +99,87 @@ def unpack_bits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def _width(known: np.ndarray) -> np.ndarray:
+    """Bits of a code that is written or read when so many codes stand behind the last clearing: one longer a code early."""
+    return 9 + (known >= 254).astype(np.int64) + (known >= 766) + (known >= 1790)
+
+
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, high bits first, one bit longer a code early, as the format wants them."""
-    codes, widths = [CLEAR], [9]
+    codes = [CLEAR]
+    write = codes.append
     table: dict[int, int] = {}
-    free, width, prefix = 258, 9, -1
-    for byte in data:
-        if prefix < 0:
+    free = 258
+    if data:
+        prefix = data[0]
+        for byte in memoryview(data)[1:]:
+            key = prefix << 8 | byte
+            if key in table:
+                prefix = table[key]
+                continue
+            write(prefix)
+            table[key] = free
+            free += 1
             prefix = byte
-            continue
-        key = prefix << 8 | byte
-        known = table.get(key)
-        if known is not None:
-            prefix = known
-            continue
-        codes.append(prefix)
-        widths.append(width)
-        table[key] = free
-        free += 1
-        prefix = byte
-        if free == 4095:  # the last code of 12 bits is never given out
-            codes.append(CLEAR)
-            widths.append(12)
-            table, free, width = {}, 258, 9
-        elif free == 1 << width:
-            width += 1
-    if prefix >= 0:
-        codes.append(prefix)
-        widths.append(width)
-        if free + 1 == 1 << width:  # the reader has a code more by then
-            width = min(width + 1, 12)
-    codes.append(END)
-    widths.append(width)
-    wide, places = np.array(codes)[:, None], np.array(widths)[:, None]
+            if free == 4095:  # the last code of 12 bits is never given out
+                write(CLEAR)
+                table, free = {}, 258
+        write(prefix)
+    write(END)
+    wide = np.array(codes)
+    place = np.arange(len(wide))
+    cleared = np.maximum.accumulate(np.where(wide == CLEAR, place, 0))
+    cleared[1:] = cleared[:-1].copy()  # a clearing code itself belongs to what it ends
+    places = _width(np.maximum(0, place - cleared - 1))[:, None]
     column = np.arange(12)
-    bits = (wide >> np.maximum(places - 1 - column, 0)) & 1
+    bits = (wide[:, None] >> np.maximum(places - 1 - column, 0)) & 1
     return np.packbits(bits[column < places].astype(np.uint8)).tobytes()
 
 
+#: Where the codes after a clearing begin, in bits; a file that never clears again goes on with codes of 12.
+_AT = np.concatenate([[0], np.cumsum(_width(np.arange(4096)))])
+_SINGLE = [bytes([i]) for i in range(256)] + [b"", b""]
+
+
 def lzw_decode(data: bytes, size: int) -> bytes:
-    single = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, out, made = list(single), [], 0
-    width, buffer, held, previous = 9, 0, 0, None
-    for byte in data:
-        buffer = buffer << 8 | byte
-        held += 8
-        if held < width:
-            continue
-        held -= width
-        code = buffer >> held
-        buffer &= (1 << held) - 1
-        if code == CLEAR:
-            table, width, previous = list(single), 9, None
-            continue
-        if code == END:
-            break
-        if previous is None:
-            if code > 255:
-                raise TiffError("bad LZW code")
-            entry = table[code]
-        else:
-            if code < len(table):
+    padded = np.frombuffer(data + bytes(4), np.uint8).astype(np.int64)
+    whole, start, made, out = 8 * len(data), 0, 0, []
+    while made < size:
+        # all codes up to the next clearing, as if there were none before the table is full
+        at = start + _AT[:-1]
+        wide = np.diff(_AT)
+        there = int(np.count_nonzero(at + wide <= whole))
+        at, wide = at[:there], wide[:there]
+        byte = at >> 3
+        codes = ((padded[byte] << 16 | padded[byte + 1] << 8 | padded[byte + 2]) >> (24 - (at & 7) - wide)) & ((1 << wide) - 1)
+        special = np.flatnonzero((codes == CLEAR) | (codes == END))
+        ended = int(special[0]) if len(special) else there
+        own = codes[:ended].tolist()
+        if own and own[0] > 255:
+            raise TiffError("bad LZW code")
+        table, known, parts = list(_SINGLE), 258, []
+        learn, write = table.append, parts.append
+        if own:
+            previous = table[own[0]]
+            write(previous)
+        for code in own[1:]:
+            if code < known:
                 entry = table[code]
-            elif code == len(table):
+            elif code == known:
                 entry = previous + previous[:1]
             else:
-                raise TiffError("bad LZW code")
-            table.append(previous + entry[:1])
-            if len(table) + 1 >= 1 << width and width < 12:
-                width += 1
-        out.append(entry)
-        made += len(entry)
-        previous = entry
-        if made >= size:
+                if made + sum(map(len, parts)) < size:
+                    raise TiffError("bad LZW code")
+                break
+            learn(previous + entry[:1])
+            known += 1
+            write(entry)
+            previous = entry
+        out.append(b"".join(parts))
+        made += len(out[-1])
+        if not len(special) or codes[ended] == END:
             break
+        start += int(_AT[ended + 1])
     return b"".join(out)
 
 
@@ -227,10 +234,12 @@ def write_tiff(pages: list[tuple[np.ndarray, Layout]]) -> bytes:
         for y in range(0, height, layout.rows):
             for x in range(0, width, columns):
                 block = image[y : y + layout.rows, x : x + columns]
-                if layout.columns:  # tiles are whole, strips end with the image
-                    block = np.pad(block, ((0, layout.rows - block.shape[0]), (0, columns - block.shape[1]), (0, 0)))
+                if layout.columns and block.shape[:2] != (layout.rows, columns):  # tiles are whole, strips end with the image
+                    part, block = block, np.zeros((layout.rows, columns, samples), image.dtype)
+                    block[: part.shape[0], : part.shape[1]] = part
                 if layout.predictor == HORIZONTAL:
-                    block = np.diff(block, axis=1, prepend=np.zeros_like(block[:, :1]))
+                    block = block.copy()
+                    block[:, 1:] -= block[:, :-1].copy()
                 lines = block.reshape(len(block), -1)
                 stored = np.packbits(lines, axis=1) if bits == 1 else lines.astype(f"<u{bits // 8}")
                 blocks.append(_squeeze(stored.tobytes(), layout.compression, stored.strides[0]))
