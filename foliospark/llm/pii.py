@@ -28,10 +28,13 @@ ADDED = (None, *[f"linked_{k}" for k in KINDS], "secret")
 ORDER = {k: i for i, k in enumerate([*KINDS, *[a for a in ADDED if a]])}
 SECRET = len(LABELS) - 1
 SAME, ALIKE = 0, 1
+#: Kinds of links: two of neighbours, two of distant tokens.
+LINKS = 4
 #: Documents that the field's weights are learnt from, a sample by hash; what they teach comes to the driver as counts of
-#: patterns, of which so many at most, the most frequent.
+#: different patterns.
 FIT_ROWS = 8_000
-FIT_PATTERNS = 50_000
+#: Tokens that a value in groups may have.
+GROUPS = 8
 ROUNDS = 40
 DAMPING = 0.3
 #: Marginal probability from which a label is added.
@@ -92,6 +95,7 @@ class Field:
 
     unary: tuple[tuple[float, ...], ...]
     chain: tuple[tuple[float, ...], ...]
+    group: tuple[tuple[float, ...], ...]
     same: tuple[tuple[float, ...], ...]
     alike: tuple[tuple[float, ...], ...]
 
@@ -160,6 +164,11 @@ def _tokens(text: str, spans: list[tuple[int, int, str]]) -> list[_Token]:
     return tokens
 
 
+def _numbers(token: _Token) -> list[str]:
+    """The digits that a token stands for: of one that ends a base span over several, those of the span."""
+    return [d for d in [token.whole or _digits(token.text)] if len(d) >= 7]
+
+
 def _grams(bare: str) -> set[str]:
     letters = _ALNUM.sub("", bare)
     return {letters[i : i + 4] for i in range(len(letters) - 3)}
@@ -169,7 +178,8 @@ def _keys(token: _Token) -> list[tuple[str, int]]:
     """What mentions of one thing have in common, and the kind of link that it makes.
 
     SAME: the bare token, all its digits, four numbers or more whatever parts them. ALIKE: the digits' head or tail, an address's local part, and the two four-letter
-    pieces with the smallest checksums, by which links are only made if half of all pieces are shared.
+    pieces with the smallest checksums, by which links are only made if half of all pieces are shared. Heads and tails only link
+    digits of which the one begin or end with all the others.
     """
     bare = token.text.strip(_EDGE).casefold()
     keys = [(f"b{bare}", SAME)] if len(bare) > 4 else []
@@ -182,13 +192,47 @@ def _keys(token: _Token) -> list[tuple[str, int]]:
         keys.append(("n" + "-".join(groups), SAME))
     if len(local := bare.split("@")[0]) > 3:
         keys.append((f"l{local}", ALIKE))
-    if 10 <= len(bare) <= 80:
+        if "@" in bare and len(letters := _ALNUM.sub("", local)) > 5:
+            keys.append((f"a{letters}", ALIKE))
+    if len(bare) >= 10:
         keys += [(f"g{g}", ALIKE) for g in sorted(_grams(bare), key=lambda g: zlib.crc32(g.encode()))[:2]]
     return keys
 
 
-def _links(tokens: list[_Token]) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain links of tokens next to each other; skip links SAME and ALIKE, each of an earlier and a later token.
+def _within(a: str, b: str, ends: bool) -> bool:
+    """Whether the one number begins (or ends) with all of the other, zeros before it aside."""
+    a, b = sorted((a.lstrip("0"), b.lstrip("0")), key=len) if ends else sorted((a, b), key=len)
+    return bool(a) and (b.endswith(a) if ends else b.startswith(a))
+
+
+def _grouped(tokens: list[_Token], chain: set[tuple[int, int]]) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
+    """Values in groups: skip links of the first of tokens that follow one another to the base span's token whose digits, or whose
+    last nine at least, they have together; and the chain links between such tokens, by which alone the others hang on the first."""
+    ends: dict[str, int] = {}
+    for i, t in enumerate(tokens):
+        if t.known >= 0:
+            digits = t.whole or _digits(t.text)
+            for n in range(len(digits) if len(digits) < 9 else 9, len(digits) + 1):
+                if n >= 6:
+                    ends.setdefault(digits[-n:], i)
+    found, inner = set(), set()
+    for i, t in enumerate(tokens if ends else []):
+        if t.known >= 0:
+            continue
+        together = _digits(t.text)
+        for j in range(i + 1, min(len(tokens), i + GROUPS)):
+            if (j - 1, j) not in chain or tokens[j].known >= 0:
+                break
+            together += _digits(tokens[j].text)
+            if (at := ends.get(together.lstrip("0"))) is not None and at != i:
+                found.add((min(i, at), max(i, at)))
+                inner |= {(k, k + 1) for k in range(i, j)}
+    return found, inner
+
+
+def _links(tokens: list[_Token]) -> tuple[list[tuple[int, int]], ...]:
+    """Chain links of tokens next to each other, those within a value in groups apart from the others; skip links SAME and ALIKE, each
+    of an earlier and a later token.
 
     A token is linked to the one before it with which it shares a key, and to the first base span of each kind that shares
     one, so that evidence is one link away however many mentions lie between. A pair has one link, the strongest. Time and
@@ -210,10 +254,13 @@ def _links(tokens: list[_Token]) -> tuple[list[tuple[int, int]], list[tuple[int,
                     a, b = _grams(tokens[i].text.casefold()), _grams(tokens[j].text.casefold())
                     if 2 * len(a & b) < len(a | b):
                         continue
+                if k[0] in "th" and not any(_within(a, b, k[0] == "t") for a in _numbers(tokens[i]) for b in _numbers(tokens[j])):
+                    continue
                 found[kind].add((min(i, j), max(i, j)))
             last[k] = i
-    same = found[SAME] - chain
-    return sorted(chain), sorted(same), sorted(found[ALIKE] - same - chain)
+    firsts, inner = _grouped(tokens, chain)
+    same = (found[SAME] | firsts) - chain
+    return sorted(chain - inner), sorted(inner), sorted(same), sorted(found[ALIKE] - same - chain)
 
 
 def _shaped_like_a_secret(core: str) -> bool:
@@ -236,10 +283,22 @@ def _altered(value: str, label: int, turn: int) -> str:
     if LABELS[label] == "email":
         return value.split("@")[0]
     if LABELS[label] == "ip":
-        return value.replace(".", "-")
+        return value.replace(".", " " if turn % 2 else "-")
     if LABELS[label] == "card":
-        return digits[-10:] if turn % 2 else "7" * 12 + " " + digits
-    return (digits, digits[-10:], digits[-7:-4] + "-" + digits[-4:], " ".join((digits[-10:-7], digits[-7:-4], digits[-4:])))[turn % 4]
+        return digits[-10:] if turn % 2 else "/".join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    if turn % 5 > 2:
+        return _in_groups(digits[-10:], turn)
+    return (digits, digits[-10:], digits[-7:-4] + "-" + digits[-4:])[turn % 5]
+
+
+def _in_groups(digits: str, seed: int) -> str:
+    """Digits in groups of two to four, which follow from the seed."""
+    out, at = [], 0
+    while at < len(digits):
+        size = 2 + (seed >> at) % 3
+        out.append(digits[at : at + size])
+        at += size
+    return " ".join(out)
 
 
 def _another(value: str, seed: int) -> str:
@@ -250,7 +309,7 @@ def _another(value: str, seed: int) -> str:
 def lessons(text: str) -> list[tuple[str, int]]:
     """What one text teaches: (pattern, label) of each token whose label the patterns don't say.
 
-    Every value that the text has labelled, four of each label at most, is told again behind it in an altered form, next to
+    Every value that the text has labelled is told again behind it in an altered form, next to
     another value of the same form that has no label. So a form alone doesn't say whether a token is personal data, and the
     weights of links can only be learnt from what distant mentions have. A pattern has the token's features, and how many
     neighbours with each label it has by each kind of link, three at most. Half of the secrets aren't told again, as their
@@ -265,7 +324,7 @@ def lessons(text: str) -> list[tuple[str, int]]:
             values.setdefault(SECRET, {})[t.text.strip(_EDGE)] = None
     told, parts, at = {}, [text], len(text)
     for label, some in values.items():
-        for turn, value in enumerate(list(some)[:4]):
+        for turn, value in enumerate(some):
             seed = zlib.crc32(value.encode())
             form = _altered(value, label, seed + turn)
             forms = [] if label == SECRET and seed % 2 else [(form, label), (_another(form, seed), 0)]
@@ -281,13 +340,13 @@ def lessons(text: str) -> list[tuple[str, int]]:
         while k < len(places) and places[k][0][1] <= t.start:
             k += 1
         inside = k < len(places) and places[k][0][0] < t.end
-        labels.append(t.known if t.known >= 0 else places[k][1] if inside and not t.text.startswith("7" * 12) else 0 if inside else _taught_label(t))
-    counts = np.zeros((len(tokens), 3, len(LABELS)), int)
+        labels.append(t.known if t.known >= 0 else places[k][1] if inside else _taught_label(t))
+    counts = np.zeros((len(tokens), LINKS, len(LABELS)), int)
     for kind, pairs in enumerate(_links(tokens)):
         for i, j in pairs:
             counts[i, kind, labels[j]] += 1
             counts[j, kind, labels[i]] += 1
-    near = np.minimum(counts, 3).reshape(len(tokens), 3 * len(LABELS))
+    near = np.minimum(counts, 3).reshape(len(tokens), LINKS * len(LABELS))
     return [("".join(str(int(x)) for x in [*_features(t), *near[i]]), labels[i]) for i, t in enumerate(tokens) if t.known < 0]
 
 
@@ -298,7 +357,7 @@ def learn(patterns: dict[tuple[str, int], int]) -> Field:
     symmetric. Each pattern counts with the square root of its number, so that the commonest don't drown the others.
     """
     n, f = len(LABELS), len(FEATURES)
-    weight = np.zeros((f + 3 * n, n))
+    weight = np.zeros((f + LINKS * n, n))
     if patterns:
         rows = sorted(patterns)
         x = np.array([list(map(int, p)) for p, _ in rows], float)
@@ -310,13 +369,13 @@ def learn(patterns: dict[tuple[str, int], int]) -> Field:
             p = np.exp(x @ weight - (x @ weight).max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             step = x.T @ ((target - p) * share[:, None]) - 3e-4 * weight
-            for k in range(3):
+            for k in range(LINKS):
                 own = step[f + k * n : f + (k + 1) * n]
                 own[:] = (own + own.T) / 2
             speed = 0.9 * speed + step
             weight += 0.5 * speed
     as_tuple = lambda a: tuple(map(tuple, np.round(a, 6).tolist()))
-    return Field(as_tuple(weight[:f]), *[as_tuple(weight[f + k * n : f + (k + 1) * n]) for k in range(3)])
+    return Field(as_tuple(weight[:f]), *[as_tuple(weight[f + k * n : f + (k + 1) * n]) for k in range(LINKS)])
 
 
 def fit(texts: list[str]) -> Field:
@@ -334,7 +393,7 @@ def marginals(field: Field, tokens: list[_Token]) -> np.ndarray:
             own[i, t.known] = 0.0
     found = _links(tokens)
     links = np.array([p for pairs in found for p in pairs], int).reshape(-1, 2)
-    kind = np.repeat(np.arange(3), [len(p) for p in found])
+    kind = np.repeat(np.arange(LINKS), [len(p) for p in found])
     belief = own.copy()
     # a message goes one link a round: what no token with evidence reaches in time stays as it is
     known = np.array([t.known >= 0 for t in tokens])
@@ -350,14 +409,14 @@ def marginals(field: Field, tokens: list[_Token]) -> np.ndarray:
     links, kind = links[needed], kind[needed]
     if len(links):
         kind = np.concatenate([kind, kind])
-        tables = np.exp(np.array([field.chain, field.same, field.alike]))
+        tables = np.exp(np.array([field.chain, field.group, field.same, field.alike]))
         source, target = np.concatenate([links[:, 0], links[:, 1]]), np.concatenate([links[:, 1], links[:, 0]])
         back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
         message, fresh = np.zeros((2, len(source), n))
         for _ in range(ROUNDS):
             out = belief[source] - message[back]
             out = np.exp(out - out.max(1, keepdims=True))
-            for k in range(3):
+            for k in range(LINKS):
                 fresh[kind == k] = out[kind == k] @ tables[k]
             fresh = np.log(fresh / fresh.max(1, keepdims=True))
             change = np.abs(fresh - message).max()
@@ -384,8 +443,8 @@ def all_spans(field: Field, text: str) -> tuple[list[tuple[int, int, str]], list
             tail = len(token.text) - len(token.text.rstrip(".,;:!?)]}\"'#$%&*|"))
             if token.start + head < token.end - tail:
                 start = token.start + head
-                if added and added[-1][2] == ADDED[label] == "linked_phone" and start - added[-1][1] <= 2 and not text[added[-1][1] : start].strip(" ()"):
-                    start = added.pop()[0]  # a number written in groups
+                if added and added[-1][2] == ADDED[label] and label != SECRET and start - added[-1][1] <= 2 and not text[added[-1][1] : start].strip(" ()"):
+                    start = added.pop()[0]  # a value in groups
                 added.append((start, token.end - tail, ADDED[label]))
     return base, sorted([*base, *added], key=lambda s: (s[0], ORDER[s[2]]))
 
@@ -404,8 +463,7 @@ def fit_on(docs: DataFrame, rows: int = FIT_ROWS) -> Field:
     some = docs.where(hashed_share("doc_id", "text") < share).select("text")
     taught = map_columns(some, ["text"], [T.StructField("lessons", T.ArrayType(T.StringType()))], lambda texts: [[[f"{p} {y}" for p, y in lessons(t or "")] for t in texts]], [])
     counted = taught.select(F.explode("lessons").alias("lesson")).groupBy("lesson").agg(F.count("*").alias("n"))
-    most = counted.orderBy(F.desc("n"), "lesson").limit(FIT_PATTERNS).collect()
-    return learn({(p, int(y)): r["n"] for r in most for p, y in [r["lesson"].split(" ")]})
+    return learn({(p, int(y)): r["n"] for r in counted.collect() for p, y in [r["lesson"].split(" ")]})
 
 
 FIELDS = [*[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_spans", T.LongType())]

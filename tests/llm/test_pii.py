@@ -119,6 +119,60 @@ def test_skip_links_find_what_nothing_else_does(spark):
     assert met > 360 and wrong < 20 and without < 20, (met, missed, wrong, without)
 
 
+def strangely(seed):
+    """A text that names a value of each kind and again in forms that no lesson makes; the spans of these."""
+    rng = random.Random(seed)
+    number = lambda n: "".join(rng.choices("123456789", k=n))
+    card = number(15)
+    card += next(d for d in "0123456789" if pii._luhn(card + d))
+    phone, name = number(10), "".join(rng.choices("abcdefghijk", k=5))
+    parts = [str(rng.randrange(10, 100)) for _ in range(4)]
+    text = f"Mail {name}.{name[::-1]}@mail.example.com or see {'.'.join(parts)}, card {card}, phone +49 ({phone[:2]}) {phone[2:6]}-{phone[6:]}. " + "wo ist der hund " * 80
+    single = [("_".join(parts), "linked_ip"), ("[.]".join(parts), "linked_ip"), ("+".join(card[k : k + 4] for k in range(0, 16, 4)), "linked_card"), (f"0{phone[:2]}/{phone[2:]}", "linked_phone"), (f"{name}{name[::-1]}@mail", "linked_email")]
+    groups = [(f"0 {phone[:2]}.{phone[2:4]} {phone[4:6]} {phone[6:8]} {phone[8:]}", "linked_phone"), (f"{phone[:5]} {phone[5:]}", "linked_phone"), ("  ".join(parts), "linked_ip")]
+    wanted = []
+    for some in (single, groups):
+        spans = set()
+        for form, kind in rng.sample(some, len(some)):
+            text += "und so "
+            spans.add((len(text), len(text) + len(form), kind))
+            text += form + " dann "
+            text += "ist der hund wo " * 3
+        wanted.append(spans)
+    return text, *wanted
+
+
+def test_every_kind_of_link_finds_what_the_others_do_not(spark):
+    """Forms that aren't among the lessons: those of one token need skip links, those of several need chain links too."""
+    field = pii.fit_on(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    fields = {"all": field, "no skip": replace(field, same=NOTHING, alike=NOTHING), "no chain": replace(field, chain=NOTHING, group=NOTHING), "neither": replace(field, same=NOTHING, alike=NOTHING, chain=NOTHING, group=NOTHING)}
+    met = {name: [0, 0] for name in fields}
+    for seed in range(60):
+        text, single, groups = strangely(seed)
+        for name, own in fields.items():
+            found = set(pii.all_spans(own, text)[1])
+            met[name][0] += len(found & single)
+            met[name][1] += len(found & groups)
+    assert met["all"][0] > 0.9 * 300 and met["all"][1] > 0.8 * 180, met
+    assert met["no chain"][0] > 0.9 * 300 and met["no chain"][1] < 0.1 * 180, met
+    assert max(met["no skip"][0], met["neither"][0]) < 0.1 * 300 and max(met["no skip"][1], met["neither"][1]) < 0.5 * 180, met
+
+
+def test_the_same_end_alone_is_no_link():
+    text = "Call +49 (30) 9018201. " + "wo ist der hund " * 5
+    assert ("linked_phone", "9018201") in labels(text + "or 9018201 then") and ("linked_phone", "0309018201") in labels(text + "or 0309018201 then")
+    for other in ("7779018201", "order 419018201", "12 20 30 44", "9018202"):
+        assert not any(k == "linked_phone" for k, _ in labels(text + f"or {other} then")), other
+
+
+def test_long_tokens_and_many_values_take_part():
+    long = "abcdefghijk" * 12 + "7"
+    assert pii._links(pii._tokens(f"{long}abc and {long}abd", []))[3] == [(0, 1)]
+    many = " ".join(f"Mail name{k}@mail.example.com now." for k in range(30))
+    assert sum(y == 1 for _, y in pii.lessons(many)) >= 30
+    assert pii._links(pii._tokens("1" * 200_000 + " " + "1" * 200_000, []))[2] == []  # they are neighbours
+
+
 def test_time_is_linear_in_the_text():
     for text in (" ".join(str(1234567 + i * 7919) for i in range(40_000)), "10.1.2.3 and 10-1-2-3 " * 15_000, "a1b2c3d4e5f6 " * 40_000):
         began = time.perf_counter()
