@@ -35,8 +35,8 @@ def brute(docs, seed=mixing.SEED, **targets):
     """Copies of each row, by walking through every source's permuted blocks."""
     from pyspark.sql import functions as F
 
-    with_block = docs.withColumn("block", mixing._block("doc_id", seed, mixing.BLOCKS))
-    ordered = with_block.select("*", *[mixing._block_order(F.lit(e), "source", "block", seed).alias(f"b{e}") for e in range(4)], *[mixing._place_order(F.lit(e), "doc_id", seed).alias(f"p{e}") for e in range(4)]).collect()
+    with_block = docs.withColumn("block", mixing._block("doc_id", F.xxhash64("text"), seed, mixing.BLOCKS))
+    ordered = with_block.select("*", *[mixing._block_order(F.lit(e), "source", "block", seed).alias(f"b{e}") for e in range(4)], *[mixing._place_order(F.lit(e), "doc_id", F.xxhash64("text"), seed).alias(f"p{e}") for e in range(4)]).collect()
     n = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
     tokens = defaultdict(int)
     for r in ordered:
@@ -53,7 +53,7 @@ def brute(docs, seed=mixing.SEED, **targets):
         groups = defaultdict(list)
         for r in own:
             groups[r[f"b{e}"], r[f"p{e}"]].append(r)
-        for key in sorted(groups):  # rows with one id are drawn together or not at all
+        for key in sorted(groups):  # equal rows are drawn together or not at all
             cost = sum(map(n, groups[key]))
             if cost > left + 1e-9:
                 break
@@ -106,5 +106,48 @@ def test_blocks_grow_with_the_rows(spark, docs, monkeypatch):
     assert few.n_blocks == 4 and many.n_blocks == docs.count() // 10
     for mixture in (few, many):
         drawn = mixing.draws(mixture).groupBy("source").agg({"tokens": "sum"}).collect()
-        budgets = {s.source: s.budget for s in mixture.shares}
+        budgets = {s.source: s.budget for s in mixture.sources.collect()}
         assert all(r[1] <= budgets[r[0]] + 1e-6 or not budgets[r[0]] for r in drawn) and len(drawn) == len(budgets)
+
+
+@pytest.mark.parametrize("large", [1, 3, 1000])
+def test_small_sources_are_mixed_alike(spark, docs, large, monkeypatch):
+    """Whichever sources count as large, the draws are the same."""
+    want, _ = brute(docs)
+    monkeypatch.setattr(mixing, "LARGE", large)
+    mixture = mixing.plan(docs)
+    assert mixture.small == (large < 1000)
+    assert Counter((r.doc_id, r.source, r.text) for r in mixing.mixed(docs, mixture).collect()) == want
+    assert mixing.draws(mixture).count() == sum(want.values())
+
+
+def test_a_source_for_each_row(spark):
+    docs = spark.range(110_000).selectExpr("id as doc_id", "repeat('w ', cast(id % 7 + 1 as int)) as text", "concat('s', id) as source")
+    mixture = mixing.plan(docs)
+    assert mixture.exponent == pytest.approx(1 - math.log(2) / math.log(7), abs=1e-9)  # the smallest source is used twice
+    once = {r["source"]: r["passes"] for r in mixture.sources.select("source", "passes").collect()}
+    assert len(once) == 110_000 and set(once.values()) <= {1, 2}
+    assert mixing.mixed(docs, mixture).count() == sum(once.values())
+
+
+def test_many_rows_of_one_id(spark):
+    docs = spark.range(1_000_000).selectExpr("if(id < 10, id, 7) as doc_id", "concat('w', id) as text", "if(id % 3 = 0, 'a', 'b') as source")
+    mixture = mixing.plan(docs)
+    sizes = [r["n"] for r in mixture.blocks.collect()]
+    assert len(sizes) == 2 * mixing.BLOCKS and max(sizes) < 2 * 1_000_000 / mixing.BLOCKS
+    drawn = mixing.draws(mixture).groupBy("source").agg({"tokens": "sum"}).collect()
+    budgets = {s.source: s.budget for s in mixture.sources.collect()}
+    assert all(budgets[r[0]] - 1.001 <= r[1] <= budgets[r[0]] + 1e-6 for r in drawn)
+
+
+def test_tempering_a_table_is_tempering_its_counts(spark):
+    counts = {"a": 900, "b": 90, "c": 90, "d": 3, "none": 0, None: 17}
+    table = spark.createDataFrame([(s, t, 1) for s, t in counts.items()], "source string, tokens long, n long")
+    for targets in ({}, {"repetition_limit": 1.2}, {"repetition_limit": None, "target_entropy": 1.0}, {"budget": 5000.0, "repetition_limit": 9.0}, {"repetition_limit": None, "target_entropy": 0.0}):
+        exponent, shares = mixing.temper(counts, **targets)
+        own, given = mixing._tempered(table, **targets)
+        assert own == pytest.approx(exponent, abs=1e-9)
+        found = {r.source: r for r in given.collect()}
+        for s in shares:
+            assert (found[s.source].weight, found[s.source].budget) == pytest.approx((s.weight, s.budget), rel=1e-9)
+            assert found[s.source].passes == s.passes and found[s.source].rest == pytest.approx(s.rest, abs=1e-6)
