@@ -47,6 +47,11 @@ def collapse(text: Column) -> Column:
     return trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
+def shown_of_markup(html: Column) -> Column:
+    """Text of a web page without its scripts, styles, comments and tags, white space collapsed."""
+    return collapse(F.regexp_replace(F.regexp_replace(html, "(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", ""), "<[^>]*>", " "))
+
+
 def is_blank(text: Column) -> Column:
     return ~F.coalesce(text, F.lit("")).rlike(f"[^{SPACE}]")
 

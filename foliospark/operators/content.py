@@ -6,9 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.functions.text import is_blank
+
 VISIBLE_MODES = frozenset((0, 1, 2, 4, 5, 6))
 SHOWING = frozenset((b"Tj", b"TJ", b"'", b'"'))
 DEEPEST = 3
@@ -122,17 +125,25 @@ def joined_and_stripped(streams: pd.Series) -> pd.Series:
     return streams.map(lambda parts: None if parts is None else without_invisible_text(b"\n".join(bytes(p) for p in parts)))
 
 
-@F.pandas_udf(T.IntegerType())
-def visible_count(pages: pd.Series) -> pd.Series:
-    """Visible glyphs of each page's operators, an array of (name, mode, glyphs); glyphs are what each shows, in order."""
+def visible_count(pages: Column | str) -> Column:
+    """Visible glyphs of each page's operators (int), an array of (name, mode, glyphs); glyphs are what each shows, in order.
 
-    def count(operators) -> int | None:
-        if operators is None:
-            return None
-        listed = [(o["name"], [o["mode"]] if o["name"] == "mode" else [[{"unicode": g} for g in (o["glyphs"] if o["glyphs"] is not None else ())]]) for o in operators]
-        return visible_characters(listed)
+    A fold over the operators, whose state is the mode, those that were saved, and the count. Null for null.
+    """
+    operators = F.col(pages) if isinstance(pages, str) else pages
+
+    def shown(glyphs):
+        return F.size(F.filter(F.coalesce(glyphs, F.array().cast("array<string>")), lambda g: g.isNull() | (g == "") | ~is_blank(g)))
+
+    def step(state, o):
+        opens, closes, some = o["name"].isin("save", "form_begin"), o["name"].isin("restore", "form_end"), F.size(state["saved"]) > 0
+        mode = F.when(closes & some, F.element_at(state["saved"], -1)).when(o["name"] == "mode", o["mode"]).otherwise(state["mode"])
+        saved = F.when(opens, F.concat(state["saved"], F.array(state["mode"]))).when(closes & some, F.slice(state["saved"], F.lit(1), F.greatest(F.lit(0), F.size(state["saved"]) - 1))).otherwise(state["saved"])
+        seen = (o["name"] == "show") & F.coalesce(state["mode"].isin(*sorted(VISIBLE_MODES)), F.lit(False))
+        return F.struct(mode.alias("mode"), saved.alias("saved"), (state["n"] + F.when(seen, shown(o["glyphs"])).otherwise(0)).alias("n"))
 
-    return pages.map(count)
+    start = F.struct(F.lit(0).alias("mode"), F.array().cast("array<int>").alias("saved"), F.lit(0).alias("n"))
+    return F.aggregate(operators, start, step, lambda state: state["n"])
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.BinaryType()))

@@ -54,6 +54,15 @@ def is_digital(visible_characters: Column) -> Column:
     return F.coalesce(visible_characters >= VISIBLE_CHARACTERS, F.lit(False))
 
 
+def spread(values: Column) -> Column:
+    """Population standard deviation of an array of doubles, from the sum of squared differences to its mean; 0 for an empty one."""
+
+    def deviation(mean):
+        return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size(values))
+
+    return F.when(F.size(values) == 0, 0.0).otherwise(let(F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values), deviation))
+
+
 def has_ink(spread: Column) -> Column:
     return spread > INK_SPREAD
 

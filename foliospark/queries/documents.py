@@ -176,9 +176,7 @@ SELECT doc_id, 'Scan ' || doc_id || '.v1.ocr.pdf' AS out_name, 'attachment; file
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of web pages, as an analogy: scripts, styles and comments are the invisible objects."""
     pages = table(spark, sf_dir, "pages", "page_id", "html")
-    shown = F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", ""), "<[^>]*>", " ")
-    text = X.collapse(shown)
-    return pages.select("page_id", text.alias("t")).select("page_id", F.length("t").cast("long").alias("chars"), F.md5(F.encode("t", "UTF-8")).alias("text_md5"))
+    return pages.select("page_id", X.shown_of_markup(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("chars"), F.md5(F.encode("t", "UTF-8")).alias("text_md5"))
 
 
 VISIBLE = f"""

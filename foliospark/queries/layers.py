@@ -140,13 +140,7 @@ SELECT doc_id, count(*) AS boxes, count(*) FILTER ({S.trim('current')} <> {S.tri
 def ink_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread of each page and whether it has ink; a vector is an image, its numbers are brightnesses."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    n = F.size("embedding")
-
-    def total(f):
-        return F.aggregate(F.transform("embedding", f), F.lit(0.0), lambda a, v: a + v)
-
-    mean = total(lambda v: v.cast("double") * 100) / n
-    spread = vectors.withColumn("mean", mean).withColumn("spread", F.sqrt(F.greatest(F.lit(0.0), F.aggregate("embedding", F.lit(0.0), lambda a, v: a + (v.cast("double") * 100 - F.col("mean")) * (v.cast("double") * 100 - F.col("mean"))) / n)))
+    spread = vectors.withColumn("spread", quality.spread(F.transform("embedding", lambda v: v.cast("double") * 100)))
     return spread.select("vec_id", F.round("spread", 4).alias("spread"), quality.has_ink(F.col("spread")).alias("has_ink"))
 
 

@@ -187,3 +187,20 @@ def test_counters_are_gathered_in_the_one_pass(spark, tmp_path):
         ("warn", "judged", {"documents": "10", "chars": "45", "longest": "9", "empty": "1", "warnings": "3"}, "stderr"), ("info", "kept", {"n": "7", "most": "9"}, "stdout")]
     assert read.value == 10 and json.loads(records[1].line) == {"time": "2026-01-01T00:00:00Z", "level": "info", "msg": "kept", "n": "7", "most": "9"}
     assert log.records(threshold="warn").count() == 1
+
+
+def test_glyphs_of_operators_are_folded_as_the_plain_function_walks_them(spark):
+    def op(name, mode=None, shown=None):
+        return (name, mode, shown)
+
+    pages_ = [
+        [], None, [op("show", shown=["a", " ", "", None, "　"])], [op("mode", 3), op("show", shown=["a"]), op("mode", 7), op("show", shown=["b"]), op("mode"), op("show", shown=["c"]), op("mode", 6), op("show", shown=["d"])],
+        [op("save"), op("mode", 3), op("form_begin"), op("mode", 0), op("show", shown=["x", "y"]), op("restore"), op("show", shown=["z"]), op("form_end"), op("show", shown=["w"]), op("restore"), op("show", shown=None)],
+        [op("restore"), op("mode", 3), op("restore"), op("show", shown=["q"]), op("other", 0, ["r"])],
+    ]
+    rows = spark.createDataFrame(list(enumerate(pages_)), "i int, ops array<struct<name: string, mode: int, glyphs: array<string>>>")
+    counted = rows.withColumn("n", content.visible_count("ops"))
+    want = [None if p is None else content.visible_characters([(n, [m] if n == "mode" else [[{"unicode": g} for g in s or []]]) for n, m, s in p]) for p in pages_]
+    assert [r.n for r in counted.orderBy("i").collect()] == want
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
