@@ -15,7 +15,8 @@ from foliospark.sources import publishing, runlog, wordtables
 
 
 def names(folder):
-    return sorted(os.listdir(folder))
+    """What readers see: a job that fails may leave hidden files of tasks that still ran."""
+    return sorted(n for n in os.listdir(folder) if not n.startswith("."))
 
 
 def files(spark, rows):
