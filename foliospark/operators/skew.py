@@ -14,11 +14,16 @@ from foliospark.operators.pixels import EDGE, FEWEST_POINTS, LEAST_ANGLE, LEAST_
 MOST_DEGREES = 30.0
 
 
+def _candidate(rank, angle):
+    """rank, angle, and its cosine and sine, which are worked out once for a page and not for each of its points."""
+    a = F.radians(angle)
+    return F.struct(rank.alias("rank"), angle.alias("angle"), F.cos(a).alias("cos"), F.sin(a).alias("sin"))
+
+
 def _energies(points: DataFrame, by: list[str], candidates) -> DataFrame:
-    """Keys, rank, angle, energy: candidates is a column of an array of (rank, angle)."""
+    """Keys, rank, angle, energy: candidates is a column of an array of _candidate()."""
     each = points.select(*by, "x", "y", "width", "bin_size", F.explode(candidates).alias("c")).select(*by, "x", "y", "width", "bin_size", "c.*")
-    a = F.radians("angle")
-    across = F.col("y") * F.cos(a) - F.col("x") * F.sin(a) + F.abs(F.col("width") * F.sin(a))
+    across = F.col("y") * F.col("cos") - F.col("x") * F.col("sin") + F.abs(F.col("width") * F.col("sin"))
     counts = each.groupBy(*by, "rank", "angle", F.floor(across / F.col("bin_size")).alias("bin")).agg(F.count("*").alias("n"))
     return counts.groupBy(*by, "rank", "angle").agg(F.sum(F.col("n") * F.col("n")).alias("energy"))
 
@@ -43,10 +48,10 @@ def measured(points: DataFrame, sizes: DataFrame, by: list[str], most_degrees: f
     bin_size = F.greatest(F.lit(2), F.floor(F.least("width", "height") / 400 + 0.5))
     known = inked.join(pages.join(counted.where(F.col("points") >= FEWEST_POINTS), by), by).withColumn("bin_size", bin_size)
     steps = int(round(2 * most_degrees / 0.5))
-    coarse = F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(a).alias("angle")) for r, a in enumerate([0.0, *[-most_degrees + 0.5 * k for k in range(steps + 1)]])])
+    coarse = F.array(*[_candidate(F.lit(r), F.lit(a)) for r, a in enumerate([0.0, *[-most_degrees + 0.5 * k for k in range(steps + 1)]])])
     first = _winner(_energies(known, by, coarse), by).withColumnsRenamed({"angle": "coarse", "energy": "coarse_energy", "first": "straight"})
-    around = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: F.struct((k + 1).alias("rank"), (F.col("coarse") - 0.5 + k * F.lit(0.1)).alias("angle")))
-    tried = _energies(known.join(first.select(*by, "coarse"), by), by, around)
+    around = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: _candidate(k + 1, F.col("coarse") - 0.5 + k * F.lit(0.1)))
+    tried = _energies(known.join(first.select(*by, around.alias("around")), by), by, F.col("around"))
     office = first.select(*by, F.lit(0).alias("rank"), F.col("coarse").alias("angle"), F.col("coarse_energy").alias("energy"))
     best = _winner(tried.unionByName(office), by).drop("first").join(first.select(*by, "straight"), by)
     unsure = (F.abs("angle") < LEAST_ANGLE) | (F.col("energy") < F.col("straight") * F.lit(LEAST_GAIN))
