@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import is_blank, trim
+from foliospark.functions.text import is_blank, let, trim
 
 #: Boxes merge across a gap of at most so many line heights, on lines that differ by at most the other share.
 MOST_GAP = 1.5
@@ -28,6 +28,34 @@ def overlaid(items: DataFrame, corrections: DataFrame, by: list[str], box: str =
     return items.join(fixes, [*by, box], "left").withColumn("current", F.coalesce("__new", text)).drop("__new")
 
 
+def laid_over(boxes: Column, corrections: Column) -> Column:
+    """Boxes of one page (array of structs id, text; each id once) as structs id, text, current, in the order of ids.
+
+    corrections: array of structs id, text in the order in which they came. The last of each box counts, an empty text
+    too; those of boxes that aren't there, or with a null id or text, are passed over. Both arrays are sorted, so a page
+    costs n log n, and nothing is shuffled. Null for null boxes; null corrections are none.
+    """
+    given = F.filter(corrections, lambda c: c["id"].isNotNull() & c["text"].isNotNull())
+    placed = F.array_sort(F.transform(given, lambda c, i: F.struct(c["id"].cast("long").alias("id"), i.alias("place"), c["text"].alias("text"))))
+    last = let(placed, lambda all_: F.filter(all_, lambda c, i: F.coalesce(F.get(all_, i + 1)["id"] != c["id"], F.lit(True))))
+
+    def row(c, kind):
+        return F.struct(c["id"].cast("long").alias("id"), F.lit(kind).alias("kind"), c["text"].alias("text"))
+
+    none = F.array().cast("array<struct<id:bigint,kind:int,text:string>>")
+    both = F.array_sort(F.concat(F.transform(boxes, lambda b: row(b, 0)), F.coalesce(F.transform(last, lambda c: row(c, 1)), none)))
+
+    def laid(all_):
+        def entry(b, i):
+            after = F.get(all_, i + 1)
+            new = F.when((after["kind"] == 1) & (after["id"] == b["id"]), after["text"])
+            return F.struct(b["id"].alias("id"), b["kind"].alias("kind"), b["text"].alias("text"), F.coalesce(new, b["text"]).alias("current"))
+
+        return F.transform(F.filter(F.transform(all_, entry), lambda b: b["kind"] == 0), lambda b: F.struct(b["id"].alias("id"), b["text"].alias("text"), b["current"].alias("current")))
+
+    return let(both, laid)
+
+
 def live(items: DataFrame, current: str = "current") -> DataFrame:
     """Items whose current text isn't blank: what the next pass gets to see."""
     return items.where(~is_blank(F.col(current)))

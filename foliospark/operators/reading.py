@@ -44,6 +44,12 @@ def chunk_of(position: Column, size: int = BOXES_A_CALL) -> Column:
     return F.floor(position / size).cast("int")
 
 
+def line_boxes(text: Column) -> Column:
+    """Array of structs id, text: the lines that aren't blank, with ids 0, 1, ..."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: ~is_blank(line))
+    return F.transform(lines, lambda line, i: F.struct(i.alias("id"), line.alias("text")))
+
+
 def text_lines(documents: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     """by, id, text: the lines that aren't blank, with ids 0, 1, ...; each text is cut within its row."""
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: ~is_blank(line))

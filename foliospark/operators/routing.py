@@ -102,7 +102,7 @@ def needs_transcription(pages: DataFrame, ink) -> DataFrame:
 
     ink: DataFrame to DataFrame, adds `ink`; it is costly and only gets the pages that depend on it.
     """
-    open_ = F.col("can_transcribe") & ~F.col("junk") & (F.col("items") == 0)
+    open_ = F.col("can_transcribe") & (F.col("items") == 0) & ~F.col("junk")  # junk costs most, so it comes last
     tested = ink(pages.where(open_))
     plain = pages.where(~open_).withColumn("ink", F.lit(None).cast("boolean"))
     both = plain.unionByName(tested)

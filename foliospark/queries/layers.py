@@ -117,13 +117,14 @@ SELECT doc_id, id // 25 AS chunk, min(id) AS first_id, count(*) AS boxes, sum(le
 def overlay_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages after their corrections: lines are boxes, every seventh gets a mark, every eleventh is emptied, and a
     correction of a box that wasn't asked for is passed over."""
-    boxes = reading.text_lines(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
-    fixes = boxes.where("id % 7 = 0 or id % 11 = 0").select("doc_id", F.explode(F.array("id", F.col("id") + 100_000)).alias("id"), F.when(F.col("id") % 11 == 0, "").otherwise(F.concat(F.lit("# "), F.col("text"))).alias("text"), F.lit(0).alias("seq"))
-    known = overlay.last_of_each(overlay.known_only(fixes, boxes, ["doc_id"]), ["doc_id"])
-    done = overlay.overlaid(boxes, known, ["doc_id"])
-    changed = overlay.differs(F.col("current"), F.col("text"))
-    alive = ~is_blank(F.col("current"))
-    return done.groupBy("doc_id").agg(F.count("*").alias("boxes"), F.count_if(changed).alias("changed"), F.count_if(alive).alias("alive"), F.sum(F.length("current")).alias("chars"))
+    pages = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", reading.line_boxes(F.col("text")).alias("boxes")).where(F.size("boxes") > 0)
+    marked = F.filter("boxes", lambda b: (b["id"] % 7 == 0) | (b["id"] % 11 == 0))
+    fixes = F.flatten(F.transform(marked, lambda b: F.transform(F.array(F.lit(0), F.lit(100_000)), lambda more: F.struct((b["id"] + more).alias("id"), F.when(b["id"] % 11 == 0, "").otherwise(F.concat(F.lit("# "), b["text"])).alias("text")))))
+    done = pages.withColumn("done", overlay.laid_over(F.col("boxes"), fixes))
+    changed = F.filter("done", lambda b: overlay.differs(b["current"], b["text"]))
+    alive = F.filter("done", lambda b: ~is_blank(b["current"]))
+    chars = F.aggregate("done", F.lit(0).cast("long"), lambda n, b: n + F.length(b["current"]))
+    return done.select("doc_id", F.size("done").cast("long").alias("boxes"), F.size(changed).cast("long").alias("changed"), F.size(alive).cast("long").alias("alive"), chars.alias("chars"))
 
 
 OVERLAY = f"""

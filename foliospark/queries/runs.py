@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from foliospark.checkpoints import ensure_checkpoint_dir
 from foliospark.functions import glyphs, pages, widths
 from foliospark.operators import quality
+from foliospark.plans import batch
 from foliospark.queries import sqltext as S
-from foliospark.sources import publishing, runlog, wordtables
+from foliospark.sources import files, publishing, runlog, wordtables
 from foliospark.sources.tables import read_table as table
 from foliospark.streaming import jobs
 
@@ -103,6 +104,32 @@ WITH f AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn,
 SELECT 'talk-' || conv_id || '.txt' AS name, octet_length(encode(content))::BIGINT AS bytes, sha256(content) AS sha256 FROM f
 """
 
+def folder_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch over a folder of files: a conversation is one, what it said its content. Every fourth was done before, some
+    can't be recognised and stop nothing, what is recognised is written; bytes are those in the folder of outputs after it."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.coalesce(t["text"], F.lit(""))), "\n")
+    name = F.concat(F.lit("talk-"), F.col("conv_id").cast("string"))
+    talks = turns.groupBy("conv_id").agg(F.encode(said, "UTF-8").alias("content"))
+    root = scratch(spark, "batch")
+    publishing.publish(talks.withColumn("out_name", F.concat(name, F.when(F.col("conv_id") % 2 == 0, ".PDF").otherwise(".pdf"))), f"{root}/in")
+    publishing.publish(talks.where("conv_id % 4 = 0").select(F.concat(name, F.lit(".ocr.pdf")).alias("out_name"), F.encode(F.lit("before"), "UTF-8").alias("content")), f"{root}/out")
+
+    def recognise(todo: DataFrame) -> DataFrame:
+        broken = F.length("content") % 3 == 0
+        return todo.select("out_name", F.when(~broken, F.concat(F.encode(F.lit("%"), "UTF-8"), F.col("content"))).alias("content"), F.when(broken, "unreadable").alias("error"))
+
+    told, _ = batch.run(spark, f"{root}/in/", f"{root}/out", recognise, files.names_in(spark, f"{root}/out"))
+    there = spark.read.format("binaryFile").load(f"{root}/out").select(F.regexp_extract("path", "([^/]*)$", 1).alias("out_name"), F.col("length").alias("bytes"))
+    return told.join(there, "out_name", "left").select(F.col("out_name").alias("name"), "status", "error", "bytes")
+
+
+FOLDER_BATCH = """
+WITH f AS (SELECT conv_id, octet_length(encode(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text)))::BIGINT AS n FROM conversations GROUP BY conv_id)
+SELECT 'talk-' || conv_id || '.ocr.pdf' AS name, CASE WHEN conv_id % 4 = 0 THEN 'skipped' WHEN n % 3 = 0 THEN 'failed' ELSE 'ok' END AS status,
+  CASE WHEN conv_id % 4 <> 0 AND n % 3 = 0 THEN 'unreadable' END AS error, CASE WHEN conv_id % 4 = 0 THEN 6 WHEN n % 3 <> 0 THEN n + 1 END AS bytes FROM f
+"""
+
 #: For scanned_words: bytes of a partition, words of that many pages.
 PART_BYTES, PAGES = 1 << 19, 3
 
@@ -196,11 +223,11 @@ FROM (SELECT msg, warnings, unnest(['documents', 'chars', 'longest', 'empty', 'w
 
 
 def queries():
-    return {f.__name__: f for f in (remote_jobs, published_files, scanned_words, opened_pages, text_widths, nested_glyphs, run_log)}
+    return {f.__name__: f for f in (remote_jobs, published_files, folder_batch, scanned_words, opened_pages, text_widths, nested_glyphs, run_log)}
 
 
 def oracle_sql():
     return {
-        "remote_jobs": REMOTE_JOBS, "published_files": PUBLISHED_FILES, "scanned_words": SCANNED_WORDS, "opened_pages": OPENED_PAGES,
+        "remote_jobs": REMOTE_JOBS, "published_files": PUBLISHED_FILES, "folder_batch": FOLDER_BATCH, "scanned_words": SCANNED_WORDS, "opened_pages": OPENED_PAGES,
         "text_widths": TEXT_WIDTHS, "nested_glyphs": NESTED_GLYPHS, "run_log": RUN_LOG,
     }

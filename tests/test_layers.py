@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +154,18 @@ def test_geometry(spark):
     ).first()
     assert (row.half, row.turn, row.four) == (-2, 270, 4.0) and row.most == pytest.approx(5000 / 7200) and tuple(row.p) == (3.0, 0.0) and row.m == [1, 0, 0, 1, 2, 3] and row.white == pytest.approx(255)
     assert [v in (50, 51, 100, 101) for v in row.size] == [True, True]
+
+
+def test_corrections_laid_over_within_a_row(spark):
+    rng = random.Random(9)
+    pages = []
+    for page in range(60):
+        ids = rng.sample(range(40), rng.randrange(0, 12))
+        pages.append((page, [(i, f"t{i}") for i in ids], [(rng.choice([*range(40), None]), rng.choice(["", "x", "y", None])) for _ in range(rng.randrange(0, 15))]))
+    pages += [(100, [], []), (101, [(3, "a")], None), (102, None, [(3, "b")]), (103, [(1, "a" * 20_000)], [(1, "b"), (1, "b"), (1, "c")])]
+    frame = spark.createDataFrame(pages, "page int, boxes array<struct<id:int,text:string>>, fixes array<struct<id:int,text:string>>")
+    got = {r.page: r.done for r in frame.select("page", overlay.laid_over(F.col("boxes"), F.col("fixes")).alias("done")).collect()}
+    for page, boxes, fixes in pages:
+        new = {i: t for i, t in fixes or [] if i is not None and t is not None}
+        want = None if boxes is None else sorted((i, t, new.get(i, t)) for i, t in boxes)
+        assert (None if got[page] is None else [tuple(b) for b in got[page]]) == want, page
