@@ -49,6 +49,11 @@ def is_junk(chars: Column, plausible_share: Column) -> Column:
     return (chars >= FEWEST_CHARACTERS) & (plausible_share < LEAST_PLAUSIBLE)
 
 
+def is_junk_text(text: Column) -> Column:
+    """is_junk() of a layer that is one text: one value to work out, also where it lands in a filter."""
+    return let(measures(text), lambda m: is_junk(m["chars"], share(m["plausible"], m["chars"])))
+
+
 def is_digital(visible_characters: Column) -> Column:
     """Real visible text; a page that couldn't be inspected (null) counts as a scan."""
     return F.coalesce(visible_characters >= VISIBLE_CHARACTERS, F.lit(False))

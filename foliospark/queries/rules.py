@@ -194,10 +194,10 @@ FROM l GROUP BY conv_id
 
 def reread_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which pages are transcribed anew; a document is a page, some couldn't be inspected, some are turned, some have no layer."""
-    docs = quality.with_quality(table(spark, sf_dir, "documents", "doc_id", "text", "n_chars"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
     d = F.col("doc_id")
     pages = docs.select(
-        "doc_id", quality.is_digital(F.when(d % 8 == 0, F.lit(None)).when(d % 8 == 1, 20).otherwise(19)).alias("digital"), quality.is_junk(F.col("chars"), F.col("plausible_share")).alias("junk"), F.when(d % 3 == 0, 0).otherwise(F.col("n_chars")).alias("items"),
+        "doc_id", quality.is_digital(F.when(d % 8 == 0, F.lit(None)).when(d % 8 == 1, 20).otherwise(19)).alias("digital"), quality.is_junk_text(F.col("text")).alias("junk"), F.when(d % 3 == 0, 0).otherwise(F.col("n_chars")).alias("items"),
         geometry.quarter_turn((d % 2 * 360 + F.when(d % 10 == 0, 90).otherwise(0)).cast("int")).alias("rotation"), (d % 7 != 0).alias("wanted"),
     ).withColumn("can_transcribe", routing.can_transcribe(F.col("digital"), F.col("wanted"), F.lit(True), F.col("rotation")))
     judged = routing.needs_transcription(pages, lambda p: p.withColumn("ink", quality.has_ink((F.col("doc_id") % 5).cast("double") * 4)))
