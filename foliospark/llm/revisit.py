@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.asof import latest_before
 from foliospark.llm.common import checkpointed, plain_table
+from foliospark.llm.hosts import ascii_host
 
 # The profiles' identifiers, query parameters that only track, and headers that an update mustn't touch
 NOT_MODIFIED = ("http://netpreserve.org/warc/1.0/revisit/server-not-modified", "http://netpreserve.org/warc/1.1/revisit/server-not-modified")
@@ -20,14 +21,14 @@ FRAMING = ("connection", "content-encoding", "content-length", "content-range",
 
 
 def _plain_escapes(value: F.Column) -> F.Column:
-    """Escapes of letters, digits, '-', '.', '_' and '~' undone, the hexadecimal digits of the others in upper case."""
+    """Escapes of letters, digits, '-', '.', '_' and '~' undone, the hexadecimal digits of the others in upper case; a % that begins none is one itself."""
     pieces = F.split(value, "%")
 
     def piece(x):
         code = F.conv(F.substring(x, 1, 2), 16, 10).cast("int")
         plain = F.chr(code)
         rest = F.substring(x, 3, 1 << 30)
-        return F.when(~x.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.lit("%"), x)).when(plain.rlike("^[A-Za-z0-9._~-]$"), F.concat(plain, rest)).otherwise(F.concat(F.lit("%"), F.upper(F.substring(x, 1, 2)), rest))
+        return F.when(~x.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.lit("%25"), x)).when(plain.rlike("^[A-Za-z0-9._~-]$"), F.concat(plain, rest)).otherwise(F.concat(F.lit("%"), F.upper(F.substring(x, 1, 2)), rest))
 
     undone = F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), piece), ""))
     return F.when(F.contains(value, F.lit("%")), undone).otherwise(value)
@@ -36,12 +37,13 @@ def _plain_escapes(value: F.Column) -> F.Column:
 def canonical(url: F.Column) -> F.Column:
     """What captures of one page share: no scheme, user, www, default port, final dot of the host, fragment, tracking, final slash.
 
-    Host in lower case; escapes of unreserved characters undone, others in upper case, a space in a query always as %20;
+    Host in lower case, an international one in its ASCII form; escapes of unreserved characters undone, others in upper case, a lone % as %25, a space in a query always as %20;
     the other query parameters in alphabetical order. Null for null.
     """
     bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^(?i:https?)://", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^([^/?]*)", 1)), "^.*@", "")
     host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, ":(80|443)?$", ""), "\\.(:[0-9]+)?$", "$1"), "^www\\.", "")
+    host = ascii_host(host)
     path = F.regexp_replace(_plain_escapes(F.regexp_extract(bare, "^[^/?]*([^?]*)", 1)), "/+$", "")
     kept = F.filter(F.split(F.regexp_extract(bare, "\\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(f"^(?i:{TRACKING})(=|$)"))
     asked = F.array_join(F.array_sort(F.transform(kept, lambda p: _plain_escapes(F.replace(p, F.lit("+"), F.lit("%20"))))), "&")
@@ -130,7 +132,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "url_key", "resolved_id", "outcome", F.when(F.col("headers").isNotNull(), F.size("headers")).alias("n_headers"), F.md5(F.encode(lines, "UTF-8")).alias("headers_md5"))
 
 
-_ESCAPES = r"""array_to_string(list_transform(string_split({0}, '%'), lambda x, i: CASE WHEN i = 1 THEN x WHEN NOT regexp_matches(x, '^[0-9A-Fa-f]{{2}}') THEN '%' || x
+_ESCAPES = r"""array_to_string(list_transform(string_split({0}, '%'), lambda x, i: CASE WHEN i = 1 THEN x WHEN NOT regexp_matches(x, '^[0-9A-Fa-f]{{2}}') THEN '%25' || x
       WHEN regexp_matches(chr(('0x' || substr(x, 1, 2))::INT), '^[A-Za-z0-9._~-]$') THEN chr(('0x' || substr(x, 1, 2))::INT) || substr(x, 3)
       ELSE '%' || upper(substr(x, 1, 2)) || substr(x, 3) END), '')"""
 _PATH, _PARAMETER = _ESCAPES.format(r"regexp_extract(bare, '^[^/?]*([^?]*)', 1)"), _ESCAPES.format("replace(q, '+', '%20')")

@@ -29,16 +29,20 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def host_of(url: F.Column) -> F.Column:
-    """Lower-case host without user, port and final dot; empty where there is none."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*?)\.?(?::[0-9]*)?(?:[/?#]|$)", 1))
+    """Lower-case host without user, port and final dot; empty where there is none. An IPv6 address keeps its brackets."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:]*?)\.?(?::[0-9]*)?(?:[/?#]|$)", 1))
 
 
 def patterns_of(url: F.Column) -> F.Column:
-    """What entries can match a URL by: its host, the host's parent domains of two labels at least, and host + first folder."""
+    """What entries can match a URL by: its host, the host's parent domains of two labels at least, and host + first folder.
+
+    An IPv6 address has no parents; it matches in the spelling that it has, in lower case.
+    """
     host = host_of(url)
     labels = F.split(host, "\\.")
     n = F.size(labels)
     domains = F.transform(F.sequence(F.least(n, F.lit(2)), n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    domains = F.when(F.startswith(host, F.lit("[")), F.array().cast("array<string>")).otherwise(domains)
     folder = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:]*://[^/?#]*(/[^/?#]*/)", 1)
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(host), domains, F.when(folder != "", F.array(F.concat(host, folder))).otherwise(F.array().cast("array<string>")))))
 
@@ -103,7 +107,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH captures AS (
   SELECT page_id, url, ((page_id * 37) % 720)::INT AS day,
-    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1)) AS host,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:]*?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1)) AS host,
     regexp_extract(url, '^[^:]*://[^/?#]*(/[^/?#]*/)', 1) AS folder FROM pages
 ), hosts AS (
   SELECT host, ('0x' || substr(md5('h' || host), 1, 6))::INT AS h FROM (SELECT DISTINCT host FROM captures WHERE host <> '')
@@ -117,7 +121,7 @@ WITH captures AS (
 ), merged AS (
   SELECT s.* FROM spans s
 ), each AS (
-  SELECT page_id, day, unnest(list_distinct(list_concat([host], list_transform(range(least(len(string_split(host, '.')), 2), len(string_split(host, '.')) + 1),
+  SELECT page_id, day, unnest(list_distinct(list_concat([host], list_transform(CASE WHEN starts_with(host, '[') THEN []::BIGINT[] ELSE range(least(len(string_split(host, '.')), 2), len(string_split(host, '.')) + 1) END,
     lambda k: array_to_string(string_split(host, '.')[-k:], '.')), CASE WHEN folder <> '' THEN [host || folder] ELSE [] END))) AS pattern
   FROM captures WHERE host <> ''
 ), active AS (

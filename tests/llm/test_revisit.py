@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import revisit as R
 from foliospark.llm.asof import latest_before
+from foliospark.llm.hosts import ascii_host
 
 RECORD = "record_id long, kind string, uri string, at long, profile string, status int, headers map<string,string>"
 P = R.NOT_MODIFIED[1]
@@ -51,6 +52,19 @@ def test_spellings_of_one_url(spark, a, b):
     assert x[0] == y[0] != ""
 
 
+def test_international_hosts_against_the_codec(spark):
+    rng = random.Random(3)
+    letters = "abcxyz0-" + "äöüßéñ" + "пример" + "例え東京" + "\U00010400\U0001f600"
+    labels = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 24))).lower() for _ in range(300)] + ["ü" * 3000, "a" * 300 + "\U0010ffff" + "é" * 40, "bücher", "münchen-ost"]
+    got = [r[0] for r in spark.createDataFrame([(f"www2.{x}.de",) for x in labels], "u string").select(ascii_host(F.col("u"))).collect()]
+    assert got == [f"www2.{x if x.isascii() else 'xn--' + x.encode('punycode').decode()}.de" for x in labels]
+    pairs = [("http://BÜCHER.de/a", "http://xn--bcher-kva.de/a"), ("http://www.bücher。de./", "https://xn--bcher-kva.de"), ("http://a.b/50%/x", "http://a.b/50%25/x"), ("http://a.b/?q=%&r=%zz", "http://a.b/?q=%25&r=%25zz"), ("http://a.b/%", "http://a.b/%25")]
+    for a, b in pairs:
+        x, y = spark.createDataFrame([(a,), (b,)], "u string").select(R.canonical(F.col("u"))).collect()
+        assert x[0] == y[0] != "", (a, b)
+    assert spark.createDataFrame([(None,), ("",)], "u string").select(ascii_host(F.col("u")).alias("h")).collect()[0].h is None
+
+
 def test_different_urls_stay_apart(spark):
     urls = ["http://a.b/%2F", "http://a.b//", "http://a.b/%2525", "http://a.b/%25", "http://a.b/+", "http://a.b/%20", "http://a.b/?+=1", "http://a.b:81/", "http://a.b/é", "http://a.b/A", "http://a.b/a"]
     assert len({r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(R.canonical(F.col("u"))).collect()}) == len(urls) - 0

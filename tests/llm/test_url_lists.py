@@ -51,6 +51,13 @@ def test_empty_tables(spark):
     assert U.evaluate(captures.limit(0), entries).collect() == []
 
 
+def test_addresses_in_brackets(spark):
+    captures = [(1, "http://[2001:DB8::1]/a/x", 9), (2, "http://u@[2001:db8::1]:8080?q=/z/", 9), (3, "http://[::ffff:1.2.3.4]/a/x", 9), (4, "http://[2001:db8::1/a/", 9), (5, "http://2001:db8::1/a/", 9), (6, "http://[]/a/", 9)]
+    entries = [("[2001:db8::1]", 1, "add"), ("[2001:db8::1]/a/", 2, "add"), ("[::ffff:1.2.3.4]", 1, "add"), ("3.4]", 1, "add"), ("[", 1, "add")]
+    rows = U.evaluate(spark.createDataFrame(captures, "id int, url string, day int"), spark.createDataFrame(entries, "pattern string, day int, action string")).collect()
+    assert {r.id: (r.n_active, r.matched) for r in rows} == {1: (2, "[2001:db8::1]/a/"), 2: (1, "[2001:db8::1]"), 3: (1, "[::ffff:1.2.3.4]"), 4: (0, None), 5: (0, None), 6: (0, None)}
+
+
 def test_all_parents_of_a_host_of_many_labels(spark):
     for n in (12, 150):
         labels = [f"l{i}" for i in range(n)]
@@ -61,7 +68,7 @@ def test_all_parents_of_a_host_of_many_labels(spark):
 
 
 def test_deep_hosts_against_sql(spark, tmp_path):
-    pages = [(i, f"http://{'.'.join(f'h{(i * k) % 5}' for k in range(1, 13))}.example.com/{'a/' if i % 2 else ''}{i}", "") for i in range(60)] + [(99, None, None), (100, "http://x.org/", "")]
+    pages = [(i, f"http://{'.'.join(f'h{(i * k) % 5}' for k in range(1, 13))}.example.com/{'a/' if i % 2 else ''}{i}", "") for i in range(60)] + [(99, None, None), (100, "http://x.org/", "")] + [(200 + i, f"http://[2001:db8::{i}]:80/{'b/' if i % 2 else ''}", "") for i in range(40)] + [(300, "http://[::ffff:1.2.3.4]/", "")]
     spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     connection = duckdb.connect()
     connection.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
