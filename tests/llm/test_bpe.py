@@ -6,7 +6,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foliospark.llm import bpe
+from foliospark.llm import bpe, entries
 
 RANKS, PATTERN = bpe.public_ranks()
 CODEC = bpe.Codec(RANKS, PATTERN)
@@ -64,3 +64,14 @@ def test_encode_then_decode(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.query(spark, docs).collect() == []
+
+
+def test_the_whole_query_against_the_library(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = dict(tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect())
+    rows = entries.op10_byte_bpe(spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        ids = REFERENCE.encode_ordinary(texts[r.doc_id] or "")
+        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest())
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want, r.doc_id

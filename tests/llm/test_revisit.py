@@ -1,6 +1,7 @@
 import bisect
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,15 @@ def test_a_response_that_is_there_twice_counts_once(spark):
 
 def test_empty(spark):
     assert outcome(spark, []) == {}
+
+
+def test_odd_addresses_against_sql(spark, tmp_path):
+    urls = ["http://A.example.com/50%/x?b=%zz&a=1", "https://a.example.com./50%25/x/?a=1&b=%25zz", "http://[2001:DB8::1]:80/a/", "https://[2001:db8::1]/a", "http://a.b/%7eu", "http://a.b/~u", "http://a.b/%", "http://a.b/%25", "", None]
+    pages = [(i, urls[i % len(urls)], f"<p>{i % 3}</p>") for i in range(120)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = R.query(spark, str(tmp_path))
+    want = connection.sql(R.SQL).select(*[duckdb.ColumnExpression(c) for c in found.columns]).fetchall()
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len({r[1] for r in got}) == 6 and sum(r[3] != "no earlier" for r in got) > 100
