@@ -151,3 +151,17 @@ def test_tempering_a_table_is_tempering_its_counts(spark):
         for s in shares:
             assert (found[s.source].weight, found[s.source].budget) == pytest.approx((s.weight, s.budget), rel=1e-9)
             assert found[s.source].passes == s.passes and found[s.source].rest == pytest.approx(s.rest, abs=1e-6)
+
+
+def test_the_whole_query_against_the_walk(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source")
+    want, shares = brute(docs)
+    drawn = mixing.query(spark, folder).collect()
+    assert Counter((r.doc_id, r.source) for r in drawn) == Counter({(d, s): k for (d, s, _), k in want.items()})
+    assert {r.doc_id for r in drawn} == {r.doc_id for r in docs.select("doc_id").collect()} and len({r.exponent for r in drawn}) == 1
+    for s in shares:
+        own = sorted((r for r in drawn if r.source == s.source), key=lambda r: (r.start, r.tokens))
+        assert {round(r.weight, 9) for r in own} == {round(s.weight, 9)}
+        assert [r.start for r in own] == [sum(r.tokens for r in own[:k]) for k in range(len(own))]
+        assert all(r.place == pytest.approx(r.start / s.budget) for r in own if s.budget)
