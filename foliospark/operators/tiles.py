@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SIZE = 256
+#: Tiles that a task works on at a time, whatever the size of the batches that it is given.
+AT_ONCE = 32
 #: Edge of the blocks whose paper is estimated, and the share of a block's pixels that are at most as bright.
 BLOCK, PAPER_SHARE = 32, 0.9
 
@@ -27,6 +29,13 @@ def _fields(df: DataFrame, names: list[str]) -> list[T.StructField]:
     return [df.schema[c] for c in names]
 
 
+def _few(batches):
+    """The rows of batches, AT_ONCE at a time: what Python makes of a batch is many times its size."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(start, AT_ONCE)
+
+
 def tiles_of(pixels: DataFrame, by: list[str], size: int = SIZE, x: str = "x", y: str = "y", value: str = "value", missing: int = 255) -> DataFrame:
     """Tiles of pixels that are rows: keys, x and y (from 0) and value (0 to 255); height and width follow from the largest.
 
@@ -36,21 +45,23 @@ def tiles_of(pixels: DataFrame, by: list[str], size: int = SIZE, x: str = "x", y
     good = pixels.where((F.col(x) >= 0) & (F.col(y) >= 0) & F.col(value).isNotNull()).select(*by, F.col(x).cast("int").alias("__x"), F.col(y).cast("int").alias("__y"), F.col(value).cast("int").alias("__v"))
     sizes = good.groupBy(*by).agg((F.max("__y") + 1).alias("height"), (F.max("__x") + 1).alias("width"))
     grid = sizes.withColumn("ty", F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / size).cast("int")))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.floor((F.col("width") - 1) / size).cast("int"))))
-    there = good.groupBy(*by, F.floor(F.col("__y") / size).cast("int").alias("ty"), F.floor(F.col("__x") / size).cast("int").alias("tx")).agg(F.collect_list(F.struct("__y", "__x", "__v")).alias("__some"))
+    # a pixel is one number: place in its tile, then value
+    at = F.col("__y") % size * F.lit(size).cast("long") + F.col("__x") % size
+    there = good.groupBy(*by, F.floor(F.col("__y") / size).cast("int").alias("ty"), F.floor(F.col("__x") / size).cast("int").alias("tx")).agg(F.collect_list(at * 256 + F.greatest(F.lit(0), F.least(F.lit(255), "__v"))).alias("__some"))
     joined = grid.join(there, [*by, "ty", "tx"], "left").select(*by, "ty", "tx", "height", "width", "__some")
     fields = [*_fields(joined, [*by, "ty", "tx", "height", "width"]), T.StructField("plane", T.BinaryType())]
     kinds = to_arrow_schema(T.StructType(fields))
 
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             made = []
-            for ty, tx, height, width, some in zip(*(c.to_pylist() for c in batch.columns[len(by) :])):
+            for ty, tx, height, width, some in zip(*(c.to_pylist() for c in batch.columns[len(by) : -1]), batch.column("__some")):
                 (y0, y1), (x0, x1) = _extent(ty, size, height), _extent(tx, size, width)
                 plane = np.full((y1 - y0, x1 - x0), missing, np.uint8)
-                if some:
-                    ys, xs, vs = np.array([tuple(p.values()) for p in some]).T
-                    order = np.argsort(-vs, kind="stable")  # the darkest is written last
-                    plane[ys[order] - y0, xs[order] - x0] = np.clip(vs[order], 0, 255)
+                if some.is_valid:
+                    at, values = np.divmod(some.values.to_numpy(), 256)
+                    order = np.argsort(-values, kind="stable")  # the darkest is written last
+                    plane[at[order] // size, at[order] % size] = values[order]
                 made.append(plane.tobytes())
             yield pa.RecordBatch.from_arrays([*[c.cast(k.type) for c, k in zip(batch.columns[:-1], kinds)], pa.array(made, pa.binary())], schema=kinds)
 
@@ -72,7 +83,7 @@ def with_carries(tiles: DataFrame, by: list[str], size: int = SIZE) -> DataFrame
     kinds = to_arrow_schema(T.StructType(fields))
 
     def totals(batches):
-        for batch in batches:
+        for batch in _few(batches):
             rows, cols = [], []
             for ty, tx, height, width, raw in zip(*(batch.column(c).to_pylist() for c in ("ty", "tx", "height", "width", "plane"))):
                 plane = _plane(raw, ty, tx, height, width, size).astype(np.int64)
@@ -173,11 +184,11 @@ def paper(tiles: DataFrame, by: list[str], size: int = SIZE, share: float = PAPE
     kinds = to_arrow_schema(T.StructType(fields))
 
     def counted(batches):
-        for batch in batches:
+        for batch in _few(batches):
             for i, raw in enumerate(batch.column("plane").to_pylist()):
                 counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
                 met = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([*[pa.array([batch.column(c)[i].as_py()] * len(met), kinds.field(c).type) for c in by], pa.array(met, pa.int32()), pa.array(counts[met], pa.int64())], schema=kinds)
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(batch.column(c)[i], len(met)).cast(kinds.field(c).type) for c in by], pa.array(met, pa.int32()), pa.array(counts[met], pa.int64())], schema=kinds)
 
     counts = tiles.mapInArrow(counted, T.StructType(fields)).groupBy(*by, "value").agg(F.sum("n").alias("n"))
     upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy("value"))).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
@@ -199,7 +210,7 @@ def ink_points(tiles: DataFrame, by: list[str], radius: int, size: int = SIZE) -
                 ty, tx, height, width, raw, sums, white = (batch.column(c)[i].as_py() for c in ("ty", "tx", "height", "width", "plane", "sums", "paper"))
                 plane = _plane(raw, ty, tx, height, width, size).astype(np.int64)
                 y, x = np.nonzero((100 * plane * squares(ty, tx, height, width, radius, size) < 72 * np.frombuffer(sums, np.int64).reshape(plane.shape)) & (100 * plane < 85 * white))
-                yield pa.RecordBatch.from_arrays([*[pa.array([batch.column(c)[i].as_py()] * len(x), kinds.field(c).type) for c in by], pa.array(x + tx * size, pa.int32()), pa.array(y + ty * size, pa.int32())], schema=kinds)
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(batch.column(c)[i], len(x)).cast(kinds.field(c).type) for c in by], pa.array(x + tx * size, pa.int32()), pa.array(y + ty * size, pa.int32())], schema=kinds)
 
     return known.mapInArrow(run, T.StructType(fields))
 
@@ -210,7 +221,7 @@ def _with_halos(tiles: DataFrame, by: list[str], size: int) -> DataFrame:
     kinds = to_arrow_schema(T.StructType(fields))
 
     def run(batches):
-        for batch in batches:
+        for batch in _few(batches):
             rows = []
             for *keys, ty, tx, height, width, raw in zip(*(batch.column(c).to_pylist() for c in (*by, "ty", "tx", "height", "width", "plane"))):
                 plane = _plane(raw, ty, tx, height, width, size)
@@ -266,6 +277,6 @@ def pixels_of(tiles: DataFrame, by: list[str], size: int = SIZE, column: str = "
                 ty, tx, height, width = (batch.column(c)[i].as_py() for c in ("ty", "tx", "height", "width"))
                 values = np.frombuffer(batch.column(column)[i].as_py(), dtype)
                 y, x = (a.ravel() for a in np.mgrid[slice(*_extent(ty, size, height)), slice(*_extent(tx, size, width))])
-                yield pa.RecordBatch.from_arrays([*[pa.array([batch.column(c)[i].as_py()] * len(x), kinds.field(c).type) for c in (*by, "ty", "tx")], pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(values, pa.int64())], schema=kinds)
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(batch.column(c)[i], len(x)).cast(kinds.field(c).type) for c in (*by, "ty", "tx")], pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(values, pa.int64())], schema=kinds)
 
     return tiles.mapInArrow(run, T.StructType(fields))

@@ -1,7 +1,13 @@
 """Images as tiles, against the same rules on whole arrays; skew of points against that of images."""
 
+import contextlib
+import threading
+
 import numpy as np
+import psutil
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.operators import pixels, skew, tiles
 
@@ -117,3 +123,39 @@ def test_ties_stay_with_the_one_in_office(spark):
     sizes = spark.createDataFrame([("k", 100, 100)], "k string, width int, height int")
     row = skew.measured(points, sizes, ["k"]).first()
     assert (row.degrees, row.unsure, row.points) == (0.0, True, 600)
+
+
+def test_pixels_out_of_range_and_given_twice(spark):
+    rows = [("k", 0, 0, 300), ("k", 2, 1, -5), ("k", 1, 0, 90), ("k", 1, 0, 40), ("k", 1, 0, 70), ("k", -1, 0, 9), ("k", 0, None, 9), ("k", 5, 0, None), ("k", 4, 3, 255)]
+    found = tiles.tiles_of(spark.createDataFrame(rows, "k string, x int, y int, value int"), ["k"], 3, missing=200)
+    want = np.full((4, 5), 200)
+    want[0, 0], want[1, 2], want[0, 1], want[3, 4] = 255, 0, 40, 255
+    assert (whole(found, 3)["k"] == want).all()
+
+
+def test_batches_are_taken_a_few_rows_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"a": list(range(1000))})
+    parts = list(tiles._few([batch, batch.slice(0, 0)]))
+    assert max(p.num_rows for p in parts) == tiles.AT_ONCE and [v for p in parts for v in p.column(0).to_pylist()] == list(range(1000))
+
+
+def test_memory_of_python_while_tiles_are_built(spark):
+    def peak(pixels):
+        grid = spark.range(pixels).selectExpr("1 AS k", "CAST(id % 1000 AS INT) AS x", "CAST(id DIV 1000 AS INT) AS y", "CAST(id % 251 AS INT) AS value")
+        most, done = [0], threading.Event()
+
+        def watch():
+            while not done.wait(0.02):
+                for p in psutil.Process().children(recursive=True):
+                    with contextlib.suppress(psutil.Error):
+                        most[0] = max(most[0], p.memory_info().rss * ("python" in p.name()))
+
+        watcher = threading.Thread(target=watch)
+        watcher.start()
+        assert tiles.tiles_of(grid, ["k"], 64).agg(F.sum(F.length("plane"))).first()[0] == pixels
+        done.set()
+        watcher.join()
+        return most[0]
+
+    small = peak(100_000)
+    assert peak(3_000_000) < small + 150e6
