@@ -22,9 +22,9 @@ def _candidate(rank, angle):
 
 def _energies(points: DataFrame, by: list[str], candidates) -> DataFrame:
     """Keys, rank, angle, energy: candidates is a column of an array of _candidate()."""
-    each = points.select(*by, "x", "y", "width", "bin_size", F.explode(candidates).alias("c")).select(*by, "x", "y", "width", "bin_size", "c.*")
+    each = points.select(*by, "x", "y", "n", "width", "bin_size", F.explode(candidates).alias("c")).select(*by, "x", "y", "n", "width", "bin_size", "c.*")
     across = F.col("y") * F.col("cos") - F.col("x") * F.col("sin") + F.abs(F.col("width") * F.col("sin"))
-    counts = each.groupBy(*by, "rank", "angle", F.floor(across / F.col("bin_size")).alias("bin")).agg(F.count("*").alias("n"))
+    counts = each.groupBy(*by, "rank", "angle", F.floor(across / F.col("bin_size")).alias("bin")).agg(F.sum("n").alias("n"))
     return counts.groupBy(*by, "rank", "angle").agg(F.sum(F.col("n") * F.col("n")).alias("energy"))
 
 
@@ -43,8 +43,9 @@ def measured(points: DataFrame, sizes: DataFrame, by: list[str], most_degrees: f
     other pages, are passed over; a page that is there twice in sizes counts once.
     """
     pages = sizes.groupBy(*by).agg(F.max("width").alias("width"), F.max("height").alias("height"))
-    inked = points.where("x is not null and y is not null").select(*by, "x", "y")
-    counted = inked.groupBy(*by).agg(F.count("*").alias("points"))
+    # points at one place are one row with their number: a page has no more of them than pixels, however often it is printed on
+    inked = points.where("x is not null and y is not null").groupBy(*by, "x", "y").agg(F.count("*").alias("n"))
+    counted = inked.groupBy(*by).agg(F.sum("n").alias("points"))
     bin_size = F.greatest(F.lit(2), F.floor(F.least("width", "height") / 400 + 0.5))
     known = inked.join(pages.join(counted.where(F.col("points") >= FEWEST_POINTS), by), by).withColumn("bin_size", bin_size)
     steps = int(round(2 * most_degrees / 0.5))
@@ -61,17 +62,26 @@ def measured(points: DataFrame, sizes: DataFrame, by: list[str], most_degrees: f
 
 
 def _straightened(known: DataFrame, by: list[str]) -> DataFrame:
-    """Keys, x0, y0, x1, y1 of points turned back around the page's middle: the values at floor(n x 0.005) and floor(n x 0.995)."""
-    a, dx, dy = F.radians("degrees"), F.col("x") - F.col("width") / 2, F.col("y") - F.col("height") / 2
-    moved = known.select(*by, (F.col("width") / 2 + dx * F.cos(a) + dy * F.sin(a)).alias("rx"), (F.col("height") / 2 - dx * F.sin(a) + dy * F.cos(a)).alias("ry"))
-    whole = Window.partitionBy(*by)
-    placed = moved.select(*by, "rx", "ry", F.count("*").over(whole).alias("n"), F.row_number().over(whole.orderBy("rx")).alias("px"), F.row_number().over(whole.orderBy("ry")).alias("py"))
-
-    def at(value: str, place: str, share: float):
-        wanted = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(share))) + 1
-        return F.max(F.when(F.col(place) == wanted, F.col(value)))
+    """Keys, x0, y0, x1, y1 of points turned back around the page's middle: the values at floor(n x 0.005) and floor(n x 0.995).
 
-    return placed.groupBy(*by).agg(at("rx", "px", 0.005).alias("x0"), at("ry", "py", 0.005).alias("y0"), at("rx", "px", 0.995).alias("x1"), at("ry", "py", 0.995).alias("y1"))
+    Points are counted by whole pixels first, and only those in the pixel column (or row) that holds a wanted place are put in
+    order, so no task sorts a page.
+    """
+    a, dx, dy = F.radians("degrees"), F.col("x") - F.col("width") / 2, F.col("y") - F.col("height") / 2
+    rx, ry = F.col("width") / 2 + dx * F.cos(a) + dy * F.sin(a), F.col("height") / 2 - dx * F.sin(a) + dy * F.cos(a)
+    sides = F.array(*[F.struct(F.lit(axis).alias("axis"), value.alias("value")) for axis, value in (("x", rx), ("y", ry))])
+    moved = known.select(*by, "n", F.explode(sides).alias("m")).select(*by, "n", "m.axis", "m.value", F.floor("m.value").alias("bin"))
+    whole = Window.partitionBy(*by, "axis")
+    bins = moved.groupBy(*by, "axis", "bin").agg(F.sum("n").alias("n")).withColumns({"upto": F.sum("n").over(whole.orderBy("bin")), "all": F.sum("n").over(whole)})
+    ends = F.array(*[F.struct(F.lit(end).alias("end"), F.least(F.col("all") - 1, F.floor(F.col("all") * F.lit(share))).alias("place")) for end, share in ((0, 0.005), (1, 0.995))])
+    wanted = bins.withColumn("e", F.explode(ends)).select(*by, "axis", "bin", "e.end", (F.col("e.place") - F.col("upto") + F.col("n")).alias("place"), F.col("n").alias("most")).where("place >= 0 and place < most")
+    near = moved.join(wanted.drop("most"), [*by, "axis", "bin"]).groupBy(*by, "axis", "end", "place", "value").agg(F.sum("n").alias("n"))
+    upto = near.withColumn("upto", F.sum("n").over(Window.partitionBy(*by, "axis", "end").orderBy("value"))).where("upto > place")
+
+    def at(axis: str, end: int):
+        return F.min(F.when((F.col("axis") == axis) & (F.col("end") == end), F.col("value")))
+
+    return upto.groupBy(*by).agg(at("x", 0).alias("x0"), at("y", 0).alias("y0"), at("x", 1).alias("x1"), at("y", 1).alias("y1"))
 
 
 def fits(edge: int = EDGE):

@@ -159,3 +159,17 @@ def test_memory_of_python_while_tiles_are_built(spark):
 
     small = peak(100_000)
     assert peak(3_000_000) < small + 150e6
+
+
+def test_points_printed_over_each_other_are_one_row(spark, monkeypatch):
+    xs, ys = RNG.integers(0, 400, 700), RNG.integers(0, 30, 700) * 17
+    times = RNG.integers(1, 30, 700)
+    points = spark.createDataFrame([("p", int(x), int(y)) for x, y, n in zip(xs, ys, times) for _ in range(n)], "k string, x int, y int")
+    sizes = spark.createDataFrame([("p", 400, 510)], "k string, width int, height int")
+    seen, straightened = [], skew._straightened
+    monkeypatch.setattr(skew, "_straightened", lambda known, by: seen.append(known.count()) or straightened(known, by))
+    row = skew.measured(points, sizes, ["k"], 5.0).first()
+    assert row.points == times.sum() and seen == [len({*zip(xs.tolist(), ys.tolist())})]
+    x, y, a = np.repeat(xs, times) - 200, np.repeat(ys, times) - 255, np.radians(row.degrees)
+    rx, ry = 200 + x * np.cos(a) + y * np.sin(a), 255 - x * np.sin(a) + y * np.cos(a)
+    assert (row.x0, row.y0, row.x1, row.y1) == pytest.approx((pixels.at_share(rx, 0.005), pixels.at_share(ry, 0.005), pixels.at_share(rx, 0.995), pixels.at_share(ry, 0.995)))
