@@ -69,6 +69,17 @@ def is_plausible(token: Column) -> Column:
     return let(F.length(F.regexp_replace(token, f"[^{WORD_CHARACTER}]", "")), lambda n: (n >= 2) & (n / F.greatest(F.length(token), F.lit(1)) >= 0.7))
 
 
+def _settling(text: Column, most: int) -> Column:
+    """The part of a text that settles its name of `most` characters, or the whole text if that is shorter.
+
+    It ends right before an ASCII letter or digit, which composes with nothing before it, and holds more than `most` of them,
+    each a visible character of the name. What follows can neither change the first `most` characters nor make the name fit.
+    """
+    plain = "A-Za-z0-9"
+    head = F.regexp_extract(text, f"(?s)\\A((?:[^{plain}]*+[{plain}]){{{most + 1}}}[^{plain}]*+)[{plain}]", 1)
+    return F.when(head != "", head).otherwise(text)
+
+
 def clean_name(text: Column, most: int, composed: bool = False) -> Column:
     """A file or folder name that is valid everywhere, of at most `most` characters (one more where `_` is put before).
 
@@ -76,7 +87,8 @@ def clean_name(text: Column, most: int, composed: bool = False) -> Column:
     canonical composition already. Null stays null.
     """
     space = f"[{SPACE}]"
-    raw = text if composed else nfc(text)
+    part = _settling(text, most)
+    raw = part if composed else nfc(part)
 
     def fitted(t):
         head = F.substring(t, 1, most)
