@@ -75,6 +75,20 @@ def test_items_of_a_page(spark):
     assert (box.x, box.y, box.w, box.h) == (100, 125, 400, 17)
 
 
+def test_a_table_is_made_and_taken_apart_once(spark):
+    made = spark.range(40).selectExpr("id div 4 as doc", "concat_ws('\t', '5', 1, 1, 1, 1, id % 4, id % 4 * 60, 10, 50, 20, 90, concat('w', id)) as row")
+    pages = made.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list("row")), "\n").alias("tsv")).withColumns({"scale": F.col("doc") % 3 + 1.0, "page_height": F.col("doc") + 100.0})
+    found = items_from_tsv(pages, ["doc"], F.col("doc") % 5 == 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Range (") == 1 and "Join" not in plan
+    assert not [line for line in plan.splitlines() if line.strip(" +-:*()0123456789").startswith("Filter") and "split(" in line]
+    rows = {r.doc: r for r in found.collect()}
+    assert {d: r.text for d, r in rows.items()} == {d: " ".join(f"w{4 * d + k}" for k in range(4)) for d in range(10) if d % 5}
+    assert all((r.width, r.transform[5]) == (pytest.approx(230 / (d % 3 + 1)), pytest.approx(d + 100 - 26 / (d % 3 + 1))) for d, r in rows.items())
+    by_table = items_from_tsv(pages, ["doc"], spark.createDataFrame([(0, True), (5, True), (7, None), (8, False)], "doc long, digital boolean"))
+    assert sorted(map(tuple, by_table.collect())) == sorted(map(tuple, rows.values()))
+
+
 def test_skewed_pages_go_back(spark):
     pages = spark.createDataFrame([("d", tsv((5, 1, 1, 1, 1, 1, 400, 480, 200, 40, 90, "Mitte")), 1.0, 1000.0, 3.0, 1000, 1000, 1000, 1000)], "doc string, tsv string, scale double, page_height double, skew double, straight_width int, straight_height int, image_width int, image_height int")
     (item,) = items_from_tsv(pages, ["doc"]).collect()
