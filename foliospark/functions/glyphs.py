@@ -10,24 +10,26 @@ from foliospark.operators.content import DEEPEST
 
 
 def _one(glyph: Column) -> Column:
-    """1 for an object with a member unicode that isn't white space alone, 0 for any other value."""
-    shown = F.try_variant_get(glyph, "$.unicode", "string")
-    blank = shown.isNotNull() & (shown != "") & is_blank(shown)
-    return F.when(F.try_variant_get(glyph, "$.unicode", "variant").isNotNull() & ~blank, 1).otherwise(0)
+    """1 for a struct whose member unicode, a VARIANT, is there and isn't white space alone, 0 for any other, and for null."""
+    unicode = glyph["unicode"]
+    blank = let(F.try_variant_get(unicode, "$", "string"), lambda s: F.coalesce((s != "") & is_blank(s), F.lit(False)))
+    return F.when(unicode.isNull(), 0).when(blank, 0).otherwise(1)
 
 
 def glyph_count(arguments: Column, deepest: int = DEEPEST) -> Column:
     """Visible glyphs within a VARIANT of nested arrays of glyphs and spacing numbers (int); arrays deeper than `deepest` levels have
     none. Null for null.
 
-    The recursion is one over the expression, which has a level for each level of arrays, not over the data.
+    The objects of each level are taken out by one cast of the whole value, to an array type of as many levels, so that neither
+    numbers nor arrays are looked at one by one.
     """
 
     def count(value: Column, depth: int) -> Column:
-        inner = F.try_variant_get(value, "$", "array<variant>")
-        if depth >= deepest:
-            return F.when(inner.isNotNull(), 0).otherwise(_one(value))
-        within = F.aggregate(inner, F.lit(0), lambda n, e: n + count(e, depth + 1))
-        return F.when(inner.isNotNull(), within).otherwise(_one(value))
-
-    return F.when(arguments.isNotNull(), let(arguments, lambda a: count(a, 0)))
+        found = F.try_variant_get(value, "$", "array<" * depth + "struct<unicode:variant>" + ">" * depth)
+        found = found if depth else F.array(found)
+        for _ in range(depth - 1):
+            found = F.flatten(F.filter(found, lambda a: a.isNotNull()))
+        return F.coalesce(F.aggregate(found, F.lit(0), lambda n, g: n + _one(g)), F.lit(0))
+
+    # the test for null stands within as well: outside it would make the arguments a second time
+    return let(arguments, lambda a: F.when(a.isNotNull(), sum((count(a, d) for d in range(1, deepest + 1)), count(a, 0))))

@@ -171,6 +171,21 @@ def test_nested_glyphs_as_the_plain_function_counts_them(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_arguments_of_glyphs_are_made_once_and_cast_as_a_whole(spark):
+    g = lambda u: {"unicode": u}
+    cases = [[[1, g("a")], g("b"), [[g("c"), [g("d")], None], 5]], [{"UNICODE": "a"}, {"unicode": "", "more": 1}, {"more": [g("a")]}, {"unicode": {}}], [[], [[]], [[[]]]]]
+    rows = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)], "i int, j string")
+    for deepest in range(5):
+        counted = rows.withColumn("n", glyphs.glyph_count(F.parse_json("j"), deepest))
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("parseJson") == 1 and plan.count("array<variant>") == plan.count("ArrayType(VariantType") == 0
+
+        def plainly(value, depth=0):
+            return (0 if depth >= deepest else sum(plainly(v, depth + 1) for v in value)) if isinstance(value, list) else content.glyphs(value)
+
+        assert {r.i: r.n for r in counted.collect()} == {i: plainly(c) for i, c in enumerate(cases)}, deepest
+
+
 def test_counters_are_gathered_in_the_one_pass(spark, tmp_path):
     read = spark.sparkContext.accumulator(0)
 
