@@ -56,6 +56,11 @@ def is_blank(text: Column) -> Column:
     return ~F.coalesce(text, F.lit("")).rlike(f"[^{SPACE}]")
 
 
+def has_text(text: Column) -> Column:
+    """Whether without_controls() leaves anything, told without working it out."""
+    return text.rlike(f"[^\\x00-\\x1f\\x7f{SPACE}]")
+
+
 def without_controls(text: Column) -> Column:
     return trim(F.regexp_replace(text, "[\\x00-\\x1f\\x7f]", " "))
 
@@ -114,10 +119,15 @@ def slug(text: Column, most: int, composed: bool = False) -> Column:
 
 
 def number(value: Column) -> Column:
-    """At most four decimals, without trailing zeros; 0 for what isn't finite."""
+    """At most four decimals, without trailing zeros; 0 for what isn't finite.
+
+    A value that is written with four decimals at most anyway is taken as it is written, as formatting takes far longer.
+    """
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
-    text = F.regexp_replace(F.format_string("%.4f", F.when(finite, value).otherwise(0.0)), "\\.?0+$", "")
-    return F.when(text == "", "0").otherwise(text)
+    written, size = value.cast("double").cast("string"), F.abs(value)
+    short = ((size == 0) | (size >= 1e-3)) & (size < 1e7) & (F.length(F.substring_index(written, ".", -1)) <= 4)
+    text = F.when(short, written).otherwise(F.format_string("%.4f", F.when(finite, value).otherwise(0.0)))
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
 def base_name(path: Column) -> Column:

@@ -160,6 +160,27 @@ def test_run_operators(spark):
     assert got == ["20 0 0 10 5 6 Tm\n(a\\(b\\)) Tj", None, None]
 
 
+def test_operators_are_worked_out_in_one_pass(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["page_operators"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+    assert not [line for line in plan.splitlines() if line.strip(" +-:*()0123456789").startswith("Filter") and "regexp_replace" in line]
+    rows = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 0, None), (2, 0, None)], "page int, seq int, ops string")
+    assert [tuple(r) for r in layout.text_layer(rows, ["page"]).collect()] == [(1, "q\nBT\n3 Tr\na\nb\nET\nQ")]
+
+
+def test_numbers_that_are_short_are_written_as_they_would_be_formatted(spark):
+    from foliospark.functions.text import number
+
+    rng = random.Random(4)
+    values = [0.0, -0.0, 1.0, -1.0, 100.0, 10.5, 0.25, 0.0001, 0.001, 0.0012, 0.00005, 0.00004, 9999999.0, 1e7, 12345678.9, 1e15, 1e22, 0.1 + 0.2, 1 / 3, 2e-3, float("inf"), float("nan"), None]
+    values += [round(rng.uniform(-2000, 2000), rng.randrange(8)) for _ in range(2000)]
+    text = F.regexp_replace(F.format_string("%.4f", F.when(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")), F.col("v")).otherwise(0.0)), "\\.?0+$", "")
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", number(F.col("v")).alias("got"), text.alias("want")).collect()
+    assert [(r.v, r.got) for r in rows if r.got != r.want] == []
+
+
 def test_geometry(spark):
     row = spark.range(1).select(
         G.rounded(F.lit(-2.5)).alias("half"), G.quarter_turn(F.lit(-90)).alias("turn"), G.reading_scale(F.lit(595.0), 5000).alias("four"), G.recognition_scale(F.lit(7200.0), 300).alias("most"),
