@@ -83,29 +83,33 @@ def widened(pages: DataFrame, items: str = "items") -> DataFrame:
     def entry(item, i):
         a, b, c, d, e, f = (F.get(item["transform"], F.lit(k)) for k in range(6))
         along, tall = F.hypot(a, b), F.hypot(c, d)
-        ux, uy = a / along, b / along
 
-        def span(n):
-            dx, dy = F.get(n["transform"], F.lit(4)) - e, F.get(n["transform"], F.lit(5)) - f
-            t = ux * dx + uy * dy
-            return F.abs(ux * dy - uy * dx) <= tall * SAME_LINE, t, t + n["width"]
+        def span(line, n):
+            dx, dy = F.get(n["transform"], F.lit(4)) - line["e"], F.get(n["transform"], F.lit(5)) - line["f"]
+            t = line["ux"] * dx + line["uy"] * dy
+            return F.abs(line["ux"] * dy - line["uy"] * dx) <= line["tall"] * SAME_LINE, t, t + n["width"]
 
-        def walk(neighbours, start, leftwards):
+        def walk(line, neighbours, start, leftwards):
             def step(state, n):
-                same, low, high = span(n)
+                same, low, high = span(line, n)
                 gap = state["edge"] - high if leftwards else low - state["edge"]
-                goes = state["open"] & emptied(n) & same & (gap <= tall * MOST_GAP)
+                goes = state["open"] & emptied(n) & same & (gap <= line["tall"] * MOST_GAP)
                 edge = F.least(state["edge"], low) if leftwards else F.greatest(state["edge"], high)
-                return F.struct(F.when(goes, edge).otherwise(state["edge"]).alias("edge"), goes.alias("open"))
+                return F.when(state["open"], let(goes, lambda g: F.struct(F.when(g, edge).otherwise(state["edge"]).alias("edge"), g.alias("open")))).otherwise(state)
 
             return F.aggregate(neighbours, F.struct(start.alias("edge"), F.lit(True).alias("open")), step)["edge"]
 
-        before = F.reverse(F.slice(items, F.lit(1), i))
-        after = F.slice(items, i + 2, F.greatest(F.size(items) - i - 1, F.lit(0)))
+        def widened_along(line):
+            before = F.reverse(F.slice(items, F.lit(1), i))
+            after = F.slice(items, i + 2, F.greatest(F.size(items) - i - 1, F.lit(0)))
+            return let(F.struct(walk(line, before, F.lit(0.0), True).alias("low"), walk(line, after, item["width"], False).alias("high")), lambda reach: wide(line, reach))
+
+        def wide(line, reach):
+            moved = F.array(a, b, c, d, line["e"] + line["ux"] * reach["low"], line["f"] + line["uy"] * reach["low"])
+            return F.struct(item["id"].alias("id"), item["str"].alias("str"), item["text"].alias("text"), moved.alias("transform"), (reach["high"] - reach["low"]).alias("width"))
+
         grown = ~is_blank(item["text"]) & (F.length(trim(item["text"])) > F.length(trim(item["str"]))) & (along > 0) & (tall > 0)
-        low, high = walk(before, F.lit(0.0), True), walk(after, item["width"], False)
-        moved = F.array(a, b, c, d, e + ux * low, f + uy * low)
-        wide = F.struct(item["id"].alias("id"), item["str"].alias("str"), item["text"].alias("text"), moved.alias("transform"), (high - low).alias("width"))
-        return F.when(grown, wide).otherwise(F.struct(*[item[k].alias(k) for k in ("id", "str", "text", "transform", "width")]))
+        line = F.struct((a / along).alias("ux"), (b / along).alias("uy"), e.alias("e"), f.alias("f"), tall.alias("tall"))
+        return F.when(grown, let(line, widened_along)).otherwise(F.struct(*[item[k].alias(k) for k in ("id", "str", "text", "transform", "width")]))
 
     return pages.withColumn(items, F.transform(items, entry))

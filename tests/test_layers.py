@@ -139,6 +139,16 @@ def test_emptied_neighbours_are_taken_in(spark):
         assert (rows[k][i].transform[4], rows[k][i].width) == (pytest.approx(x), pytest.approx(width)), k
 
 
+def test_boxes_are_widened_once(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["widened_boxes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HYPOT") > 0 and not [line for line in plan.splitlines() if line.strip(" +-:*()0123456789").startswith("Filter") and "HYPOT" in line]
+    # on each side the search is named once, though four values of a box follow from it
+    pages = spark.createDataFrame([(1, [])], "k int, items array<struct<id int, str string, text string, transform array<double>, width double>>")
+    assert overlay.widened(pages)._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2
+
+
 def test_layout(spark):
     texts = [("Erste Zeile", 150, 240), ("Zweite", 410, 265), ("Dritte Zeile hier", 150, 290)]
     rows = [(1, i, t, x, y, 500.0, 700.0) for i, (t, x, y) in enumerate(reversed(texts))] + [(2, 0, "w" * 150, 880, 333, 500.0, 700.0)]
