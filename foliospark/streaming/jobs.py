@@ -78,6 +78,15 @@ def answered(job: Job, at: int, kind: str, value: str | None, limits: Limits) ->
     return replace(job, phase=phase, address=address, polls=polls, deadline=at + limits.wait_ms, sent=number), (at, number, command, about)
 
 
+def in_order(rows: Iterator[pd.DataFrame]) -> list[tuple]:
+    """micros, tie, kind, value of a document's replies in a batch in the order of their times, at one time without a tie last.
+
+    They are few, so lists sort them in a fraction of the time that it takes to put frames together.
+    """
+    replies = [r for frame in rows for r in zip(*(frame[c].tolist() for c in ("micros", "tie", "kind", "value")))]
+    return sorted(replies, key=lambda r: (r[0], True, 0) if r[1] is None or r[1] != r[1] else (r[0], False, r[1]))
+
+
 class Jobs(StatefulProcessor):
     """answered() and expired() on the state of a document, with one timer at its deadline."""
 
@@ -89,7 +98,7 @@ class Jobs(StatefulProcessor):
         self.state = handle.getValueState("job", "phase string, address string, polls int, deadline bigint, sent bigint")
 
     def _load(self) -> Job:
-        return Job(*self.state.get()) if self.state.exists() else Job()
+        return Job(*(self.state.get() or ()))
 
     def _keep(self, before: Job, job: Job) -> None:
         if job == before:
@@ -102,14 +111,12 @@ class Jobs(StatefulProcessor):
 
     def _rows(self, key, commands: list[Command]) -> Iterator[pd.DataFrame]:
         if commands:
-            yield pd.DataFrame([(*key, *c) for c in commands])
+            yield pd.DataFrame(dict(enumerate(zip(*[(*key, *c) for c in commands]))))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the API
         before = job = self._load()
         commands = []
-        # a document has few replies in a batch; they count in the order of their times
-        replies = pd.concat(rows)[["micros", "tie", "kind", "value"]].sort_values(["micros", "tie"], kind="stable")
-        for micros, _, kind, value in replies.itertuples(index=False):
+        for micros, _, kind, value in in_order(rows):
             job, command = answered(job, micros // 1000, kind, value if isinstance(value, str) else None, self.limits)
             commands += [command] if command else []
         self._keep(before, job)

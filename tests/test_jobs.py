@@ -85,3 +85,13 @@ def test_polls_are_limited_and_late_answers_do_not_count():
     assert jobs.answered(job, 100, "uploaded", "x", limits)[1][2] == "submit"
     job, command = jobs.answered(job, 101, "uploaded", "x", limits)
     assert command == (100, 2, "failed", jobs.TOO_LATE) and not job.waits
+
+
+def test_replies_of_a_batch_are_put_in_order_without_a_frame_of_all():
+    import pandas as pd
+
+    from foliospark.streaming.jobs import in_order
+
+    frames = [pd.DataFrame({"micros": [5, 1], "tie": [2, 7], "kind": ["a", "b"], "value": ["x", None]}), pd.DataFrame({"micros": [5, 5, 1], "tie": [1.0, float("nan"), 7.0], "kind": ["c", "d", "e"], "value": [None, "y", "z"]})]
+    want = pd.concat(frames).sort_values(["micros", "tie"], kind="stable")
+    assert [r[2] for r in in_order(iter(frames))] == list(want["kind"]) == ["b", "e", "c", "a", "d"] and in_order(iter([])) == []
