@@ -86,6 +86,11 @@ def not_yet_written(inputs: DataFrame, existing: DataFrame, name: str = "out_nam
     return inputs if force else inputs.join(existing.select(name), name, "left_anti")
 
 
+def written_before(inputs: DataFrame, existing: DataFrame, name: str = "out_name", force: bool = False) -> DataFrame:
+    """The others: inputs whose output is there; none of them if forced."""
+    return inputs.where("false") if force else inputs.join(existing.select(name), name, "left_semi")
+
+
 def downgraded(meta: DataFrame, legibility: str = "legibility") -> DataFrame:
     """What was read of a page that is hard to read is trusted less: nothing but the names if poor, no reference if partial."""
     poor, partial = F.col(legibility).eqNullSafe("poor"), F.col(legibility).eqNullSafe("partial")

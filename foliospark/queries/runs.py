@@ -92,10 +92,10 @@ def published_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name, size and digest of the files that a job published: a conversation is one, with what was said in the order of its turns."""
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.coalesce(t["text"], F.lit(""))), "\n")
-    files = turns.groupBy("conv_id").agg(F.encode(said, "UTF-8").alias("content")).withColumn("out_name", F.concat(F.lit("talk-"), F.col("conv_id").cast("string"), F.lit(".txt")))
+    talks = turns.groupBy("conv_id").agg(F.encode(said, "UTF-8").alias("content")).withColumn("out_name", F.concat(F.lit("talk-"), F.col("conv_id").cast("string"), F.lit(".txt")))
     folder = f"{scratch(spark, 'published')}/files"
-    publishing.publish(files, folder)
-    there = spark.read.format("binaryFile").load(folder)
+    publishing.publish(talks, folder)
+    there = files.read_folder(spark, folder)
     return there.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
@@ -120,7 +120,7 @@ def folder_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         return todo.select("out_name", F.when(~broken, F.concat(F.encode(F.lit("%"), "UTF-8"), F.col("content"))).alias("content"), F.when(broken, "unreadable").alias("error"))
 
     told, _ = batch.run(spark, f"{root}/in/", f"{root}/out", recognise, files.names_in(spark, f"{root}/out"))
-    there = spark.read.format("binaryFile").load(f"{root}/out").select(F.regexp_extract("path", "([^/]*)$", 1).alias("out_name"), F.col("length").alias("bytes"))
+    there = files.read_folder(spark, f"{root}/out").select(F.regexp_extract("path", "([^/]*)$", 1).alias("out_name"), F.col("length").alias("bytes"))
     return told.join(there, "out_name", "left").select(F.col("out_name").alias("name"), "status", "error", "bytes")
 
 

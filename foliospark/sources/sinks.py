@@ -24,13 +24,17 @@ def write_files(files: DataFrame, folder: str, name: str = "out_name", content:
         from pyarrow import fs
 
         named = re.match("[A-Za-z][A-Za-z0-9+.-]+:", folder)
+        store, base = None, ""
         for batch in batches:
+            told = []
             for label, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                store, part = None, ""
+                part = ""
                 try:
-                    store, base = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder)) if named else (fs.LocalFileSystem(), folder)
+                    if store is None:  # as long as the folder can't be had, each row tells so
+                        opened, base = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder)) if named else (fs.LocalFileSystem(), folder)
+                        opened.create_dir(base, recursive=True)
+                        store = opened
                     part, target = f"{base.rstrip('/')}/{label}.{uuid.uuid4().hex}.part", f"{base.rstrip('/')}/{label}"
-                    store.create_dir(base, recursive=True)
                     with store.open_output_stream(part) as out:
                         out.write(data or b"")
                     if store.type_name != "local" and store.get_file_info(target).type != fs.FileType.NotFound:
@@ -41,7 +45,8 @@ def write_files(files: DataFrame, folder: str, name: str = "out_name", content:
                     status, error = "failed", str(problem)
                     if store is not None and part and store.get_file_info(part).type == fs.FileType.File:
                         store.delete_file(part)
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (label, status, error)], names=["out_name", "status", "error"])
+                told.append((label, status, error))
+            yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in told], pa.string()) for k in range(3)], names=["out_name", "status", "error"])
 
     return files.select(name, content).mapInArrow(run, "out_name string, status string, error string")
 

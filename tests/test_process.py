@@ -8,6 +8,7 @@ from foliospark import seams
 from foliospark.checkpoints import checkpointed
 from foliospark.operators import items, layout, prompts, routing
 from foliospark.plans import batch, process, refine
+from foliospark.sources import files, sinks
 
 JUNK = " ".join("".join("#*-:;/|"[(i * k) % 7] for i in range(1, 9)) for k in range(1, 9))
 LINES = [("GÄRTNEREI ÖHLMANN", True), ("Am Anger 12", False), ("GEWICHT KG 12,75", True)]
@@ -117,6 +118,60 @@ def test_batch(spark, tmp_path):
     assert [p.name for p in (tmp_path / "out").iterdir()] == ["a.ocr.pdf"]
 
 
+def test_a_batch_asks_what_is_there_before_it_writes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    for k in range(6):
+        (tmp_path / "in" / f"{k}.pdf").write_bytes(b"%d" % k)
+    (tmp_path / "out" / "0.ocr.pdf").write_bytes(b"before")
+    out = f"{tmp_path}/out"
+
+    def look(batches):  # each time that it is run
+        import os
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"out_name": os.listdir(out)})
+
+    existing = spark.range(0, 1, 1, 1).mapInArrow(look, "out_name string")
+
+    def recognise(todo):
+        return todo.select("out_name", "content", F.when(F.col("out_name") == "5.ocr.pdf", "kaputt").alias("error"))
+
+    told, code = batch.run(spark, f"{tmp_path}/in/", out, recognise, existing)
+    assert sorted((r.out_name, r.status, r.error) for r in told.collect()) == [("0.ocr.pdf", "skipped", None), *[(f"{k}.ocr.pdf", "ok", None) for k in range(1, 5)], ("5.ocr.pdf", "failed", "kaputt")] and code == 1
+    told, code = batch.run(spark, f"{tmp_path}/in/", out, lambda todo: todo.select("out_name", "content", F.lit(None).cast("string").alias("error")), existing, force=True)
+    assert sorted((r.out_name, r.status) for r in told.collect()) == [(f"{k}.ocr.pdf", "ok") for k in range(6)] and code == 0 and (tmp_path / "out" / "0.ocr.pdf").read_bytes() == b"0"
+
+
+def test_each_file_that_cannot_be_written_is_told(spark, tmp_path):
+    rows = spark.createDataFrame([("a", b"1"), ("no/folder", b"2"), ("c", b"3")], "out_name string, content binary").coalesce(1)
+    assert [(r.out_name, r.status, r.error is None) for r in sinks.write_files(rows, f"{tmp_path}/out").collect()] == [("a", "ok", True), ("no/folder", "failed", False), ("c", "ok", True)]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a", "c"]
+    (tmp_path / "file").write_text("")
+    assert [(r.out_name, r.status) for r in sinks.write_files(rows, f"{tmp_path}/file").collect()] == [("a", "failed"), ("no/folder", "failed"), ("c", "failed")]
+
+
+def test_a_batch_of_many_small_files_has_few_tasks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(300):
+        (tmp_path / "in" / f"{k}.pdf").write_bytes(b"%d" % k)
+    existing = spark.createDataFrame([(f"{k}.ocr.pdf",) for k in range(0, 300, 4)], "out_name string")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # a split of Spark's reader for each file
+        told, _ = batch.run(spark, f"{tmp_path}/in/", f"{tmp_path}/out", lambda todo: todo.select("out_name", "content", F.lit(None).cast("string").alias("error")), existing)
+        tasks = files.read_folder(spark, f"{tmp_path}/in").rdd.getNumPartitions()
+        assert tasks == files.TASKS_PER_CORE * spark.sparkContext.defaultParallelism < 300
+        assert told.rdd.getNumPartitions() <= 3 * tasks and files.names_in(spark, f"{tmp_path}/out").rdd.getNumPartitions() == tasks
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [files._bytes(t) for t in ("16m", "128MB", "134217728b", "134217728", "2g", "64KB")] == [1 << 24, 1 << 27, 1 << 27, 1 << 27, 1 << 31, 1 << 16]
+    assert {r["status"]: r["count"] for r in told.groupBy("status").count().collect()} == {"ok": 225, "skipped": 75}
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {f"{k}.ocr.pdf": b"%d" % k for k in range(300) if k % 4}
+
+
 def test_a_pass_touches_open_pages_only(spark, monkeypatch):
     boxes = [(1, i, "abcdef") for i in range(8)] + [(2, i, "ab") for i in range(3)] + [(3, 0, "  ")] + [(4, i, "abc") for i in range(6)]
     seen = []
